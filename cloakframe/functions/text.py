@@ -36,13 +36,14 @@ def _double_text(col: Column) -> Column:
     """``str(float)``: plain digits from 1e-4 up to 1e16, ``1e-05`` style beyond."""
     text = col.cast("string")
     size = F.abs(col)
-    plain = F.regexp_replace(col.cast("decimal(38,21)").cast("string"), r"(\.[0-9]*?)0+$", "$1")
+    plain = F.regexp_replace(col.try_cast("decimal(38,21)").cast("string"), r"(\.[0-9]*?)0+$", "$1")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
     exponent = F.substring_index(text, "E", -1).cast("int")
     scientific = F.concat(
         F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""),
         F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+        F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")),
+        F.abs(exponent).cast("string"),
     )
     return (
         F.when(F.isnan(col), F.lit("nan"))
