@@ -123,7 +123,7 @@ def redact_sql_function(spark: SparkSession, sf: str) -> DataFrame:
 
 def mask_known_types(spark: SparkSession, sf: str) -> DataFrame:
     c = t(spark, sf, "customer")
-    return c.select("c_custkey", *[mask(F.expr(v), k).alias(k) for k, v in VALUES.items()])
+    return c.select("c_custkey", *[F.expr(mask(f"({v})", k)).alias(k) for k, v in VALUES.items()])
 
 
 def pii_spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +149,7 @@ def pii_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 def clean_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Row-level deny: the documents without personal data."""
-    return t(spark, sf, "documents").where(~has_pii(F.col("text"))).select("doc_id", "lang", "n_chars")
+    return t(spark, sf, "documents").where(f"NOT {has_pii('text')}").select("doc_id", "lang", "n_chars")
 
 
 def result_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,17 +182,17 @@ def token_customer(spark: SparkSession, sf: str) -> DataFrame:
 
 def lookup_tokens(spark: SparkSession, sf: str) -> DataFrame:
     c = t(spark, sf, "customer")
-    return c.select("c_custkey", lookup_token(F.col("c_name"), "user_id", SALT).alias("user_token"))
+    return c.selectExpr("c_custkey", f"{lookup_token('c_name', 'user_id', SALT)} AS user_token")
 
 
 def token_check(spark: SparkSession, sf: str) -> DataFrame:
-    c = t(spark, sf, "customer").withColumn("secret", F.col("c_mktsegment") == "BUILDING")
-    return hash_where(c, "c_name", "secret", SALT).select("c_custkey", "c_name", is_token(F.col("c_name")).alias("is_token"))
+    c = hash_where(t(spark, sf, "customer"), "c_name", "c_mktsegment = 'BUILDING'", SALT)
+    return c.selectExpr("c_custkey", "c_name", f"{is_token('c_name')} AS is_token")
 
 
 def token_quality(spark: SparkSession, sf: str) -> DataFrame:
-    c = t(spark, sf, "customer").withColumn("secret", F.col("c_mktsegment") != "BUILDING")
-    return linkage.token_quality(hash_where(c, "c_name", "secret", SALT), "c_name")
+    c = hash_where(t(spark, sf, "customer"), "c_name", "c_mktsegment <> 'BUILDING'", SALT)
+    return linkage.token_quality(c, "c_name")
 
 
 def _tokenised(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -472,8 +472,7 @@ def route_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def value_screen(spark: SparkSession, sf: str) -> DataFrame:
-    docs = t(spark, sf, "documents")
-    return docs.select("doc_id", screen.dangerous_value(F.col("text")).alias("dangerous"))
+    return t(spark, sf, "documents").selectExpr("doc_id", f"{screen.dangerous_value('text')} AS dangerous")
 
 
 def filter_scan(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,93 +1,87 @@
-"""Finding personal data in text, as Catalyst expressions.
+"""Finding personal data in text, as SQL expressions.
 
 Every detection is guarded by a cheap necessary condition (see
-``Detection.needs``) and the conditions are grouped, so clean text costs a few
-byte searches and two short scans instead of eight pattern scans.
+``Detection.needs``) and detections with the same condition share it, so clean
+text costs two byte searches and two short scans instead of eight pattern scans.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
 from itertools import groupby
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
+from cloakframe.functions.sql import any_of, array, let, lit
 from cloakframe.rules import DEFAULT_RULES, Detection, Rules
 
-SPAN = "struct<type:string,value:string,start:int,end:int,sensitivity:string,default_action:string>"
+SPAN = "STRUCT<type:STRING,value:STRING,start:INT,end:INT,sensitivity:STRING,default_action:STRING>"
 # Internal form; its natural order is "last start first, then detection order".
-RAW = "struct<back:int,ord:int,end:int,value:string>"
-
+FOUND = "STRUCT<back:INT,ord:INT,end:INT,value:STRING>"
+# Marks set around matches; text that already holds one takes another way.
+_OPEN, _CLOSE = "\x01", "\x02"
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
 
-
-def meets(text: Column, needs: str | None) -> Column:
+def meets(x: str, needs: str | None) -> str:
     if needs is None:
-        return text.isNotNull()
-    return text.rlike(needs[3:]) if needs.startswith("re:") else text.contains(needs)
+        return f"{x} IS NOT NULL"
+    return f"{x} RLIKE {lit(needs[3:])}" if needs.startswith("re:") else f"contains({x}, {lit(needs)})"
 
 
-def has_type(text: Column, detection: Detection) -> Column:
+def has_type(x: str, d: Detection) -> str:
     """True when the text holds at least one value of the type; never null."""
-    hit = text.rlike(detection.java_regex)
-    if detection.needs is not None:
-        hit = meets(text, detection.needs) & hit
-    return F.coalesce(hit, F.lit(False))
+    return f"coalesce({meets(x, d.needs)} AND {x} RLIKE {lit(d.java_regex)}, false)"
 
 
-def has_pii(text: Column, rules: Rules = DEFAULT_RULES) -> Column:
+def has_pii(x: str, rules: Rules = DEFAULT_RULES) -> str:
     """True when any detection hits; never null."""
     tests = []
     for needs, group in _by_needs(rules):
-        hits = reduce(Column.__or__, [text.rlike(d.java_regex) for _, d in group])
-        tests.append(meets(text, needs) & hits)
-    return F.coalesce(reduce(Column.__or__, tests, F.lit(False)), F.lit(False))
+        hits = " OR ".join(f"{x} RLIKE {lit(d.java_regex)}" for _, d in group)
+        tests.append(f"{meets(x, needs)} AND ({hits})")
+    return any_of(tests)
 
 
-def raw_spans(text: Column, rules: Rules = DEFAULT_RULES) -> Column:
-    """All spans, unsorted, in the internal form."""
-    none = F.array().cast(f"array<{RAW}>")
+def found(x: str, rules: Rules = DEFAULT_RULES) -> str:
+    """Everything found, in the internal form and order."""
+    none = array([], FOUND)
     parts = []
     for needs, group in _by_needs(rules):
-        found = [_spans_of_type(text, d, i, none) for i, d in group]
-        parts.append(F.when(meets(text, needs), F.concat(*found)).otherwise(none))
-    return F.concat(*parts) if parts else none
-
+        hits = ", ".join(_found_of_type(x, i, d, none) for i, d in group)
+        parts.append(f"IF({meets(x, needs)}, concat({hits}), {none})")
+    return f"sort_array(concat({', '.join(parts) or none}))"
 
-def spans(text: Column, rules: Rules = DEFAULT_RULES) -> Column:
-    """Array of found values with offsets (in characters), by type, then position."""
-    found = F.array_sort(raw_spans(text, rules), _by_type)
-    return F.transform(found, lambda r: public_span(r, rules))
 
+def spans(x: str, rules: Rules = DEFAULT_RULES) -> str:
+    """Array of found values with offsets in characters, by type, then position."""
+    if not rules.detections:
+        return array([], SPAN)
 
-def public_span(raw: Column, rules: Rules) -> Column:
-    def pick(values: list[str]) -> Column:
-        return F.element_at(F.array(*[F.lit(v) for v in values]), raw["ord"] + 1)
+    def pick(values: list[str]) -> str:
+        return f"array({', '.join(lit(v) for v in values)})[__r.ord]"
 
-    return F.struct(
-        pick(rules.types).alias("type"),
-        raw["value"].alias("value"),
-        (-raw["back"]).alias("start"),
-        raw["end"].alias("end"),
-        pick([d.sensitivity for d in rules.detections]).alias("sensitivity"),
-        pick([d.default_action for d in rules.detections]).alias("default_action"),
+    order = "(__a, __b) -> IF(__a.ord = __b.ord, __b.back - __a.back, __a.ord - __b.ord)"
+    fields = (
+        f"{pick(rules.types)} AS type, __r.value AS value, -__r.back AS start, __r.end AS end, "
+        f"{pick([d.sensitivity for d in rules.detections])} AS sensitivity, "
+        f"{pick([d.default_action for d in rules.detections])} AS default_action"
     )
+    return f"transform(array_sort({found(x, rules)}, {order}), __r -> struct({fields}))"
 
 
-def pii_types(raw: Column, rules: Rules = DEFAULT_RULES) -> Column:
-    """Sorted distinct type names of a ``raw_spans`` value."""
-    names = F.array(*[F.lit(t) for t in rules.types])
-    return F.array_sort(F.array_distinct(F.transform(raw, lambda r: F.element_at(names, r["ord"] + 1))))
+def types_of(hits: str, rules: Rules = DEFAULT_RULES) -> str:
+    """Sorted distinct type names of a ``found`` value."""
+    names = array([lit(t) for t in rules.types], "STRING")
+    return f"array_sort(array_distinct(transform({hits}, __r -> {names}[__r.ord])))"
 
 
-def merge_spans(*parts: Column) -> Column:
+def pii_types(x: str, rules: Rules = DEFAULT_RULES) -> str:
+    """Sorted names of the types a text holds, without locating the values."""
+    hits = [f"IF({has_type(x, d)}, {lit(d.name)}, NULL)" for d in rules.detections]
+    return f"array_sort(array_compact({array(hits, 'STRING')}))"
+
+
+def merge_spans(*parts: str) -> str:
     """Detections of several values as one."""
-    return F.concat(*[F.coalesce(p, F.array().cast(f"array<{SPAN}>")) for p in parts])
+    none = array([], SPAN)
+    return f"concat({', '.join(f'coalesce({p}, {none})' for p in parts) or none})"
 
 
 def _by_needs(rules: Rules) -> list[tuple[str | None, list[tuple[int, Detection]]]]:
@@ -95,34 +89,33 @@ def _by_needs(rules: Rules) -> list[tuple[str | None, list[tuple[int, Detection]
     return [(key or None, list(group)) for key, group in groupby(numbered, key=lambda e: e[1].needs or "")]
 
 
-def _by_type(a: Column, b: Column) -> Column:
-    by_type = F.when(a["ord"] != b["ord"], a["ord"] - b["ord"])
-    return F.coalesce(by_type, b["back"] - a["back"])
-
-
-def _spans_of_type(text: Column, d: Detection, ord_: int, none: Column) -> Column:
+def _found_of_type(x: str, ord_: int, d: Detection, none: str) -> str:
     """Matches of one pattern and where they are.
 
-    Spark has no "all offsets" function, but splitting at the pattern gives the
-    gaps between the matches, and summing gap and match lengths gives the offsets.
+    Spark has no "all offsets" function.  Each match is put between two marks in
+    one pass; cutting at the marks gives the gaps and the values, and adding up
+    their lengths the offsets.
     """
-    regex = F.lit(d.java_regex)
-
-    def place(values: Column) -> Column:
-        gaps = F.slice(F.split(text, regex, -1), 1, F.size(values))
-        steps = F.zip_with(gaps, values, lambda g, v: F.struct(F.char_length(g).alias("gap"), v.alias("value")))
-
-        def step(acc: Column, s: Column) -> Column:
-            start = acc["at"] + s["gap"]
-            end = start + F.char_length(s["value"])
-            span = F.struct(
-                (-start).alias("back"), F.lit(ord_).alias("ord"), end.alias("end"), s["value"].alias("value")
-            )
-            return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+    regex = lit(d.java_regex)
+    marked = f"regexp_replace({x}, {regex}, {lit(_OPEN + '$0' + _CLOSE)})"
+    cut = f"""transform(slice(__p, 2, size(__p) - 1), (__c, __i) -> struct(
+        IF(__i = 0, char_length(__p[0]), char_length(__p[__i]) - char_length(substring_index(__p[__i], {lit(_CLOSE)}, 1)) - 1) AS gap,
+        substring_index(__c, {lit(_CLOSE)}, 1) AS value))"""
+    usual = let(
+        f"split({marked}, {lit(_OPEN)}, -1)", "__p", f"IF(size(__p) > 1, {_placed(cut, ord_, none)}, {none})"
+    )
+    # a text that holds a mark itself: match, then split at the pattern
+    pairs = f"zip_with(slice(split({x}, {regex}, -1), 1, size(__h)), __h, (__g, __v) -> struct(char_length(__g) AS gap, __v AS value))"
+    rare = let(
+        f"regexp_extract_all({x}, {regex}, 0)", "__h", f"IF(size(__h) > 0, {_placed(pairs, ord_, none)}, {none})"
+    )
+    return f"IF(contains({x}, {lit(_OPEN)}) OR contains({x}, {lit(_CLOSE)}), {rare}, {usual})"
 
-        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
 
-    return let(
-        F.regexp_extract_all(text, regex, F.lit(0)),
-        lambda values: F.when(F.size(values) > 0, place(values)).otherwise(none),
-    )
+def _placed(pieces: str, ord_: int, none: str) -> str:
+    """Offsets of ``(gap before, value)`` pieces, by adding up lengths."""
+    start = "__t.at + __s.gap"
+    end = f"{start} + char_length(__s.value)"
+    return f"""aggregate({pieces}, struct(0 AS at, {none} AS hits), (__t, __s) -> struct({end} AS at,
+        array_append(__t.hits, struct(-({start}) AS back, {ord_} AS ord, {end} AS end, __s.value AS value)) AS hits),
+        __t -> __t.hits)"""

@@ -1,100 +1,81 @@
-"""Masking found values and redacting text."""
+"""Masking found values and redacting text, as SQL expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from cloakframe.functions.detect import RAW, let, raw_spans
+from cloakframe.functions.detect import FOUND, array, found, let
+from cloakframe.functions.sql import lit
 from cloakframe.rules import DEFAULT_RULES, Mask, Rules
 
 
-def apply_mask(value: Column, mask: Mask) -> Column:
+def apply_mask(x: str, mask: Mask) -> str:
     """Masked form of a value under one mask rule."""
     if mask.template:
-        pieces = mask.template.split("{start}")
-        start = F.substring(value, 1, mask.keep_start)
-        out: list[Column] = []
-        for i, piece in enumerate(pieces):
-            out += ([start] if i else []) + ([F.lit(piece)] if piece else [])
-        return F.concat(*out)
+        start = f"substring({x}, 1, {mask.keep_start})"
+        pieces = [lit(p) for p in mask.template.split("{start}")]
+        return f"concat({f', {start}, '.join(pieces)})" if len(pieces) > 1 else pieces[0]
     if mask.fixed_length:
-        return F.lit(mask.char * mask.fixed_length)
-    size = F.char_length(value)
-    hidden = size - (mask.keep_start + mask.keep_end)
-    kept = [
-        F.substring(value, 1, mask.keep_start),
-        F.repeat(F.lit(mask.char), hidden),
-        F.right(value, F.lit(mask.keep_end)),
-    ]
-    return F.when(hidden <= 0, F.repeat(F.lit(mask.char), size)).otherwise(F.concat(*kept))
-
-
-def mask(value: Column, pii_type: str, rules: Rules = DEFAULT_RULES) -> Column:
+        return lit(mask.char * mask.fixed_length)
+    char, kept = lit(mask.char), mask.keep_start + mask.keep_end
+    stars = f"repeat({char}, char_length({x}))"
+    if not kept:
+        return stars
+    shown = [f"substring({x}, 1, {mask.keep_start})"] if mask.keep_start else []
+    shown.append(f"repeat({char}, char_length({x}) - {kept})")
+    shown += [f"right({x}, {mask.keep_end})"] if mask.keep_end else []
+    return f"IF(char_length({x}) <= {kept}, {stars}, concat({', '.join(shown)}))"
+
+
+def mask(x: str, pii_type: str, rules: Rules = DEFAULT_RULES) -> str:
     """Mask a value known to be of a type (unknown types: all stars)."""
-    return apply_mask(value, rules.mask_of(pii_type))
+    return apply_mask(x, rules.mask_of(pii_type))
+
+
+def mask_by_type(x: str, kind: str, rules: Rules = DEFAULT_RULES) -> str:
+    """As ``mask``, the type being an expression too."""
+    whens = " ".join(f"WHEN {lit(t)} THEN {apply_mask(x, m)}" for t, m in rules.masks.items())
+    return f"CASE {kind} {whens} ELSE {apply_mask(x, Mask())} END" if whens else apply_mask(x, Mask())
 
 
-def redact(text: Column, rules: Rules = DEFAULT_RULES, overlap: str = "each", raw: Column | None = None) -> Column:
+def redact(x: str, rules: Rules = DEFAULT_RULES, overlap: str = "each", hits: str | None = None) -> str:
     """Text with every found value masked; null stays null.
 
     ``overlap="each"`` replaces overlapping values one by one at their original
     offsets, last start first.  ``overlap="merge"`` treats a run of overlapping
-    values as one and stars it whole.  ``raw`` may pass in a ``raw_spans`` column.
+    values as one and stars it whole.  ``hits`` may name a ``found`` column.
     """
     if overlap not in ("each", "merge"):
         raise ValueError("overlap must be 'each' or 'merge'")
-    ordered = F.sort_array(raw_spans(text, rules) if raw is None else raw)
-    splice = _splice_each if overlap == "each" else _splice_merged
-    return let(
-        ordered,
-        lambda found: F.when(F.size(found) > 0, splice(text, found, rules)).otherwise(text),
-    )
-
+    runs = "__f" if overlap == "each" else _merged(x, "__f", len(rules.detections))
+    body = f"IF(coalesce(size(__f), 0) <= 0, {x}, {_spliced(x, runs, rules)})"
+    return let(hits or found(x, rules), "__f", body)
 
-def _masked(span: Column, rules: Rules) -> Column:
-    out = apply_mask(span["value"], Mask())
-    for i, d in enumerate(rules.detections):
-        if d.name in rules.masks:
-            out = F.when(span["ord"] == i, apply_mask(span["value"], rules.masks[d.name])).otherwise(out)
-    return out
 
-
-def _splice_each(text: Column, found: Column, rules: Rules) -> Column:
+def _spliced(x: str, runs: str, rules: Rules) -> str:
     """Fold from the right; only the part from the current start on is rebuilt.
 
-    ``at`` is where the rebuilt ``tail`` begins.  What follows a span is the
-    original text up to ``at`` plus the tail, or, when the span reaches past
+    ``at`` is where the rebuilt ``tail`` begins.  What follows a value is the
+    original text up to ``at`` plus the tail, or, when the value reaches past
     ``at`` (an overlap), the tail without its first ``end - at`` characters.
     """
-
-    def step(acc: Column, s: Column) -> Column:
-        after = F.when(
-            s["end"] <= acc["at"],
-            F.concat(F.substring(text, s["end"] + 1, acc["at"] - s["end"]), acc["tail"]),
-        ).otherwise(F.substring(acc["tail"], s["end"] - acc["at"] + 1, F.char_length(acc["tail"])))
-        return F.struct((-s["back"]).alias("at"), F.concat(_masked(s, rules), after).alias("tail"))
-
-    start = F.struct(F.char_length(text).alias("at"), F.lit("").alias("tail"))
-    return F.aggregate(found, start, step, lambda acc: F.concat(F.substring(text, F.lit(1), acc["at"]), acc["tail"]))
-
-
-def _splice_merged(text: Column, found: Column, rules: Rules) -> Column:
-    """Join overlapping spans first; a joined run takes the "no rule" ordinal."""
-    none = F.array().cast(f"array<{RAW}>")
-    size = len(rules.detections)
-
-    def join(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        end = F.greatest(last["end"], s["end"])
-        joined = F.struct(
-            s["back"].alias("back"),
-            F.lit(size).alias("ord"),
-            end.alias("end"),
-            F.substring(text, -s["back"] + 1, end + s["back"]).alias("value"),
-        )
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))
-        apart = (F.size(acc) == 0) | (s["end"] <= -F.try_element_at(acc, F.lit(-1))["back"])
-        return F.when(apart, F.array_append(acc, s)).otherwise(grown)
-
-    return _splice_each(text, F.aggregate(found, none, join), rules)
+    whens = " ".join(
+        f"WHEN {i} THEN {apply_mask('__s.value', rules.mask_of(d.name))}" for i, d in enumerate(rules.detections)
+    )
+    masked = f"CASE __s.ord {whens} ELSE {apply_mask('__s.value', Mask())} END"
+    after = f"""IF(__s.end <= __t.at, concat(substring({x}, __s.end + 1, __t.at - __s.end), __t.tail),
+        substring(__t.tail, __s.end - __t.at + 1))"""
+    return f"""aggregate({runs}, struct(char_length({x}) AS at, '' AS tail),
+        (__t, __s) -> struct(-__s.back AS at, concat({masked}, {after}) AS tail),
+        __t -> concat(substring({x}, 1, __t.at), __t.tail))"""
+
+
+def _merged(x: str, hits: str, no_rule: int) -> str:
+    """Overlapping values joined; a joined run takes an ordinal without a rule."""
+    last = "__t[size(__t) - 1]"
+    end = f"greatest({last}.end, __s.end)"
+    joined = (
+        f"struct(__s.back AS back, {no_rule} AS ord, {end} AS end, "
+        f"substring({x}, 1 - __s.back, {end} + __s.back) AS value)"
+    )
+    apart = f"size(__t) = 0 OR __s.end <= -{last}.back"
+    return f"""aggregate({hits}, {array([], FOUND)}, (__t, __s) -> IF({apart}, array_append(__t, __s),
+        concat(slice(__t, 1, size(__t) - 1), array({joined}))))"""

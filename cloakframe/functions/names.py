@@ -1,67 +1,55 @@
-"""Labelling column names, as expressions over a table of names."""
+"""Labelling column names, as SQL expressions over a table of names."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from cloakframe.functions.regex import java_pattern
+from cloakframe.functions.sql import array, lit
 from cloakframe.rules import CATEGORY_KEYWORDS, CRITICAL_KEYWORDS, DEFAULT_RULES, HIGH_KEYWORDS, SENSITIVITY_RANK, Rules
 
 
-def _holds_any(name: Column, keywords: tuple[str, ...]) -> Column:
-    return F.exists(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(name, k))
+def _strings(items: tuple[str, ...]) -> str:
+    return array([lit(i) for i in items], "STRING")
+
 
+def _holds_any(x: str, keywords: tuple[str, ...]) -> str:
+    return f"exists({_strings(keywords)}, __k -> contains({x}, __k))"
 
-def _first(name: Column, items: list[str], test) -> Column:
-    """First item, in rule order, that passes the test; null when none does."""
-    if not items:
-        return F.lit(None).cast("string")
-    return F.get(F.filter(F.array(*[F.lit(i) for i in items]), lambda i: test(name, i)), F.lit(0))
 
+def match_reason(x: str, rules: Rules = DEFAULT_RULES, backend: str | None = None) -> str:
+    """Why a name counts as personal data; null when it does not.
 
-def match_reason(name: Column, rules: Rules = DEFAULT_RULES, backend: Column | None = None) -> Column:
-    """Why a name counts as personal data; null when it does not."""
-    low = F.lower(name)
-    reasons = []
-    if rules.names.exact:
-        reasons.append(F.when(low.isin(list(rules.names.exact)), F.lit("exact_match")))
-    piece = _first(low, list(rules.names.contains), lambda n, i: F.contains(n, i))
-    reasons.append(F.concat(F.lit("contains_pattern:"), piece))
-    for p in rules.names.patterns:
-        reasons.append(F.when(low.rlike(java_pattern(p)), F.lit(f"regex_pattern:{p}")))
-    if backend is not None:
-        for b, names in rules.names.backends.items():
-            if names:
-                hit = (backend == b) & low.isin(list(names))
-                reasons.append(F.when(hit, F.lit(f"backend_override:{b}")))
-    return F.coalesce(*reasons)
+    The rules are part of the expression, so labelling needs no join.  The first
+    rule in order wins.  ``backend`` is an expression too.
+    """
+    low, n = f"lower({x})", rules.names
+    reasons = [
+        f"IF(array_contains({_strings(n.exact)}, {low}), 'exact_match', NULL)",
+        f"concat('contains_pattern:', get(filter({_strings(n.contains)}, __k -> contains({low}, __k)), 0))",
+    ]
+    reasons += [f"IF({low} RLIKE {lit(java_pattern(p))}, {lit('regex_pattern:' + p)}, NULL)" for p in n.patterns]
+    for b, names in n.backends.items():
+        if backend is not None and names:
+            hit = f"{backend} = {lit(b)} AND array_contains({_strings(names)}, {low})"
+            reasons.append(f"IF({hit}, {lit('backend_override:' + b)}, NULL)")
+    return f"coalesce({', '.join(reasons)})"
 
 
-def name_sensitivity(name: Column, reason: Column) -> Column:
-    low = F.lower(name)
-    worded = reason.startswith("exact_match") | reason.startswith("contains_pattern:")
-    return (
-        F.when(reason.isNull(), F.lit("none"))
-        .when(worded & _holds_any(low, CRITICAL_KEYWORDS), F.lit("critical"))
-        .when(worded & _holds_any(low, HIGH_KEYWORDS), F.lit("high"))
-        .otherwise(F.lit("medium"))
-    )
+def name_sensitivity(x: str, reason: str) -> str:
+    low = f"lower({x})"
+    worded = f"(startswith({reason}, 'exact_match') OR startswith({reason}, 'contains_pattern:'))"
+    return f"""CASE WHEN {reason} IS NULL THEN 'none'
+        WHEN {worded} AND {_holds_any(low, CRITICAL_KEYWORDS)} THEN 'critical'
+        WHEN {worded} AND {_holds_any(low, HIGH_KEYWORDS)} THEN 'high' ELSE 'medium' END"""
 
 
-def name_category(name: Column, reason: Column) -> Column:
-    low = F.lower(name)
-    found = F.lit("unknown")
-    for category, keywords in reversed(CATEGORY_KEYWORDS.items()):
-        found = F.when(_holds_any(low, keywords), F.lit(category)).otherwise(found)
-    return (
-        F.when(reason.startswith("regex_pattern:"), F.lit("inferred"))
-        .when(reason.startswith("backend_override:"), F.lit("backend_specific"))
-        .when(reason.isNotNull(), found)
-    )
+def name_category(x: str, reason: str) -> str:
+    low = f"lower({x})"
+    whens = " ".join(f"WHEN {_holds_any(low, keys)} THEN {lit(c)}" for c, keys in CATEGORY_KEYWORDS.items())
+    return f"""CASE WHEN {reason} IS NULL THEN NULL WHEN startswith({reason}, 'regex_pattern:') THEN 'inferred'
+        WHEN startswith({reason}, 'backend_override:') THEN 'backend_specific' {whens} ELSE 'unknown' END"""
 
 
-def sensitivity_rank(level: Column) -> Column:
+def sensitivity_rank(level: str) -> str:
     """none 0 … critical 4."""
-    pairs = [F.lit(v) for pair in SENSITIVITY_RANK.items() for v in pair]
-    return F.element_at(F.create_map(*pairs), level)
+    whens = " ".join(f"WHEN {lit(k)} THEN {v}" for k, v in SENSITIVITY_RANK.items())
+    return f"CASE {level} {whens} END"

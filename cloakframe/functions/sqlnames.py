@@ -7,105 +7,27 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from cloakframe.functions.detect import RAW
-from cloakframe.functions.tokens import KNOWN_SALT, LOOKUP_BYTES, NULL_TOKEN, TOKEN_BYTES, TOKEN_PREFIX, pads
-from cloakframe.rules import DEFAULT_RULES, Detection, Mask, Rules
+from cloakframe.functions.detect import SPAN, has_pii, pii_types, spans
+from cloakframe.functions.mask import mask_by_type, redact
+from cloakframe.functions.tokens import KNOWN_SALT, is_token, token
+from cloakframe.rules import DEFAULT_RULES, Rules
 
 
 def register_sql_functions(spark: SparkSession, salt: str | None = None, rules: Rules = DEFAULT_RULES) -> list[str]:
-    """Create ``pii_found(x)``, ``pii_has(x)``, ``pii_types(x)``, ``pii_redact(x)``,
-    ``pii_mask(x, type)``, ``pii_is_token(x)`` and, given a salt, ``pii_token(x)``."""
+    """Create ``pii_spans(x)``, ``pii_has(x)``, ``pii_types(x)``, ``pii_redact(x)``,
+    ``pii_mask(x, kind)``, ``pii_is_token(x)`` and, given a salt, ``pii_token(x)``."""
     bodies = {
-        "pii_found(x STRING)": (f"ARRAY<{RAW}>", _found("x", rules)),
-        "pii_has(x STRING)": ("BOOLEAN", _has("x", rules)),
-        "pii_types(x STRING)": ("ARRAY<STRING>", _types("x", rules)),
-        "pii_mask(x STRING, kind STRING)": ("STRING", _mask_by_kind("x", "kind", rules)),
-        "pii_redact(x STRING)": ("STRING", _redact("x", rules)),
-        "pii_is_token(x STRING)": ("BOOLEAN", _is_token("x")),
+        "pii_spans(x STRING)": (f"ARRAY<{SPAN}>", spans("x", rules)),
+        "pii_has(x STRING)": ("BOOLEAN", has_pii("x", rules)),
+        "pii_types(x STRING)": ("ARRAY<STRING>", pii_types("x", rules)),
+        "pii_mask(x STRING, kind STRING)": ("STRING", mask_by_type("x", "kind", rules)),
+        "pii_redact(x STRING)": ("STRING", redact("x", rules)),
+        "pii_is_token(x STRING)": ("BOOLEAN", is_token("x")),
     }
     if salt is not None:
         if salt == KNOWN_SALT:
             raise ValueError("the well-known salt must not be used")
-        inner, outer = (p.hex() for p in pads(salt))
-        first = f"unhex(sha2(concat(X'{inner}', encode(x, 'UTF-8')), 256))"
-        digest = f"upper(left(sha2(concat(X'{outer}', {first}), 256), {2 * TOKEN_BYTES}))"
-        bodies["pii_token(x STRING)"] = ("STRING", f"coalesce(concat('{TOKEN_PREFIX}', {digest}), '{NULL_TOKEN}')")
+        bodies["pii_token(x STRING)"] = ("STRING", token("x", salt))
     for signature, (kind, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS {kind} RETURN {body}")
     return [s.split("(")[0] for s in bodies]
-
-
-def quote(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _needs(x: str, d: Detection) -> str:
-    if d.needs is None:
-        return f"{x} IS NOT NULL"
-    if d.needs.startswith("re:"):
-        return f"{x} RLIKE {quote(d.needs[3:])}"
-    return f"contains({x}, {quote(d.needs)})"
-
-
-def _has(x: str, rules: Rules) -> str:
-    tests = [f"({_needs(x, d)} AND {x} RLIKE {quote(d.java_regex)})" for d in rules.detections]
-    return f"coalesce({' OR '.join(tests) or 'false'}, false)"
-
-
-def _types(x: str, rules: Rules) -> str:
-    hits = [f"IF({_needs(x, d)} AND {x} RLIKE {quote(d.java_regex)}, {quote(d.name)}, NULL)" for d in rules.detections]
-    return f"array_sort(array_compact(array({', '.join(hits)})))"
-
-
-def _found(x: str, rules: Rules) -> str:
-    none = f"CAST(array() AS ARRAY<{RAW}>)"
-    parts = [f"IF({_needs(x, d)}, {_found_of_type(x, i, d, none)}, {none})" for i, d in enumerate(rules.detections)]
-    return f"sort_array(concat({', '.join(parts)}))"
-
-
-def _found_of_type(x: str, ord_: int, d: Detection, none: str) -> str:
-    regex = quote(d.java_regex)
-    return f"""transform(array(regexp_extract_all({x}, {regex}, 0)), hits -> IF(size(hits) = 0, {none}, aggregate(
-        zip_with(slice(split({x}, {regex}, -1), 1, size(hits)), hits, (g, v) -> struct(char_length(g) AS gap, v)),
-        struct(0 AS at, {none} AS found),
-        (acc, s) -> struct(
-            acc.at + s.gap + char_length(s.v) AS at,
-            array_append(acc.found, struct(-(acc.at + s.gap) AS back, {ord_} AS ord,
-                                           acc.at + s.gap + char_length(s.v) AS end, s.v AS value)) AS found),
-        acc -> acc.found)))[0]"""
-
-
-def _mask(x: str, m: Mask) -> str:
-    if m.template:
-        start = f"substring({x}, 1, {m.keep_start})"
-        pieces = [quote(p) for p in m.template.split("{start}")]
-        return f"concat({(', ' + start + ', ').join(pieces)})"
-    if m.fixed_length:
-        return quote(m.char * m.fixed_length)
-    char, kept = quote(m.char), m.keep_start + m.keep_end
-    shown = (
-        f"concat(substring({x}, 1, {m.keep_start}), repeat({char}, char_length({x}) - {kept}), right({x}, {m.keep_end}))"
-    )
-    return f"IF(char_length({x}) <= {kept}, repeat({char}, char_length({x})), {shown})"
-
-
-def _mask_by_kind(x: str, kind: str, rules: Rules) -> str:
-    whens = " ".join(f"WHEN {quote(t)} THEN {_mask(x, m)}" for t, m in rules.masks.items())
-    return f"CASE {kind} {whens} ELSE {_mask(x, Mask())} END"
-
-
-def _redact(x: str, rules: Rules) -> str:
-    whens = " ".join(f"WHEN {i} THEN {_mask('s.value', rules.mask_of(d.name))}" for i, d in enumerate(rules.detections))
-    return f"""transform(array({_found(x, rules)}), found -> IF(coalesce(size(found), 0) <= 0, {x}, aggregate(
-        found,
-        struct(char_length({x}) AS at, '' AS tail),
-        (acc, s) -> struct(-s.back AS at, concat(CASE s.ord {whens} END, IF(s.end <= acc.at,
-            concat(substring({x}, s.end + 1, acc.at - s.end), acc.tail),
-            substring(acc.tail, s.end - acc.at + 1))) AS tail),
-        acc -> concat(substring({x}, 1, acc.at), acc.tail))))[0]"""
-
-
-def _is_token(x: str) -> str:
-    plain = f"{x} = '{NULL_TOKEN}' OR substring({x}, 6) RLIKE '^[0-9A-F]{{{2 * TOKEN_BYTES}}}\\\\z'"
-    rest = f"substring({x}, instr({x}, '_HASH_') + 6) RLIKE '^[0-9A-F]{{{2 * LOOKUP_BYTES}}}\\\\z'"
-    return f"coalesce(IF(startswith({x}, '{TOKEN_PREFIX}'), {plain}, instr({x}, '_HASH_') > 0 AND {rest}), false)"

@@ -2,53 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+STRINGS = (T.StringType, T.CharType, T.VarcharType)
 
 
-def pii_text(col: Column, dtype: T.DataType) -> Column:
+def pii_text(x: str, dtype: T.DataType) -> str:
     """A value as text, spelt the way Python's ``str`` spells it.
 
     Nested values become JSON.  The same value must give the same token whatever
     produced it, so the form does not depend on Spark's own display rules.
     """
-    if isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
-        return col
+    if isinstance(dtype, STRINGS):
+        return x
     if isinstance(dtype, T.BooleanType):
-        return F.initcap(col.cast("string"))
+        return f"initcap(CAST({x} AS STRING))"
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return _double_text(col.cast("double"))
+        return _double_text(f"CAST({x} AS DOUBLE)")
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        micros = F.date_format(col, "SSSSSS")
-        base = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
-        return F.when(micros == "000000", base).otherwise(F.concat_ws(".", base, micros))
+        micros = f"date_format({x}, 'SSSSSS')"
+        base = f"date_format({x}, 'yyyy-MM-dd HH:mm:ss')"
+        return f"IF({micros} = '000000', {base}, concat_ws('.', {base}, {micros}))"
     if isinstance(dtype, T.BinaryType):
-        return F.base64(col)
+        return f"base64({x})"
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
-        return F.to_json(col)
-    return col.cast("string")
+        return f"to_json({x})"
+    return f"CAST({x} AS STRING)"
 
 
-def _double_text(col: Column) -> Column:
+def _double_text(x: str) -> str:
     """``str(float)``: plain digits from 1e-4 up to 1e16, ``1e-05`` style beyond."""
-    text = col.cast("string")
-    size = F.abs(col)
-    plain = F.regexp_replace(col.try_cast("decimal(38,21)").cast("string"), r"(\.[0-9]*?)0+$", "$1")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    exponent = F.substring_index(text, "E", -1).cast("int")
-    scientific = F.concat(
-        F.regexp_replace(F.substring_index(text, "E", 1), r"\.0$", ""),
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")),
-        F.abs(exponent).cast("string"),
-    )
-    return (
-        F.when(F.isnan(col), F.lit("nan"))
-        .when(size == float("inf"), F.when(col > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when((size >= 1e-3) & (size < 1e7) | (size == 0), text)
-        .when((size >= 1e-4) & (size < 1e16), plain)
-        .otherwise(scientific)
+    text = f"CAST({x} AS STRING)"
+    plain = f"regexp_replace(CAST(try_cast({x} AS DECIMAL(38,21)) AS STRING), r'(\\.[0-9]*?)0+$', '$1')"
+    exponent = f"CAST(substring_index({text}, 'E', -1) AS INT)"
+    scientific = (
+        f"concat(regexp_replace(substring_index({text}, 'E', 1), r'\\.0$', ''), IF({exponent} < 0, 'e-', 'e+'), "
+        f"IF(abs({exponent}) < 10, '0', ''), CAST(abs({exponent}) AS STRING))"
     )
+    return f"""CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN 'nan'
+        WHEN {x} = double('Infinity') THEN 'inf' WHEN {x} = double('-Infinity') THEN '-inf'
+        WHEN abs({x}) >= 1e-3 AND abs({x}) < 1e7 OR {x} = 0 THEN {text}
+        WHEN abs({x}) >= 1e-4 AND abs({x}) < 1e16 THEN IF(endswith({plain}, '.'), concat({plain}, '0'), {plain})
+        ELSE {scientific} END"""

@@ -10,8 +10,9 @@ import hmac
 import os
 from typing import Any
 
-from pyspark.sql import Column, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
+
+from cloakframe.functions.sql import lit
 
 # Token formats and the well-known salt that must not be used.
 NULL_TOKEN = "HASH_NULL"
@@ -42,39 +43,41 @@ def pads(salt: str) -> tuple[bytes, bytes]:
     return bytes(b ^ 0x36 for b in key), bytes(b ^ 0x5C for b in key)
 
 
-def _hmac_hex(text: Column, salt: str, n_bytes: int) -> Column:
-    inner, outer = pads(salt)
-    first = F.sha2(F.concat(F.lit(inner), F.encode(text, "UTF-8")), 256)
-    return F.upper(F.left(F.sha2(F.concat(F.lit(outer), F.unhex(first)), 256), F.lit(2 * n_bytes)))
+def _hmac_hex(x: str, salt: str, n_bytes: int) -> str:
+    inner, outer = (p.hex().upper() for p in pads(salt))
+    first = f"unhex(sha2(concat(X'{inner}', encode({x}, 'UTF-8')), 256))"
+    return f"upper(left(sha2(concat(X'{outer}', {first}), 256), {2 * n_bytes}))"
 
 
-def token(text: Column, salt: str) -> Column:
+def token(x: str, salt: str) -> str:
     """``HASH_`` and 32 hex digits; null gives ``HASH_NULL``."""
-    return F.coalesce(F.concat(F.lit(TOKEN_PREFIX), _hmac_hex(text, salt, TOKEN_BYTES)), F.lit(NULL_TOKEN))
+    return f"coalesce(concat({lit(TOKEN_PREFIX)}, {_hmac_hex(x, salt, TOKEN_BYTES)}), {lit(NULL_TOKEN)})"
 
 
-def lookup_token(text: Column, context: str, salt: str) -> Column:
+def lookup_token(x: str, context: str, salt: str) -> str:
     """Token of a separate name space: ``<CONTEXT>_HASH_`` and 24 hex digits.
 
     A null identifier is spelt ``None``, so that every row gets a token.
     """
-    known = F.coalesce(text, F.lit("None"))
-    return F.concat(F.lit(context.upper() + LOOKUP_INFIX), _hmac_hex(known, f"{context}:{salt}", LOOKUP_BYTES))
+    digest = _hmac_hex(f"coalesce({x}, 'None')", f"{context}:{salt}", LOOKUP_BYTES)
+    return f"concat({lit(context.upper() + LOOKUP_INFIX)}, {digest})"
 
 
-def token_if(text: Column, flag: Column, salt: str) -> Column:
+def token_if(x: str, flag: str, salt: str) -> str:
     """Token where the flag holds, the text itself elsewhere."""
-    return F.when(flag, token(text, salt)).otherwise(text)
+    return f"IF({flag}, {token(x, salt)}, {x})"
 
 
-def is_token(text: Column) -> Column:
+def is_token(x: str) -> str:
     """Does the text look like a token of either kind?  Never null."""
-    hexes = r"^[0-9A-F]{%d}\z"
-    plain = (text == NULL_TOKEN) | F.substring(text, 6, 1 << 30).rlike(hexes % (2 * TOKEN_BYTES))
-    at = F.instr(text, LOOKUP_INFIX)
-    rest = F.substr(text, at + len(LOOKUP_INFIX))
-    lookup = (at > 0) & rest.rlike(hexes % (2 * LOOKUP_BYTES))
-    return F.coalesce(F.when(text.startswith(TOKEN_PREFIX), plain).otherwise(lookup), F.lit(False))
+
+    def hexes(part: str, n_bytes: int) -> str:
+        return f"{part} RLIKE {lit(rf'^[0-9A-F]{{{2 * n_bytes}}}' + chr(92) + 'z')}"
+
+    plain = f"{x} = {lit(NULL_TOKEN)} OR " + hexes(f"substring({x}, {len(TOKEN_PREFIX) + 1})", TOKEN_BYTES)
+    at = f"instr({x}, {lit(LOOKUP_INFIX)})"
+    lookup = f"{at} > 0 AND " + hexes(f"substring({x}, {at} + {len(LOOKUP_INFIX)})", LOOKUP_BYTES)
+    return f"coalesce(IF(startswith({x}, {lit(TOKEN_PREFIX)}), {plain}, {lookup}), false)"
 
 
 def token_of(value: Any, salt: str) -> str:

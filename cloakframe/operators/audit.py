@@ -77,7 +77,7 @@ def invocation_events(requests: DataFrame, ts: Column, invocation_id: Column, se
         invocation_id=invocation_id,
         tool_name=F.lit(TOOL),
         backend=F.col("backend"),
-        intent=redact(F.col("intent"), rules),
+        intent=F.expr(redact("intent", rules)),
         pii_policy=F.col("pii_policy"),
         filter_keys=F.map_keys("filters"),
     )
@@ -92,7 +92,7 @@ def denial_events(screened: DataFrame, ts: Column, invocation_id: Column, sessio
         session_id=session_id,
         invocation_id=invocation_id,
         backend=F.col("backend"),
-        reason=redact(F.col("reject_reason"), rules),
+        reason=F.expr(redact("reject_reason", rules)),
     )
 
 

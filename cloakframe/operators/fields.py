@@ -8,18 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloakframe.functions import sql
 from cloakframe.functions.detect import SPAN, has_type, merge_spans, spans
-from cloakframe.functions.text import INTEGERS, pii_text
+from cloakframe.functions.text import INTEGERS, STRINGS, pii_text
 from cloakframe.rules import Detection, Rules
 
-TEXT = (T.StringType, T.CharType, T.VarcharType)
-
 
 @dataclass(frozen=True)
 class Scope:
@@ -29,35 +25,33 @@ class Scope:
     doubles: bool = False
 
     def covers(self, dtype: T.DataType) -> bool:
-        if isinstance(dtype, TEXT):
+        if isinstance(dtype, STRINGS):
             return True
         if isinstance(dtype, INTEGERS + (T.DecimalType,)):
             return self.numbers
         return self.doubles and isinstance(dtype, (T.FloatType, T.DoubleType))
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
-def col(name: str) -> Column:
-    return F.col(quoted(name))
+TEXT_ONLY = Scope(numbers=False)
 
 
 @dataclass(frozen=True)
 class Field:
-    """A scanned place of a table: dotted path, owning column, value and type."""
+    """A scanned place of a table: dotted path, owning column, value (SQL) and type."""
 
     path: str
     column: str
-    value: Column
+    value: str
     dtype: T.DataType
 
-    def holds(self, detection: Detection, scope: Scope) -> Column:
-        return _holds(self.value, self.dtype, detection, scope)
+    def holds(self, detection: Detection, scope: Scope) -> str:
+        return _holds(self.value, self.dtype, detection, scope, 0)
 
-    def spans(self, rules: Rules, scope: Scope) -> Column:
-        return _all_spans(self.value, self.dtype, rules, scope)
+    def holds_any(self, rules: Rules, scope: Scope) -> str:
+        return sql.any_of(self.holds(d, scope) for d in rules.detections)
+
+    def spans(self, rules: Rules, scope: Scope) -> str:
+        return _spans(self.value, self.dtype, rules, scope, 0)
 
 
 def fields(schema: T.StructType, scope: Scope = Scope(), columns: list[str] | None = None) -> list[Field]:
@@ -65,21 +59,22 @@ def fields(schema: T.StructType, scope: Scope = Scope(), columns: list[str] | No
     out: list[Field] = []
     for f in schema.fields:
         if columns is None or f.name in columns:
-            out += _expand(f.name, f.name, col(f.name), f.dataType, scope)
+            out += _expand(f.name, f.name, sql.name(f.name), f.dataType, scope)
     return out
 
 
-def _expand(path: str, column: str, value: Column, dtype: T.DataType, scope: Scope) -> list[Field]:
+def _expand(path: str, column: str, x: str, dtype: T.DataType, scope: Scope) -> list[Field]:
     if isinstance(dtype, T.StructType):
         return [
             leaf
             for f in dtype.fields
-            for leaf in _expand(f"{path}.{f.name}", column, value[f.name], f.dataType, scope)
+            for leaf in _expand(f"{path}.{f.name}", column, f"{x}.{sql.name(f.name)}", f.dataType, scope)
         ]
-    return [Field(path, column, value, dtype)] if scanned(dtype, scope) else []
+    return [Field(path, column, x, dtype)] if scanned(dtype, scope) else []
 
 
 def scanned(dtype: T.DataType, scope: Scope) -> bool:
+    """Is there anything to scan in values of this type?"""
     if isinstance(dtype, T.StructType):
         return any(scanned(f.dataType, scope) for f in dtype.fields)
     if isinstance(dtype, T.ArrayType):
@@ -89,63 +84,66 @@ def scanned(dtype: T.DataType, scope: Scope) -> bool:
     return scope.covers(dtype)
 
 
-def _holds(value: Column, dtype: T.DataType, d: Detection, scope: Scope) -> Column:
+def _holds(x: str, dtype: T.DataType, d: Detection, scope: Scope, depth: int) -> str:
     """Does the value, or anything inside it, hold the type?  Never null."""
-    no = F.lit(False)
     if not scanned(dtype, scope):
-        return no
+        return "false"
+    e = f"__e{depth}"
     if isinstance(dtype, T.StructType):
-        inner = [_holds(value[f.name], f.dataType, d, scope) for f in dtype.fields]
-        return reduce(Column.__or__, inner, no)
+        return sql.any_of(_holds(f"{x}.{sql.name(f.name)}", f.dataType, d, scope, depth) for f in dtype.fields)
     if isinstance(dtype, T.ArrayType):
-        return F.coalesce(F.exists(value, lambda x: _holds(x, dtype.elementType, d, scope)), no)
+        return sql.any_of([f"exists({x}, {e} -> {_holds(e, dtype.elementType, d, scope, depth + 1)})"])
     if isinstance(dtype, T.MapType):
-        keys = F.exists(F.map_keys(value), lambda x: _holds(x, dtype.keyType, d, scope))
-        values = F.exists(F.map_values(value), lambda x: _holds(x, dtype.valueType, d, scope))
-        return F.coalesce(keys | values, no)
+        return sql.any_of(
+            f"exists({part}({x}), {e} -> {_holds(e, kind, d, scope, depth + 1)})"
+            for part, kind in (("map_keys", dtype.keyType), ("map_values", dtype.valueType))
+        )
+    test = has_type(pii_text(x, dtype), d)
     if isinstance(dtype, INTEGERS):
         if d.smallest_int == float("inf"):
-            return no
-        test = has_type(pii_text(value, dtype), d)
+            return "false"
         if d.smallest_int:
             # no abs(): it fails on the least value of the type
-            big = (value >= int(d.smallest_int)) | (value <= -int(d.smallest_int))
-            test = F.coalesce(big, no) & test
-        return test
-    return has_type(pii_text(value, dtype), d)
+            low = int(d.smallest_int)
+            return f"(coalesce({x} >= {low}L OR {x} <= -{low}L, false) AND {test})"
+    return test
 
 
-def _all_spans(value: Column, dtype: T.DataType, rules: Rules, scope: Scope) -> Column:
-    none = F.array().cast(f"array<{SPAN}>")
+def _spans(x: str, dtype: T.DataType, rules: Rules, scope: Scope, depth: int) -> str:
     if not scanned(dtype, scope):
-        return none
+        return sql.array([], SPAN)
+    e = f"__e{depth}"
     if isinstance(dtype, T.StructType):
-        return merge_spans(*[_all_spans(value[f.name], f.dataType, rules, scope) for f in dtype.fields])
+        return merge_spans(*[_spans(f"{x}.{sql.name(f.name)}", f.dataType, rules, scope, depth) for f in dtype.fields])
     if isinstance(dtype, T.ArrayType):
-        found = F.flatten(F.transform(value, lambda x: _all_spans(x, dtype.elementType, rules, scope)))
-        return F.coalesce(found, none)
+        return merge_spans(f"flatten(transform({x}, {e} -> {_spans(e, dtype.elementType, rules, scope, depth + 1)}))")
     if isinstance(dtype, T.MapType):
         return merge_spans(
-            F.flatten(F.transform(F.map_keys(value), lambda x: _all_spans(x, dtype.keyType, rules, scope))),
-            F.flatten(F.transform(F.map_values(value), lambda x: _all_spans(x, dtype.valueType, rules, scope))),
+            *[
+                f"flatten(transform({part}({x}), {e} -> {_spans(e, kind, rules, scope, depth + 1)}))"
+                for part, kind in (("map_keys", dtype.keyType), ("map_values", dtype.valueType))
+            ]
         )
-    return F.coalesce(spans(pii_text(value, dtype), rules), none)
+    return merge_spans(spans(pii_text(x, dtype), rules))
 
 
-def map_text(value: Column, dtype: T.DataType, change: Callable[[Column], Column]) -> Column:
+def map_text(x: str, dtype: T.DataType, change: Callable[[str], str], depth: int = 0) -> str:
     """Apply a text function to every string inside a value, keeping its type.
 
     Map keys stay as they are: changing them could make two keys equal.
     """
-    if isinstance(dtype, TEXT):
-        return change(value)
-    if not scanned(dtype, Scope(numbers=False)):
-        return value
+    if isinstance(dtype, STRINGS):
+        return change(x)
+    if not scanned(dtype, TEXT_ONLY):
+        return x
+    e = f"__e{depth}"
     if isinstance(dtype, T.StructType):
-        inner = [map_text(value[f.name], f.dataType, change).alias(f.name) for f in dtype.fields]
-        return F.when(value.isNotNull(), F.struct(*inner))
+        inner = ", ".join(
+            f"{sql.lit(f.name)}, {map_text(f'{x}.{sql.name(f.name)}', f.dataType, change, depth)}" for f in dtype.fields
+        )
+        return f"IF({x} IS NULL, NULL, named_struct({inner}))"
     if isinstance(dtype, T.ArrayType):
-        return F.transform(value, lambda x: map_text(x, dtype.elementType, change))
+        return f"transform({x}, {e} -> {map_text(e, dtype.elementType, change, depth + 1)})"
     if isinstance(dtype, T.MapType):
-        return F.transform_values(value, lambda _, v: map_text(v, dtype.valueType, change))
-    return value
+        return f"transform_values({x}, (__k{depth}, {e}) -> {map_text(e, dtype.valueType, change, depth + 1)})"
+    return x

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cloakframe.functions.sql import lit, name
 from cloakframe.functions.tokens import NULL_TOKEN, is_token
 
 
@@ -50,10 +51,10 @@ def linkage_counts(left: DataFrame, right: DataFrame, on: str, right_on: str | N
 
 def token_quality(df: DataFrame, column: str) -> DataFrame:
     """One row: how many values are tokens, null tokens, raw values or null."""
-    c = F.col(column)
-    return df.agg(
-        F.count_if(is_token(c) & (c != NULL_TOKEN)).alias("tokens"),
-        F.count_if(F.coalesce(c == NULL_TOKEN, F.lit(False))).alias("null_tokens"),
-        F.count_if(c.isNotNull() & ~is_token(c)).alias("raw_values"),
-        F.count_if(c.isNull()).alias("nulls"),
+    x = name(column)
+    return df.selectExpr(
+        f"count_if({is_token(x)} AND {x} <> {lit(NULL_TOKEN)}) AS tokens",
+        f"count_if(coalesce({x} = {lit(NULL_TOKEN)}, false)) AS null_tokens",
+        f"count_if({x} IS NOT NULL AND NOT {is_token(x)}) AS raw_values",
+        f"count_if({x} IS NULL) AS nulls",
     )

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakframe.functions.sql import lit, name
 from cloakframe.operators.fields import Field, Scope, fields
 from cloakframe.rules import DEFAULT_RULES, Rules
 
-# Columns counted by one aggregate.  More would overflow the generated code; a
+# Places counted by one aggregate.  More would overflow the generated code; a
 # wider table is read in several column groups, each reading only its columns.
 GROUP = 25
 
@@ -35,27 +36,29 @@ def profile_table(
 
 
 def _count(df: DataFrame, places: list[Field], rules: Rules, scope: Scope, rest: list[str]) -> DataFrame:
-    cells = [(p, d, f"n_{i}_{j}") for i, p in enumerate(places) for j, d in enumerate(rules.detections)]
-    counters = [F.count_if(p.holds(d, scope)).alias(name) for p, d, name in cells]
-    totals = df.agg(F.count(F.lit(1)).alias("rows_scanned"), *counters)
-    entries = [_entry(p.path, p.column, F.lit(d.name), F.col(name)) for p, d, name in cells]
-    entries += [_entry(c, c, F.lit(None).cast("string"), F.lit(0).cast("bigint")) for c in rest]
-    return totals.select("rows_scanned", F.inline(F.array(*entries))).select(
-        "path", "column", "pii_type", "n_rows", "rows_scanned"
-    )
+    tests = [(p.path, p.column, d.name, p.holds(d, scope)) for p in places for d in rules.detections]
+    counters = [f"count_if({test}) AS n_{i}" for i, (_, _, _, test) in enumerate(tests) if test != "false"]
+    counts = [f"n_{i}" if test != "false" else "0L" for i, (_, _, _, test) in enumerate(tests)]
+    cells = [(path, column, lit(kind), n) for (path, column, kind, _), n in zip(tests, counts, strict=True)]
+    cells += [(c, c, "CAST(NULL AS STRING)", "0L") for c in rest]
+    return unfold_counts(df.selectExpr("count(1) AS rows_scanned", *counters), cells)
 
 
-def _entry(path: str, column: str, pii_type: Column, n_rows: Column) -> Column:
-    return F.struct(
-        F.lit(path).alias("path"), F.lit(column).alias("column"), pii_type.alias("pii_type"), n_rows.alias("n_rows")
-    )
+def unfold_counts(totals: DataFrame, cells: list[tuple[str, str, str, str]]) -> DataFrame:
+    """One row of counters as profile rows; cells are (path, column, type, count)."""
+    rows = [
+        f"struct({lit(path)} AS path, {lit(column)} AS column, {kind} AS pii_type, {n} AS n_rows)"
+        for path, column, kind, n in cells
+    ]
+    unfolded = totals.selectExpr("rows_scanned", f"inline(array({', '.join(rows)}))")
+    return unfolded.select("path", "column", "pii_type", "n_rows", "rows_scanned")
 
 
 def profile_tables(
     tables: dict[str, DataFrame], rules: Rules = DEFAULT_RULES, scope: Scope = Scope()
 ) -> DataFrame:
     """Profiles of several tables under one another, with the table name first."""
-    parts = [profile_table(df, rules, scope=scope).select(F.lit(name).alias("table"), "*") for name, df in tables.items()]
+    parts = [profile_table(df, rules, scope=scope).select(F.lit(n).alias("table"), "*") for n, df in tables.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -81,14 +84,14 @@ def find_spans(
     chosen = [f for f in fields(df.schema, scope, columns) if f.column not in keys]
     if not chosen:
         raise ValueError("no column to scan")
-    per_path = F.array(*[F.struct(F.lit(f.path).alias("path"), f.spans(rules, scope).alias("found")) for f in chosen])
-    return df.select(*keys, F.inline(per_path)).select(*keys, "path", F.inline("found"))
+    per_path = [f"struct({lit(f.path)} AS path, {f.spans(rules, scope)} AS found)" for f in chosen]
+    quoted = [name(k) for k in keys]
+    return df.selectExpr(*quoted, f"inline(array({', '.join(per_path)}))").selectExpr(*quoted, "path", "inline(found)")
 
 
-def supported_types(df: DataFrame | None, spark=None, rules: Rules = DEFAULT_RULES) -> DataFrame:
+def supported_types(spark: SparkSession, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """The detections as a table: name, pattern, sensitivity, action, description."""
-    session = df.sparkSession if df is not None else spark
     rows = [(i, d.name, d.pattern, d.sensitivity, d.default_action, d.description) for i, d in enumerate(rules.detections)]
-    return session.createDataFrame(
+    return spark.createDataFrame(
         rows, "position int, pii_type string, pattern string, sensitivity string, default_action string, description string"
     )

@@ -3,22 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.functions.detect import pii_types, raw_spans
+from cloakframe.functions.detect import found, types_of
 from cloakframe.functions.mask import apply_mask, redact
+from cloakframe.functions.sql import name
 from cloakframe.functions.text import pii_text
 from cloakframe.functions.tokens import token, token_if
-from cloakframe.operators.fields import Scope, col, map_text, scanned
+from cloakframe.operators.fields import TEXT_ONLY, Scope, map_text, scanned
 from cloakframe.rules import DEFAULT_RULES, Mask, Rules
 
 
-def _known(df: DataFrame, columns: list[str] | None) -> list[str]:
+def _change(df: DataFrame, columns: list[str] | None, body) -> DataFrame:
+    """Replace columns (default: all) by ``body(expression, type)``; None keeps one."""
     missing = [c for c in columns or [] if c not in df.columns]
     if missing:
         raise ValueError(f"no such column: {missing}")
-    return list(columns or df.columns)
+    chosen = set(columns or df.columns)
+    out = []
+    for f in df.schema.fields:
+        x = name(f.name)
+        new = body(x, f.dataType) if f.name in chosen else None
+        out.append(x if new is None else f"{new} AS {x}")
+    return df.selectExpr(*out)
 
 
 def redact_table(
@@ -32,50 +39,37 @@ def redact_table(
 
     With ``numbers`` integers and decimals are masked too and become strings.
     """
-    chosen = set(_known(df, columns))
-    out = []
-    for f in df.schema.fields:
-        value = col(f.name)
-        if f.name in chosen:
-            if numbers and isinstance(f.dataType, (T.NumericType,)) and Scope().covers(f.dataType):
-                value = redact(pii_text(value, f.dataType), rules, overlap)
-            elif scanned(f.dataType, Scope(numbers=False)):
-                value = map_text(value, f.dataType, lambda x: redact(x, rules, overlap))
-        out.append(value.alias(f.name))
-    return df.select(*out)
+
+    def body(x: str, dtype: T.DataType) -> str | None:
+        if numbers and isinstance(dtype, T.NumericType) and Scope().covers(dtype):
+            return redact(pii_text(x, dtype), rules, overlap)
+        if scanned(dtype, TEXT_ONLY):
+            return map_text(x, dtype, lambda v: redact(v, rules, overlap))
+        return None
+
+    return _change(df, columns, body)
 
 
 def redact_with_types(
     df: DataFrame, column: str, types_column: str = "pii_types", rules: Rules = DEFAULT_RULES, overlap: str = "each"
 ) -> DataFrame:
     """Redact one text column and say which types it held, scanning it once."""
-    found = "__found"
-    return (
-        df.withColumn(found, raw_spans(col(column), rules))
-        .withColumn(types_column, pii_types(F.col(found), rules))
-        .withColumn(column, redact(col(column), rules, overlap, raw=F.col(found)))
-        .drop(found)
-    )
+    x = name(column)
+    kept = [f"{redact(x, rules, overlap, hits='__found')} AS {x}" if c == column else name(c) for c in df.columns]
+    scanned_once = df.selectExpr("*", f"{found(x, rules)} AS __found")
+    return scanned_once.selectExpr(*kept, f"coalesce({types_of('__found', rules)}, array()) AS {name(types_column)}")
 
 
 def star_columns(df: DataFrame, columns: list[str], mask: Mask = Mask()) -> DataFrame:
     """Mask whole values of the given columns, whatever they hold."""
-    chosen = _known(df, columns)
-    return df.withColumns({c: apply_mask(pii_text(col(c), df.schema[c].dataType), mask) for c in chosen})
+    return _change(df, columns, lambda x, dtype: apply_mask(pii_text(x, dtype), mask))
 
 
 def hash_table(df: DataFrame, salt: str, columns: list[str] | None = None) -> DataFrame:
     """Replace whole values of the given columns (default: all) by tokens."""
-    chosen = set(_known(df, columns))
-    return df.select(
-        *[
-            (token(pii_text(col(f.name), f.dataType), salt) if f.name in chosen else col(f.name)).alias(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    return _change(df, columns, lambda x, dtype: token(pii_text(x, dtype), salt))
 
 
 def hash_where(df: DataFrame, column: str, flag: str, salt: str) -> DataFrame:
-    """Tokenise a column in the rows where a boolean column holds."""
-    dtype = df.schema[column].dataType
-    return df.withColumn(column, token_if(pii_text(col(column), dtype), F.coalesce(col(flag), F.lit(False)), salt))
+    """Tokenise a column in the rows where a boolean expression holds."""
+    return _change(df, [column], lambda x, dtype: token_if(pii_text(x, dtype), flag, salt))

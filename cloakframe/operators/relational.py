@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloakframe.functions.text import pii_text
+from cloakframe.functions.sql import lit, name
+from cloakframe.functions.text import STRINGS, pii_text
 from cloakframe.functions.tokens import token
-from cloakframe.operators.fields import col
 from cloakframe.plans.request import Aggregate, RequestError, SortKey, check_literal, parse_aggregate, parse_sort
 from cloakframe.sources.profiles import Profile
 
 
+def col(column: str) -> Column:
+    return F.col(name(column))
+
+
 def filter_equal(df: DataFrame, filters: dict[str, Any], profile: Profile | None = None) -> DataFrame:
     """Rows where every column equals its literal; the comparison reaches the scan."""
     if not filters:
@@ -29,25 +33,25 @@ def filter_token(df: DataFrame, column: str, token_value: str, salt: str) -> Dat
     The value itself is not in the plan; every row is hashed, so this scans.
     """
     dtype = df.schema[column].dataType
-    return df.where(token(pii_text(col(column), dtype), salt) == token_value)
+    return df.where(f"{token(pii_text(name(column), dtype), salt)} = {lit(token_value)}")
 
 
-def _equals(df: DataFrame, name: str, value: Any, profile: Profile | None) -> Column:
-    if name not in df.columns:
-        raise RequestError(f"no column '{name}'")
+def _equals(df: DataFrame, column: str, value: Any, profile: Profile | None) -> Column:
+    if column not in df.columns:
+        raise RequestError(f"no column '{column}'")
     check_literal(value)
-    dtype = df.schema[name].dataType
+    dtype = df.schema[column].dataType
     if value is None:
         unknown = profile is not None and profile.null_filter == "unknown"
-        return F.lit(None).cast("boolean") if unknown else col(name).isNull()
-    text = isinstance(dtype, (T.StringType, T.CharType, T.VarcharType))
+        return F.lit(None).cast("boolean") if unknown else col(column).isNull()
+    text = isinstance(dtype, STRINGS)
     if isinstance(value, str):
-        return col(name) == (F.lit(value) if text else F.lit(value).cast(dtype))
+        return col(column) == (F.lit(value) if text else F.lit(value).cast(dtype))
     if isinstance(value, bool) != isinstance(dtype, T.BooleanType):
         if isinstance(value, bool) or not text:
-            raise RequestError(f"column '{name}' is {dtype.simpleString()}, the filter value is {type(value).__name__}")
+            raise RequestError(f"column '{column}' is {dtype.simpleString()}, the filter value is {type(value).__name__}")
     # a number is never narrowed to the column's type: 1.5 must not match 1
-    return col(name) == (F.lit(str(value)) if text else F.lit(value))
+    return col(column) == (F.lit(str(value)) if text else F.lit(value))
 
 
 def aggregate(

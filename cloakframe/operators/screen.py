@@ -1,4 +1,4 @@
-"""Screening tables of requests: the checks on one request, as columns.
+"""Screening tables of requests: the checks on one request, as expressions.
 
 A request table has ``backend, intent, entity, filters map<string,string>,
 aggregations, group_by, order_by array<string>, limit, pii_policy``; functions
@@ -7,109 +7,106 @@ need only the columns they read.  All of it is row-local.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from cloakframe.functions.detect import has_pii
 from cloakframe.functions.mask import redact
 from cloakframe.functions.regex import java_pattern
+from cloakframe.functions.sql import any_of, array, lit
 from cloakframe.functions.tokens import token
 from cloakframe.plans.request import DANGEROUS_VALUES, IDENTIFIER, INTENT_LENGTH, LIMIT_RANGE, SQL_PATTERNS
 from cloakframe.rules import DEFAULT_RULES, Rules
 from cloakframe.sources.profiles import backends, get_profile
 
 
-def sql_pattern(intent: Column) -> Column:
+def sql_pattern(x: str) -> str:
     """The first SQL pattern the intent matches; null when it is clean."""
-    return F.coalesce(*[F.when(intent.rlike(java_pattern(p)), F.lit(p)) for p in SQL_PATTERNS])
+    return "CASE " + " ".join(f"WHEN {x} RLIKE {lit(java_pattern(p))} THEN {lit(p)}" for p in SQL_PATTERNS) + " END"
 
 
-def intent_length_ok(intent: Column) -> Column:
-    return F.coalesce(F.char_length(intent).between(*INTENT_LENGTH), F.lit(False))
+def intent_length_ok(x: str) -> str:
+    low, high = INTENT_LENGTH
+    return f"coalesce(char_length({x}) BETWEEN {low} AND {high}, false)"
 
 
-def limit_ok(limit: Column) -> Column:
-    return F.coalesce(limit.between(*LIMIT_RANGE), F.lit(False))
+def limit_ok(x: str) -> str:
+    low, high = LIMIT_RANGE
+    return f"coalesce({x} BETWEEN {low} AND {high}, false)"
 
 
-def identifier_ok(name: Column) -> Column:
-    return F.coalesce(name.rlike(rf"^{IDENTIFIER}\z"), F.lit(False))
+def identifier_ok(x: str) -> str:
+    return f"coalesce({x} RLIKE {lit(f'^{IDENTIFIER}' + chr(92) + 'z')}, false)"
 
 
-def names_ok(names: Column) -> Column:
+def names_ok(x: str) -> str:
     """Every name of an array is a plain identifier (null and empty pass)."""
-    return F.coalesce(F.forall(names, identifier_ok), F.lit(True))
+    return f"coalesce(forall({x}, __n -> {identifier_ok('__n')}), true)"
 
 
-def dangerous_value(value: Column) -> Column:
+def dangerous_value(x: str) -> str:
     """Does a string literal contain one of the injection patterns?"""
-    any_hit = F.lit(False)
-    for p in DANGEROUS_VALUES:
-        any_hit = any_hit | value.rlike(java_pattern(p))
-    return F.coalesce(any_hit, F.lit(False))
+    return any_of(f"{x} RLIKE {lit(java_pattern(p))}" for p in DANGEROUS_VALUES)
 
 
-def route(backend: Column, intent: Column, entity: Column | None = None) -> Column:
+def route(backend: str, intent: str, entity: str = "NULL") -> str:
     """The table a request reads: its entity, else the backend's first keyword in the intent."""
-    by_keyword = F.coalesce(
-        *[F.when(F.lower(backend) == b, get_profile(b).entity_column(intent)) for b in backends() if get_profile(b).keywords]
-    )
-    return by_keyword if entity is None else F.coalesce(entity, by_keyword)
+    per_backend = []
+    for b in backends():
+        keywords = get_profile(b).keywords
+        if keywords:
+            whens = " ".join(f"WHEN contains(lower({intent}), {lit(k)}) THEN {lit(t)}" for k, t in keywords.items())
+            per_backend.append(f"WHEN {lit(b)} THEN CASE {whens} END")
+    return f"coalesce({entity}, CASE lower({backend}) {' '.join(per_backend)} END)"
 
 
-def table_allowed(backend: Column, table: Column) -> Column:
+def table_allowed(backend: str, table: str) -> str:
     """Is the table on the backend's allow-list (backends without one allow all)?"""
-    out = F.lit(True)
+    whens = []
     for b in backends():
         names = get_profile(b).allowed_tables
         if names is not None:
-            out = F.when(F.lower(backend) == b, F.lower(table).isin(sorted(names))).otherwise(out)
-    return F.coalesce(out, F.lit(False))
+            listed = array([lit(n) for n in sorted(names)], "STRING")
+            whens.append(f"WHEN {lit(b)} THEN array_contains({listed}, lower({table}))")
+    return f"coalesce(CASE lower({backend}) {' '.join(whens)} ELSE true END, false)"
 
 
 def screen_intents(df: DataFrame, intent: str = "intent") -> DataFrame:
     """Add ``sql_pattern, length_ok, accepted`` for a column of intents."""
-    c = F.col(intent)
-    return df.withColumns({"sql_pattern": sql_pattern(c), "length_ok": intent_length_ok(c)}).withColumn(
-        "accepted", F.col("sql_pattern").isNull() & F.col("length_ok")
-    )
+    checked = df.selectExpr("*", f"{sql_pattern(intent)} AS sql_pattern", f"{intent_length_ok(intent)} AS length_ok")
+    return checked.selectExpr("*", "sql_pattern IS NULL AND length_ok AS accepted")
 
 
 def screen_requests(df: DataFrame) -> DataFrame:
     """Add routing, every check, and the first ``reject_reason`` of each request."""
-    intent, backend = F.col("intent"), F.col("backend")
-    known = [b for b in backends() if get_profile(b).kind == "table"]
-    checked = df.withColumns(
-        {
-            "sql_pattern": sql_pattern(intent),
-            "routed_table": route(backend, intent, F.col("entity")),
-            "dangerous_filters": F.map_keys(F.map_filter("filters", lambda _, v: dangerous_value(v))),
-        }
+    known = array([lit(b) for b in backends() if get_profile(b).kind == "table"], "STRING")
+    checked = df.selectExpr(
+        "*",
+        f"{sql_pattern('intent')} AS sql_pattern",
+        f"{route('backend', 'intent', 'entity')} AS routed_table",
+        f"map_keys(map_filter(filters, (__k, __v) -> {dangerous_value('__v')})) AS dangerous_filters",
     )
-    reasons = [
-        (~F.lower(backend).isin(known), "unknown backend"),
-        (~intent_length_ok(intent), "intent length"),
-        (F.col("sql_pattern").isNotNull(), "sql in intent"),
-        (~limit_ok(F.col("limit")), "limit out of range"),
-        (~names_ok(F.map_keys("filters")), "filter key"),
-        (~names_ok(F.col("group_by")), "group by column"),
-        (F.col("routed_table").isNull(), "no table"),
-        (~identifier_ok(F.col("routed_table")), "table name"),
-        (~table_allowed(backend, F.col("routed_table")), "table not allowed"),
-    ]
-    return checked.withColumn("reject_reason", F.coalesce(*[F.when(test, F.lit(why)) for test, why in reasons]))
+    reasons = {
+        "unknown backend": f"NOT coalesce(array_contains({known}, lower(backend)), false)",
+        "intent length": f"NOT {intent_length_ok('intent')}",
+        "sql in intent": "sql_pattern IS NOT NULL",
+        "limit out of range": f"NOT {limit_ok('`limit`')}",
+        "filter key": f"NOT {names_ok('map_keys(filters)')}",
+        "group by column": f"NOT {names_ok('group_by')}",
+        "no table": "routed_table IS NULL",
+        "table name": f"NOT {identifier_ok('routed_table')}",
+        "table not allowed": f"NOT {table_allowed('backend', 'routed_table')}",
+    }
+    whens = " ".join(f"WHEN {test} THEN {lit(why)}" for why, test in reasons.items())
+    return checked.selectExpr("*", f"CASE {whens} END AS reject_reason")
 
 
 def scan_filters(df: DataFrame, salt: str, filters: str = "filters", rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Add ``pii_filters`` (keys whose values hold personal data), ``safe_filters``
     (those values as tokens) and ``logged_filters`` (values masked, for logs)."""
-    c = F.col(filters)
-    return df.withColumns(
-        {
-            "pii_filters": F.array_sort(F.map_keys(F.map_filter(c, lambda _, v: has_pii(v, rules)))),
-            "safe_filters": F.transform_values(
-                c, lambda _, v: F.when(has_pii(v, rules), token(v, salt)).otherwise(v)
-            ),
-            "logged_filters": F.transform_values(c, lambda _, v: redact(v, rules)),
-        }
+    safe = f"IF({has_pii('__v', rules)}, {token('__v', salt)}, __v)"
+    return df.selectExpr(
+        "*",
+        f"array_sort(map_keys(map_filter({filters}, (__k, __v) -> {has_pii('__v', rules)}))) AS pii_filters",
+        f"transform_values({filters}, (__k, __v) -> {safe}) AS safe_filters",
+        f"transform_values({filters}, (__k, __v) -> {redact('__v', rules)}) AS logged_filters",
     )

@@ -9,26 +9,23 @@ from __future__ import annotations
 
 import tempfile
 from dataclasses import dataclass, field
-from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakframe.functions.mask import apply_mask, redact
 from cloakframe.functions.names import match_reason, name_sensitivity, sensitivity_rank
+from cloakframe.functions.sql import any_of, array, lit, name
 from cloakframe.functions.text import pii_text
 from cloakframe.functions.tokens import resolve_salt, token
-from cloakframe.operators.fields import Scope, col, fields, map_text, scanned
-from cloakframe.operators.profile import profile_table
+from cloakframe.operators.fields import Scope, fields, map_text
+from cloakframe.operators.profile import profile_table, unfold_counts
 from cloakframe.operators.protect import hash_table, redact_table, star_columns
 from cloakframe.plans.request import POLICIES, PolicyDenied
 from cloakframe.rules import DEFAULT_RULES, POLICY_RANK, SENSITIVITY_RANK, Mask, Rules
 
-_ACTIONS = ["pass", *POLICY_RANK]
-_LEVELS = list(SENSITIVITY_RANK)
-
 
 @dataclass
 class SecureResult:
@@ -79,76 +76,60 @@ def decisions(
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy '{policy}', choose one of {POLICIES}")
-    found = F.when(F.col("n_rows") > 0, F.col("pii_type"))
-    level = _rank_of(found, {d.name: SENSITIVITY_RANK[d.sensitivity] for d in rules.detections})
-    action = _rank_of(found, {d.name: POLICY_RANK[d.default_action] for d in rules.detections})
+    level = _ranks({d.name: SENSITIVITY_RANK[d.sensitivity] for d in rules.detections})
+    default = _ranks({d.name: POLICY_RANK[d.default_action] for d in rules.detections})
     by_column = (
         profile.where("rows_scanned > 0")
+        .selectExpr("column", "IF(n_rows > 0, pii_type, NULL) AS kind")
+        .selectExpr("column", "kind", f"{level} AS level", f"{default} AS action")
         .groupBy("column")
         .agg(
-            F.array_sort(F.collect_set(found)).alias("pii_types"),
-            F.coalesce(F.max(level), F.lit(0)).alias("__level"),
-            F.coalesce(F.max(action), F.lit(POLICY_RANK["mask"])).alias("__action"),
+            F.array_sort(F.collect_set("kind")).alias("pii_types"),
+            F.coalesce(F.max("level"), F.lit(0)).alias("level"),
+            F.coalesce(F.max("action"), F.lit(POLICY_RANK["mask"])).alias("action"),
         )
     )
-    label = _name_rank(rules, backend)
+    reason = match_reason("column", rules, None if backend is None else lit(backend))
     ranked = (
-        by_column.withColumn("__named", label(F.col("column")))
-        .withColumn("is_named", F.col("__named") > 0)
-        .where(F.col("is_named") | (F.size("pii_types") > 0))
-        .withColumn("__level", F.greatest("__level", "__named"))
+        by_column.selectExpr("*", f"{reason} AS reason")
+        .where("reason IS NOT NULL OR size(pii_types) > 0")
+        .withColumn("level", F.expr(f"greatest(level, {sensitivity_rank(name_sensitivity('column', 'reason'))})"))
     )
-    act = F.col("__action") if policy == "auto" else F.lit(POLICY_RANK[policy])
+    act = "action" if policy == "auto" else str(POLICY_RANK[policy])
     if enforce_levels:
-        floors = {i: POLICY_RANK[rules.weakest_allowed(name)] for name, i in SENSITIVITY_RANK.items()}
-        act = F.greatest(act, _nth(list(floors.values()), F.col("__level")))
-    return ranked.select(
+        floors = " ".join(f"WHEN {i} THEN {POLICY_RANK[rules.weakest_allowed(n)]}" for n, i in SENSITIVITY_RANK.items())
+        act = f"greatest({act}, CASE level {floors} END)"
+    return ranked.selectExpr(
         "column",
-        "is_named",
+        "reason IS NOT NULL AS is_named",
         "pii_types",
-        _nth(_LEVELS, F.col("__level")).alias("sensitivity"),
-        _nth(_ACTIONS, act).alias("action"),
+        f"{array([lit(n) for n in SENSITIVITY_RANK], 'STRING')}[level] AS sensitivity",
+        f"{array([lit(n) for n in ('pass', *POLICY_RANK)], 'STRING')}[{act}] AS action",
     )
 
 
-def _nth(values: list[Any], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), index + 1)
-
-
-def _rank_of(name: Column, ranks: dict[str, int]) -> Column:
-    out = F.lit(None).cast("int")
-    for key, rank in ranks.items():
-        out = F.when(name == key, F.lit(rank)).otherwise(out)
-    return out
-
-
-def _name_rank(rules: Rules, backend: str | None):
-    def rank(name: Column) -> Column:
-        reason = match_reason(name, rules, None if backend is None else F.lit(backend))
-        return sensitivity_rank(name_sensitivity(name, reason))
-
-    return rank
+def _ranks(ranks: dict[str, int]) -> str:
+    whens = " ".join(f"WHEN {lit(k)} THEN {v}" for k, v in ranks.items())
+    return f"CASE kind {whens} END" if whens else "CAST(NULL AS INT)"
 
 
 def summarise(
     profile: DataFrame, columns: list[str], policy: str, rules: Rules = DEFAULT_RULES, backend: str | None = None
 ) -> DataFrame:
     """One row: ``row_count, columns, policy_applied, pii_detected, columns_processed, pii_types``."""
-    hit = F.col("n_rows") > 0
-    named = F.array(*[F.lit(c) for c in rules.named_pii(columns, backend)]).cast("array<string>")
-    none = F.array().cast("array<string>")
-    seen = profile.agg(
-        F.max("rows_scanned").alias("row_count"),
-        F.collect_set(F.when(hit, F.col("column"))).alias("__columns"),
-        F.array_sort(F.collect_set(F.when(hit, F.col("pii_type")))).alias("pii_types"),
+    named = array([lit(c) for c in rules.named_pii(columns, backend)], "STRING")
+    seen = profile.selectExpr(
+        "max(rows_scanned) AS row_count",
+        "collect_set(IF(n_rows > 0, column, NULL)) AS found",
+        "array_sort(collect_set(IF(n_rows > 0, pii_type, NULL))) AS pii_types",
     )
-    processed = F.when(F.col("row_count") > 0, F.array_sort(F.array_union("__columns", named))).otherwise(none)
-    return seen.select(
+    processed = f"IF(row_count > 0, array_sort(array_union(found, {named})), {array([], 'STRING')})"
+    return seen.selectExpr(
         "row_count",
-        F.array(*[F.lit(c) for c in columns]).alias("columns"),
-        F.lit(policy).alias("policy_applied"),
-        (F.size(processed) > 0).alias("pii_detected"),
-        processed.alias("columns_processed"),
+        f"{array([lit(c) for c in columns], 'STRING')} AS columns",
+        f"{lit(policy)} AS policy_applied",
+        f"size({processed}) > 0 AS pii_detected",
+        f"{processed} AS columns_processed",
         "pii_types",
     )
 
@@ -215,72 +196,43 @@ def _apply_staged(df, policy, rules, backend, salt, scope, mask_classified, enfo
     """
     named = set(rules.named_pii(df.columns, backend))
     key = resolve_salt(salt) if policy in ("hash", "auto") or enforce_levels else None
+    secret = named if policy in ("hash", "deny") else set()
     staged = reliable_copy(
-        df.select(
-            *[
-                _forms(f.name, f.dataType, rules, scope, key, f.name in named and policy in ("hash", "deny"), overlap).alias(f.name)
-                for f in df.schema.fields
-            ]
-        )
+        df.selectExpr(*[_forms(f, rules, scope, key, f.name in secret, overlap) for f in df.schema.fields])
     )
     profile = _profile_staged(staged, rules)
     summary = summarise(profile, df.columns, policy, rules, backend)
     actions = _decide(profile, policy, rules, backend, enforce_levels)
 
-    def final(name: str) -> Column:
-        action = actions.get(name, "pass")
-        if action == "hash":
-            return col(name)["token"]
-        if action == "mask" and mask_classified and name in named:
-            return col(name)["stars"]
-        return col(name)["masked"] if action == "mask" else col(name)["clean"]
-
-    return SecureResult(staged.select(*[final(c).alias(c) for c in df.columns]), summary, df.columns)
-
-
-def _forms(
-    name: str, dtype: Any, rules: Rules, scope: Scope, salt: str | None, secret: bool, overlap: str
-) -> Column:
-    value = col(name)
-    places = [p for p in _fields_of(name, dtype, scope)]
-    types = F.filter(
-        F.array(
-            *[
-                F.when(reduce(Column.__or__, [p.holds(d, scope) for p in places]), F.lit(d.name))
-                for d in (rules.detections if places else ())
-            ]
-        ).cast("array<string>"),
-        lambda t: t.isNotNull(),
-    )
-    masked = value
-    if scanned(dtype, Scope(numbers=False)):
-        masked = map_text(value, dtype, lambda x: redact(x, rules, overlap))
-    text = pii_text(value, dtype)
-    hidden = F.lit(None).cast(dtype)
-    return F.struct(
-        (hidden if secret else F.when(F.size(types) == 0, value)).alias("clean"),
-        (hidden if secret else masked).alias("masked"),
-        apply_mask(text, Mask()).alias("stars"),
-        (token(text, salt) if salt else F.lit(None).cast("string")).alias("token"),
-        types.alias("types"),
-    )
+    def final(column: str) -> str:
+        form = {"pass": "clean", "mask": "masked", "hash": "token"}[actions.get(column, "pass")]
+        if form == "masked" and mask_classified and column in named:
+            form = "stars"
+        return f"{name(column)}.{form} AS {name(column)}"
 
+    return SecureResult(staged.selectExpr(*[final(c) for c in df.columns]), summary, df.columns)
 
-def _fields_of(name: str, dtype: Any, scope: Scope):
-    return fields(T.StructType([T.StructField(name, dtype)]), scope)
+
+def _forms(f: T.StructField, rules: Rules, scope: Scope, salt: str | None, secret: bool, overlap: str) -> str:
+    """All protected forms of one column as a struct; ``clean`` only where nothing was found."""
+    x, text = name(f.name), pii_text(name(f.name), f.dataType)
+    places = fields(T.StructType([f]), scope)
+    kinds = [f"IF({any_of(p.holds(d, scope) for p in places)}, {lit(d.name)}, NULL)" for d in rules.detections]
+    types = f"array_compact({array(kinds if places else [], 'STRING')})"
+    masked = map_text(x, f.dataType, lambda v: redact(v, rules, overlap))
+    hidden = "NULL"
+    return f"""struct(
+        IF({lit(secret)} OR size({types}) > 0, {hidden}, {x}) AS clean,
+        IF({lit(secret)}, {hidden}, {masked}) AS masked,
+        {apply_mask(text, Mask())} AS stars,
+        {token(text, salt) if salt else "CAST(NULL AS STRING)"} AS token,
+        {types} AS types) AS {x}"""
 
 
 def _profile_staged(staged: DataFrame, rules: Rules) -> DataFrame:
-    cells = [(c, d.name, f"n_{i}_{j}") for i, c in enumerate(staged.columns) for j, d in enumerate(rules.detections)]
-    totals = staged.agg(
-        F.count(F.lit(1)).alias("rows_scanned"),
-        *[F.count_if(F.array_contains(col(c)["types"], t)).alias(n) for c, t, n in cells],
-    )
-    entries = [
-        F.struct(F.lit(c).alias("path"), F.lit(c).alias("column"), F.lit(t).alias("pii_type"), F.col(n).alias("n_rows"))
-        for c, t, n in cells
-    ]
-    return totals.select("rows_scanned", F.inline(F.array(*entries)))
+    cells = [(c, c, lit(d.name), f"n_{i}_{j}") for i, c in enumerate(staged.columns) for j, d in enumerate(rules.detections)]
+    counters = [f"count_if(array_contains({name(c)}.types, {kind})) AS {n}" for c, _, kind, n in cells]
+    return unfold_counts(staged.selectExpr("count(1) AS rows_scanned", *counters), cells)
 
 
 def deny_in_plan(df: DataFrame, rules: Rules = DEFAULT_RULES, columns: list[str] | None = None) -> DataFrame:
@@ -290,7 +242,6 @@ def deny_in_plan(df: DataFrame, rules: Rules = DEFAULT_RULES, columns: list[str]
     """
     scope = Scope()
     for p in fields(df.schema, scope, columns):
-        hit = reduce(Column.__or__, [p.holds(d, scope) for d in rules.detections])
-        stop = F.raise_error(F.lit(f"personal data in column {p.path}")).cast("boolean")
-        df = df.where(F.when(hit, stop).otherwise(F.lit(True)))
+        stop = f"CAST(raise_error({lit('personal data in column ' + p.path)}) AS BOOLEAN)"
+        df = df.where(f"IF({p.holds_any(rules, scope)}, {stop}, true)")
     return df

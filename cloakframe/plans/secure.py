@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.functions import literals
 from cloakframe.functions.tokens import resolve_salt, token_of
-from cloakframe.operators.fields import Scope
+from cloakframe.operators.fields import Scope, fields
 from cloakframe.operators.relational import aggregate, filter_equal, filter_token, order_limit
 from cloakframe.plans.policy import SecureResult, apply_policy
 from cloakframe.plans.request import MAX_ROWS, Request, RequestError, check_identifier
@@ -149,10 +149,8 @@ def observed(df: DataFrame, observation: Any, rules: Rules = DEFAULT_RULES, scop
     ``observation`` is a ``pyspark.sql.Observation``; its metrics are ``row_count``
     and one ``<path>:<type>`` count per scanned place and type.
     """
-    from cloakframe.operators.fields import fields
-
     counts = [
-        F.count_if(p.holds(d, scope)).alias(f"{p.path}:{d.name}")
+        F.expr(f"count_if({p.holds(d, scope)})").alias(f"{p.path}:{d.name}")
         for p in fields(df.schema, scope)
         for d in rules.detections
     ]

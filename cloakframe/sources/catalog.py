@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions.names import match_reason, name_category, name_sensitivity, sensitivity_rank
+from cloakframe.functions.sql import lit
+from cloakframe.functions.sql import name as quoted
 from cloakframe.rules import DEFAULT_RULES, SENSITIVITY_RANK, Rules
 
 COLUMNS_SCHEMA = (
@@ -67,20 +69,19 @@ def columns_of_information_schema(
 
 
 def label_columns(
-    df: DataFrame, rules: Rules = DEFAULT_RULES, backend: str | Column | None = None, name: str = "column_name"
+    df: DataFrame, rules: Rules = DEFAULT_RULES, backend: str | None = None, name: str = "column_name"
 ) -> DataFrame:
     """Add ``is_pii, pii_sensitivity, pii_category, match_reason`` for a column of names.
 
     Row-local: the rules are part of the expression, so there is no join.
     """
-    by = F.lit(backend) if isinstance(backend, str) else backend
-    reason = F.col("match_reason")
-    return (
-        df.withColumn("match_reason", match_reason(F.col(name), rules, by))
-        .withColumn("is_pii", reason.isNotNull())
-        .withColumn("pii_sensitivity", name_sensitivity(F.col(name), reason))
-        .withColumn("pii_category", name_category(F.col(name), reason))
-        .select(*df.columns, "is_pii", "pii_sensitivity", "pii_category", "match_reason")
+    reason = match_reason(name, rules, None if backend is None else lit(backend))
+    return df.selectExpr("*", f"{reason} AS match_reason").selectExpr(
+        *df.columns,
+        "match_reason IS NOT NULL AS is_pii",
+        f"{name_sensitivity(name, 'match_reason')} AS pii_sensitivity",
+        f"{name_category(name, 'match_reason')} AS pii_category",
+        "match_reason",
     )
 
 
@@ -94,7 +95,7 @@ def column_catalog(
 
 def up_to_sensitivity(catalog: DataFrame, level: str) -> DataFrame:
     """Catalog rows whose sensitivity is at most the level."""
-    return catalog.where(sensitivity_rank(F.col("pii_sensitivity")) <= SENSITIVITY_RANK[level])
+    return catalog.where(f"{sensitivity_rank('pii_sensitivity')} <= {SENSITIVITY_RANK[level]}")
 
 
 def label_tables(catalog: DataFrame) -> DataFrame:
@@ -149,7 +150,7 @@ def answer_intent(catalog: DataFrame, intent: str, entity: str | None = None, da
 def safe_columns(df: DataFrame, rules: Rules = DEFAULT_RULES, backend: str | None = None) -> DataFrame:
     """The table without the columns whose names mark personal data."""
     named = set(rules.named_pii(df.columns, backend))
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in named])
+    return df.select(*[quoted(c) for c in df.columns if c not in named])
 
 
 def columns_up_to(
@@ -158,4 +159,4 @@ def columns_up_to(
     """The table with only the columns of at most the given name sensitivity."""
     most = SENSITIVITY_RANK[level]
     keep = [c for c in df.columns if SENSITIVITY_RANK[rules.label(c, backend).sensitivity] <= most]
-    return df.select(*[F.col(f"`{c}`") for c in keep])
+    return df.select(*[quoted(c) for c in keep])

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloakframe.functions.sql import lit
+
 
 # Content types by file name extension.
 CONTENT_TYPES = {
@@ -40,7 +42,7 @@ def objects(spark: SparkSession, bucket: str) -> DataFrame:
     )
     root = bucket.split("://", 1)[-1].split(":", 1)[-1].strip("/")
     # the key is what follows the location in the path
-    key = F.expr(f"substring(path, instr(path, {_sql_text(root + '/')}) + {len(root) + 1})")
+    key = F.expr(f"substring(path, instr(path, {lit(root + '/')}) + {len(root) + 1})")
     extension = F.lower(F.substring_index(F.col("key"), ".", -1))
     kind = F.element_at(F.create_map(*[F.lit(v) for pair in CONTENT_TYPES.items() for v in pair]), extension)
     return files.withColumn("key", key).select(
@@ -52,10 +54,6 @@ def objects(spark: SparkSession, bucket: str) -> DataFrame:
     )
 
 
-def _sql_text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def allowed(listing: DataFrame, prefixes: list[str] | None, column: str = "key") -> DataFrame:
     """Only objects below an allowed prefix; no list allows all."""
     if not prefixes:

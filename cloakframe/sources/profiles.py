@@ -74,12 +74,6 @@ class Profile:
                 return table
         raise ValueError("no table can be inferred from the intent; name the entity")
 
-    def entity_column(self, intent: Column) -> Column:
-        """``infer_entity`` over a column of intents; null where none can be inferred."""
-        words = F.lower(intent)
-        hits = [F.when(words.contains(k), F.lit(t)) for k, t in self.keywords.items()]
-        return F.coalesce(*hits) if hits else F.lit(None).cast("string")
-
     def sort(self, name: str, descending: bool, nulls: str | None) -> Column:
         if nulls is None:
             if self.null_order == "last":

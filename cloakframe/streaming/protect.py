@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from cloakframe.functions.sql import any_of
 from cloakframe.operators.fields import Scope, fields
 from cloakframe.operators.protect import hash_table, redact_table
 from cloakframe.rules import DEFAULT_RULES, Rules
@@ -60,9 +59,7 @@ def quarantine_stream(
     folder of its own, so a batch that is replayed overwrites itself.
     """
     places = fields(stream.schema, scope, columns)
-    hit = reduce(
-        Column.__or__, [p.holds(d, scope) for p in places for d in rules.detections], F.lit(False)
-    )
+    hit = F.expr(any_of(p.holds_any(rules, scope) for p in places))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         flagged = batch.withColumn("__held", hit).persist()
