@@ -29,6 +29,7 @@ from cloakframe.plans.policy import apply_policy, decisions, ensure_checkpoint_d
 from cloakframe.plans.request import DANGEROUS_VALUES, SQL_PATTERNS, Request  # noqa: E402
 from cloakframe.plans.secure import Settings, secure_query  # noqa: E402
 from cloakframe.sources import catalog, inventory  # noqa: E402
+from cloakframe.sources.files import read_table  # noqa: E402
 from cloakframe.sources.profiles import file_tables, get_profile  # noqa: E402
 from cloakframe.streaming.protect import append_stream, protect_stream, quarantine_stream  # noqa: E402
 from cloakframe.streaming.windows import audit_counts  # noqa: E402
@@ -65,7 +66,12 @@ STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
 def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_table(spark, f"{sf}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are costly to scan."""
+    return read_table(spark, f"{sf}/{name}.parquet", spread=True)
 
 
 def all_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -86,21 +92,21 @@ def cents(df: DataFrame, *names: str) -> DataFrame:
 
 # -- masking and detection ------------------------------------------------------
 def redact_documents(spark: SparkSession, sf: str) -> DataFrame:
-    found = redact_with_types(t(spark, sf, "documents"), "text")
+    found = redact_with_types(texts(spark, sf, "documents"), "text")
     return found.select("doc_id", "text", joined("pii_types").alias("pii_types"))
 
 
 def redact_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return apply_policy(t(spark, sf, "pages"), "mask").df
+    return apply_policy(texts(spark, sf, "pages"), "mask").df
 
 
 def redact_contacts(spark: SparkSession, sf: str) -> DataFrame:
-    lines = t(spark, sf, "orders").select("o_orderkey", F.expr(CONTACT).alias("line"))
+    lines = texts(spark, sf, "orders").select("o_orderkey", F.expr(CONTACT).alias("line"))
     return redact_with_types(lines, "line").select("o_orderkey", "line", joined("pii_types").alias("pii_types"))
 
 
 def redact_nested(spark: SparkSession, sf: str) -> DataFrame:
-    nested = t(spark, sf, "pages").select(
+    nested = texts(spark, sf, "pages").select(
         "page_id", F.struct("url", F.array("html", "url").alias("parts"), F.create_map(F.lit("html"), "html").alias("m")).alias("page")
     )
     out = redact_table(nested, ["page"])
@@ -115,7 +121,7 @@ def redact_nested(spark: SparkSession, sf: str) -> DataFrame:
 
 def redact_sql_function(spark: SparkSession, sf: str) -> DataFrame:
     register_sql_functions(spark, SALT)
-    t(spark, sf, "documents").createOrReplaceTempView("cloak_documents")
+    texts(spark, sf, "documents").createOrReplaceTempView("cloak_documents")
     return spark.sql(
         "SELECT doc_id, pii_redact(text) AS text, pii_has(text) AS has_pii, pii_token(source) AS source FROM cloak_documents"
     )
@@ -127,11 +133,11 @@ def mask_known_types(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pii_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return _span_columns(find_spans(t(spark, sf, "documents"), ["doc_id"], ["text"]), "doc_id")
+    return _span_columns(find_spans(texts(spark, sf, "documents"), ["doc_id"], ["text"]), "doc_id")
 
 
 def pii_spans_contacts(spark: SparkSession, sf: str) -> DataFrame:
-    lines = t(spark, sf, "orders").select("o_orderkey", F.expr(CONTACT).alias("line"))
+    lines = texts(spark, sf, "orders").select("o_orderkey", F.expr(CONTACT).alias("line"))
     return _span_columns(find_spans(lines, ["o_orderkey"], ["line"]), "o_orderkey")
 
 
@@ -149,7 +155,7 @@ def pii_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 def clean_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Row-level deny: the documents without personal data."""
-    return t(spark, sf, "documents").where(f"NOT {has_pii('text')}").select("doc_id", "lang", "n_chars")
+    return texts(spark, sf, "documents").where(f"NOT {has_pii('text')}").select("doc_id", "lang", "n_chars")
 
 
 def result_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +174,7 @@ def result_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- tokens -----------------------------------------------------------------------
 def hash_documents_policy(spark: SparkSession, sf: str) -> DataFrame:
-    return apply_policy(t(spark, sf, "documents"), "hash", salt=SALT).df
+    return apply_policy(texts(spark, sf, "documents"), "hash", salt=SALT).df
 
 
 def hash_customer_policy(spark: SparkSession, sf: str) -> DataFrame:
@@ -442,7 +448,7 @@ def policy_floor(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- requests and audit -----------------------------------------------------------------
 def screen_requests(spark: SparkSession, sf: str) -> DataFrame:
-    turns = t(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("intent"))
+    turns = texts(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("intent"))
     return screen.screen_intents(turns).drop("intent")
 
 
@@ -472,12 +478,12 @@ def route_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def value_screen(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "documents").selectExpr("doc_id", f"{screen.dangerous_value('text')} AS dangerous")
+    return texts(spark, sf, "documents").selectExpr("doc_id", f"{screen.dangerous_value('text')} AS dangerous")
 
 
 def filter_scan(spark: SparkSession, sf: str) -> DataFrame:
     filters = F.create_map(F.lit("text"), "text", F.lit("lang"), "lang")
-    docs = t(spark, sf, "documents").select("doc_id", filters.alias("filters"))
+    docs = texts(spark, sf, "documents").select("doc_id", filters.alias("filters"))
     got = screen.scan_filters(docs, SALT)
     return got.select(
         "doc_id", joined("pii_filters").alias("pii_filters"), F.col("safe_filters")["text"].alias("text"),

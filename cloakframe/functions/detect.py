@@ -14,7 +14,7 @@ from cloakframe.rules import DEFAULT_RULES, Detection, Rules
 
 SPAN = "STRUCT<type:STRING,value:STRING,start:INT,end:INT,sensitivity:STRING,default_action:STRING>"
 # Internal form; its natural order is "last start first, then detection order".
-FOUND = "STRUCT<back:INT,ord:INT,end:INT,value:STRING>"
+FOUND = "STRUCT<back:INT,ord:INT,value:STRING>"
 # Marks set around matches; text that already holds one takes another way.
 _OPEN, _CLOSE = "\x01", "\x02"
 
@@ -42,11 +42,16 @@ def has_pii(x: str, rules: Rules = DEFAULT_RULES) -> str:
 def found(x: str, rules: Rules = DEFAULT_RULES) -> str:
     """Everything found, in the internal form and order."""
     none = array([], FOUND)
-    parts = []
-    for needs, group in _by_needs(rules):
-        hits = ", ".join(_found_of_type(x, i, d, none) for i, d in group)
-        parts.append(f"IF({meets(x, needs)}, concat({hits}), {none})")
-    return f"sort_array(concat({', '.join(parts) or none}))"
+
+    def search(of_type) -> str:
+        parts = []
+        for needs, group in _by_needs(rules):
+            hits = ", ".join(of_type(x, i, d, none) for i, d in group)
+            parts.append(f"IF({meets(x, needs)}, concat({hits}), {none})")
+        return f"sort_array(concat({', '.join(parts) or none}))"
+
+    marked = f"contains({x}, {lit(_OPEN)}) OR contains({x}, {lit(_CLOSE)})"
+    return f"IF({marked}, {search(_cut_at_pattern)}, {search(_cut_at_marks)})"
 
 
 def spans(x: str, rules: Rules = DEFAULT_RULES) -> str:
@@ -59,7 +64,7 @@ def spans(x: str, rules: Rules = DEFAULT_RULES) -> str:
 
     order = "(__a, __b) -> IF(__a.ord = __b.ord, __b.back - __a.back, __a.ord - __b.ord)"
     fields = (
-        f"{pick(rules.types)} AS type, __r.value AS value, -__r.back AS start, __r.end AS end, "
+        f"{pick(rules.types)} AS type, __r.value AS value, -__r.back AS start, char_length(__r.value) - __r.back AS end, "
         f"{pick([d.sensitivity for d in rules.detections])} AS sensitivity, "
         f"{pick([d.default_action for d in rules.detections])} AS default_action"
     )
@@ -89,33 +94,35 @@ def _by_needs(rules: Rules) -> list[tuple[str | None, list[tuple[int, Detection]
     return [(key or None, list(group)) for key, group in groupby(numbered, key=lambda e: e[1].needs or "")]
 
 
-def _found_of_type(x: str, ord_: int, d: Detection, none: str) -> str:
-    """Matches of one pattern and where they are.
+# Spark has no "all offsets" function.  Cutting the text at the matches gives the
+# pieces between them; adding up lengths gives where each match starts.
 
-    Spark has no "all offsets" function.  Each match is put between two marks in
-    one pass; cutting at the marks gives the gaps and the values, and adding up
-    their lengths the offsets.
+
+def _cut_at_marks(x: str, ord_: int, d: Detection, none: str) -> str:
+    """One pass puts each match between two marks, then the text is cut at the marks.
+
+    Every piece but the first is ``value, mark, gap``, so the next match starts
+    ``length(piece) - 1`` after this one.
     """
-    regex = lit(d.java_regex)
-    marked = f"regexp_replace({x}, {regex}, {lit(_OPEN + '$0' + _CLOSE)})"
-    cut = f"""transform(slice(__p, 2, size(__p) - 1), (__c, __i) -> struct(
-        IF(__i = 0, char_length(__p[0]), char_length(__p[__i]) - char_length(substring_index(__p[__i], {lit(_CLOSE)}, 1)) - 1) AS gap,
-        substring_index(__c, {lit(_CLOSE)}, 1) AS value))"""
-    usual = let(
-        f"split({marked}, {lit(_OPEN)}, -1)", "__p", f"IF(size(__p) > 1, {_placed(cut, ord_, none)}, {none})"
-    )
-    # a text that holds a mark itself: match, then split at the pattern
-    pairs = f"zip_with(slice(split({x}, {regex}, -1), 1, size(__h)), __h, (__g, __v) -> struct(char_length(__g) AS gap, __v AS value))"
-    rare = let(
-        f"regexp_extract_all({x}, {regex}, 0)", "__h", f"IF(size(__h) > 0, {_placed(pairs, ord_, none)}, {none})"
-    )
-    return f"IF(contains({x}, {lit(_OPEN)}) OR contains({x}, {lit(_CLOSE)}), {rare}, {usual})"
+    marked = f"regexp_replace({x}, {lit(d.java_regex)}, {lit(_OPEN + '$0' + _CLOSE)})"
+
+    def hit(start: str, piece: str) -> str:
+        return f"struct(-{start} AS back, {ord_} AS ord, substring_index({piece}, {lit(_CLOSE)}, 1) AS value)"
 
+    first = "char_length(__p[0])"
+    many = f"""aggregate(slice(__p, 2, size(__p) - 1), struct({first} AS at, {none} AS hits), (__t, __s) -> struct(
+        __t.at + char_length(__s) - 1 AS at, array_append(__t.hits, {hit('__t.at', '__s')}) AS hits), __t -> __t.hits)"""
+    body = f"CASE size(__p) WHEN 1 THEN {none} WHEN 2 THEN array({hit(first, '__p[1]')}) ELSE {many} END"
+    return f"coalesce({let(f'split({marked}, {lit(_OPEN)}, -1)', '__p', body)}, {none})"
 
-def _placed(pieces: str, ord_: int, none: str) -> str:
-    """Offsets of ``(gap before, value)`` pieces, by adding up lengths."""
+
+def _cut_at_pattern(x: str, ord_: int, d: Detection, none: str) -> str:
+    """For texts that hold a mark themselves: match, then split at the pattern."""
+    regex = lit(d.java_regex)
+    pieces = f"""zip_with(slice(split({x}, {regex}, -1), 1, size(__h)), __h,
+        (__g, __v) -> struct(char_length(__g) AS gap, __v AS value))"""
     start = "__t.at + __s.gap"
-    end = f"{start} + char_length(__s.value)"
-    return f"""aggregate({pieces}, struct(0 AS at, {none} AS hits), (__t, __s) -> struct({end} AS at,
-        array_append(__t.hits, struct(-({start}) AS back, {ord_} AS ord, {end} AS end, __s.value AS value)) AS hits),
-        __t -> __t.hits)"""
+    placed = f"""aggregate({pieces}, struct(0 AS at, {none} AS hits), (__t, __s) -> struct(
+        {start} + char_length(__s.value) AS at,
+        array_append(__t.hits, struct(-({start}) AS back, {ord_} AS ord, __s.value AS value)) AS hits), __t -> __t.hits)"""
+    return let(f"regexp_extract_all({x}, {regex}, 0)", "__h", f"IF(size(__h) > 0, {placed}, {none})")

@@ -61,21 +61,24 @@ def _spliced(x: str, runs: str, rules: Rules) -> str:
         f"WHEN {i} THEN {apply_mask('__s.value', rules.mask_of(d.name))}" for i, d in enumerate(rules.detections)
     )
     masked = f"CASE __s.ord {whens} ELSE {apply_mask('__s.value', Mask())} END"
-    after = f"""IF(__s.end <= __t.at, concat(substring({x}, __s.end + 1, __t.at - __s.end), __t.tail),
-        substring(__t.tail, __s.end - __t.at + 1))"""
-    return f"""aggregate({runs}, struct(char_length({x}) AS at, '' AS tail),
+    end = "(char_length(__s.value) - __s.back)"
+    after = f"""IF({end} <= __t.at, concat(substring({x}, {end} + 1, __t.at - {end}), __t.tail),
+        substring(__t.tail, {end} - __t.at + 1))"""
+    one = f"""concat(substring({x}, 1, -__s.back), {masked}, substring({x}, {end} + 1))"""
+    many = f"""aggregate({runs}, struct(char_length({x}) AS at, '' AS tail),
         (__t, __s) -> struct(-__s.back AS at, concat({masked}, {after}) AS tail),
         __t -> concat(substring({x}, 1, __t.at), __t.tail))"""
+    return f"IF(size({runs}) = 1, transform({runs}, __s -> {one})[0], {many})" if runs == "__f" else many
 
 
 def _merged(x: str, hits: str, no_rule: int) -> str:
     """Overlapping values joined; a joined run takes an ordinal without a rule."""
     last = "__t[size(__t) - 1]"
-    end = f"greatest({last}.end, __s.end)"
+    end, last_end = "(char_length(__s.value) - __s.back)", f"(char_length({last}.value) - {last}.back)"
     joined = (
-        f"struct(__s.back AS back, {no_rule} AS ord, {end} AS end, "
-        f"substring({x}, 1 - __s.back, {end} + __s.back) AS value)"
+        f"struct(__s.back AS back, {no_rule} AS ord, "
+        f"substring({x}, 1 - __s.back, greatest({last_end}, {end}) + __s.back) AS value)"
     )
-    apart = f"size(__t) = 0 OR __s.end <= -{last}.back"
+    apart = f"size(__t) = 0 OR {end} <= -{last}.back"
     return f"""aggregate({hits}, {array([], FOUND)}, (__t, __s) -> IF({apart}, array_append(__t, __s),
         concat(slice(__t, 1, size(__t) - 1), array({joined}))))"""
