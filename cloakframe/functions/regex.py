@@ -29,6 +29,28 @@ _IN_CLASS = {
     "s": r"\s\p{Z}\x1c-\x1f\x85",
 }
 _ANCHORS = {"b": BOUNDARY, "B": INNER, "Z": r"\z"}
+BEFORE_WORD = rf"(?<!{WORD})"
+AFTER_WORD = rf"(?!{WORD})"
+
+
+def _word_follows(pattern: str, at: int) -> bool:
+    """Does a word character certainly follow at this place of the pattern?"""
+    if pattern[at : at + 2] in (r"\d", r"\w"):
+        at += 2
+    elif pattern[at : at + 1].isalnum() or pattern[at : at + 1] == "_":
+        at += 1
+    else:
+        return False
+    return pattern[at : at + 1] not in ("?", "*", "{")
+
+
+def _boundary(pattern: str, at: int) -> str:
+    """A word boundary; one look-around is enough beside a certain word character."""
+    if _word_follows(pattern, at + 2):
+        return BEFORE_WORD
+    before = pattern[:at]
+    literal = before[-1:].isalnum() and not re.search(r"\\.$", before)
+    return AFTER_WORD if literal or re.search(r"(?<!\\)(?:\\\\)*\\[dw]$", before) else BOUNDARY
 
 
 def java_pattern(pattern: str, ignore_case: bool = True) -> str:
@@ -43,6 +65,8 @@ def java_pattern(pattern: str, ignore_case: bool = True) -> str:
             e = pattern[i + 1]
             if e in _ESCAPES:
                 out.append(_IN_CLASS.get(e, _ESCAPES[e]) if in_class else _ESCAPES[e])
+            elif e == "b" and not in_class:
+                out.append(_boundary(pattern, i))
             elif e in _ANCHORS and not in_class:
                 out.append(_ANCHORS[e])
             elif e == "b":

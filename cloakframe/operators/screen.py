@@ -20,8 +20,13 @@ from cloakframe.sources.profiles import backends, get_profile
 
 
 def sql_pattern(x: str) -> str:
-    """The first SQL pattern the intent matches; null when it is clean."""
-    return "CASE " + " ".join(f"WHEN {x} RLIKE {lit(java_pattern(p))} THEN {lit(p)}" for p in SQL_PATTERNS) + " END"
+    """The first SQL pattern the intent matches; null when it is clean.
+
+    One scan for any keyword or mark at all decides about most intents.
+    """
+    marks = "|".join(p.replace(r"\b", "").removesuffix(r"\s*$") for p in SQL_PATTERNS)
+    whens = " ".join(f"WHEN {x} RLIKE {lit(java_pattern(p))} THEN {lit(p)}" for p in SQL_PATTERNS)
+    return f"CASE WHEN NOT {x} RLIKE {lit(java_pattern(marks))} THEN NULL {whens} END"
 
 
 def intent_length_ok(x: str) -> str:
@@ -45,7 +50,9 @@ def names_ok(x: str) -> str:
 
 def dangerous_value(x: str) -> str:
     """Does a string literal contain one of the injection patterns?"""
-    return any_of(f"{x} RLIKE {lit(java_pattern(p))}" for p in DANGEROUS_VALUES)
+    hits = any_of(f"{x} RLIKE {lit(java_pattern(p))}" for p in DANGEROUS_VALUES)
+    # every pattern needs one of these pieces
+    return f"(coalesce({x} RLIKE {lit(java_pattern(r';|[*]|xp_|EXEC'))}, false) AND {hits})"
 
 
 def route(backend: str, intent: str, entity: str = "NULL") -> str:

@@ -92,7 +92,7 @@ class Request:
             raise RequestError(f"the limit must be {low} to {high}")
         if self.pii_policy not in POLICIES:
             raise RequestError(f"unknown policy '{self.pii_policy}', choose one of {POLICIES}")
-        for name in (*self.filters, *self.group_by, *([self.entity] if self.entity else [])):
+        for name in (*self.filters, *self.group_by):
             check_identifier(name)
         for value in self.filters.values():
             check_literal(value)
