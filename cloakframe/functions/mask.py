@@ -7,6 +7,16 @@ from cloakframe.functions.sql import lit
 from cloakframe.rules import DEFAULT_RULES, Mask, Rules
 
 
+# Long texts are redacted piece by piece, because the cost of splicing grows with
+# text length times number of values.  No built-in pattern matches across a
+# separator below.  A cut comes after a separator, a stretch without digits or "@"
+# (so without values) and another separator: nothing found, no boundary test and
+# no overlap effect (which reaches at most 21 characters further) crosses it.
+LONG_TEXT = 32768
+_BREAK = r"[,;:!?\"'=<>\[\]{}|&#$*^~\\]"
+_PIECE = rf"(?s).{{8192,}}?{_BREAK}[^\p{{Nd}}@]{{40,}}?{_BREAK}|.+"
+
+
 def apply_mask(x: str, mask: Mask) -> str:
     """Masked form of a value under one mask rule."""
     if mask.template:
@@ -45,9 +55,18 @@ def redact(x: str, rules: Rules = DEFAULT_RULES, overlap: str = "each", hits: st
     """
     if overlap not in ("each", "merge"):
         raise ValueError("overlap must be 'each' or 'merge'")
-    runs = "__f" if overlap == "each" else _merged(x, "__f", len(rules.detections))
-    body = f"IF(coalesce(size(__f), 0) <= 0, {x}, {_spliced(x, runs, rules)})"
-    return let(hits or found(x, rules), "__f", body)
+
+    def body(text: str, found_in: str) -> str:
+        runs = "__f" if overlap == "each" else _merged(text, "__f", len(rules.detections))
+        return let(found_in, "__f", f"IF(coalesce(size(__f), 0) <= 0, {text}, {_spliced(text, runs, rules)})")
+
+    if hits is not None:
+        return body(x, hits)
+    if not all(d.java for d in rules.detections):
+        return body(x, found(x, rules))
+    pieces = f"regexp_extract_all({x}, {lit(_PIECE)}, 0)"
+    long = f"array_join(transform({pieces}, __x -> {body('__x', found('__x', rules))}), '')"
+    return f"IF(char_length({x}) > {LONG_TEXT}, {long}, {body(x, found(x, rules))})"
 
 
 def _spliced(x: str, runs: str, rules: Rules) -> str:

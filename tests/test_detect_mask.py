@@ -185,3 +185,19 @@ def test_translation_details(spark):
     for p, t in cases:
         want = re.search(p, t, re.IGNORECASE) is not None
         assert spark.range(1).select(F.lit(t).rlike(java_pattern(p))).first()[0] == want, (p, t)
+
+
+def test_long_texts_are_redacted_whole(spark):
+    rnd = random.Random(7)
+    values = ["a.b@c.org", "555-123-4567", "123-45-6789", "192.168.0.1", "12/31/1999", "DE89370400440532013000",
+              "+123456789012345@abc.io", "DE89370400440532013000@x.io", "4111111111111111", "5551234567@example.com"]
+    words = ["lorem", "ipsum,", "dolor;", "sit", "é: amet", "\n", "x" * 60, "no!", "(so)"]
+    texts = []
+    for density in (0.5, 0.05, 0.002):
+        parts = [rnd.choice(values) + rnd.choice(["", " ", ", ", ","]) if rnd.random() < density else rnd.choice(words) + " "
+                 for _ in range(8000)]
+        texts.append("".join(parts))
+    texts += ["word, " * 20_000, "1" * 50_000]
+    got = rows(spark, texts).selectExpr("id", redact("text") + " AS r").collect()
+    for r in got:
+        assert r.r == literals.scrub(texts[r.id]), r.id
