@@ -75,7 +75,7 @@ def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def all_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return {n: t(spark, sf, n) for n in TABLES}
+    return {n: texts(spark, sf, n) if n == "documents" else t(spark, sf, n) for n in TABLES}
 
 
 def joined(c: str) -> F.Column:
@@ -429,7 +429,8 @@ def sensitivity_cap(spark: SparkSession, sf: str) -> DataFrame:
 def _decided(spark: SparkSession, sf: str, policy: str, levels: bool) -> DataFrame:
     out = None
     for name in TEXT_TABLES + ["customer", "supplier"]:
-        d = decisions(profile_table(t(spark, sf, name)), policy, enforce_levels=levels)
+        df = texts(spark, sf, name) if name == "documents" else t(spark, sf, name)
+        d = decisions(profile_table(df), policy, enforce_levels=levels)
         part = d.select(
             F.lit(name).alias("tbl"), F.col("column").alias("col"), "is_named", joined("pii_types").alias("types"),
             "sensitivity", "action",

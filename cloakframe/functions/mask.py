@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cloakframe.functions.detect import FOUND, array, found, let
-from cloakframe.functions.sql import lit
-from cloakframe.rules import DEFAULT_RULES, Mask, Rules
+from cloakframe.functions.detect import FOUND, found
+from cloakframe.functions.sql import array, let, lit
+from cloakframe.rules import DEFAULT_RULES, MASKS, Mask, Rules
 
 
 # Long texts are redacted piece by piece, because the cost of splicing grows with
@@ -62,7 +62,8 @@ def redact(x: str, rules: Rules = DEFAULT_RULES, overlap: str = "each", hits: st
 
     if hits is not None:
         return body(x, hits)
-    if not all(d.java for d in rules.detections):
+    bounded = overlap == "merge" or rules.masks == MASKS  # other masks could reach further
+    if not (bounded and all(d.java for d in rules.detections)):
         return body(x, found(x, rules))
     pieces = f"regexp_extract_all({x}, {lit(_PIECE)}, 0)"
     long = f"array_join(transform({pieces}, __x -> {body('__x', found('__x', rules))}), '')"
