@@ -34,6 +34,11 @@ from cloakframe.sources.profiles import file_tables, get_profile  # noqa: E402
 from cloakframe.streaming.protect import append_stream, protect_stream, quarantine_stream  # noqa: E402
 from cloakframe.streaming.windows import audit_counts  # noqa: E402
 
+try:  # the training-data operators are an optional part
+    from cloakframe.llm import registry as llm
+except ImportError:
+    llm = None
+
 TESTDATA = "/root/testdata"
 SALT = "entry-salt-for-checks"
 TABLES = list(o.SCHEMAS)
@@ -587,11 +592,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in _QUERIES}
+    return {q.__name__: q for q in _QUERIES} | (llm.queries() if llm else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracles()
+    return _oracles() | (llm.oracle_sql() if llm else {})
 
 
 # -- SQL twins -----------------------------------------------------------------------------
