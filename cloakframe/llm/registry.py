@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cloakframe.llm import exactdup, neardup
+from cloakframe.llm import bpe, exactdup, langid, mixing, neardup, quality, shard, topk
 from cloakframe.llm.frames import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,27 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return shard.shards(_table(spark, sf, "documents"), n_shards=8)
+
+
+def op2_topk(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return topk.search(vectors, vectors.filter("vec_id % 20 = 0"), k=20, scale=64.0)
+
+
+def op3_langid(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents")
+    out = langid.held_out()
+    model = langid.fit(docs.filter(~out))
+    said = langid.predict(docs, model)
+    return said.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op4_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_neardup(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.near_components(_table(spark, sf, "documents"), words=4, percent=80)
 
@@ -25,7 +47,51 @@ def op6_exactdup(spark: SparkSession, sf: str) -> DataFrame:
     return exactdup.mark_copies(_table(spark, sf, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.grades(_table(spark, sf, "labels")))
+    scored = quality.score(docs, model)
+    good, best = F.try_element_at("tails", F.lit(1)), F.try_element_at("tails", F.lit(2))
+    return scored.select("doc_id", "expected_grade", good.alias("p_good"), best.alias("p_best"), (good >= 0.5).alias("kept"))
+
+
+def op8_bpe(spark: SparkSession, sf: str, path: str | None = None) -> DataFrame:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    vocabulary = bpe.load(spark, path)
+    rows = bpe.encode(_table(spark, sf, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "ids")
+    rows = bpe.decode(rows, vocabulary)
+    return rows.select(
+        "doc_id", F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 _SQL = {
+    "op2_topk": r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20""",
+    "op4_mix": r"""
+WITH w AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+                  coalesce(len(list_filter(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), lambda x: regexp_full_match(x, '\p{L}+[.,;:!?]?'))), 0) AS plain,
+                  (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM documents),
+k AS (SELECT doc_id, source, size, -ln(u) / greatest(0.05::DOUBLE, plain::DOUBLE / greatest(size, 1)) AS key FROM w),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM k GROUP BY source),
+r AS (SELECT *, (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::DOUBLE AS w FROM s),
+c AS (SELECT *, source_size * 3.0::DOUBLE AS cap, source_size * 3.0::DOUBLE / w AS ratio FROM r),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE - coalesce(sum(cap) OVER b, 0)) / ((SELECT sum(w) FROM r) - coalesce(sum(w) OVER b, 0)) AS level
+      FROM c WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, w * (SELECT max(level) FROM l WHERE level <= ratio)) AS target FROM l),
+g AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS goal FROM t),
+p AS (SELECT k.doc_id, k.size, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN goal // g.source_size ELSE 0 END AS epochs, goal,
+             CAST(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, k.doc_id ROWS UNBOUNDED PRECEDING) - k.size AS BIGINT) AS before
+      FROM k JOIN g ON k.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, goal - epochs * source_size - before)) AS BIGINT) AS taken FROM p""",
     "op6_exactdup": r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
@@ -34,7 +100,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)""",
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op5_neardup, op6_exactdup)}
+    return {q.__name__: q for q in (op1_shards, op2_topk, op3_langid, op4_mix, op5_neardup, op6_exactdup, op7_quality, op8_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
