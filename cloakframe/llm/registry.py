@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloakframe.llm import bpe, exactdup, langid, mixing, neardup, quality, shard, topk
+import corpus_pipeline
+from cloakframe.llm import bpe, chat, exactdup, langid, mixing, neardup, pages, quality, shard, topk
 from cloakframe.llm.frames import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +69,24 @@ def op8_bpe(spark: SparkSession, sf: str, path: str | None = None) -> DataFrame:
     )
 
 
+def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "conversations")
+    out = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit(""))) % 5 == 0
+    model = chat.fit(rows.filter(~out))
+    said = chat.roles(rows.drop("role"), model)
+    return said.select("conv_id", "turn", out.alias("held_out"), F.col("role").alias("role_pred"), chat.rendered(F.col("role"), F.col("text")).alias("rendered"))
+
+
+def op10_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    table = _table(spark, sf, "pages").select("page_id", "url", "html")
+    found = pages.extract(table, pages.fit(table))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
+
+
 _SQL = {
     "op2_topk": r"""
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -100,8 +119,8 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)""",
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_shards, op2_topk, op3_langid, op4_mix, op5_neardup, op6_exactdup, op7_quality, op8_bpe)}
+    return {q.__name__: q for q in (op1_shards, op2_topk, op3_langid, op4_mix, op5_neardup, op6_exactdup, op7_quality, op8_bpe, op9_chat, op10_main_text, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
