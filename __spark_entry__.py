@@ -67,6 +67,9 @@ VALUES = {  # one value per type, from a customer key
     "ip_address": "concat('10.0.0.', CAST(c_custkey % 256 AS STRING))",
     "date_of_birth": "concat('01/02/19', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'))",
 }
+# Texts of which some hold an injection pattern (valid in both engines).
+_SCREENED = """concat(text, CASE doc_id % 11 WHEN 1 THEN '; --' WHEN 2 THEN '; drop' WHEN 3 THEN '/*' WHEN 4 THEN '*/' WHEN 5 THEN ' xp_cmd'
+  WHEN 6 THEN ' EXEC x' WHEN 7 THEN ' execute y' WHEN 8 THEN ' executes' ELSE '' END)"""
 STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 
@@ -75,8 +78,9 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table whose rows are costly to scan."""
-    return read_table(spark, f"{sf}/{name}.parquet", spread=True)
+    """A table whose rows are costly to scan; a session may name how many tasks to deal it out to."""
+    partitions = spark.conf.get("spark.cloakframe.readPartitions", None)
+    return read_table(spark, f"{sf}/{name}.parquet", partitions=None if partitions is None else int(partitions))
 
 
 def all_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
@@ -212,19 +216,26 @@ def _tokenised(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return orders, customers
 
 
+def _buyers(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of orders' customers, with numbers that only some customers have."""
+    orders = t(spark, sf, "orders").selectExpr("o_custkey + o_custkey % 2 AS buyer")
+    return hash_table(orders, SALT, ["buyer"])
+
+
 def linkage_join(spark: SparkSession, sf: str) -> DataFrame:
     orders, customers = _tokenised(spark, sf)
     return linkage.link(orders, customers, "o_custkey", "c_custkey").select("o_orderkey", "o_orderstatus", "c_mktsegment", "c_nationkey")
 
 
 def linkage_semi(spark: SparkSession, sf: str) -> DataFrame:
-    orders, customers = _tokenised(spark, sf)
-    return linkage.link(customers, orders.where("o_orderstatus = 'P'"), "c_custkey", "o_custkey", "left_semi")
+    _, customers = _tokenised(spark, sf)
+    return linkage.link(customers, _buyers(spark, sf), "c_custkey", "buyer", "left_semi")
 
 
 def linkage_anti(spark: SparkSession, sf: str) -> DataFrame:
-    orders, customers = _tokenised(spark, sf)
-    return linkage.link(customers, orders, "c_custkey", "o_custkey", "left_anti")
+    _, customers = _tokenised(spark, sf)
+    some_null = customers.withColumn("c_custkey", F.expr("IF(c_nationkey = 7, 'HASH_NULL', c_custkey)"))
+    return linkage.link(some_null, _buyers(spark, sf), "c_custkey", "buyer", "left_anti")
 
 
 def linkage_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -318,7 +329,19 @@ def agg_any(spark: SparkSession, sf: str) -> DataFrame:
 
 def agg_approx(spark: SparkSession, sf: str) -> DataFrame:
     wanted = ["APPROX_DISTINCT(l_partkey) AS parts", "APPROX_PERCENTILE(l_quantity) AS median", "APPROX_PERCENTILE(l_quantity, 0.9) AS p90"]
-    return aggregate(t(spark, sf, "lineitem"), wanted, ["l_returnflag"])
+    lines = t(spark, sf, "lineitem")
+    near = aggregate(lines, wanted, ["l_returnflag"])
+    # the exact count, and between which shares of the rows the percentiles lie
+    exact = lines.groupBy("l_returnflag").agg(F.countDistinct("l_partkey").alias("exact_parts"), F.count(F.lit(1)).alias("n"))
+    ranks = lines.join(near, "l_returnflag").groupBy("l_returnflag").agg(
+        *[F.count_if(F.expr(f"l_quantity {op} {p}")).alias(f"{p}_{name}") for p in ("median", "p90") for op, name in (("<", "below"), ("<=", "upto"))]
+    )
+    both = near.join(exact, "l_returnflag").join(ranks, "l_returnflag")
+    inside = lambda p, q: F.expr(f"{p}_below <= {q} * n + 0.01 * n AND {p}_upto >= {q} * n - 0.01 * n")
+    return both.select(
+        "l_returnflag", "exact_parts", F.expr("abs(parts - exact_parts) <= 0.15 * exact_parts").alias("parts_near"),
+        inside("median", 0.5).alias("median_near"), inside("p90", 0.9).alias("p90_near"),
+    )
 
 
 def topk_nulls(spark: SparkSession, sf: str) -> DataFrame:
@@ -408,6 +431,37 @@ def _row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+# Names of every kind of rule, from a row's number (valid in both engines), and what the rules say about them.
+_NAMES = {
+    "email": ("exact_match", "high", "contact"), "Mobile": ("exact_match", "medium", "contact"), "ssn": ("exact_match", "critical", "identity"),
+    "iban": ("exact_match", "critical", "financial"), "bank_account": ("exact_match", "medium", "financial"),
+    "passwd": ("exact_match", "medium", "unknown"), "password": ("exact_match", "critical", "credentials"), "dob": ("exact_match", "high", "personal"),
+    "user_email": ("contains_pattern:_email", "high", "contact"), "first_name": ("contains_pattern:first_name", "medium", "personal"),
+    "ip_address": ("contains_pattern:address", "high", "location"), "capacity": ("contains_pattern:city", "medium", "location"),
+    "n_tokens": ("contains_pattern:_token", "medium", "credentials"), "country_code": ("contains_pattern:country", "medium", "unknown"),
+    "product_name": (None, "medium", "inferred"), "cell_tel": (None, "medium", "inferred"), "addr1": (None, "medium", "inferred"),
+    "variant_data": ("backend_override:snowflake", "medium", "backend_specific"), "created_at": ("", "none", None), "quantity": ("", "none", None),
+}
+_NAME_OF = "concat(CASE event_id % 20 " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NAMES)) + " END)"
+
+
+def label_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names taken from rows, under every rule: by whole name, fragment, pattern, backend, or none."""
+    names = t(spark, sf, "events").selectExpr("event_id", f"{_NAME_OF} AS column_name")
+    found = catalog.label_columns(names, backend="snowflake")
+    return found.select("event_id", "is_pii", "pii_sensitivity", "pii_category", F.expr("split(match_reason, ':')[0]").alias("rule"))
+
+
+def label_event_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """One catalog table per user, with critical and high columns."""
+    names = t(spark, sf, "events").selectExpr("'events' AS database", "CAST(user_id AS STRING) AS table", f"{_NAME_OF} AS column_name").distinct()
+    out = catalog.label_tables(catalog.label_columns(names, backend="snowflake"))
+    return out.select(
+        F.col("table").alias("tbl"), "has_pii", joined("pii_columns").alias("pii_columns"),
+        joined("critical_columns").alias("critical_columns"), joined("high_columns").alias("high_columns"),
+    )
+
+
 def table_labels(spark: SparkSession, sf: str) -> DataFrame:
     tables = all_tables(spark, sf)
     labels = catalog.label_tables(catalog.column_catalog(catalog.columns_of(spark, tables)))
@@ -458,6 +512,13 @@ def screen_requests(spark: SparkSession, sf: str) -> DataFrame:
     return screen.screen_intents(turns).drop("intent")
 
 
+# Every kind of SQL that an intent may hold, among harmless ends.
+_INTENT_ENDS = ["customer", "border", "region", "catalog", "from", "select", "where x", "join", "insert", "update", "delete", "drop",
+                "create", "alter", "grant", "revoke", "kind;", "a -- b", "a /* b", "selection"]
+_INTENT_ENDS_DUCK = "[" + ", ".join(f"'{e}'" for e in _INTENT_ENDS) + "]"
+_INTENT_ENDS_SPARK = "array(" + _INTENT_ENDS_DUCK[1:-1] + ")"
+
+
 def _event_requests(spark: SparkSession, sf: str) -> DataFrame:
     """A request per event: intents and fields that pass, and ones that fail each check."""
     return t(spark, sf, "events").selectExpr(
@@ -465,14 +526,16 @@ def _event_requests(spark: SparkSession, sf: str) -> DataFrame:
         "ts",
         "user_id",
         "element_at(array('snowflake', 'databricks', 'trino', 'bigquery', 'athena', 'oracle'), CAST(event_id % 6 AS INT) + 1) AS backend",
-        "concat('show ', event_type, ' totals by ', element_at(array('customer', 'border', 'region', 'catalog', 'from'), "
-        "CAST(user_id % 5 AS INT) + 1)) AS intent",
+        f"concat('show ', event_type, ' totals by ', element_at({_INTENT_ENDS_SPARK}, CAST(user_id % 20 AS INT) + 1)) AS intent",
         "CASE WHEN event_id % 11 = 3 THEN 'payroll' WHEN event_id % 11 = 5 THEN 'a b' END AS entity",
         "map(CASE WHEN event_id % 13 = 0 THEN 'bad key' ELSE 'kind' END, "
         "CASE WHEN event_id % 7 = 0 THEN concat(event_type, '; --x') ELSE event_type END) AS filters",
         "array(CASE WHEN event_id % 17 = 0 THEN '1x' ELSE 'kind' END) AS group_by",
-        "CAST(event_id % 1100 AS INT) AS limit",
-        "'mask' AS pii_policy",
+        "array(CASE event_id % 19 WHEN 0 THEN 'DROP(x)' WHEN 1 THEN 'SUM(*)' WHEN 2 THEN 'count( * ) as n' WHEN 3 THEN 'SUM(v, 0.5)' "
+        "WHEN 4 THEN 'approx_percentile(v, .9) AS p' WHEN 5 THEN 'AVG(v) AS 1n' ELSE 'MAX(v)' END) AS aggregations",
+        "array(CASE event_id % 23 WHEN 0 THEN '1; x' WHEN 1 THEN 'v desc nulls last' WHEN 2 THEN 'v DOWN' ELSE 'v' END) AS order_by",
+        "CASE WHEN event_id % 100 = 1 THEN NULL ELSE CAST(event_id % 1100 AS INT) END AS limit",
+        "element_at(array('mask', 'hash', 'deny', 'auto', 'mask', 'hash', 'nope'), CAST(event_id % 7 AS INT) + 1) AS pii_policy",
     )
 
 
@@ -484,7 +547,8 @@ def route_requests(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def value_screen(spark: SparkSession, sf: str) -> DataFrame:
-    return texts(spark, sf, "documents").selectExpr("doc_id", f"{screen.dangerous_value('text')} AS dangerous")
+    values = texts(spark, sf, "documents").selectExpr("doc_id", f"{_SCREENED} AS value")
+    return values.selectExpr("doc_id", f"{screen.dangerous_value('value')} AS dangerous")
 
 
 def filter_scan(spark: SparkSession, sf: str) -> DataFrame:
@@ -579,7 +643,7 @@ _QUERIES: list[Query] = [
     token_customer, lookup_tokens, token_check, token_quality, linkage_join, linkage_semi, linkage_anti, linkage_counts,
     tokenised_filter, tokenised_filter_raw, filter_eq, filter_null, filter_typed, agg_group, agg_global, agg_stats, agg_bool,
     agg_array, agg_any, agg_approx, topk_nulls, topk_null_defaults, topk_alias, backend_snowflake, backend_databricks,
-    backend_trino, backend_bigquery, backend_athena, labelled_catalog, table_labels, catalog_search, safe_columns,
+    backend_trino, backend_bigquery, backend_athena, labelled_catalog, table_labels, label_names, label_event_tables, catalog_search, safe_columns,
     sensitivity_cap, policy_auto, policy_floor, screen_requests, route_requests, value_screen, filter_scan, audit_events,
     audit_by_user, audit_timing, audit_sessions, audit_windows, stream_redact_documents, stream_quarantine,
     stream_audit_windows, object_inventory,
@@ -595,6 +659,11 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in _QUERIES} | (llm.queries() if llm else {})
 
 
+def core_names() -> list[str]:
+    """The queries of this library's own operators, without the optional part."""
+    return [q.__name__ for q in _QUERIES]
+
+
 def oracle_sql() -> dict[str, str]:
     return _oracles() | (llm.oracle_sql() if llm else {})
 
@@ -649,17 +718,17 @@ def _oracles() -> dict[str, str]:
     allow = {b: ", ".join(f"'{n}'" for n in sorted(get_profile(b).allowed_tables)) for b in ("trino", "athena")}
     requests = f"""req AS (SELECT event_id, ts, user_id,
  ['snowflake', 'databricks', 'trino', 'bigquery', 'athena', 'oracle'][event_id % 6 + 1] AS backend,
- concat('show ', event_type, ' totals by ', ['customer', 'border', 'region', 'catalog', 'from'][user_id % 5 + 1]) AS intent,
+ concat('show ', event_type, ' totals by ', {_INTENT_ENDS_DUCK}[user_id % 20 + 1]) AS intent,
  CASE WHEN event_id % 11 = 3 THEN 'payroll' WHEN event_id % 11 = 5 THEN 'a b' END AS entity,
  CASE WHEN event_id % 13 = 0 THEN 'bad key' ELSE 'kind' END AS fk,
  CASE WHEN event_id % 7 = 0 THEN concat(event_type, '; --x') ELSE event_type END AS fv,
- CASE WHEN event_id % 17 = 0 THEN '1x' ELSE 'kind' END AS gb, event_id % 1100 AS lim FROM events),
+ CASE WHEN event_id % 17 = 0 THEN '1x' ELSE 'kind' END AS gb, CASE WHEN event_id % 100 = 1 THEN NULL ELSE event_id % 1100 END AS lim FROM events),
 chk AS (SELECT *, {_sql_pattern('intent')} AS sql_pattern, {routed} AS routed_table,
  CASE WHEN {_dangerous('fv')} THEN fk ELSE '' END AS dangerous FROM req),
 res AS (SELECT *, CASE WHEN backend = 'oracle' THEN 'unknown backend'
  WHEN length(intent) NOT BETWEEN 5 AND 500 THEN 'intent length' WHEN sql_pattern IS NOT NULL THEN 'sql in intent'
- WHEN lim NOT BETWEEN 1 AND 1000 THEN 'limit out of range' WHEN fk = 'bad key' THEN 'filter key'
- WHEN gb = '1x' THEN 'group by column' WHEN routed_table IS NULL THEN 'no table'
+ WHEN lim NOT BETWEEN 1 AND 1000 THEN 'limit out of range' WHEN event_id % 7 = 6 THEN 'policy' WHEN fk = 'bad key' THEN 'filter key'
+ WHEN gb = '1x' THEN 'group by column' WHEN event_id % 19 IN (0, 1, 3, 5) THEN 'aggregation' WHEN event_id % 23 IN (0, 2) THEN 'order by' WHEN routed_table IS NULL THEN 'no table'
  WHEN routed_table = 'a b' THEN 'table name'
  WHEN backend = 'trino' AND routed_table NOT IN ({allow['trino']}) THEN 'table not allowed'
  WHEN backend = 'athena' AND routed_table NOT IN ({allow['athena']}) THEN 'table not allowed' END AS reject_reason FROM chk)"""
@@ -673,6 +742,10 @@ res AS (SELECT *, CASE WHEN backend = 'oracle' THEN 'unknown backend'
             "coalesce(string_agg(DISTINCT pii_type, ',' ORDER BY pii_type) FILTER (WHERE n_rows > 0), '') AS pii_types "
             f"FROM ({o.profile_sql([tbl])})"
         )
+    rule_of = lambda reason: "NULL" if reason == "" else "'regex_pattern'" if reason is None else f"'{reason.split(':')[0]}'"
+    _name_values = ", ".join(
+        f"({i}, '{n}', {rule_of(r)}, '{level}', {'NULL' if c is None else o.lit(c)})" for i, (n, (r, level, c)) in enumerate(_NAMES.items())
+    )
     windows = (
         "SELECT strftime(w, '{f}') AS window_start, strftime(w + INTERVAL 1 HOUR, '{f}') AS window_end, event_type, "
         "count(*) AS n_events FROM (SELECT date_trunc('hour', ts) AS w, event_type FROM events) "
@@ -698,8 +771,9 @@ res AS (SELECT *, CASE WHEN backend = 'oracle' THEN 'unknown backend'
         "token_quality": "SELECT count(*) FILTER (WHERE c_mktsegment <> 'BUILDING') AS tokens, CAST(0 AS BIGINT) AS null_tokens, "
         "count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS raw_values, CAST(0 AS BIGINT) AS nulls FROM customer",
         "linkage_join": "SELECT o_orderkey, o_orderstatus, c_mktsegment, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey",
-        "linkage_semi": f"SELECT {tok('CAST(c_custkey AS VARCHAR)')} AS c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
-        "linkage_anti": f"SELECT {tok('CAST(c_custkey AS VARCHAR)')} AS c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+        "linkage_semi": f"SELECT {tok('CAST(c_custkey AS VARCHAR)')} AS c_custkey, c_mktsegment, c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey + o_custkey % 2 FROM orders)",
+        "linkage_anti": f"SELECT CASE WHEN c_nationkey = 7 THEN 'HASH_NULL' ELSE {tok('CAST(c_custkey AS VARCHAR)')} END AS c_custkey, c_mktsegment, c_nationkey FROM customer "
+        "WHERE c_nationkey = 7 OR c_custkey NOT IN (SELECT o_custkey + o_custkey % 2 FROM orders)",
         "linkage_counts": f"SELECT {tok('CAST(k AS VARCHAR)')} AS token, left_rows, right_rows, left_rows * right_rows AS pairs FROM "
         "(SELECT o_custkey AS k, count(*) AS left_rows FROM orders GROUP BY 1) JOIN (SELECT user_id AS k, count(*) AS right_rows FROM events GROUP BY 1) USING (k)",
         "tokenised_filter": f"SELECT c_custkey, {tok(contact)} AS contact, c_mktsegment FROM customer WHERE {contact} = 'user42@example.com'",
@@ -717,6 +791,8 @@ res AS (SELECT *, CASE WHEN backend = 'oracle' THEN 'unknown backend'
         "agg_array": "SELECT l_orderkey, string_agg(coalesce(CAST(line AS VARCHAR), 'null'), ',' ORDER BY line NULLS LAST) AS lines, CAST(count(*) AS INTEGER) AS n_lines "
         "FROM (SELECT l_orderkey, nullif(l_linenumber, 3) AS line FROM lineitem) GROUP BY l_orderkey",
         "agg_any": "SELECT any_value(c_nationkey) AS nation, count(*) AS n, c_name FROM customer GROUP BY c_name",
+        "agg_approx": "SELECT l_returnflag, count(DISTINCT l_partkey) AS exact_parts, true AS parts_near, true AS median_near, true AS p90_near "
+        "FROM lineitem GROUP BY l_returnflag",
         "topk_nulls": f"SELECT * FROM {holes} ORDER BY priority DESC NULLS LAST, o_orderkey LIMIT 1000",
         "topk_null_defaults": " UNION ALL ".join(
             f"SELECT * FROM (SELECT o_orderkey, priority, '{b}' AS backend, '{way}' AS way FROM {holes} ORDER BY priority {way} NULLS {nulls}, o_orderkey LIMIT 100)"
@@ -740,6 +816,13 @@ FROM lab JOIN prof ON prof.tbl = lab.tbl AND prof.path = lab.column_name""",
 cnt AS ({counts})
 SELECT lab.tbl, bool_or(p) AS has_pii, coalesce(string_agg(column_name, ',' ORDER BY column_name) FILTER (WHERE p), '') AS pii_columns,
  '' AS critical_columns, '' AS high_columns, max(n_rows) AS n_rows FROM lab JOIN cnt ON cnt.tbl = lab.tbl GROUP BY lab.tbl""",
+        "label_names": f"SELECT event_id, rule IS NOT NULL AS is_pii, level AS pii_sensitivity, category AS pii_category, rule FROM events "
+        f"JOIN (VALUES {_name_values}) AS n(k, name, rule, level, category) ON event_id % 20 = k",
+        "label_event_tables": f"""SELECT CAST(user_id AS VARCHAR) AS tbl, bool_or(rule IS NOT NULL) AS has_pii,
+ coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (WHERE rule IS NOT NULL), '') AS pii_columns,
+ coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (WHERE level = 'critical'), '') AS critical_columns,
+ coalesce(string_agg(DISTINCT name, ',' ORDER BY name) FILTER (WHERE level IN ('critical', 'high')), '') AS high_columns
+ FROM events JOIN (VALUES {_name_values}) AS n(k, name, rule, level, category) ON event_id % 20 = k GROUP BY user_id""",
         "catalog_search": f"SELECT 'default' AS database, tbl, n_rows FROM ({counts}) WHERE contains(tbl, 'er')",
         "safe_columns": "SELECT p_partkey, p_brand, p_type, p_size, p_retailprice FROM part",
         "sensitivity_cap": "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier",
@@ -748,7 +831,7 @@ SELECT lab.tbl, bool_or(p) AS has_pii, coalesce(string_agg(column_name, ',' ORDE
         "screen_requests": f"SELECT conv_id, turn, sql_pattern, length_ok, sql_pattern IS NULL AND length_ok AS accepted FROM "
         f"(SELECT conv_id, turn, {_sql_pattern('text')} AS sql_pattern, length(text) BETWEEN 5 AND 500 AS length_ok FROM conversations)",
         "route_requests": f"WITH {requests} SELECT event_id, backend, routed_table, sql_pattern, dangerous, reject_reason FROM res",
-        "value_screen": f"SELECT doc_id, {_dangerous('text')} AS dangerous FROM documents",
+        "value_screen": f"SELECT doc_id, {_dangerous('value')} AS dangerous FROM (SELECT doc_id, {_SCREENED} AS value FROM documents)",
         "filter_scan": o.redact_query(
             "documents", "doc_id", "text",
             f"b.doc_id, concat_ws(',', CASE WHEN {o.any_hit('b.lang')} THEN 'lang' END, CASE WHEN {o.any_hit('b.text')} THEN 'text' END) AS pii_filters, "

@@ -44,6 +44,9 @@ def pads(salt: str) -> tuple[bytes, bytes]:
 
 
 def _hmac_hex(x: str, salt: str, n_bytes: int) -> str:
+    session = SparkSession.getActiveSession()
+    if session is not None:  # plans that hold the pads must not show them
+        hide_salt(session)
     inner, outer = (p.hex().upper() for p in pads(salt))
     first = f"unhex(sha2(concat(X'{inner}', encode({x}, 'UTF-8')), 256))"
     return f"upper(left(sha2(concat(X'{outer}', {first}), 256), {2 * n_bytes}))"
@@ -51,7 +54,7 @@ def _hmac_hex(x: str, salt: str, n_bytes: int) -> str:
 
 def token(x: str, salt: str) -> str:
     """``HASH_`` and 32 hex digits; null gives ``HASH_NULL``."""
-    return f"coalesce(concat({lit(TOKEN_PREFIX)}, {_hmac_hex(x, salt, TOKEN_BYTES)}), {lit(NULL_TOKEN)})"
+    return f"coalesce(concat({lit(TOKEN_PREFIX)}, {_hmac_hex(x, resolve_salt(salt), TOKEN_BYTES)}), {lit(NULL_TOKEN)})"
 
 
 def lookup_token(x: str, context: str, salt: str) -> str:
@@ -59,7 +62,7 @@ def lookup_token(x: str, context: str, salt: str) -> str:
 
     A null identifier is spelt ``None``, so that every row gets a token.
     """
-    digest = _hmac_hex(f"coalesce({x}, 'None')", f"{context}:{salt}", LOOKUP_BYTES)
+    digest = _hmac_hex(f"coalesce({x}, 'None')", f"{context}:{resolve_salt(salt)}", LOOKUP_BYTES)
     return f"concat({lit(context.upper() + LOOKUP_INFIX)}, {digest})"
 
 
@@ -84,10 +87,18 @@ def token_of(value: Any, salt: str) -> str:
     """Token of one literal on the driver (for filters on tokenised columns)."""
     if value is None:
         return NULL_TOKEN
+    salt = resolve_salt(salt)
     digest = hmac.new(salt.encode("utf-8"), str(value).encode("utf-8"), hashlib.sha256).digest()
     return TOKEN_PREFIX + digest[:TOKEN_BYTES].hex().upper()
 
 
+# A pad as SQL text and as plans print it.
+_PAD = r"(?i)(?:X'|0x)[0-9A-F]{128}'?"
+
+
 def hide_salt(spark: SparkSession) -> None:
     """Keep the HMAC pads, which are literals of the plan, out of displayed plans."""
-    spark.conf.set("spark.sql.redaction.string.regex", r"(?i)X'[0-9A-F]{128}'")
+    key = "spark.sql.redaction.string.regex"
+    before = spark.conf.get(key, None)
+    if not before or _PAD not in before:
+        spark.conf.set(key, f"{before}|{_PAD}" if before else _PAD)

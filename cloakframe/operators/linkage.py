@@ -24,8 +24,11 @@ def link(left: DataFrame, right: DataFrame, on: str, right_on: str | None = None
     other = right_on or on
     if how in ("left_semi", "left_anti"):
         keys = _real(right.select(F.col(other).alias("__token")), "__token").distinct()
-        base = left if how == "left_anti" else _real(left, on)
-        return base.join(keys, F.col(on) == F.col("__token"), how)
+        kept = _real(left, on).join(keys, F.col(on) == F.col("__token"), how)
+        if how == "left_semi":
+            return kept
+        # rows without a real token match nothing, so they need no join
+        return kept.unionByName(left.where(F.col(on).isNull() | (F.col(on) == NULL_TOKEN)))
     if how != "inner":
         raise ValueError("how must be inner, left_semi or left_anti")
     keyed = _real(right, other).withColumnRenamed(other, "__token")

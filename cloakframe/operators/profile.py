@@ -8,14 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions.sql import lit, name
-from cloakframe.operators.fields import Field, Scope, fields
+from cloakframe.operators.fields import Scope, fields
 from cloakframe.rules import DEFAULT_RULES, Rules
 
-# Places counted by one aggregate.  More would overflow the generated code; a
-# wider table is read in several column groups, each reading only its columns.
-GROUP = 25
-
-
 def profile_table(
     df: DataFrame,
     rules: Rules = DEFAULT_RULES,
@@ -24,24 +19,24 @@ def profile_table(
 ) -> DataFrame:
     """Rows ``(path, column, pii_type, n_rows, rows_scanned)``, one per place and type.
 
-    One conditional count per place and type in one scan: map-side partial sums,
-    one tiny row per task to exchange, whatever the size or skew of the table.
+    One scan of any number of columns: map-side partial counts per place and type,
+    a few tiny rows per task to exchange, whatever the size or skew of the table.
     Columns that are not scanned give one row with a null type.
     """
     places = fields(df.schema, scope, columns)
     rest = [c for c in columns or df.columns if c not in {p.column for p in places}]
-    groups = [places[i : i + GROUP] for i in range(0, len(places), GROUP)] or [[]]
-    parts = [_count(df, g, rules, scope, rest if i == 0 else []) for i, g in enumerate(groups)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _count(df: DataFrame, places: list[Field], rules: Rules, scope: Scope, rest: list[str]) -> DataFrame:
-    tests = [(p.path, p.column, d.name, p.holds(d, scope)) for p in places for d in rules.detections]
-    counters = [f"count_if({test}) AS n_{i}" for i, (_, _, _, test) in enumerate(tests) if test != "false"]
-    counts = [f"n_{i}" if test != "false" else "0L" for i, (_, _, _, test) in enumerate(tests)]
-    cells = [(path, column, lit(kind), n) for (path, column, kind, _), n in zip(tests, counts, strict=True)]
+    n_types = len(rules.detections)
+    codes = [p.codes(rules, scope, i * n_types) for i, p in enumerate(places)]
+    # a row gives one number for each place and type that it holds, and -1 for itself
+    hits = df.selectExpr(f"explode(concat(array(-1), {', '.join(codes) or 'array()'})) AS code")
+    counts = hits.groupBy("code").count().agg(F.map_from_entries(F.collect_list(F.struct("code", "count"))).alias("n"))
+    cells = [
+        (p.path, p.column, lit(d.name), f"coalesce(n[{i * n_types + j}], 0L)")
+        for i, p in enumerate(places)
+        for j, d in enumerate(rules.detections)
+    ]
     cells += [(c, c, "CAST(NULL AS STRING)", "0L") for c in rest]
-    return unfold_counts(df.selectExpr("count(1) AS rows_scanned", *counters), cells)
+    return unfold_counts(counts.selectExpr("n", "coalesce(n[-1], 0L) AS rows_scanned"), cells)
 
 
 def unfold_counts(totals: DataFrame, cells: list[tuple[str, str, str, str]]) -> DataFrame:

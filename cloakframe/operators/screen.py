@@ -9,12 +9,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from cloakframe.functions.detect import has_pii
+from cloakframe.functions.detect import FOUND, found
 from cloakframe.functions.mask import redact
 from cloakframe.functions.regex import java_pattern
-from cloakframe.functions.sql import any_of, array, lit
-from cloakframe.functions.tokens import token
-from cloakframe.plans.request import DANGEROUS_VALUES, IDENTIFIER, INTENT_LENGTH, LIMIT_RANGE, SQL_PATTERNS
+from cloakframe.functions.sql import any_of, array, let, lit, name
+from cloakframe.functions.tokens import resolve_salt, token
+from cloakframe.plans.request import (
+    DANGEROUS_VALUES,
+    FUNCTIONS,
+    IDENTIFIER,
+    INTENT_LENGTH,
+    LIMIT_RANGE,
+    POLICIES,
+    SQL_PATTERNS,
+)
 from cloakframe.rules import DEFAULT_RULES, Rules
 from cloakframe.sources.profiles import backends, get_profile
 
@@ -35,8 +43,36 @@ def intent_length_ok(x: str) -> str:
 
 
 def limit_ok(x: str) -> str:
+    """Within the bounds; without a limit all rows are meant."""
     low, high = LIMIT_RANGE
-    return f"coalesce({x} BETWEEN {low} AND {high}, false)"
+    return f"({x} IS NULL OR {x} BETWEEN {low} AND {high})"
+
+
+# One aggregate and one sort key, as ``parse_aggregate`` and ``parse_sort`` accept them.
+_ALIAS = rf"(?:\s+AS\s+{IDENTIFIER})?"
+_PLAIN = "|".join(f for f in FUNCTIONS if f not in ("COUNT", "APPROX_PERCENTILE"))
+_AGGREGATE = (
+    rf"^\s*(?:COUNT\s*\(\s*(?:\*|{IDENTIFIER})\s*\)|(?:{_PLAIN})\s*\(\s*{IDENTIFIER}\s*\)"
+    rf"|APPROX_PERCENTILE\s*\(\s*{IDENTIFIER}\s*(?:,\s*(?:0?\.\d+|[01](?:\.0*)?)\s*)?\)){_ALIAS}\s*\Z"
+)
+_SORT_KEY = rf"^\s*{IDENTIFIER}(?:\s+(?:ASC|DESC))?(?:\s+NULLS\s+(?:FIRST|LAST))?\s*\Z"
+
+
+def all_match(x: str, pattern: str) -> str:
+    """Every item of an array matches (null and empty pass)."""
+    return f"coalesce(forall({x}, __n -> coalesce(__n RLIKE {lit(java_pattern(pattern))}, false)), true)"
+
+
+def aggregations_ok(x: str) -> str:
+    return all_match(x, _AGGREGATE)
+
+
+def sort_keys_ok(x: str) -> str:
+    return all_match(x, _SORT_KEY)
+
+
+def policy_ok(x: str) -> str:
+    return f"coalesce(array_contains({array([lit(p) for p in POLICIES], 'STRING')}, {x}), false)"
 
 
 def identifier_ok(x: str) -> str:
@@ -84,7 +120,14 @@ def screen_intents(df: DataFrame, intent: str = "intent") -> DataFrame:
 
 
 def screen_requests(df: DataFrame) -> DataFrame:
-    """Add routing, every check, and the first ``reject_reason`` of each request."""
+    """Add routing, every check, and the first ``reject_reason`` of each request.
+
+    A request without a reason is one that ``Request.checked`` accepts, for a known
+    backend and an allowed table.  Columns that the table lacks count as null.
+    """
+    for column, kind in (("aggregations", "array<string>"), ("order_by", "array<string>")):
+        if column not in df.columns:
+            df = df.selectExpr("*", f"CAST(NULL AS {kind}) AS {column}")
     known = array([lit(b) for b in backends() if get_profile(b).kind == "table"], "STRING")
     checked = df.selectExpr(
         "*",
@@ -97,8 +140,12 @@ def screen_requests(df: DataFrame) -> DataFrame:
         "intent length": f"NOT {intent_length_ok('intent')}",
         "sql in intent": "sql_pattern IS NOT NULL",
         "limit out of range": f"NOT {limit_ok('`limit`')}",
+        "policy": f"NOT {policy_ok('pii_policy')}",
         "filter key": f"NOT {names_ok('map_keys(filters)')}",
         "group by column": f"NOT {names_ok('group_by')}",
+        "group by without aggregation": "size(coalesce(group_by, array())) > 0 AND size(coalesce(aggregations, array())) = 0",
+        "aggregation": f"NOT {aggregations_ok('aggregations')}",
+        "order by": f"NOT {sort_keys_ok('order_by')}",
         "no table": "routed_table IS NULL",
         "table name": f"NOT {identifier_ok('routed_table')}",
         "table not allowed": f"NOT {table_allowed('backend', 'routed_table')}",
@@ -109,11 +156,20 @@ def screen_requests(df: DataFrame) -> DataFrame:
 
 def scan_filters(df: DataFrame, salt: str, filters: str = "filters", rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Add ``pii_filters`` (keys whose values hold personal data), ``safe_filters``
-    (those values as tokens) and ``logged_filters`` (values masked, for logs)."""
-    safe = f"IF({has_pii('__v', rules)}, {token('__v', salt)}, __v)"
-    return df.selectExpr(
-        "*",
-        f"array_sort(map_keys(map_filter({filters}, (__k, __v) -> {has_pii('__v', rules)}))) AS pii_filters",
-        f"transform_values({filters}, (__k, __v) -> {safe}) AS safe_filters",
-        f"transform_values({filters}, (__k, __v) -> {redact('__v', rules)}) AS logged_filters",
+    (those values as tokens) and ``logged_filters`` (values masked, for logs).
+
+    Each value is searched once; the three forms come from what was found in it.
+    """
+    salt = resolve_salt(salt)
+    forms = (
+        f"struct(size(__f) > 0 AS hit, IF(size(__f) > 0, {token('__v', salt)}, __v) AS safe, "
+        f"{redact('__v', rules, hits='__f')} AS logged)"
+    )
+    hits = f"coalesce({found('__v', rules)}, {array([], FOUND)})"
+    scanned = f"transform_values({filters}, (__k, __v) -> {let(hits, '__f', forms)})"
+    return df.selectExpr("*", f"{scanned} AS __forms").selectExpr(
+        *[name(c) for c in df.columns],
+        "array_sort(map_keys(map_filter(__forms, (__k, __v) -> __v.hit))) AS pii_filters",
+        "transform_values(__forms, (__k, __v) -> __v.safe) AS safe_filters",
+        "transform_values(__forms, (__k, __v) -> __v.logged) AS logged_filters",
     )

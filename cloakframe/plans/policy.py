@@ -18,9 +18,9 @@ from pyspark.sql import types as T
 from cloakframe.functions.mask import apply_mask, redact
 from cloakframe.functions.names import match_reason, name_sensitivity, sensitivity_rank
 from cloakframe.functions.sql import any_of, array, lit, name
-from cloakframe.functions.text import pii_text
+from cloakframe.functions.text import STRINGS, pii_text
 from cloakframe.functions.tokens import resolve_salt, token
-from cloakframe.operators.fields import Scope, fields, map_text
+from cloakframe.operators.fields import Scope, fields, map_text, scanned
 from cloakframe.operators.profile import profile_table, unfold_counts
 from cloakframe.operators.protect import hash_table, redact_table, star_columns
 from cloakframe.plans.request import POLICIES, PolicyDenied
@@ -29,12 +29,21 @@ from cloakframe.rules import DEFAULT_RULES, POLICY_RANK, SENSITIVITY_RANK, Mask,
 
 @dataclass
 class SecureResult:
-    """A protected result.  ``df`` is the data, ``summary`` one row about it."""
+    """A protected result.  ``df`` is the data, ``summary`` one row about it.
+
+    A staged result has files in the shared folder until ``release()``.
+    """
 
     df: DataFrame
     summary: DataFrame
     columns: list[str] = field(default_factory=list)
     metadata: dict[str, Any] = field(default_factory=dict)
+    staged: DataFrame | None = None
+
+    def release(self) -> None:
+        """Delete the staged files; the result can't be read any more."""
+        if self.staged is not None:
+            drop_copy(self.staged)
 
 
 def reliable_copy(df: DataFrame) -> DataFrame:
@@ -48,6 +57,15 @@ def reliable_copy(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_copy(staged: DataFrame) -> None:
+    """Delete the files of a ``reliable_copy``."""
+    spark = staged.sparkSession
+    file = staged._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate results."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -114,9 +132,17 @@ def _ranks(ranks: dict[str, int]) -> str:
 
 
 def summarise(
-    profile: DataFrame, columns: list[str], policy: str, rules: Rules = DEFAULT_RULES, backend: str | None = None
+    profile: DataFrame,
+    columns: list[str],
+    policy: str,
+    rules: Rules = DEFAULT_RULES,
+    backend: str | None = None,
+    unmasked: list[str] = [],
 ) -> DataFrame:
-    """One row: ``row_count, columns, policy_applied, pii_detected, columns_processed, pii_types``."""
+    """One row: ``row_count, columns, policy_applied, pii_detected, columns_processed, columns_left, pii_types``.
+
+    ``columns_left`` are columns with finds in places that masking leaves as they are.
+    """
     named = array([lit(c) for c in rules.named_pii(columns, backend)], "STRING")
     seen = profile.selectExpr(
         "max(rows_scanned) AS row_count",
@@ -130,10 +156,27 @@ def summarise(
         f"{lit(policy)} AS policy_applied",
         f"size({processed}) > 0 AS pii_detected",
         f"{processed} AS columns_processed",
+        f"IF(row_count > 0, array_sort(array_intersect(found, {array([lit(c) for c in unmasked], 'STRING')})), "
+        f"{array([], 'STRING')}) AS columns_left",
         "pii_types",
     )
 
 
+def left_by_mask(schema: T.StructType, scope: Scope, numbers: bool) -> list[str]:
+    """Columns with scanned places that masking doesn't change: numbers (unless ``numbers``), nested numbers, map keys."""
+
+    def left(dtype: T.DataType, top: bool) -> bool:
+        if isinstance(dtype, T.StructType):
+            return any(left(f.dataType, False) for f in dtype.fields)
+        if isinstance(dtype, T.ArrayType):
+            return left(dtype.elementType, False)
+        if isinstance(dtype, T.MapType):
+            return scanned(dtype.keyType, scope) or left(dtype.valueType, False)
+        return scope.covers(dtype) and not isinstance(dtype, STRINGS) and not (top and numbers)
+
+    return [f.name for f in schema.fields if left(f.dataType, True)]
+
+
 # -- doing it -----------------------------------------------------------------
 def apply_policy(
     df: DataFrame,
@@ -146,6 +189,7 @@ def apply_policy(
     enforce_levels: bool = False,
     overlap: str = "each",
     repeatable: bool = True,
+    numbers: bool = False,
 ) -> SecureResult:
     """Protect a table under a policy.
 
@@ -156,9 +200,10 @@ def apply_policy(
     if policy not in POLICIES:
         raise ValueError(f"unknown policy '{policy}', choose one of {POLICIES}")
     if not repeatable:
-        return _apply_staged(df, policy, rules, backend, salt, scope, mask_classified, enforce_levels, overlap)
+        return _apply_staged(df, policy, rules, backend, salt, scope, mask_classified, enforce_levels, overlap, numbers)
     profile = profile_table(df, rules, scope=scope)
-    summary = summarise(profile, df.columns, policy, rules, backend)
+    unmasked = left_by_mask(df.schema, scope, numbers) if policy == "mask" else []
+    summary = summarise(profile, df.columns, policy, rules, backend, unmasked)
     if policy == "mask" and not enforce_levels:
         # a value without a find stays as it is, so no column need be singled out
         actions = dict.fromkeys(df.columns, "mask")
@@ -170,7 +215,7 @@ def apply_policy(
     hashed = [c for c, a in actions.items() if a == "hash"]
     out = df
     if masked:
-        out = redact_table(out, masked, rules, overlap)
+        out = redact_table(out, masked, rules, overlap, numbers)
     if starred:
         out = star_columns(out, starred)
     if hashed:
@@ -188,7 +233,7 @@ def _decide(profile: DataFrame, policy: str, rules: Rules, backend: str | None,
     return {r["column"]: r["action"] for r in rows}
 
 
-def _apply_staged(df, policy, rules, backend, salt, scope, mask_classified, enforce_levels, overlap) -> SecureResult:
+def _apply_staged(df, policy, rules, backend, salt, scope, mask_classified, enforce_levels, overlap, numbers) -> SecureResult:
     """Stage every protected form of every value, then pick one form per column.
 
     What is written holds no value that was found or named as personal data,
@@ -197,12 +242,19 @@ def _apply_staged(df, policy, rules, backend, salt, scope, mask_classified, enfo
     named = set(rules.named_pii(df.columns, backend))
     key = resolve_salt(salt) if policy in ("hash", "auto") or enforce_levels else None
     secret = named if policy in ("hash", "deny") else set()
+    if enforce_levels:  # a name's own level already forbids masking it
+        secret |= {c for c in named if POLICY_RANK[rules.weakest_allowed(rules.label(c, backend).sensitivity)] > POLICY_RANK["mask"]}
     staged = reliable_copy(
-        df.selectExpr(*[_forms(f, rules, scope, key, f.name in secret, overlap) for f in df.schema.fields])
+        df.selectExpr(*[_forms(f, rules, scope, key, f.name in secret, overlap, numbers) for f in df.schema.fields])
     )
-    profile = _profile_staged(staged, rules)
-    summary = summarise(profile, df.columns, policy, rules, backend)
-    actions = _decide(profile, policy, rules, backend, enforce_levels)
+    try:
+        profile = _profile_staged(staged, rules)
+        unmasked = left_by_mask(df.schema, scope, numbers) if policy == "mask" else []
+        summary = summarise(profile, df.columns, policy, rules, backend, unmasked)
+        actions = _decide(profile, policy, rules, backend, enforce_levels)
+    except Exception:
+        drop_copy(staged)
+        raise
 
     def final(column: str) -> str:
         form = {"pass": "clean", "mask": "masked", "hash": "token"}[actions.get(column, "pass")]
@@ -210,16 +262,20 @@ def _apply_staged(df, policy, rules, backend, salt, scope, mask_classified, enfo
             form = "stars"
         return f"{name(column)}.{form} AS {name(column)}"
 
-    return SecureResult(staged.selectExpr(*[final(c) for c in df.columns]), summary, df.columns)
+    return SecureResult(staged.selectExpr(*[final(c) for c in df.columns]), summary, df.columns, staged=staged)
 
 
-def _forms(f: T.StructField, rules: Rules, scope: Scope, salt: str | None, secret: bool, overlap: str) -> str:
+def _forms(
+    f: T.StructField, rules: Rules, scope: Scope, salt: str | None, secret: bool, overlap: str, numbers: bool = False
+) -> str:
     """All protected forms of one column as a struct; ``clean`` only where nothing was found."""
     x, text = name(f.name), pii_text(name(f.name), f.dataType)
     places = fields(T.StructType([f]), scope)
     kinds = [f"IF({any_of(p.holds(d, scope) for p in places)}, {lit(d.name)}, NULL)" for d in rules.detections]
     types = f"array_compact({array(kinds if places else [], 'STRING')})"
     masked = map_text(x, f.dataType, lambda v: redact(v, rules, overlap))
+    if numbers and isinstance(f.dataType, T.NumericType) and scope.covers(f.dataType):
+        masked = redact(text, rules, overlap)
     hidden = "NULL"
     return f"""struct(
         IF({lit(secret)} OR size({types}) > 0, {hidden}, {x}) AS clean,

@@ -10,8 +10,6 @@ from typing import Any
 # Bounds, allowed functions and the shapes of the small expressions.
 INTENT_LENGTH = (5, 500)
 LIMIT_RANGE = (1, 1000)
-DEFAULT_LIMIT = 100
-MAX_ROWS = 1000
 POLICIES = ("mask", "hash", "deny", "auto")
 FUNCTIONS = (
     "COUNT", "SUM", "AVG", "MIN", "MAX", "STDDEV", "VARIANCE", "ARRAY_AGG", "BOOL_AND",
@@ -69,7 +67,7 @@ class Request:
     aggregations: tuple[str, ...] = ()
     group_by: tuple[str, ...] = ()
     order_by: tuple[str, ...] = ()
-    limit: int = DEFAULT_LIMIT
+    limit: int | None = None
     pii_policy: str = "mask"
 
     @classmethod
@@ -80,16 +78,17 @@ class Request:
         lists = {k: tuple(spec[k] or ()) for k in ("aggregations", "group_by", "order_by") if k in spec}
         return cls(**{**spec, **lists, "filters": dict(spec.get("filters") or {})})
 
-    def checked(self) -> Request:
+    def checked(self, most_rows: int = LIMIT_RANGE[1]) -> Request:
+        """``most_rows`` is the largest limit a caller may write; without a limit all rows are meant."""
         low, high = INTENT_LENGTH
         if not low <= len(self.intent) <= high:
             raise RequestError(f"the intent must have {low} to {high} characters")
         for p in SQL_PATTERNS:
             if re.search(p, self.intent, re.IGNORECASE):
                 raise RequestError(f"the intent looks like SQL (matches {p}); describe what you need in words")
-        low, high = LIMIT_RANGE
-        if isinstance(self.limit, bool) or not isinstance(self.limit, int) or not low <= self.limit <= high:
-            raise RequestError(f"the limit must be {low} to {high}")
+        low, n = LIMIT_RANGE[0], self.limit
+        if n is not None and (isinstance(n, bool) or not isinstance(n, int) or not low <= n <= most_rows):
+            raise RequestError(f"the limit must be {low} to {most_rows}")
         if self.pii_policy not in POLICIES:
             raise RequestError(f"unknown policy '{self.pii_policy}', choose one of {POLICIES}")
         for name in (*self.filters, *self.group_by):

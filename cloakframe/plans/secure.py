@@ -14,7 +14,7 @@ from cloakframe.functions.tokens import resolve_salt, token_of
 from cloakframe.operators.fields import Scope, fields
 from cloakframe.operators.relational import aggregate, filter_equal, filter_token, order_limit
 from cloakframe.plans.policy import SecureResult, apply_policy
-from cloakframe.plans.request import MAX_ROWS, Request, RequestError, check_identifier
+from cloakframe.plans.request import LIMIT_RANGE, Request, RequestError, check_identifier
 from cloakframe.rules import DEFAULT_RULES, Rules
 from cloakframe.sources import catalog, inventory
 from cloakframe.sources.profiles import Profile, get_profile
@@ -24,17 +24,24 @@ from cloakframe.sources.profiles import Profile, get_profile
 class Settings:
     """What a deployment chooses.  ``match`` says how a filter value that is itself
     personal data is looked up: ``token`` compares its token with a tokenised
-    column, ``raw`` compares it with the token of every value of a raw column."""
+    column, ``raw`` compares it with the token of every value of a raw column.
+
+    ``max_rows`` is the deployment's ceiling: no caller may ask for more, and a request
+    without a limit is cut there (``truncated`` in the metadata says whether it was).
+    Without a ceiling such a request returns all rows.  ``consistent`` stages a masked
+    result before it is summarised; by default wherever a limit may return other rows
+    when it is read again.  ``numbers`` masks numbers too."""
 
     rules: Rules = DEFAULT_RULES
     salt: str | None = None
     scope: Scope = Scope()
-    max_rows: int = MAX_ROWS
+    max_rows: int | None = None
     match: str = "token"
     mask_classified: bool = False
     enforce_levels: bool = False
     overlap: str = "each"
-    consistent: bool = False
+    consistent: bool | None = None
+    numbers: bool = False
     allowed_buckets: tuple[str, ...] = ()
     allowed_prefixes: tuple[str, ...] = ()
     catalog: DataFrame | None = None
@@ -44,7 +51,7 @@ def plan_request(
     spark: SparkSession, request: Request, settings: Settings = Settings(), profile: Profile | None = None
 ) -> DataFrame:
     """The unprotected result as one lazy plan (filters and limits come before any policy)."""
-    request = request.checked()
+    request = request.checked(settings.max_rows or LIMIT_RANGE[1])
     profile = profile or get_profile(request.backend)
     if profile.kind == "object":
         return _list_objects(spark, request, settings)
@@ -57,10 +64,14 @@ def plan_request(
     df = _filter(df, request.filters, settings, profile)
     if request.aggregations:
         df = aggregate(df, request.aggregates(), request.group_by)
-    df = order_limit(df, request.sort_keys(), min(request.limit, settings.max_rows), profile)
+    df = order_limit(df, request.sort_keys(), _limit(request, settings), profile)
     return profile.render(df)
 
 
+def _limit(request: Request, settings: Settings) -> int | None:
+    return settings.max_rows if request.limit is None else request.limit
+
+
 def _filter(df: DataFrame, filters: dict[str, Any], settings: Settings, profile: Profile) -> DataFrame:
     plain = {}
     for name, value in filters.items():
@@ -84,7 +95,7 @@ def _list_objects(spark: SparkSession, request: Request, settings: Settings) ->
         spark,
         request.entity,
         request.filters.get("prefix", ""),
-        min(request.limit, settings.max_rows),
+        _limit(request, settings),
         list(settings.allowed_buckets),
         list(settings.allowed_prefixes),
     )
@@ -98,11 +109,15 @@ def secure_query(
 ) -> SecureResult:
     """Run a request under its policy.
 
-    Masking stays lazy.  The other policies look at the limited result first; it
-    is staged, so that what was judged is what is returned.
+    Masking of unlimited results stays lazy, so an error in the data shows when they are
+    read.  The other policies look at the result first; it, and every limited result, is
+    staged, so that what was judged and summarised is what is returned.
     """
     profile = profile or get_profile(request.backend)
     df = plan_request(spark, request, settings, profile)
+    cut = request.limit is None and settings.max_rows is not None
+    lazy = request.pii_policy == "mask" and not settings.enforce_levels
+    consistent = _limit(request, settings) is not None if settings.consistent is None else settings.consistent
     result = apply_policy(
         df,
         request.pii_policy,
@@ -113,9 +128,14 @@ def secure_query(
         settings.mask_classified,
         settings.enforce_levels,
         settings.overlap,
-        repeatable=request.pii_policy == "mask" and not settings.enforce_levels and not settings.consistent,
+        repeatable=lazy and not consistent,
+        numbers=settings.numbers,
     )
-    return replace(result, metadata={"backend": request.backend.lower(), "invocation_id": f"inv_{uuid.uuid4()}"})
+    metadata = {"backend": request.backend.lower(), "invocation_id": f"inv_{uuid.uuid4()}"}
+    if cut:
+        whole = plan_request(spark, replace(request, order_by=()), replace(settings, max_rows=settings.max_rows + 1), profile)
+        metadata["truncated"] = whole.count() > settings.max_rows
+    return replace(result, metadata=metadata)
 
 
 @dataclass

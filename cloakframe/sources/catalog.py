@@ -14,7 +14,6 @@ COLUMNS_SCHEMA = (
     "database string, table string, description string, column_name string, data_type string, "
     "nullable boolean, is_partition boolean, comment string, position int"
 )
-SEARCH_LIMIT = 100  # fixed value: a table search returns at most this many
 
 
 def columns_of(spark: SparkSession, tables: dict[str, DataFrame], database: str = "default") -> DataFrame:
@@ -122,12 +121,15 @@ def list_databases(catalog: DataFrame) -> DataFrame:
     return catalog.select(F.col("database").alias("database_name")).distinct().orderBy("database_name")
 
 
-def search_tables(catalog: DataFrame, text: str, database: str | None = None) -> DataFrame:
-    """Tables whose name contains the text, at most ``SEARCH_LIMIT``, sorted."""
+def search_tables(
+    catalog: DataFrame, text: str, database: str | None = None, limit: int | None = None
+) -> DataFrame:
+    """Tables whose name contains the text, sorted; with ``limit`` the first of them."""
     chosen = catalog.where(F.lower("table").contains(text.lower()))
     if database is not None:
         chosen = chosen.where(F.col("database") == database)
-    return chosen.select("database", "table", "description").distinct().orderBy("database", "table").limit(SEARCH_LIMIT)
+    hits = chosen.select("database", "table", "description").distinct().orderBy("database", "table")
+    return hits if limit is None else hits.limit(limit)
 
 
 def answer_intent(catalog: DataFrame, intent: str, entity: str | None = None, database: str | None = None) -> DataFrame:

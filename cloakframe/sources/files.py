@@ -1,29 +1,16 @@
-"""Reading file tables, and spreading small ones over the cores."""
+"""Reading file tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Inputs at least this large have enough splits of their own.
-SMALL_BYTES = 1 << 30
 
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", partitions: int | None = None) -> DataFrame:
+    """A table from files; Spark splits large files by itself.
 
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    """Size of the files behind a path, from their listing."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-
-
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", spread: bool = False) -> DataFrame:
-    """A table from files.
-
-    A small file is often one row group (or one unsplittable archive) and so one
-    task.  With ``spread``, such an input is dealt out to all cores, which pays
-    when the work per row is large, as in scanning text.  Inputs of
-    ``SMALL_BYTES`` or more are never shuffled for this.
+    A file that is one row group (or one unsplittable archive) is one task.  A
+    caller who knows that its rows are costly can have them dealt out to
+    ``partitions`` tasks, at the price of one shuffle of the table.
     """
     df = spark.read.format(fmt).load(path)
-    if spread and stored_bytes(spark, path) < SMALL_BYTES:
-        return df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    return df if partitions is None else df.repartition(partitions)

@@ -13,7 +13,7 @@ from cloakframe.operators.profile import profile_table
 from cloakframe.plans.policy import decisions
 from cloakframe.sources import inventory
 from cloakframe.sources.audit_log import AUDIT_SCHEMA, append_audit, append_audit_stream, read_audit
-from cloakframe.sources.files import read_table, stored_bytes
+from cloakframe.sources.files import read_table
 from cloakframe.streaming.protect import append_stream, protect_stream, quarantine_stream
 from cloakframe.streaming.windows import audit_counts
 
@@ -162,14 +162,43 @@ def test_partitions(spark, tmp_path):
     assert inventory.list_partitions(inventory.objects(spark, root), 2).count() == 2
 
 
-def test_small_inputs_are_spread(spark, tmp_path, monkeypatch):
+def test_reading_shuffles_only_when_asked(spark, tmp_path):
     path = str(tmp_path / "one")
     spark.range(100).coalesce(1).write.parquet(path)
-    assert stored_bytes(spark, path) > 0
-    assert read_table(spark, path, spread=True).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    monkeypatch.setattr("cloakframe.sources.files.SMALL_BYTES", 0)
-    plan = read_table(spark, path, spread=True)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan
+    assert "Exchange" not in read_table(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert read_table(spark, path, partitions=5).rdd.getNumPartitions() == 5
+
+
+def test_screening_equals_checking(spark):
+    """A table of requests and single requests get the same verdict."""
+    from itertools import product
+
+    from cloakframe.plans.request import Request, RequestError
+
+    aggregations = [[], ["COUNT(*)"], ["count( x ) as n", "Sum(v)"], ["SUM(*)"], ["DROP(x)"], ["approx_percentile(v, .5)"],
+                    ["APPROX_PERCENTILE(v, 2)"], ["AVG(v) AS 1n"], ["MAX(v) x"]]
+    orders = [[], ["v"], ["v desc", "w NULLS first"], ["1; x"], ["v DOWN"], ["v\n"]]
+    rows = [
+        ("trino", "show all orders", None, {}, a, g, o, n, p)
+        for a, g, o, (n, p) in product(aggregations, [[], ["k"], ["a b"]], orders, [(5, "mask"), (None, "auto"), (5, "nope"), (1001, "mask")])
+    ]
+    schema = ("backend string, intent string, entity string, filters map<string,string>, aggregations array<string>, "
+              "group_by array<string>, order_by array<string>, limit int, pii_policy string")
+    got = screen.screen_requests(spark.createDataFrame(rows, schema).coalesce(1)).select("reject_reason").collect()
+    for r, row in zip(got, rows, strict=True):
+        try:
+            Request(row[0], row[1], None, {}, tuple(row[4]), tuple(row[5]), tuple(row[6]), row[7], row[8]).checked()
+            fine = True
+        except RequestError:
+            fine = False
+        assert fine == (r[0] is None), (row, r[0])
+
+
+def test_searches_return_all_matches(spark):
+    from cloakframe.sources import catalog as cat
+
+    columns = spark.range(150).selectExpr("'d' AS database", "concat('tab', id) AS table", "'' AS description")
+    assert cat.search_tables(columns, "tab").count() == 150 and cat.search_tables(columns, "tab", limit=7).count() == 7
 
 
 # -- streams -------------------------------------------------------------------

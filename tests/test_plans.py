@@ -25,7 +25,7 @@ def docs(spark, sf001):
     return spark.read.parquet(f"{sf001}/documents.parquet")
 
 
-@pytest.mark.parametrize("name", [n for n in registry.queries() if not n.startswith("stream_")])
+@pytest.mark.parametrize("name", [n for n in registry.core_names() if not n.startswith("stream_")])
 def test_no_python_and_no_cross_join(spark, sf001, name):
     text = plan(registry.queries()[name](spark, sf001))
     for node in ("PythonUDF", "ArrowEval", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):

@@ -59,7 +59,7 @@ def test_bad_requests(bad):
     "Get total sales by region for Q4 2024", "Show customer counts by region", "Find high-value orders this month",
     "List active users in EMEA", "creates joined selections", "x" * 500])
 def test_good_intents(intent):
-    assert Request("trino", intent).checked().limit == 100
+    assert Request("trino", intent).checked().limit is None
 
 
 def test_parsing():
