@@ -42,6 +42,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """``row``, all columns of ``df`` as one, and further columns, whose names then can't clash with them."""
+    return df.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in more.items()])
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def running_total(df: DataFrame, keys: list[str], bucket: str, order: list[Column], size: Column, total: str) -> DataFrame:
     """Adds ``total``: the sum of ``size`` over the rows of the same keys up to and with this one, by bucket and then by order.
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.frames import WORD, saved
+from cloakframe.llm.frames import WORD, packed, saved
 
 BUCKETS = 4096
 WEIGHTS = (1, 2, 3)
@@ -95,5 +95,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     taken = mix(docs, id_col, text_col, source_col, **how)
     copies = F.col("epochs") + F.when((F.col("size") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
     times = taken.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), copies.cast("int").alias("_n")).filter("_n > 0").distinct()
-    same = docs[id_col].eqNullSafe(times["_id"]) & docs[source_col].eqNullSafe(times["_source"])
-    return docs.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_id", "_source", "_n", "_copy")
+    rows = packed(docs, key=F.col(id_col), source=F.col(source_col).cast("string"))
+    both = rows.join(times, rows["key"].eqNullSafe(times["_id"]) & rows["source"].eqNullSafe(times["_source"]))
+    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")

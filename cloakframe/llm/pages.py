@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.frames import importable, utf8
+from cloakframe.llm.frames import importable, unused, utf8
 
 SAMPLE = 256
 #: Costs: of an element or class name that tells, and of cutting between neighbours at distance 0.
@@ -307,18 +307,19 @@ def extract(pages: DataFrame, weights: np.ndarray, html_col: str = "html", out:
     from pyspark.sql.types import StringType, StructType
 
     importable(pages.sparkSession)
-    rows = pages.drop(out).withColumn("_html", F.col(html_col).cast("string"))
-    schema = StructType([f for f in rows.schema.fields if f.name != "_html"]).add(out, StringType())
+    page = unused(pages, "_html")
+    rows = pages.withColumn(page, F.col(html_col).cast("string")).drop(out)
+    schema = StructType([f for f in rows.schema.fields if f.name != page]).add(out, StringType())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = utf8(batch.column("_html"))[1]
+            at = utf8(batch.column(page))[1]
             a = 0
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(at, at[a] + (1 << 20), "right")) - 1)
                 part = batch.slice(a, b - a)
                 a = b
-                keep = [n for n in part.schema.names if n != "_html"]
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in keep], pa.array(_texts(part.column("_html"), weights), pa.string())], [*keep, out])
+                keep = [n for n in part.schema.names if n != page]
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in keep], pa.array(_texts(part.column(page), weights), pa.string())], [*keep, out])
 
     return rows.mapInArrow(work, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.frames import importable, mixed, utf8, word_hashes
+from cloakframe.llm.frames import importable, mixed, unused, utf8, word_hashes
 
 ROWS, FORMS, WORDS, ROUNDS, RIDGE = 6000, 1 << 12, 1 << 18, 120, 1e-4
 _KIND = np.zeros(256, np.uint64)  # of a byte: other, lower, upper, digit, beyond ASCII
@@ -130,6 +130,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "grade", id_col: s
 
     ordered = sample.withColumn("_order", F.xxhash64("text", "grade")).repartition(1).sortWithinPartitions("_order").select("text", "grade")
     got = ordered.mapInArrow(one, "forms binary, words binary, thresholds binary").first()
+    if got is None:  # nothing is rated
+        return Model(np.zeros(FORMS), np.zeros(WORDS), np.zeros(1))
     return Model(np.frombuffer(got["forms"], np.float32).astype(float), np.frombuffer(got["words"], np.float32).astype(float), np.frombuffer(got["thresholds"], np.float64))
 
 
@@ -179,13 +181,14 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", step: int =
     spark = docs.sparkSession
     importable(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.withColumn("_text", F.col(text_col).cast("string"))
+    text = unused(docs, "_text")
+    rows = docs.withColumn(text, F.col(text_col).cast("string"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            ok = m.tails(batch.column("_text"))[:, step - 1] >= least
+            ok = m.tails(batch.column(text))[:, step - 1] >= least
             out = batch.filter(pa.array(ok))
-            yield out.select([n for n in batch.schema.names if n != "_text"])
+            yield out.select([n for n in batch.schema.names if n != text])
 
     return rows.mapInArrow(work, StructType([*docs.schema.fields]))
