@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from itertools import groupby
 
-from cloakframe.functions.sql import any_of, array, let, lit
+from cloakframe.functions.sql import any_of, array, let, lit, running
 from cloakframe.rules import DEFAULT_RULES, Detection, Rules
 
 SPAN = "STRUCT<type:STRING,value:STRING,start:INT,end:INT,sensitivity:STRING,default_action:STRING>"
@@ -119,8 +119,14 @@ def _cut_at_marks(x: str, ord_: int, d: Detection, none: str) -> str:
         return f"struct(-{start} AS back, {ord_} AS ord, substring_index({piece}, {lit(_CLOSE)}, 1) AS value)"
 
     first = "char_length(__p[0])"
-    many = f"""aggregate(slice(__p, 2, size(__p) - 1), struct({first} AS at, {none} AS hits), (__t, __s) -> struct(
-        __t.at + char_length(__s) - 1 AS at, array_append(__t.hits, {hit('__t.at', '__s')}) AS hits), __t -> __t.hits)"""
+    many = let(
+        "slice(__p, 2, size(__p) - 1)",
+        "__q",
+        running(
+            "__q", first, lambda at, c: f"{at} + aggregate({c}, 0, (__n, __v) -> __n + char_length(__v) - 1)",
+            lambda at, s: f"{at} + char_length({s}) - 1", hit, FOUND,
+        ),
+    )
     body = f"CASE size(__p) WHEN 1 THEN {none} WHEN 2 THEN array({hit(first, '__p[1]')}) ELSE {many} END"
     return f"coalesce({let(f'split({marked}, {lit(_OPEN)}, -1)', '__p', body)}, {none})"
 
@@ -129,9 +135,14 @@ def _cut_at_pattern(x: str, ord_: int, d: Detection, none: str) -> str:
     """For texts that hold a mark themselves: match, then split at the pattern."""
     regex = lit(d.java_regex)
     pieces = f"""zip_with(slice(split({x}, {regex}, -1), 1, size(__h)), __h,
-        (__g, __v) -> struct(char_length(__g) AS gap, __v AS value))"""
-    start = "__t.at + __s.gap"
-    placed = f"""aggregate({pieces}, struct(0 AS at, {none} AS hits), (__t, __s) -> struct(
-        {start} + char_length(__s.value) AS at,
-        array_append(__t.hits, struct(-({start}) AS back, {ord_} AS ord, __s.value AS value)) AS hits), __t -> __t.hits)"""
+        (__g, __y) -> struct(char_length(__g) AS gap, __y AS value))"""
+    placed = let(
+        pieces,
+        "__q",
+        running(
+            "__q", "0", lambda at, c: f"{at} + aggregate({c}, 0, (__n, __v) -> __n + __v.gap + char_length(__v.value))",
+            lambda at, s: f"{at} + {s}.gap + char_length({s}.value)",
+            lambda at, s: f"struct(-({at} + {s}.gap) AS back, {ord_} AS ord, {s}.value AS value)", FOUND,
+        ),
+    )
     return let(f"regexp_extract_all({x}, {regex}, 0)", "__h", f"IF(size(__h) > 0, {placed}, {none})")

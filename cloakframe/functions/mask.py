@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-from cloakframe.functions.detect import FOUND, found
-from cloakframe.functions.sql import array, let, lit
-from cloakframe.rules import DEFAULT_RULES, MASKS, Mask, Rules
+from cloakframe.functions.detect import found
+from cloakframe.functions.sql import let, lit, running
+from cloakframe.rules import DEFAULT_RULES, Mask, Rules
 
 
-# Long texts are redacted piece by piece, because the cost of splicing grows with
-# text length times number of values.  No built-in pattern matches across a
-# separator below.  A cut comes after a separator, a stretch without digits or "@"
-# (so without values) and another separator: nothing found, no boundary test and
-# no overlap effect (which reaches at most 21 characters further) crosses it.
-LONG_TEXT = 32768
-_BREAK = r"[,;:!?\"'=<>\[\]{}|&#$*^~\\]"
-_PIECE = rf"(?s).{{8192,}}?{_BREAK}[^\p{{Nd}}@]{{40,}}?{_BREAK}|.+"
+# Texts are cut into windows of this many characters, in which places are found quickly.
+_WINDOW = 256
+_HIT = "STRUCT<st:INT,en:INT,mk:STRING,loss:INT,reach:INT>"
 
 
 def apply_mask(x: str, mask: Mask) -> str:
@@ -56,49 +51,61 @@ def redact(x: str, rules: Rules = DEFAULT_RULES, overlap: str = "each", hits: st
     if overlap not in ("each", "merge"):
         raise ValueError("overlap must be 'each' or 'merge'")
 
-    def body(text: str, found_in: str) -> str:
-        runs = "__f" if overlap == "each" else _merged(text, "__f", len(rules.detections))
-        return let(found_in, "__f", f"IF(coalesce(size(__f), 0) <= 0, {text}, {_spliced(text, runs, rules)})")
+    body = f"IF(coalesce(size(__f), 0) <= 0, {x}, {_spliced(x, rules, overlap)})"
+    return let(found(x, rules) if hits is None else hits, "__f", body)
 
-    if hits is not None:
-        return body(x, hits)
-    bounded = overlap == "merge" or rules.masks == MASKS  # other masks could reach further
-    if not (bounded and all(d.java for d in rules.detections)):
-        return body(x, found(x, rules))
-    pieces = f"regexp_extract_all({x}, {lit(_PIECE)}, 0)"
-    long = f"array_join(transform({pieces}, __x -> {body('__x', found('__x', rules))}), '')"
-    return f"IF(char_length({x}) > {LONG_TEXT}, {long}, {body(x, found(x, rules))})"
 
+def _spliced(x: str, rules: Rules, overlap: str) -> str:
+    """The text with its hits (``__f``, last start first) replaced, in time linear in both.
 
-def _spliced(x: str, runs: str, rules: Rules) -> str:
-    """Fold from the right; only the part from the current start on is rebuilt.
-
-    ``at`` is where the rebuilt ``tail`` begins.  What follows a value is the
-    original text up to ``at`` plus the tail, or, when the value reaches past
-    ``at`` (an overlap), the tail without its first ``end - at`` characters.
+    Hits that can't touch each other's text are apart.  ``reach`` is how far what stands
+    before a hit can reach: to the farthest end so far, and further by what masks have
+    shortened, since an earlier value that overlaps later ones is cut out at its original
+    offsets.  A cluster is a run of hits that start before that; clusters are spliced one
+    by one, each with the text up to the next, and joined once.
     """
     whens = " ".join(
         f"WHEN {i} THEN {apply_mask('__s.value', rules.mask_of(d.name))}" for i, d in enumerate(rules.detections)
     )
     masked = f"CASE __s.ord {whens} ELSE {apply_mask('__s.value', Mask())} END"
     end = "(char_length(__s.value) - __s.back)"
-    after = f"""IF({end} <= __t.at, concat(substring({x}, {end} + 1, __t.at - {end}), __t.tail),
-        substring(__t.tail, {end} - __t.at + 1))"""
-    one = f"""concat(substring({x}, 1, -__s.back), {masked}, substring({x}, {end} + 1))"""
-    many = f"""aggregate({runs}, struct(char_length({x}) AS at, '' AS tail),
-        (__t, __s) -> struct(-__s.back AS at, concat({masked}, {after}) AS tail),
-        __t -> concat(substring({x}, 1, __t.at), __t.tail))"""
-    return f"IF(size({runs}) = 1, transform({runs}, __s -> {one})[0], {many})" if runs == "__f" else many
-
-
-def _merged(x: str, hits: str, no_rule: int) -> str:
-    """Overlapping values joined; a joined run takes an ordinal without a rule."""
-    last = "__t[size(__t) - 1]"
-    end, last_end = "(char_length(__s.value) - __s.back)", f"(char_length({last}.value) - {last}.back)"
-    joined = (
-        f"struct(__s.back AS back, {no_rule} AS ord, "
-        f"substring({x}, 1 - __s.back, greatest({last_end}, {end}) + __s.back) AS value)"
+    one = f"transform(__f, __s -> concat(substring({x}, 1, -__s.back), {masked}, substring({x}, {end} + 1)))[0]"
+    loss = "greatest(0, char_length(__s.value) - char_length(__s.mk))" if overlap == "each" else "0"
+    plain = f"transform(__f, __s -> struct(__s.back AS back, __s.value AS value, {masked} AS mk))"
+    placed = f"reverse(transform({plain}, __s -> struct(-__s.back AS st, {end} AS en, __s.mk AS mk, {loss} AS loss)))"
+    further = "greatest({0}, {1}.en) + {1}.loss"
+    reached = running(
+        "__p", "-1", lambda at, c: f"aggregate({c}, {at}, (__n, __v) -> {further.format('__n', '__v')})", further.format,
+        lambda at, s: f"struct({s}.st AS st, {s}.en AS en, {s}.mk AS mk, {s}.loss AS loss, {at} AS reach)", _HIT,
     )
-    apart = f"size(__t) = 0 OR {end} <= -{last}.back"
-    return f"""aggregate({hits}, {array([], FOUND)}, (__t, __s) -> IF({apart}, array_append(__t, __s),
-        concat(slice(__t, 1, size(__t) - 1), array({joined}))))"""
+    starts = "filter(sequence(0, size(__h) - 1), __i -> __h[__i].st >= __h[__i].reach)"
+    clusters = f"""zip_with(__b, slice(concat(__b, array(size(__h))), 2, size(__b)), (__i, __j) -> struct(
+        slice(__h, __i + 1, __j - __i) AS c, IF(__j < size(__h), __h[__j].st, char_length({x})) AS up))"""
+    last = "__r.c[size(__r.c) - 1]"
+    if overlap == "each":
+        # back to front: what follows a value is the text up to ``at`` and the rebuilt tail or, where the value
+        # reaches past ``at``, the tail without its first characters
+        after = f"""IF(__s.en <= __t.at, concat(substring(__l, __s.en - __r.c[0].st + 1, __t.at - __s.en), __t.tail),
+            substring(__t.tail, __s.en - __t.at + 1))"""
+        fold = f"""aggregate(reverse(__r.c), struct(__m AS at, '' AS tail),
+            (__t, __s) -> struct(__s.st AS at, concat(__s.mk, {after}) AS tail), __t -> __t.tail)"""
+        fold = let(_between("__r.c[0].st", "__m"), "__l", fold)
+    else:
+        fold = apply_mask(_between("__r.c[0].st", "__m"), Mask())
+    upto = f"least(__r.up, {further.format(last + '.reach', last)})"
+    several = let(upto, "__m", f"concat({fold}, {_between('__m', '__r.up')})")
+    part = f"IF(size(__r.c) = 1, concat(__r.c[0].mk, {_between('__r.c[0].en', '__r.up')}), {several})"
+    joined = f"concat({_between('0', '__h[0].st')}, array_join(transform({clusters}, __r -> {part}), ''))"
+    windows = f"regexp_extract_all({x}, {lit(f'(?s).{{1,{_WINDOW}}}')}, 0)"
+    many = let(placed, "__p", let(reached, "__h", let(starts, "__b", let(windows, "__w", joined))))
+    return f"IF(size(__f) = 1, {one}, {many})"
+
+
+def _between(start: str, end: str) -> str:
+    """The characters from one offset up to another, out of the windows ``__w``."""
+    first, last = f"({start}) DIV {_WINDOW}", f"({end} - 1) DIV {_WINDOW}"
+    inner = f"slice(__w, CAST({first} AS INT) + 2, CAST({last} - {first} AS INT) - 1)"
+    return f"""CASE WHEN {end} <= {start} THEN ''
+        WHEN {first} = {last} THEN substring(__w[CAST({first} AS INT)], ({start}) % {_WINDOW} + 1, {end} - ({start}))
+        ELSE concat(substring(__w[CAST({first} AS INT)], ({start}) % {_WINDOW} + 1), array_join({inner}, ''),
+            substring(__w[CAST({last} AS INT)], 1, ({end} - 1) % {_WINDOW} + 1)) END"""

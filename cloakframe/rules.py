@@ -167,14 +167,14 @@ def _builtin(name: str, sensitivity: str, action: str, about: str, needs: str, s
 
 
 DETECTIONS = (
-    _builtin("email", "high", "mask", "Email addresses", "@", math.inf),
-    _builtin("phone", "high", "mask", "US phone numbers", _FOUR_DIGITS, 10**9),
-    _builtin("phone_international", "high", "mask", "International phone numbers (E.164 format)", "+", math.inf),
-    _builtin("ssn", "critical", "deny", "US Social Security Numbers", _FOUR_DIGITS, math.inf),
-    _builtin("iban", "critical", "hash", "International Bank Account Numbers", _FOUR_DIGITS, math.inf),
-    _builtin("credit_card", "critical", "deny", "Credit card numbers (Visa, MC, Amex, Discover)", _FOUR_DIGITS, 10**12),
-    _builtin("ip_address", "medium", "hash", "IPv4 addresses", r"re:[0-9]\.[0-9]", math.inf),
-    _builtin("date_of_birth", "high", "mask", "Date of birth (MM/DD/YYYY or MM-DD-YYYY)", _FOUR_DIGITS, math.inf),
+    _builtin("email", "high", "mask", "Mailboxes, as in name@host.tld", "@", math.inf),
+    _builtin("phone", "high", "mask", "Phone numbers of ten digits, as written in North America", _FOUR_DIGITS, 10**9),
+    _builtin("phone_international", "high", "mask", "Phone numbers with a plus sign and country code", "+", math.inf),
+    _builtin("ssn", "critical", "deny", "Social security numbers, nine digits in three groups", _FOUR_DIGITS, math.inf),
+    _builtin("iban", "critical", "hash", "Bank account numbers that begin with a country", _FOUR_DIGITS, math.inf),
+    _builtin("credit_card", "critical", "deny", "Payment card numbers of the large issuers", _FOUR_DIGITS, 10**12),
+    _builtin("ip_address", "medium", "hash", "Internet addresses of four numbers", r"re:[0-9]\.[0-9]", math.inf),
+    _builtin("date_of_birth", "high", "mask", "Dates written month, day, year", _FOUR_DIGITS, math.inf),
 )
 
 
