@@ -201,3 +201,29 @@ def test_long_texts_are_redacted_whole(spark):
     got = rows(spark, texts).selectExpr("id", redact("text") + " AS r").collect()
     for r in got:
         assert r.r == literals.scrub(texts[r.id]), r.id
+
+
+def test_dense_texts_with_masks_of_other_lengths(spark):
+    """Masks that shorten or lengthen overlapping values still act at the original offsets."""
+    rules = DEFAULT_RULES.with_masks(
+        phone=Mask(fixed_length=1), credit_card=Mask(fixed_length=30), phone_international=Mask(template="<p>"), email=Mask(template="{start}e", keep_start=1)
+    )
+    rnd = random.Random(11)
+    parts = ["5551234567", "+15551234567", "4111111111111111", "x1@y2.cd", " ", ",", "-", "12/31/1999", "10.0.0.1", "9", "é"]
+    texts = ["".join(rnd.choice(parts) for _ in range(n)) for n in (5, 20, 80, 300, 900) for _ in range(12)]
+    merged = redact("text", rules, "merge")
+    for r in rows(spark, texts).selectExpr("id", redact("text", rules) + " AS r", merged + " AS m").collect():
+        text = texts[r.id]
+        assert r.r == literals.scrub(text, rules), ascii(text)
+        hits = sorted((a, b, kind) for a, b, kind in literals.find(text, rules))
+        runs: list[list] = []
+        for a, b, kind in hits:
+            if runs and a < runs[-1][1]:
+                runs[-1] = [runs[-1][0], max(b, runs[-1][1]), None]
+            else:
+                runs.append([a, b, kind])
+        out, at = "", 0
+        for a, b, kind in runs:
+            out += text[at:a] + ("*" * (b - a) if kind is None else literals.mask_literal(text[a:b], rules.mask_of(kind)))
+            at = b
+        assert r.m == out + text[at:], ascii(text)

@@ -212,3 +212,53 @@ def test_observed_metrics(spark, people):
     watch = Observation("finds")
     observed(people, watch).write.format("noop").mode("overwrite").save()
     assert watch.get["row_count"] == 4 and watch.get["email:email"] == 2 and watch.get["city:phone"] == 0
+
+
+@pytest.mark.parametrize("policy", ["mask", "hash", "deny", "auto"])
+@pytest.mark.parametrize("levels", [False, True])
+def test_staged_files_hold_no_raw_value(spark, policy, levels):
+    """Neither found values nor columns whose names forbid passing them on; and the files go."""
+    from pathlib import Path
+
+    from cloakframe.plans.policy import apply_policy
+
+    df = spark.createDataFrame([(1, "hunter2secret", "joe.public@example.com", "plain")], "id long, password string, note string, city string")
+    root = Path(spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    root = Path(str(root).removeprefix("file:"))
+    before = {p for p in root.rglob("*") if p.is_file()}
+    try:
+        result = apply_policy(df, policy, salt=SALT, enforce_levels=levels, repeatable=False)
+    except PolicyDenied:
+        result = None
+    new = [p for p in root.rglob("*") if p.is_file() and p not in before]
+    blob = b"".join(p.read_bytes() for p in new)
+    assert b"joe.public" not in blob
+    if policy in ("hash", "deny") or levels:
+        assert b"hunter2secret" not in blob
+    if result is None:
+        assert not new  # nothing is left behind after a denial
+    else:
+        assert result.df.count() == 1
+        result.release()
+        assert not [p for p in root.rglob("part-*") if p.is_file() and p not in before and not p.name.endswith(".crc")]
+
+
+def test_numbers_and_what_masking_leaves(spark):
+    from cloakframe.plans.policy import apply_policy
+
+    df = spark.createDataFrame([(5551234567, {"a@b.cd": "x"}, "call 555-123-4567")], "n long, m map<string,string>, t string")
+    s = apply_policy(df, "mask").summary.first()
+    assert s.columns_processed == ["m", "n", "t"] and s.columns_left == ["m", "n"]
+    r = apply_policy(df, "mask", numbers=True)
+    assert r.df.first().n == "******4567" and r.summary.first().columns_left == ["m"]
+
+
+def test_rows_without_a_limit(spark):
+    """Nothing is cut unless the caller or the deployment says so, and then it shows."""
+    df = spark.range(2500).selectExpr("id", "concat('c', id) AS city")
+    r = ask(spark, df, aggregations=["COUNT(*) AS n"], group_by=["city"])
+    assert r.df.count() == 2500 and "truncated" not in r.metadata
+    r = ask(spark, df, settings=Settings(salt=SALT, max_rows=1500), aggregations=["COUNT(*) AS n"], group_by=["city"])
+    assert r.df.count() == 1500 and r.metadata["truncated"]
+    assert not ask(spark, df, settings=Settings(salt=SALT, max_rows=3000)).metadata["truncated"]
+    assert ask(spark, df, settings=Settings(salt=SALT, max_rows=3000), limit=2000).df.count() == 2000

@@ -1,7 +1,9 @@
 """Tokens, names, profiles, nested values, policies and the SQL functions."""
 
+import contextlib
 import datetime as dt
 import decimal
+import io
 import hashlib
 import hmac
 
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 from cloakframe.functions import literals
 from cloakframe.functions.sqlnames import register_sql_functions
 from cloakframe.functions.text import pii_text
-from cloakframe.functions.tokens import hide_salt, is_token, lookup_token, resolve_salt, token, token_of
+from cloakframe.functions.tokens import hide_salt, is_token, lookup_token, pads, resolve_salt, token, token_of
 from cloakframe.operators.fields import Scope
 from cloakframe.operators.linkage import link, linkage_counts, token_quality
 from cloakframe.operators.profile import find_spans, profile_table, supported_types, table_findings
@@ -65,10 +67,18 @@ def test_salt_rules(spark, monkeypatch):
             resolve_salt(bad)
     monkeypatch.setenv("PII_HASH_SALT", "from-env")
     assert resolve_salt() == "from-env"
-    hide_salt(spark)
-    plan = spark.range(1).selectExpr(token("CAST(id AS STRING)", SALT) + " AS t")._jdf.queryExecution().toString()
-    assert "X'" not in plan and "45455" not in plan
     spark.conf.unset("spark.sql.redaction.string.regex")
+    df = spark.range(1).selectExpr(token("CAST(id AS STRING)", SALT) + " AS t")
+    df.createOrReplaceTempView("tokens_of_ids")
+    for mode in ("simple", "extended", "formatted", "codegen", "cost"):
+        with contextlib.redirect_stdout(io.StringIO()) as shown:
+            df.explain(mode)
+        assert not any(p.hex().upper() in shown.getvalue().upper() for p in pads(SALT)), mode
+    hide_salt(spark)  # once more changes nothing
+    assert spark.conf.get("spark.sql.redaction.string.regex").count("0x") == 1
+    for body in (lambda: token("x", ""), lambda: lookup_token("x", "c", "change-me-in-production"), lambda: token_of("x", "")):
+        with pytest.raises(ValueError):
+            body()
 
 
 def test_text_forms(spark):
