@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracles as o  # noqa: E402
-from cloakframe.functions.detect import has_pii  # noqa: E402
+from cloakframe.functions.detect import has_pii, has_type  # noqa: E402
 from cloakframe.functions.mask import mask  # noqa: E402
 from cloakframe.functions.sqlnames import register_sql_functions  # noqa: E402
 from cloakframe.functions.tokens import is_token, lookup_token  # noqa: E402
@@ -28,6 +28,7 @@ from cloakframe.operators.relational import aggregate, filter_equal, order_limit
 from cloakframe.plans.policy import apply_policy, decisions, ensure_checkpoint_dir  # noqa: E402
 from cloakframe.plans.request import DANGEROUS_VALUES, SQL_PATTERNS, Request  # noqa: E402
 from cloakframe.plans.secure import Settings, secure_query  # noqa: E402
+from cloakframe.rules import DEFAULT_RULES  # noqa: E402
 from cloakframe.sources import catalog, inventory  # noqa: E402
 from cloakframe.sources.files import read_table  # noqa: E402
 from cloakframe.sources.profiles import file_tables, get_profile  # noqa: E402
@@ -114,11 +115,22 @@ def redact_contacts(spark: SparkSession, sf: str) -> DataFrame:
     return redact_with_types(lines, "line").select("o_orderkey", "line", joined("pii_types").alias("pii_types"))
 
 
-def redact_nested(spark: SparkSession, sf: str) -> DataFrame:
-    nested = texts(spark, sf, "pages").select(
+def _nested(spark: SparkSession, sf: str) -> DataFrame:
+    return texts(spark, sf, "pages").select(
         "page_id", F.struct("url", F.array("html", "url").alias("parts"), F.create_map(F.lit("html"), "html").alias("m")).alias("page")
     )
-    out = redact_table(nested, ["page"])
+
+
+def nested_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return _span_columns(find_spans(_nested(spark, sf), ["page_id"], ["page"]), "page_id")
+
+
+def nested_profile(spark: SparkSession, sf: str) -> DataFrame:
+    return profile_table(_nested(spark, sf), columns=["page"]).select("path", "pii_type", "n_rows", "rows_scanned")
+
+
+def redact_nested(spark: SparkSession, sf: str) -> DataFrame:
+    out = redact_table(_nested(spark, sf), ["page"])
     return out.select(
         "page_id",
         F.col("page.url").alias("url"),
@@ -506,6 +518,25 @@ def policy_floor(spark: SparkSession, sf: str) -> DataFrame:
     return _decided(spark, sf, "mask", True)
 
 
+def policy_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Per table and policy: is it refused, and for which columns."""
+    out = None
+    for policy, levels in (("auto", False), ("mask", True)):
+        d = _decided(spark, sf, policy, levels)
+        denied = F.array_sort(F.collect_list(F.when(F.col("action") == "deny", F.col("col"))))
+        part = d.groupBy("tbl").agg(joined(denied).alias("denied_columns"), F.max((F.col("action") == "deny")).alias("denied"))
+        part = part.select("tbl", F.lit(policy).alias("policy"), "denied", "denied_columns")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def auto_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """``auto`` applied where nothing is to be refused: documents without payment cards."""
+    card = next(d for d in DEFAULT_RULES.detections if d.name == "credit_card")
+    docs = texts(spark, sf, "documents").where(f"NOT {has_type('text', card)}")
+    return apply_policy(docs, "auto", salt=SALT).df
+
+
 # -- requests and audit -----------------------------------------------------------------
 def screen_requests(spark: SparkSession, sf: str) -> DataFrame:
     turns = texts(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("intent"))
@@ -644,7 +675,7 @@ _QUERIES: list[Query] = [
     tokenised_filter, tokenised_filter_raw, filter_eq, filter_null, filter_typed, agg_group, agg_global, agg_stats, agg_bool,
     agg_array, agg_any, agg_approx, topk_nulls, topk_null_defaults, topk_alias, backend_snowflake, backend_databricks,
     backend_trino, backend_bigquery, backend_athena, labelled_catalog, table_labels, label_names, label_event_tables, catalog_search, safe_columns,
-    sensitivity_cap, policy_auto, policy_floor, screen_requests, route_requests, value_screen, filter_scan, audit_events,
+    sensitivity_cap, policy_auto, policy_floor, policy_outcomes, auto_documents, nested_spans, nested_profile, screen_requests, route_requests, value_screen, filter_scan, audit_events,
     audit_by_user, audit_timing, audit_sessions, audit_windows, stream_redact_documents, stream_quarantine,
     stream_audit_windows, object_inventory,
 ]
@@ -826,6 +857,26 @@ SELECT lab.tbl, bool_or(p) AS has_pii, coalesce(string_agg(column_name, ',' ORDE
         "catalog_search": f"SELECT 'default' AS database, tbl, n_rows FROM ({counts}) WHERE contains(tbl, 'er')",
         "safe_columns": "SELECT p_partkey, p_brand, p_type, p_size, p_retailprice FROM part",
         "sensitivity_cap": "SELECT s_suppkey, s_nationkey, s_acctbal FROM supplier",
+        "nested_spans": " UNION ALL ".join(
+            f"SELECT page_id, '{p}' AS {span_cols} FROM ({o.spans_sql('pages', 'page_id', x)})"
+            for p, x in (("page.url", "url"), ("page.parts", "html"), ("page.parts", "url"), ("page.m", "html"))
+        ),
+        "nested_profile": " UNION ALL ".join(
+            f"SELECT '{p}' AS path, '{k}' AS pii_type, count(*) FILTER (WHERE {test(k)}) AS n_rows, count(*) AS rows_scanned FROM pages"
+            for p, test in (
+                ("page.url", lambda k: o.hit("url", k)), ("page.parts", lambda k: f"{o.hit('html', k)} OR {o.hit('url', k)}"),
+                ("page.m", lambda k: o.hit("html", k)),
+            )
+            for k in o.TYPES
+        ),
+        "policy_outcomes": " UNION ALL ".join(
+            f"SELECT tbl, '{p}' AS policy, bool_or(action = 'deny') AS denied, "
+            f"coalesce(string_agg(col, ',' ORDER BY col) FILTER (WHERE action = 'deny'), '') AS denied_columns "
+            f"FROM ({o.decisions_sql(TEXT_TABLES + ['customer', 'supplier'], p, levels)}) GROUP BY tbl"
+            for p, levels in (("auto", False), ("mask", True))
+        ),
+        "auto_documents": f"""WITH d AS (SELECT * FROM documents WHERE NOT {o.hit('text', 'credit_card')})
+SELECT doc_id, CASE WHEN (SELECT bool_or({o.hit('text', 'ip_address')} OR {o.hit('text', 'iban')}) FROM d) THEN {tok('text')} ELSE text END AS text, lang, source, n_chars FROM d""",
         "policy_auto": o.decisions_sql(TEXT_TABLES + ["customer", "supplier"], "auto", False),
         "policy_floor": o.decisions_sql(TEXT_TABLES + ["customer", "supplier"], "mask", True),
         "screen_requests": f"SELECT conv_id, turn, sql_pattern, length_ok, sql_pattern IS NULL AND length_ok AS accepted FROM "
