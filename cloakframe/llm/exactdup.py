@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloakframe.llm.frames import SPACE, saved
+from cloakframe.llm.frames import SPACE, packed, saved
 
 #: A chunk has at least 256 characters, ends behind one of these pairs, and has at most 2,048 characters (fixed values of the recipe).
 CHUNK = r"(?s).{256,2048}?(?<=[aeiourns][dgkpt .,])|.{1,2048}"
@@ -43,19 +43,22 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("_id", F.sha2("_text", 256).alias("text_sha256"), F.transform(chunks(F.col("_text"), pattern), lambda c: digest(c)).alias("_recipe"))
     rows = saved(rows.withColumn("_print", F.xxhash64(F.lit("recipe"), "_recipe")))
     # the contents of all chunks of recipes that occur again, one copy per digest
-    again = rows.groupBy("_print").agg(F.count("*").alias("_n")).filter("_n > 1").select("_print")
-    ids = rows.join(again, "_print", "left_semi").select("_id", "_print").distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(ids.select("_id"), "_id", "left_semi")
+    # (a table of its own, so that a join with it can split the rows of a large group)
+    again = saved(rows.groupBy("_print").agg(F.count("*").alias("_n")).filter("_n > 1").select("_print"))
+    ids = rows.join(again, "_print", "left_semi").select("_id").distinct()
+    texts = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(ids, "_id", "left_semi")
     pieces = texts.select(F.explode(chunks(F.col("_text"), pattern)).alias("_chunk"))
     unsure = pieces.groupBy(digest("_chunk").alias("_digest")).agg(F.min("_chunk").alias("_a"), F.max("_chunk").alias("_b")).filter("_a <> _b")
     unsure = unsure.select("_digest")
     held = rows.select("_print", F.explode(F.array_distinct("_recipe")).alias("_digest")).join(unsure, "_digest", "left_semi").select("_print").distinct()
-    rows = rows.join(held.withColumn("_unsure", F.lit(True)), "_print", "left")
-    # a text with an unsure chunk is known by the SHA-256 of its whole content beside its recipe
-    rows = rows.withColumn("_exact", F.when(F.col("_unsure"), F.col("text_sha256")).otherwise(F.lit(""))).drop("_unsure")
+    # one row for each content, however many copies; a text with an unsure chunk is known by the SHA-256 of its content beside its recipe
+    contents = rows.groupBy("_print", "_recipe", "text_sha256").agg(F.min("_id").alias("_low"), F.count("*").alias("_n"))
+    contents = contents.join(held.withColumn("_unsure", F.lit(True)), "_print", "left")
+    contents = contents.withColumn("_exact", F.when(F.col("_unsure"), F.col("text_sha256")).otherwise(F.lit("")))
     key = ["_print", "_recipe", "_exact"]
-    groups = rows.groupBy(*key).agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return rows.join(groups, key).select(
+    groups = contents.groupBy(*key).agg(F.min("_low").alias("keep_id"), F.sum("_n").alias("group_size"))
+    known = contents.join(groups, key).select("_print", "text_sha256", "keep_id", "group_size")  # a content has one recipe
+    return rows.join(known, ["_print", "text_sha256"]).select(
         F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
@@ -66,6 +69,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The texts are moved once, to the marks of their ids; rows with equal ids then lie together.
     """
     marks = mark_copies(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_key", F.sha2(normalised(F.col(text_col)), 256))
-    out = rows.join(marks, rows[id_col].eqNullSafe(marks["_id"]) & (rows["_key"] == marks["_sha"]), "left_semi")
-    return out.dropDuplicates([id_col, "_key"]).drop("_key")
+    rows = packed(docs, id=F.col(id_col), key=F.sha2(normalised(F.col(text_col)), 256))
+    out = rows.join(marks, rows["id"].eqNullSafe(marks["_id"]) & (rows["key"] == marks["_sha"]), "left_semi")
+    return out.dropDuplicates(["id", "key"]).select("row.*")
