@@ -5,8 +5,8 @@ start). A text is parsed greedily into the longest matches with each automaton;
 phrases times log2 of the labelled text's length, per letter, estimates the cross entropy, and
 the language with the least wins.
 
-Fitting uses a bounded sample (``rows`` texts a language in the order of a hash of their id, and
-``symbols`` letters of them); prediction reads all of every text. Texts are cut into segments of
+Fitting uses a bounded sample (the ``LANGUAGES`` most frequent languages, ``rows`` texts of each in
+the order of a hash of their id, and ``symbols`` letters of them); prediction reads all of every text. Texts are cut into segments of
 ``SEGMENT`` symbols at which a phrase ends in every language, and all segments of a batch walk the
 automata in step: one array operation advances thousands of segments.
 """
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.llm.frames import importable, utf8
 
-SEGMENT, ALPHABET = 512, 200
+SEGMENT, ALPHABET, LANGUAGES = 512, 200, 256
 ROWS, SYMBOLS = 64, 1 << 16
 
 
@@ -118,9 +118,10 @@ class Model:
         """For each automaton, at state * size + symbol: the next state * size; or, if a phrase ends before the symbol, ~ of where the next one goes on."""
         out = []
         for states, edges in self.edges:
-            t = np.full((states, self.size), -1, np.int32)
+            # one state more, where a symbol that was never learned leads: a phrase of its own, so the next one ends it
+            t = np.full((states + 1, self.size), -1, np.int32)
             t[edges[:, 0], edges[:, 1]] = edges[:, 2] * self.size
-            start = np.maximum(t[0], 0)
+            start = np.where(t[0] >= 0, t[0], states * self.size)
             out.append(np.where(t >= 0, t, ~start[None, :]).ravel())
         return out
 
@@ -129,9 +130,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A model of the labelled rows of ``docs`` that hold a letter. At most ``rows`` texts a language reach the driver, ``symbols`` characters of each."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    known = known.filter(F.col("lang").isin([r["lang"] for r in names])) if names else known
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = known.select("id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("id", "lang").distinct()
-    sample = known.join(chosen, ["id", "lang"], "left_semi").select("lang", F.substring("text", 1, symbols).alias("text")).orderBy("lang", F.xxhash64("text"))
+    sample = known.join(F.broadcast(chosen), ["id", "lang"], "left_semi")  # at most LANGUAGES * rows ids
+    sample = sample.select("lang", F.substring("text", 1, symbols).alias("text")).orderBy("lang", F.xxhash64("text"))
     texts: dict[str, list[str]] = {}
     for r in sample.collect():
         texts.setdefault(r["lang"], []).append(r["text"])
@@ -139,8 +143,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 # -- prediction ----------------------------------------------------------------------------
-def phrases(pieces: list[np.ndarray], walks: list[np.ndarray]) -> np.ndarray:
-    """For each text's symbols and each automaton, the number of phrases."""
+def phrases(pieces: list[np.ndarray], walks: list[np.ndarray], width: int) -> np.ndarray:
+    """For each text's symbols and each automaton, the number of phrases; automata have ``width`` symbols."""
     of, rows = [], []
     for i, s in enumerate(pieces):
         for a in range(0, len(s), SEGMENT):
@@ -157,7 +161,8 @@ def phrases(pieces: list[np.ndarray], walks: list[np.ndarray]) -> np.ndarray:
         grid[: sizes[k], k] = rows[r]
     active = len(rows) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), "right")
     for w, walk in enumerate(walks):
-        state, ended = np.zeros(len(rows), np.int32), np.ones(len(rows), np.int32)
+        # from the state in which every symbol begins a phrase
+        state, ended = np.full(len(rows), len(walk) - width, np.int32), np.zeros(len(rows), np.int32)
         for j, n in enumerate(active.tolist()):
             v = walk[state[:n] + grid[j, :n]]
             sign = v >> 31
@@ -213,7 +218,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 pieces = [symbols_of(t, m.table) if t else np.zeros(0, np.uint8) for t in part.column("text").to_pylist()]
                 said, score = ["und"] * len(pieces), np.zeros(len(pieces))
                 if walks:
-                    cost = phrases(pieces, walks) * bits
+                    cost = phrases(pieces, walks, m.size) * bits
                     best = cost.argmin(1)
                     share = 1 / np.exp2(-np.minimum(cost - cost.min(1)[:, None], 1000)).sum(1)
                     some = np.fromiter((bool(p.any()) for p in pieces), bool, len(pieces))
