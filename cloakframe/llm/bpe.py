@@ -4,7 +4,8 @@ A word's parts and the ranks of adjacent parts lie in two short lists. The small
 looked for again and again, its boundary deleted, and the ranks of the two neighbours looked up
 anew. Words of more than ``SHORT`` bytes, where that would be quadratic, take the same merges
 from a heap. Texts are first cut before every space that a non-space follows, where words end
-under every rule of the pattern; the ids of such pieces are remembered in a bounded cache.
+under every rule of the pattern; the ids of such pieces, and of words, are remembered in caches
+of bounded size.
 
 Row-local: no shuffle. The vocabulary file is read on the driver and broadcast (two megabytes).
 """
@@ -14,6 +15,8 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -60,7 +63,8 @@ class Tokenizer:
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
         self.words = regex.compile(pattern)
         self.pieces = re.compile(r" (?=\S)")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of pieces, and of words
+        self.seen: dict[str, array] = {}
 
     @classmethod
     def from_json(cls, text: str) -> Tokenizer:
@@ -107,10 +111,19 @@ class Tokenizer:
         return [x for x in ids if x >= 0]
 
     def _piece(self, text: str) -> bytes:
-        out: list[int] = []
+        out, seen = array("I"), self.seen
         for word in self.words.findall(text):
-            out += self.word(word.encode())
-        return np.array(out, "<u4").tobytes()
+            ids = seen.get(word)
+            if ids is None:
+                ids = array("I", self.word(word.encode()))
+                if len(word) <= 64:
+                    if len(seen) >= CACHE:
+                        seen.clear()
+                    seen[word] = ids
+            out += ids
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
