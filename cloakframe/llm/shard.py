@@ -89,6 +89,7 @@ def shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     total = rows.count()
     quotas = [total // n_shards + (j < total % n_shards) for j in range(n_shards)]
     groups = rows.filter("link IS NOT NULL").groupBy("link").agg(F.count("*").alias("_n")).filter("_n > 1").select("link")
+    groups = saved(groups)  # so that the join can split the rows of a large group
     tied = rows.join(groups.withColumn("tied", F.lit(True)), "link", "left")
     tied = saved(tied.withColumn("tied", F.coalesce("tied", F.lit(False))))
     linked = tied.filter("tied").drop("tied")
@@ -99,7 +100,7 @@ def shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
     parts = state.groupBy("link").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("parts"))  # at most n_shards entries
     ends = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.struct(
         F.aggregate(F.slice("parts", 1, i), F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("end"), F.element_at("parts", i)["shard"].alias("shard")))
-    placed = _ranked(linked, ["link"], "place").join(parts.select("link", ends.alias("ends")), "link")
+    placed = _ranked(linked, ["link"], "place").join(saved(parts.select("link", ends.alias("ends"))), "link")
     placed = placed.withColumn("shard", F.element_at(F.filter("ends", lambda e: F.col("place") < e["end"]), 1)["shard"]).select("id", "size", "crc", "shard")
     free, end = [], 0
     for j, q in enumerate(quotas):
