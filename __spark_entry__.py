@@ -33,7 +33,7 @@ from cloakframe.sources import catalog, inventory  # noqa: E402
 from cloakframe.sources.files import read_table  # noqa: E402
 from cloakframe.sources.profiles import file_tables, get_profile  # noqa: E402
 from cloakframe.streaming.protect import append_stream, protect_stream, quarantine_stream  # noqa: E402
-from cloakframe.streaming.windows import audit_counts  # noqa: E402
+from cloakframe.streaming.windows import counts_stream, latest_counts  # noqa: E402
 
 try:  # the training-data operators are an optional part
     from cloakframe.llm import registry as llm
@@ -660,8 +660,8 @@ def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
 
 def stream_audit_windows(spark: SparkSession, sf: str) -> DataFrame:
     out = _scratch(spark)
-    append_stream(audit_counts(_stream(spark, sf, "events")), f"{out}/data", f"{out}/state").awaitTermination()
-    return _windows(spark.read.parquet(f"{out}/data"))
+    counts_stream(_stream(spark, sf, "events"), f"{out}/data", f"{out}/state").awaitTermination()
+    return _windows(latest_counts(spark, f"{out}/data"))
 
 
 def object_inventory(spark: SparkSession, sf: str) -> DataFrame:
@@ -901,6 +901,5 @@ FROM res WHERE reject_reason IS NOT NULL""",
         "audit_windows": windows + "GROUP BY w, event_type",
         "stream_redact_documents": o.redact_query("documents", "doc_id", "text", f"b.doc_id, clean AS text, {tok('b.source')} AS source"),
         "stream_quarantine": f"SELECT page_id, {o.any_hit('url')} OR {o.any_hit('html')} AS held FROM pages",
-        "stream_audit_windows": windows
-        + "WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY w, event_type",
+        "stream_audit_windows": windows + "GROUP BY w, event_type",
     }

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def audit_counts(stream: DataFrame, ts: str = "ts", width: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
@@ -18,3 +19,30 @@ def audit_counts(stream: DataFrame, ts: str = "ts", width: str = "1 hour", laten
         .agg(F.count(F.lit(1)).alias("n_events"))
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "n_events")
     )
+
+
+def counts_stream(
+    stream: DataFrame, path: str, checkpoint: str, width: str = "1 hour", lateness: str = "10 minutes", trigger: dict | None = None
+) -> StreamingQuery:
+    """Write the counts of a batch's changed windows, open ones too, to a folder of the batch.
+
+    A batch that is replayed overwrites its own folder.  ``latest_counts`` reads the state so far.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return (
+        audit_counts(stream, width=width, lateness=lateness)
+        .writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
+
+
+def latest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """Each window's latest count from ``counts_stream``."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy("window_start", "window_end", "event_type").agg(F.max_by("n_events", "batch").alias("n_events"))
