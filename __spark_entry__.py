@@ -602,6 +602,29 @@ def audit_events(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def audit_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """What was found in the tables, and what ``auto`` does about it, as events."""
+    out = None
+    ids = (F.lit(None), F.lit("inv_1"), F.lit("sess_1"))
+    for name in TEXT_TABLES + ["customer", "supplier"]:
+        profile = profile_table(texts(spark, sf, name) if name == "documents" else t(spark, sf, name))
+        both = audit.detection_events(profile, *ids).unionByName(audit.policy_events(decisions(profile, "auto"), "auto", *ids))
+        part = both.withColumn("tbl", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    columns = F.coalesce(joined("affected_columns"), joined("columns_affected")).alias("columns")
+    return out.select("tbl", "event_type", "level", columns, joined("detected_pii_types").alias("types"), "rows_scanned", "policy", "action_taken")
+
+
+def audit_calls(spark: SparkSession, sf: str) -> DataFrame:
+    events = t(spark, sf, "events")
+    calls = audit.call_events(events, F.col("ts"), F.col("user_id"), F.col("event_type"), F.col("value"), F.col("event_type") != "error")
+    by_user = events.withColumn("session_id", F.concat_ws("_", "user_id", F.date_format("ts", "yyyyMMdd")))
+    sessions = audit.session_events(audit.session_report(by_user, invocation=F.col("event_type") == "click"))
+    return calls.unionByName(sessions).select(
+        stamp("ts").alias("ts"), "event_type", "level", "session_id", "operation", "duration_ms", "success", "total_invocations"
+    )
+
+
 def audit_by_user(spark: SparkSession, sf: str) -> DataFrame:
     out = audit.invocation_report(t(spark, sf, "events"), "user_id")
     return out.select(
@@ -675,7 +698,7 @@ _QUERIES: list[Query] = [
     tokenised_filter, tokenised_filter_raw, filter_eq, filter_null, filter_typed, agg_group, agg_global, agg_stats, agg_bool,
     agg_array, agg_any, agg_approx, topk_nulls, topk_null_defaults, topk_alias, backend_snowflake, backend_databricks,
     backend_trino, backend_bigquery, backend_athena, labelled_catalog, table_labels, label_names, label_event_tables, catalog_search, safe_columns,
-    sensitivity_cap, policy_auto, policy_floor, policy_outcomes, auto_documents, nested_spans, nested_profile, screen_requests, route_requests, value_screen, filter_scan, audit_events,
+    sensitivity_cap, policy_auto, policy_floor, policy_outcomes, auto_documents, nested_spans, nested_profile, screen_requests, route_requests, value_screen, filter_scan, audit_events, audit_findings, audit_calls,
     audit_by_user, audit_timing, audit_sessions, audit_windows, stream_redact_documents, stream_quarantine,
     stream_audit_windows, object_inventory,
 ]
@@ -892,6 +915,15 @@ SELECT doc_id, CASE WHEN (SELECT bool_or({o.hit('text', 'ip_address')} OR {o.hit
  concat('sess_', user_id) AS session_id, concat('inv_', event_id) AS invocation_id, backend, intent, CAST(NULL AS VARCHAR) AS reason, fk AS filter_keys FROM res
 UNION ALL SELECT strftime(ts, '{_TS}'), 'access_denied', 'warning', concat('sess_', user_id), concat('inv_', event_id), backend, NULL, reject_reason, NULL
 FROM res WHERE reject_reason IS NOT NULL""",
+        "audit_findings": f"""SELECT tbl, 'pii_detected' AS event_type, 'info' AS level, path AS columns, pii_type AS types, rows_scanned, NULL AS policy, NULL AS action_taken
+ FROM ({o.profile_sql(TEXT_TABLES + ['customer', 'supplier'])}) WHERE n_rows > 0
+UNION ALL SELECT tbl, 'policy_applied', 'info', col, NULL, NULL, 'auto', concat('applied ', action) FROM ({o.decisions_sql(TEXT_TABLES + ['customer', 'supplier'], 'auto', False)})""",
+        "audit_calls": f"""WITH s AS (SELECT concat(user_id, '_', strftime(ts, '%Y%m%d')) AS sid, min(ts) AS a, max(ts) AS b, count(*) FILTER (WHERE event_type = 'click') AS n FROM events GROUP BY 1)
+SELECT strftime(ts, '{_TS}') AS ts, 'backend_call' AS event_type, 'info' AS level, CAST(user_id AS VARCHAR) AS session_id, event_type AS operation,
+ value AS duration_ms, event_type <> 'error' AS success, CAST(NULL AS BIGINT) AS total_invocations FROM events
+UNION ALL SELECT strftime(ts, '{_TS}'), 'error', 'error', CAST(user_id AS VARCHAR), event_type, NULL, false, NULL FROM events WHERE event_type = 'error'
+UNION ALL SELECT strftime(a, '{_TS}'), 'session_start', 'info', sid, NULL, NULL, NULL, NULL FROM s
+UNION ALL SELECT strftime(b, '{_TS}'), 'session_end', 'info', sid, NULL, NULL, NULL, n FROM s""",
         "audit_by_user": f"SELECT user_id, strftime(min(ts), '{_TS}') AS first_ts, strftime(max(ts), '{_TS}') AS last_ts, count(*) AS n_events, "
         "string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS event_types, arg_max(event_type, (ts, event_type)) AS last_event_type FROM events GROUP BY user_id",
         "audit_timing": "SELECT event_type, count(*) AS n_calls, count(*) FILTER (WHERE event_type <> 'error') AS n_success, round(avg(value), 2) AS avg_ms, "

@@ -124,6 +124,20 @@ def policy_events(decided: DataFrame, policy: str, ts: Column, invocation_id: Co
     )
 
 
+def call_events(calls: DataFrame, ts: Column, session_id: Column, operation: Column, duration_ms: Column, success: Column) -> DataFrame:
+    """A ``backend_call`` event per call, and an ``error`` event for each that failed."""
+    done = as_events(calls, "backend_call", ts=ts, session_id=session_id, operation=operation, duration_ms=duration_ms, success=success)
+    failed = as_events(calls.where(~success), "error", ts=ts, session_id=session_id, operation=operation, success=success)
+    return done.unionByName(failed)
+
+
+def session_events(report: DataFrame, key: str = "session_id") -> DataFrame:
+    """A ``session_start`` and a ``session_end`` event per row of ``session_report``."""
+    start = as_events(report, "session_start", ts=F.col("started_at"), session_id=F.col(key))
+    end = as_events(report, "session_end", ts=F.col("ended_at"), session_id=F.col(key), total_invocations=F.col("total_invocations"))
+    return start.unionByName(end)
+
+
 # -- reports --------------------------------------------------------------------
 def invocation_report(
     events: DataFrame, key: str = "invocation_id", ts: str = "ts", event_type: str = "event_type"
