@@ -15,8 +15,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
-import sys
-from array import array
+import struct
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -29,7 +28,7 @@ from cloakframe.llm.frames import importable, utf8
 
 #: How byte-level vocabularies of this family split a text into words (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SHORT, CACHE = 256, 1 << 18
+SHORT, CACHE = 256, 1 << 17
 _NONE = 1 << 60
 
 
@@ -64,7 +63,7 @@ class Tokenizer:
         self.words = regex.compile(pattern)
         self.pieces = re.compile(r" (?=\S)")
         self.known: dict[str, bytes] = {}  # of pieces, and of words
-        self.seen: dict[str, array] = {}
+        self.seen: dict[str, bytes] = {}
 
     @classmethod
     def from_json(cls, text: str) -> Tokenizer:
@@ -111,19 +110,18 @@ class Tokenizer:
         return [x for x in ids if x >= 0]
 
     def _piece(self, text: str) -> bytes:
-        out, seen = array("I"), self.seen
+        out, seen = [], self.seen
         for word in self.words.findall(text):
             ids = seen.get(word)
             if ids is None:
-                ids = array("I", self.word(word.encode()))
+                found = self.word(word.encode())
+                ids = struct.pack(f"<{len(found)}I", *found)
                 if len(word) <= 64:
                     if len(seen) >= CACHE:
                         seen.clear()
                     seen[word] = ids
-            out += ids
-        if sys.byteorder == "big":
-            out.byteswap()
-        return out.tobytes()
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""

@@ -69,8 +69,15 @@ class Model:
 
 def learn(texts: pa.Array, grades: np.ndarray, top: int, rounds: int = ROUNDS, ridge: float = RIDGE) -> Model:
     """The weights of greatest likelihood (Adam on all rows). Grades that never occur leave their thresholds at the neighbours'."""
-    form, word, of = features(texts)
-    row, share, root = _scales(of)
+    parts, counts = [], [np.zeros(0, np.int64)]
+    for a in range(0, len(texts), 64):  # a few texts at a time: their words' arrays are much larger than the buckets
+        form, word, of = features(texts.slice(a, 64))
+        parts.append((form.astype(np.int16), word.astype(np.int32)))
+        counts.append(np.diff(of))
+    form, word = (np.concatenate([np.zeros(0, t), *[p[i] for p in parts]]) for i, t in enumerate((np.int16, np.int32)))
+    parts.clear()
+    row, share, root = _scales(np.concatenate([[0], np.cumsum(np.concatenate(counts))]))
+    row, share, root = row.astype(np.int32), share.astype(np.float32), root.astype(np.float32)
     n = len(grades)
     sizes = [FORMS, WORDS, top]
     rare = [max((grades >= k).mean(), 0.5 / n) if n else 0.5 for k in range(1, top + 1)]
@@ -88,7 +95,7 @@ def learn(texts: pa.Array, grades: np.ndarray, top: int, rounds: int = ROUNDS, r
     for t in range(1, rounds + 1):
         forms, words, gap = np.split(x, cut)
         theta = thresholds(gap)
-        eta = np.bincount(row, forms[form], n) * share + np.bincount(row, words[word], n) * root
+        eta = np.bincount(row, forms.astype(np.float32)[form], n) * share + np.bincount(row, words.astype(np.float32)[word], n) * root
         tail = np.column_stack([np.ones(n), 1 / (1 + np.exp(np.clip(theta[None, :] - eta[:, None], -40, 40))), np.zeros(n)])
         above, over = tail[np.arange(n), grades], tail[np.arange(n), grades + 1]
         p = np.maximum(above - over, 1e-9)
@@ -99,7 +106,7 @@ def learn(texts: pa.Array, grades: np.ndarray, top: int, rounds: int = ROUNDS, r
         g_theta = g_theta[1 : top + 1]
         g_gap = np.cumsum(g_theta[::-1])[::-1]
         g_gap[1:] *= np.exp(gap[1:])
-        g = np.concatenate([np.bincount(form, (slope * share)[row], FORMS), np.bincount(word, (slope * root)[row], WORDS), g_gap])
+        g = np.concatenate([np.bincount(form, (slope * share).astype(np.float32)[row], FORMS), np.bincount(word, (slope * root).astype(np.float32)[row], WORDS), g_gap])
         g[: FORMS + WORDS] -= ridge * x[: FORMS + WORDS]
         moved += 0.1 * (g - moved)
         spread += 0.01 * (g * g - spread)
