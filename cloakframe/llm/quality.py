@@ -142,7 +142,14 @@ def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "grade", id_col: s
     return Model(np.frombuffer(got["forms"], np.float32).astype(float), np.frombuffer(got["words"], np.float32).astype(float), np.frombuffer(got["thresholds"], np.float64))
 
 
-_ready: dict[str, Model] = {}
+def _slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about two megabytes of text each: the arrays of their words are many times larger."""
+    at = utf8(batch.column(column))[1]
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -161,12 +168,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            at = utf8(batch.column(text_col))[1]
-            a = 0
-            while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(at, at[a] + (4 << 20), "right")) - 1)
-                part = batch.slice(a, b - a)
-                a = b
+            for part in _slices(batch, text_col):
                 tails = m.tails(part.column(text_col))
                 wide = tails.shape[1]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(tails) + 1) * wide, wide, dtype=np.int32)), pa.array(tails.ravel()))
@@ -194,8 +196,8 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", step: int =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            ok = m.tails(batch.column(text))[:, step - 1] >= least
-            out = batch.filter(pa.array(ok))
-            yield out.select([n for n in batch.schema.names if n != text])
+            for part in _slices(batch, text):
+                ok = m.tails(part.column(text))[:, step - 1] >= least
+                yield part.filter(pa.array(ok)).select([n for n in part.schema.names if n != text])
 
     return rows.mapInArrow(work, StructType([*docs.schema.fields]))
