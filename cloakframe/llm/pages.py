@@ -9,7 +9,8 @@ source and sink, found by maximum flow, is the cheapest labelling.
 The classifier is a logistic regression on the form of blocks (length, links, marks, element). It
 learns from a bounded sample of pages (``SAMPLE``, in the order of a hash of the id), whose blocks
 count as content inside ``article`` or ``main`` and as boilerplate inside menus, footers and the
-like; these elements and telling class names also weigh in by themselves. Extraction is row-local.
+like; these elements and telling class names also weigh in by themselves. A form or a class name
+doesn't tell where it wraps the article or most of the text (``_settle``). Extraction is row-local.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from cloakframe.llm.frames import importable, unused, utf8
 
 SAMPLE = 256
-#: Costs: of an element or class name that tells, and of cutting between neighbours at distance 0.
-CUE, SMOOTH = 8.0, 1.0
+#: Costs: of calling article text boilerplate, of calling told boilerplate content (more than the classifier's bound, less than
+#: it and edges together), of cutting between neighbours at distance 0; and the classifier's bound.
+CUE, TOLD, SMOOTH, BOUND = 8.0, 5.0, 1.0, 4.0
 #: Blocks so many steps apart in the tree aren't joined.
 FAR = 32
 _TOKEN = re.compile(  # no tag reaches over a "<", so broken markup costs no second scan
@@ -48,22 +50,37 @@ _BOILERPLATE = {"nav", "footer", "aside", "form", "menu", "dialog", "head", "but
 _WORDS = set(
     "ad ads advert adverts advertisement sponsor sponsored promo promoted banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login search share sharing social related recommended comment comments disqus respond replies widget toolbar pagination pager complementary contentinfo".split()
 )
+#: Names that tell even of an element with most of the page's text.
+_TALK = {"comment", "comments", "disqus", "respond", "replies"}
+LOOSE, FIRM = 1, 2
 
 
 class _Node:
-    """An element: what it and its ancestors tell (content, boilerplate), its depth and the blocks directly in it."""
+    """An element: what it and its ancestors tell (content, boilerplate), its depth and the blocks directly in it.
 
-    __slots__ = ("tag", "parent", "depth", "content", "boiler", "last")
+    ``told`` is FIRM for an element that tells boilerplate by itself, LOOSE for a form or a telling name, which a wrapper
+    of the page may have too; ``scope`` is the nearest article or main around it.
+    """
+
+    __slots__ = ("tag", "parent", "depth", "content", "boiler", "last", "told", "scope", "shut", "size", "open", "holds", "around")
 
     def __init__(self, tag: str, parent: _Node | None, names: str):
         self.tag, self.parent, self.last = tag, parent, -1
         self.depth = parent.depth + 1 if parent else 0
         self.content = tag in _CONTENT or bool(parent and parent.content)
-        told = tag in _BOILERPLATE or tag == "header" and not self.content
-        if not told and names and tag not in ("html", "body", "article", "main"):
-            words = re.split(r"[^a-z]+", names.lower())
-            told = not _WORDS.isdisjoint(words) or "header" in words and not self.content
-        self.boiler = told or bool(parent and parent.boiler)
+        self.scope = None if parent is None else parent if parent.tag in _CONTENT else parent.scope
+        self.told = FIRM if tag in _BOILERPLATE and tag != "form" or tag == "header" and not self.content else LOOSE if tag == "form" else 0
+        if self.told < FIRM and names and tag not in ("html", "body", "article", "main"):
+            names = names.lower()
+            words = re.split(r"[^a-z]+", names)
+            if not _TALK.isdisjoint(names.split()):
+                self.told = FIRM
+            elif not _WORDS.isdisjoint(words) or "header" in words and not self.content:
+                self.told = LOOSE
+        # below an element that surely tells (a main element is never meant to be)
+        self.shut = tag != "main" and (self.told == FIRM or bool(parent and parent.shut))
+        self.boiler = self.holds = self.around = False
+        self.size = self.open = 0
 
 
 class Block:
@@ -73,10 +90,46 @@ class Block:
         self.text, self.node, self.linked = text, node, linked
 
 
+def _settle(nodes: list[_Node], found: list[Block]) -> None:
+    """Which elements are boilerplate, once the text of all is known; ``nodes`` in page order.
+
+    Boilerplate is what is in an element that tells. A form or a name doesn't tell where it wraps the
+    content: around the page's articles or main element (the largest, and those half as large), or,
+    if there are none, around most of the text; within an article or main, around most of its
+    text with an article in it, or around nine tenths of it. Such an article or main element
+    also cancels what it inherits, so an end tag that is missing before it costs nothing.
+    """
+    root = nodes[0]
+    for b in found:
+        b.node.size += len(b.text)
+        b.node.open += len(b.text)
+    for n in reversed(nodes[1:]):
+        n.parent.size += n.size
+        if n.told < FIRM:
+            n.parent.open += n.open
+            n.parent.holds |= n.holds or n.tag in _CONTENT
+    top = [n for n in nodes if n.tag in _CONTENT and n.scope is None and n.size]
+    chief = [n for n in top if not n.shut and n.open] or [n for n in top if 2 * n.size > root.size]
+    most = max((n.open for n in chief), default=0)
+    chief = {n for n in chief if 2 * n.open >= most}
+    for n in chief:
+        up = n.parent
+        while up and not up.around:
+            up.around, up = True, up.parent
+    for n in nodes:
+        told = n.told == FIRM
+        if n.told == LOOSE and n.scope is None:
+            told = not (n.around if chief else 2 * n.open > root.open)
+        elif n.told == LOOSE:
+            told = not (n.holds and 2 * n.open > n.scope.open or 10 * n.open >= 9 * n.scope.open)
+        n.boiler = told or bool(n.parent and n.parent.boiler and n not in chief)
+
+
 def blocks(page: str) -> list[Block]:
     """The text blocks in page order: references decoded, white space runs as one space. Never fails on broken markup."""
     root = _Node("html", None, "")
     at, out = root, []
+    nodes = [root]
     parts: list[str] = []
     link, linked, pos = 0, 0, 0
     is_open: dict[str, int] = {}
@@ -115,6 +168,9 @@ def blocks(page: str) -> list[Block]:
                     if last == tag:
                         break
             else:
+                if at.tag == "head" and tag not in _VOID:  # its end tag may be left out
+                    is_open["head"] -= 1
+                    at = at.parent
                 if at.tag == "p" or at.tag == tag and tag in ("li", "td", "th", "tr", "dd", "dt"):
                     is_open[at.tag] -= 1
                     at = at.parent
@@ -124,10 +180,12 @@ def blocks(page: str) -> list[Block]:
                     attributes = m[4]
                     names = " ".join(x or y or z for x, y, z in _NAMES.findall(attributes)) if "=" in attributes else ""
                     at = _Node(tag, at, names)
+                    nodes.append(at)
                     is_open[tag] = is_open.get(tag, 0) + 1
     if pos < len(page):
         parts.append(page[pos:])
     end()
+    _settle(nodes, out)
     return out
 
 
@@ -257,13 +315,13 @@ def neighbours(found: list[Block]) -> list[tuple[int, int, float]]:
 
 def label(found: list[Block], score: list[float]) -> list[bool]:
     """Which blocks are content, from the classifier's log odds and what their elements tell."""
-    told = [-2 * CUE if b.node.boiler else CUE if b.node.content else 0.0 for b in found]
+    told = [-TOLD if b.node.boiler else CUE if b.node.content else 0.0 for b in found]
     edges = neighbours(found)
-    out = cut([max(-4.0, min(4.0, s)) + t for s, t in zip(score, told, strict=True)], edges)
+    out = cut([max(-BOUND, min(BOUND, s)) + t for s, t in zip(score, told, strict=True)], edges)
     open_scores = [s for s, t in zip(score, told, strict=True) if not t]
     if open_scores and not any(out):  # nothing tells content: blocks are judged against the page's best one
         shift = 1 - max(open_scores)
-        out = cut([max(-4.0, min(4.0, s + shift)) + t for s, t in zip(score, told, strict=True)], edges)
+        out = cut([max(-BOUND, min(BOUND, s + shift)) + t for s, t in zip(score, told, strict=True)], edges)
     return out
 
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,6 +201,44 @@ def test_main_text(spark, sf01):
         assert r.text == "\n".join(b for b in blocks if b)
 
 
+STORY = ("<h1>Head line</h1>" + "<p>This is a long enough paragraph of the story, with a comma and a full stop.</p>" * 3)
+TOLD = "<nav><ul><li><a href='/'>Home</a></ul></nav>{}<div id='sidebar'><p>More stories here.</p></div><footer><p>Copyright</p></footer>"
+
+
+@pytest.mark.parametrize("start", ["<form id='aspnetForm' action='./'>", "<div class='site has-sidebar'>", "<div class='layout no-ads'>", "<div class='wrap nav-open'>", "<div class='page header-fixed'><form>"])
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_a_wrapper_tells_nothing(spark, sf01, start, inner):
+    """A form or name around the whole page leaves the article, whatever else is told in it."""
+    weights = _weights(spark, sf01)
+    end = "</form></div>" if start.endswith("<form>") else "</form>" if "<form" in start else "</div>"
+    want = pages._texts(pa.array([f"<body>{TOLD.format(f'<{inner}>{STORY}</{inner}>')}</body>"]), weights)
+    assert want[0].count("long enough") == 3 and "Copyright" not in want[0] and "More stories" not in want[0]
+    assert pages._texts(pa.array([f"<body>{start}{TOLD.format(f'<{inner}>{STORY}</{inner}>')}{end}</body>"]), weights) == want
+    within = f"<body>{TOLD.format(f'<main>{start}<{inner}>{STORY}</{inner}>{end}</main>')}</body>"
+    assert pages._texts(pa.array([within]), weights)[0].count("long enough") == 3
+
+
+def test_what_is_told_beside_the_article_stays_out(spark, sf01):
+    weights = _weights(spark, sf01)
+    talk = "<p>A reader says no, and this comment is about as long as a paragraph of the story.</p>" * 9
+    story = f"<article>{STORY}</article>"
+    for page in (
+        f"{story}<section id='comments'><article>{talk}</article></section>", f"<main>{story}<div id='comments'>{talk}</div></main>", f"<article>{STORY}<section id='comments'>{talk}</section></article>",
+        f"{story}<aside><article>{talk}</article></aside>", f"{story}<div class='related'><article><p>A reader says no.</p></article></div>", f"<nav><a href='/'>Home</a>{story}", f"<head><title>x</title><body>{story}",
+    ):
+        text = pages._texts(pa.array([page]), weights)[0]
+        assert text.count("long enough") == 3 and "reader" not in text and "Home" not in text
+
+
+_learned = []
+
+
+def _weights(spark, sf01):
+    if not _learned:
+        _learned.append(pages.fit(spark.read.parquet(f"{sf01}/pages.parquet")))
+    return _learned[0]
+
+
 # -- pipeline ------------------------------------------------------------------------------
 def test_pipeline(spark, sf001, small, none, odd, tmp_path):
     from test_dedup import SPACE, near_truth
