@@ -3,7 +3,10 @@
 Of labelled text of each language a suffix automaton is built (every substring is a path from its
 start). A text is parsed greedily into the longest matches with each automaton; the number of
 phrases times log2 of the labelled text's length, per letter, estimates the cross entropy, and
-the language with the least wins.
+the language with the least wins. Every letter of the labelled text is a symbol; a letter outside
+an automaton's own alphabet is a phrase there. An automaton's most frequent letters index a table of
+transitions, the others are looked up among sorted (state, letter) keys, so that scripts of
+thousands of letters fit.
 
 Fitting uses a bounded sample (the ``LANGUAGES`` most frequent languages, ``rows`` texts of each in
 the order of a hash of their id, and ``symbols`` letters of them); prediction reads all of every text. Texts are cut into segments of
@@ -15,7 +18,6 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from cloakframe.llm.frames import importable, utf8
 
-SEGMENT, ALPHABET, LANGUAGES = 512, 200, 256
+SEGMENT, LANGUAGES = 512, 256
 ROWS, SYMBOLS = 64, 1 << 16
+#: Entries of the tables of all automata; what is beyond is looked up by key.
+CELLS = 1 << 26
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -84,12 +88,53 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return nexts
 
 
+class Walk:
+    """An automaton's transitions, for arrays of states.
+
+    ``code`` gives the automaton's own number of each symbol, more frequent letters first. States are
+    held times ``width``, the columns of ``table``; its last column is for all numbers from ``width - 1``,
+    which are looked up in ``keys`` (state * letters + number, sorted). An entry is the next state; or, if
+    a phrase ends before the symbol, ~ of where the next one goes on.
+    """
+
+    def __init__(self, states: int, edges: np.ndarray, size: int, cells: int):
+        used = np.bincount(edges[:, 1], minlength=size)
+        own = np.argsort(-used, kind="stable")[: int((used > 0).sum())]
+        self.letters = len(own) + 1  # the last: letters that this automaton doesn't have
+        self.code = np.full(size, len(own), np.int32)
+        self.code[own] = np.arange(len(own), dtype=np.int32)
+        # one state more, where a symbol that was never learned leads: a phrase of its own, so the next one ends it
+        self.width = width = max(1, min(self.letters, cells // (states + 1)))
+        self.begin = states * width
+        s, c, t = edges[:, 0], self.code[edges[:, 1]], edges[:, 2] * width
+        first = np.full(self.letters, self.begin, np.int32)  # where a phrase that begins with the symbol goes on
+        first[c[s == 0]] = t[s == 0]
+        self.ends = ~first
+        dense = c < width - 1
+        table = np.full((states + 1, width), -1, np.int32)
+        table[s[dense], c[dense]] = t[dense]
+        self.table = np.where(table >= 0, table, self.ends[None, :width]).ravel()
+        key = s[~dense].astype(np.int64) * self.letters + c[~dense]
+        order = np.argsort(key)
+        self.keys, self.nexts = np.append(key[order], np.iinfo(np.int64).max), np.append(t[~dense][order], 0).astype(np.int32)
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        out = self.table[state + np.minimum(code, self.width - 1)]
+        if len(self.keys) > 1:
+            rare = np.flatnonzero(code >= self.width - 1)
+            if len(rare):
+                c = code[rare]
+                key = (state[rare] // self.width).astype(np.int64) * self.letters + c
+                at = np.searchsorted(self.keys, key)
+                out[rare] = np.where(self.keys[at] == key, self.nexts[at], self.ends[c])
+        return out
+
+
 class Model:
     """Languages in order, the symbol of each code point, and the transitions of each automaton as (state, symbol, state)."""
 
     def __init__(self, texts: dict[str, list[str]], symbols: int = SYMBOLS):
         low = letters()
-        seen: Counter = Counter()
         read: dict[str, np.ndarray] = {}
         for lang in sorted(texts):
             each = max(1, symbols // max(1, len(texts[lang])))
@@ -98,14 +143,13 @@ class Model:
             longer = max(1, sum(len(p) > each for p in parts))
             each += (symbols - short) // longer if short < symbols else 0
             read[lang] = np.concatenate([np.zeros(1, np.int32), *[np.append(p[:each], 0) for p in parts]])[: symbols + len(parts)]
-            seen.update(dict(zip(*(x.tolist() for x in np.unique(read[lang], return_counts=True)), strict=True)))
-        del seen[0]
-        common = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]]
+        known = np.unique(np.concatenate([np.zeros(1, np.int32), *read.values()]))[1:]
         self.languages = sorted(texts)
-        self.size = len(common) + 2  # 0: no letter; the last: letters not learned
-        code = np.full(0x110000, self.size - 1, np.uint8)
-        code[common] = np.arange(1, len(common) + 1, dtype=np.uint8)
-        self.table = np.where(low > 0, code[low], np.uint8(0))
+        self.size = len(known) + 2  # 0: no letter; the last: letters not learned
+        kind = np.min_scalar_type(self.size - 1)
+        code = np.full(0x110000, self.size - 1, kind)
+        code[known] = np.arange(1, len(known) + 1, dtype=kind)
+        self.table = np.where(low > 0, code[low], kind.type(0))
         self.lengths, self.edges = [], []
         for lang in self.languages:
             text = code[read[lang]]
@@ -114,16 +158,10 @@ class Model:
             nexts = suffix_automaton(text.tolist())
             self.edges.append((len(nexts), np.array([(s, c, t) for s, out in enumerate(nexts) for c, t in out.items()], np.int32).reshape(-1, 3)))
 
-    def walks(self) -> list[np.ndarray]:
-        """For each automaton, at state * size + symbol: the next state * size; or, if a phrase ends before the symbol, ~ of where the next one goes on."""
-        out = []
-        for states, edges in self.edges:
-            # one state more, where a symbol that was never learned leads: a phrase of its own, so the next one ends it
-            t = np.full((states + 1, self.size), -1, np.int32)
-            t[edges[:, 0], edges[:, 1]] = edges[:, 2] * self.size
-            start = np.where(t[0] >= 0, t[0], states * self.size)
-            out.append(np.where(t >= 0, t, ~start[None, :]).ravel())
-        return out
+    def walks(self, cells: int = CELLS) -> list[Walk]:
+        """Each automaton's transitions, in tables of ``cells`` entries together (one column each at least)."""
+        each = cells // max(1, len(self.edges))
+        return [Walk(states, edges, self.size, each) for states, edges in self.edges]
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, symbols: int = SYMBOLS) -> Model:
@@ -143,8 +181,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 # -- prediction ----------------------------------------------------------------------------
-def phrases(pieces: list[np.ndarray], walks: list[np.ndarray], width: int) -> np.ndarray:
-    """For each text's symbols and each automaton, the number of phrases; automata have ``width`` symbols."""
+def phrases(pieces: list[np.ndarray], walks: list[Walk], width: int) -> np.ndarray:
+    """For each text's symbols and each automaton, the number of phrases; there are ``width`` symbols."""
     of, rows = [], []
     for i, s in enumerate(pieces):
         for a in range(0, len(s), SEGMENT):
@@ -156,15 +194,15 @@ def phrases(pieces: list[np.ndarray], walks: list[np.ndarray], width: int) -> np
     sizes = np.fromiter(map(len, rows), np.int64, len(rows))
     order = np.argsort(-sizes, kind="stable")
     of, sizes = np.array(of)[order], sizes[order]
-    grid = np.zeros((int(sizes[0]), len(rows)), np.uint8)
+    grid = np.zeros((int(sizes[0]), len(rows)), np.min_scalar_type(width - 1))
     for k, r in enumerate(order):
         grid[: sizes[k], k] = rows[r]
     active = len(rows) - np.searchsorted(sizes[::-1], np.arange(int(sizes[0])), "right")
     for w, walk in enumerate(walks):
         # from the state in which every symbol begins a phrase
-        state, ended = np.full(len(rows), len(walk) - width, np.int32), np.zeros(len(rows), np.int32)
+        state, ended = np.full(len(rows), walk.begin, np.int32), np.zeros(len(rows), np.int32)
         for j, n in enumerate(active.tolist()):
-            v = walk[state[:n] + grid[j, :n]]
+            v = walk.step(state[:n], walk.code[grid[j, :n]])
             sign = v >> 31
             ended[:n] -= sign
             state[:n] = v ^ sign
@@ -175,7 +213,7 @@ def phrases(pieces: list[np.ndarray], walks: list[np.ndarray], width: int) -> np
 _ready: dict[str, tuple] = {}
 
 
-def _model(shared) -> tuple[Model, list[np.ndarray]]:
+def _model(shared) -> tuple[Model, list[Walk]]:
     if shared.id not in _ready:
         _ready.clear()
         _ready[shared.id] = (shared.value, shared.value.walks())
@@ -215,7 +253,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 b = max(a + 1, int(np.searchsorted(at, at[a] + (4 << 20), "right")) - 1)
                 part = batch.slice(a, b - a)
                 a = b
-                pieces = [symbols_of(t, m.table) if t else np.zeros(0, np.uint8) for t in part.column("text").to_pylist()]
+                pieces = [symbols_of(t, m.table) if t else np.zeros(0, m.table.dtype) for t in part.column("text").to_pylist()]
                 said, score = ["und"] * len(pieces), np.zeros(len(pieces))
                 if walks:
                     cost = phrases(pieces, walks, m.size) * bits

@@ -56,6 +56,35 @@ def test_phrases_are_longest_matches():
         assert int(langid.phrases([s], m.walks(), m.size)[0, 0]) == n
 
 
+def test_letters_of_many_scripts():
+    """Every letter is a symbol: languages with little text beside scripts of many letters; and phrases, whatever part of the transitions is in tables."""
+    rng = random.Random(7)
+    han, hangul = ([chr(rng.randint(a, a + 400)) for _ in range(3000)] for a in (0x4E00, 0xAC00))
+    texts = {"zh": ["".join(han)], "ko": ["".join(hangul)], "ka": ["მე ვარ აქ და ის არის იქ"], "hy": ["ես այստեղ եմ և նա այնտեղ է"]}
+    m = langid.Model(texts)
+    asked = {"ka": "ის აქ არის და მე იქ", "hy": "նա այստեղ է և ես այնտեղ", "zh": "".join(han[500:560]), "ko": "".join(hangul[70:100])}
+    pieces = [langid.symbols_of(t, m.table) for t in asked.values()]
+    assert all(len(set(p.tolist())) == len({c for c in t if c != " "}) + (" " in t) and m.size - 1 not in p for p, t in zip(pieces, asked.values(), strict=True))
+    cost = langid.phrases(pieces, m.walks(), m.size) * np.log2(m.lengths)
+    assert [m.languages[k] for k in cost.argmin(1)] == list(asked)
+    mixed = [langid.symbols_of("".join(rng.choice([*han[:40], *hangul[:40], *texts["ka"][0], "q", "1"]) for _ in range(900)), m.table)] + pieces
+    want = []
+    for s in mixed:
+        want.append([])
+        for lang in m.languages:
+            known, n = "\0" + "\0".join("".join(map(chr, langid.symbols_of(t, m.table))) for t in texts[lang]) + "\0", 0
+            for a in range(0, len(s), langid.SEGMENT):
+                part, i = "".join(map(chr, s[a : a + langid.SEGMENT])), 0
+                while i < len(part):
+                    j = i + 1
+                    while j < len(part) and part[i : j + 1] in known:
+                        j += 1
+                    n, i = n + 1, j
+            want[-1].append(n)
+    for cells in (langid.CELLS, 1 << 20, 100000, 1):
+        assert langid.phrases(mixed, m.walks(cells), m.size).tolist() == want
+
+
 def test_languages(spark, odd, none, sf01):
     docs = spark.read.parquet(f"{sf01}/documents.parquet")
     said = registry.op3_langid(spark, sf01).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
