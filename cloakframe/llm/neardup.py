@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from cloakframe.llm.frames import importable, mixed, saved, shingle_hashes, utf8, word_hashes
+from cloakframe.llm.frames import importable, mixed, packed, saved, shingle_hashes, utf8, word_hashes
 
 BANDS, ROWS, BATCH, MISS = 25, 5, 64, 1e-4
 FIRST_BANDS, BLOCK = 8, 512
@@ -245,6 +246,18 @@ def components(links: DataFrame) -> DataFrame:
 
 
 # -- the operator --------------------------------------------------------------------------
+def _with_nodes(k: int):
+    """Adds the name of each row's set."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch):
+                node = pa.array(prints(*shingle_sets(part.column("text"), k)), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("row"), node], ["row", "node"])
+
+    return work
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, miss: float = MISS) -> DataFrame:
     """One row for each row of ``docs``: id, ``n_shingles``, ``component_id``, ``kept``.
 
@@ -254,6 +267,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id are each judged by their text (both are in a component through it). A null id is its own
     component unless its text is linked to one with an id. Empty table: empty result.
     """
+    out = _near_components(docs, id_col, text_col, words, percent, miss)
+    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _near_components(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, miss: float = MISS) -> DataFrame:
+    """The rows of ``near_components`` with the name of each one's set, ``node`` (null: no words)."""
     spark = docs.sparkSession
     importable(spark)
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -273,6 +292,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # (merged at every size: texts move once, whether or not the ids of candidates would fit into a broadcast)
     texts = docs.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     sets = texts.mapInArrow(_whole_sets(words), "node binary, elements binary")
+    # (nodes that only rows with a null id hold: no id leads to their texts, so the sets of such rows are collapsed by node)
+    lost = docs.filter("doc_id IS NULL").mapInArrow(_whole_sets(words), "node binary, elements binary")
+    lost = lost.groupBy("node").agg(F.any_value("elements").alias("elements")).join(wanted.filter("doc_id IS NULL").select("node"), "node", "left_semi")
+    sets = sets.union(lost)
     sets = saved(sets.groupBy("node").agg(F.any_value("elements").alias("elements")))
     may = likely(percent, miss)
 
@@ -319,10 +342,18 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = rooted.join(lowest, "root").select("node", "component_id")
     alone = named.filter("node IS NULL").withColumn("component_id", F.col("doc_id"))
     out = named.filter("node IS NOT NULL").join(ids, "node").withColumn("component_id", F.coalesce("component_id", "doc_id")).unionByName(alone)
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "node")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that lead their component, with all columns. Rows that repeat an id stay or go together, and texts without words stay."""
-    kept = near_components(docs, id_col, text_col, words, percent).filter("kept").select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
+    """The rows of ``docs`` that lead their component, with all columns. Rows that repeat an id stay or go together, and texts without words stay.
+
+    A row with a null id goes by its text: it stays unless that is linked to a text with an id.
+    """
+    judged = saved(_near_components(docs, id_col, text_col, words, percent).select("doc_id", "kept", "node"))
+    kept = judged.filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.join(kept, docs[id_col] == kept["_id"], "left_semi")
+    rows = packed(docs.filter(F.col(id_col).isNull()), text=F.col(text_col).cast("string"))
+    rows = rows.mapInArrow(_with_nodes(words), StructType([rows.schema["row"], StructField("node", BinaryType())]))
+    gone = judged.filter("NOT kept AND doc_id IS NULL").select("node").distinct()
+    return named.unionByName(rows.join(gone, "node", "left_anti").select("row.*"))

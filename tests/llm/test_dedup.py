@@ -97,6 +97,21 @@ def test_one_large_group(spark):
     assert got(neardup.near_components(docs, words=4)) == near_truth(docs.collect(), 4, 80)
 
 
+def test_null_ids_link_and_go(spark):
+    """A near copy under a null id is linked, links others, and goes; an unlike text under a null id stays."""
+    base = [f"w{i}" for i in range(100)]
+    at = lambda n: " ".join(base[n:] + [f"x{i}" for i in range(n)])
+    alone = "nothing like the others at all"
+    rows = [(1, at(0), 1), (None, at(8), 2), (2, at(16), 3), (None, alone, 4), (None, None, 5), (None, "", 6), (None, at(8), 7), (None, "a null near copy " + at(30)[::-1], 8), (3, "three", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    for k in (4, 5):
+        want = near_truth(docs.select("doc_id", "text").collect(), k, 80)
+        assert got(neardup.near_components(docs, words=k)) == want
+        assert [c for d, _, c, _ in want if d == 2] == [1] and sum(d is None and c == 1 for d, _, c, _ in want) == 2
+    out = neardup.drop_near_copies(docs)
+    assert out.columns == docs.columns and sorted(r.n for r in out.collect()) == [1, 4, 5, 6, 8, 9]
+
+
 def test_pruning_bounds():
     """A pair at the threshold is hardly ever dropped."""
     import math
