@@ -120,6 +120,22 @@ def test_pruning_bounds():
         assert sum(math.comb(n, i) * 0.85**i * 0.15 ** (n - i) for i in range(m)) < 1e-3
 
 
+def test_pruning_of_all_batches_together():
+    """A pair at the threshold is dropped in one of the batches no more often than the bands miss it."""
+    import math
+
+    left, lost = {0: 1.0}, 0.0
+    one = [math.comb(neardup.BATCH, i) * 0.85**i * 0.15 ** (neardup.BATCH - i) for i in range(neardup.BATCH + 1)]
+    for m in neardup.needed(80, neardup.MISS):
+        now = {}
+        for n, p in left.items():
+            for i, q in enumerate(one):
+                now[n + i] = now.get(n + i, 0.0) + p * q
+        lost += sum(p for n, p in now.items() if n < m)
+        left = {n: p for n, p in now.items() if n >= m}
+    assert lost < (1 - 0.8**neardup.ROWS) ** neardup.BANDS < 5e-5
+
+
 def test_blocks_of_a_bucket(spark, monkeypatch):
     """Many members of several components, compared in small blocks."""
     import random
