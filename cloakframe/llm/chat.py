@@ -21,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.frames import importable
+from cloakframe.llm.frames import importable, saved
 
-BLOCK, MOST_ROLES = 1024, 16
+BLOCK = 1024
 #: Words that mark a speaker at the start of a line (fixed values of common transcripts).
 MARKERS = {
     1: "user|human|customer|question|q|me|client|prompt|instruction",
@@ -73,27 +73,39 @@ class Model:
 
 
 def fit(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> Model:
-    """A model from labelled rows (those with a role). The ``MOST_ROLES`` most frequent roles can be predicted; counts start at one."""
-    rows = rows.filter(F.col(role_col).isNotNull()).select(
-        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), observed(F.col(text_col)).alias("seen")
-    )
-    per = rows.groupBy("role", "seen").count()
-    top = per.groupBy("role").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "role").limit(MOST_ROLES)
-    roles = sorted(r["role"] for r in top.collect())
+    """A model from labelled rows (those with a role). Every role that occurs can be predicted; counts start at one.
+
+    A row's predecessor is the one before it in the order in which ``roles`` reads a conversation, whatever the gap
+    between their turns. An unlabelled predecessor says nothing of what follows it, and a row with a null
+    conversation is one of its own.
+    """
+    text = F.col(text_col).cast("string")
+    rows = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), text.alias("text"))
+    labelled = rows.filter("role IS NOT NULL")
+    per = labelled.select("role", observed(F.col("text")).alias("seen")).groupBy("role", "seen").count()
+    roles = sorted(r["role"] for r in per.select("role").distinct().collect())
     at = {r: k for k, r in enumerate(roles)}
     k = max(len(roles), 1)
     shown = [np.ones((k, n)) for n in SIZES]
-    for r in per.filter(F.col("role").isin(roles)).collect() if roles else []:  # at most roles x the feature values' combinations
+    for r in per.collect():  # at most roles x the feature values' combinations
         for table, v in zip(shown, r["seen"], strict=True):
             table[at[r["role"]], v] += r["count"]
-    # a row's predecessor has the next smaller turn number
-    before = rows.select("conv", (F.col("turn") + 1).alias("turn"), F.col("role").alias("last"))
-    pairs = rows.select("conv", "turn", "role").join(before, ["conv", "turn"], "left").groupBy("last", "role").count()
+    # neighbours within a block of turns, and the last row of a block before the first one of the next block that has rows
+    order = [F.col("turn").asc_nulls_first(), F.col("text").asc_nulls_first(), F.col("role").asc_nulls_first()]
+    rows = rows.filter("conv IS NOT NULL").withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
+    inside = Window.partitionBy("conv", "block").orderBy(*order)
+    rows = rows.withColumn("last", F.lag("role").over(inside)).withColumn("n", F.row_number().over(inside)).withColumn("next", F.lead(F.lit(1)).over(inside))
+    rows = saved(rows.select("conv", "block", "role", "last", "n", F.col("next").isNull().alias("ends")))
+    edges = rows.filter("n = 1 OR ends").groupBy("conv", "block").agg(F.max(F.when(F.col("n") == 1, F.col("role"))).alias("role"), F.max(F.when(F.col("ends"), F.col("role"))).alias("end"))
+    by_block = Window.partitionBy("conv").orderBy("block")  # one row for each block
+    edges = edges.withColumn("last", F.lag("end").over(by_block)).withColumn("first", F.row_number().over(by_block) == 1)
+    pairs = rows.filter("n > 1").select("last", "role", F.lit(False).alias("first")).union(edges.select("last", "role", "first"))
+    pairs = pairs.union(labelled.filter("conv IS NULL").select(F.lit(None).cast("string"), "role", F.lit(True)))
     first, after = np.ones(k), np.ones((k, k))
-    for r in pairs.filter(F.col("role").isin(roles)).collect() if roles else []:
-        if r["last"] is None:
+    for r in pairs.filter("role IS NOT NULL").groupBy("last", "role", "first").count().collect():
+        if r["first"]:
             first[at[r["role"]]] += r["count"]
-        elif r["last"] in at:
+        elif r["last"] is not None:
             after[at[r["last"]], at[r["role"]]] += r["count"]
     log = lambda x: np.log(x / x.sum(-1, keepdims=True))
     return Model(roles, log(first), log(after), [log(t) for t in shown])
@@ -140,10 +152,10 @@ def viterbi(model: Model, seen: np.ndarray, spans: list[tuple[int, int]], before
     for j, n in enumerate(active):
         if j == 0:
             score[:n] = np.where(before[:n, None] >= 0, model.after[before[:n]], model.first[None, :])
-            came.append(np.zeros((n, k), np.int8))
+            came.append(np.zeros((n, k), np.int32))
         else:
             ways = score[:n, :, None] + model.after[None, :, :]
-            came.append(ways.argmax(1).astype(np.int8))
+            came.append(ways.argmax(1).astype(np.int32))
             score[:n] = ways.max(1)
         score[:n] += emit[starts[:n] + j]
     at = np.where(last >= 0, last, score.argmax(1))

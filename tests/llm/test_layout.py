@@ -160,6 +160,23 @@ def test_transcript_lines_and_rendering(spark):
     assert [r[0] for r in got] == ["<|user|>\nhow < |x|>?\n<|end|>\n", "<|assistant|>\nlike that.\n<|end|>\n"]
 
 
+def test_neighbours_across_gaps_and_all_roles(spark, monkeypatch):
+    """Turns with gaps and over blocks follow each other, an unlabelled one between two says nothing, and no role is too rare."""
+    monkeypatch.setattr(chat, "BLOCK", 8)
+    talk = [(0, "a"), (3, "b"), (7, "a"), (20, "b"), (21, None), (22, "a"), (40, "c")]
+    rows = [(c, t, r, "x") for c in range(5) for t, r in talk] + [(None, 1, "b", "x"), (None, 2, "b", "x")] + [(9, i, f"r{i}", "x") for i in range(0, 40, 2)]
+    model = chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert model.roles == sorted({r for _, _, r, _ in rows if r})
+    k, at = len(model.roles), model.roles.index
+    first, after = np.ones(k), np.ones((k, k))
+    first[at("a")] += 5
+    first[at("b")] += 2
+    first[at("r0")] += 1
+    for x, y, n in (("a", "b", 10), ("b", "a", 5), ("a", "c", 5), *((f"r{i}", f"r{i + 2}", 1) for i in range(0, 38, 2))):
+        after[at(x), at(y)] += n
+    assert np.exp(model.first) == pytest.approx(first / first.sum()) and np.exp(model.after) == pytest.approx(after / after.sum(1, keepdims=True))
+
+
 # -- pages --------------------------------------------------------------------------------
 def test_cut_is_cheapest():
     import itertools
