@@ -5,8 +5,9 @@ budget is filled in the order of exponential keys -ln(u) / weight, so that docum
 weight tend to come first, up to the budget (of the last document only the part that fits). u is
 a hash of the id, so runs agree.
 
-A source of any size is ranked without sorting it whole: its keys are dealt into ``BUCKETS``
-ranges, sums of the ranges show in which one the budget ends, and only that range is sorted.
+A source of any size is ranked without sorting it whole: its keys are dealt into ranges of their
+logarithm, sums of the ranges show in which one the budget ends, and only that range is sorted. A
+weight shifts the logarithm and no more, so a range holds at most 2.6e-4 of the documents of any weight.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cloakframe.llm.frames import WORD, packed, saved
 
-BUCKETS = 4096
+BUCKETS = 1024  # ranges for every doubling of the key
 WEIGHTS = (1, 2, 3)
 
 
@@ -36,6 +37,12 @@ def plain_share(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.coalesce(plain.cast("double") / F.greatest(n_words(text), F.lit(1)), F.lit(0.0)))
 
 
+def key_range(key: Column) -> Column:
+    """The number of the key's range; it rises with the key (null and NaN: the last one)."""
+    level = F.greatest(F.lit(-1e6), F.least(F.lit(1e6), F.floor(F.log2(key) * BUCKETS).cast("double")))
+    return F.when(key.isNull() | F.isnan(key), 1000001).when(key <= 0, -1000001).otherwise(level.cast("int"))
+
+
 def targets(sizes: DataFrame, most: float = 3.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Of sources and sizes (source, source_size) each one's target.
 
@@ -67,8 +74,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = F.col(text_col).cast("string")
     key = -F.log(uniform(id_col)) / (plain_share(text) if weight is None else weight)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), key.alias("key"))
-    # ranges of the key: 1 - exp(-key) rises with it from 0 to 1
-    rows = saved(rows.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")))
+    rows = saved(rows.withColumn("bucket", key_range(F.col("key"))))
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
     sizes = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), most, weights)
     goal = F.floor(F.col("target") + 0.5).cast("long")

@@ -85,6 +85,17 @@ def test_mix(spark, odd, none, small):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_ranges_of_keys_are_small_at_every_weight(spark):
+    for weight in (0.05, 0.4, 1.0, 30.0):
+        keys = spark.range(20000).select((-F.log(mixing.uniform("id")) / weight).alias("key"))
+        ranges = keys.groupBy(mixing.key_range(F.col("key")).alias("r")).agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).orderBy("r").collect()
+        assert max(r.n for r in ranges) < 40 and all(a.high < b.low for a, b in zip(ranges, ranges[1:], strict=False))
+    odd = spark.sql("SELECT explode(array(NULL, double('NaN'), double('inf'), 0D, -1D, 1e-300)) AS key").select("key", mixing.key_range(F.col("key")).alias("r"))
+    assert [r.r for r in odd.collect()] == [1000001, 1000001, 1000000, -1000001, -1000001, -1000000]
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('1 2 3 ', id) AS text", "IF(id % 2 = 0, 'a', 'b') AS source")  # all of the least weight
+    assert {r.source for r in mixing.mix(docs).filter("part > 0").collect()} and mixing.mix(docs).agg(F.sum("taken")).first()[0] == 12000
+
+
 def test_levels(spark):
     """Caps, and sources named null, against filling up step by step."""
     rng = random.Random(4)
