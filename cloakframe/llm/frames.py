@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,14 +76,24 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
-    wide = pa.types.is_large_string(column.type)
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, starts, data = column.buffers()
     at = np.frombuffer(starts, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if starts else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data and at[-1] > at[0] else np.empty(0, np.uint8)
     return raw, at - at[0]
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices whose texts have about ``most`` bytes at most together, or a single row."""
+    at = utf8(batch.column(column))[1]
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """64-bit values with their bits well mixed (the finaliser of a common 64-bit hash)."""
     h = h ^ (h >> np.uint64(33))

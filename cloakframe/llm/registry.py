@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cloakframe.llm import bpe, chat, exactdup, langid, mixing, neardup, pages, quality, shard, topk
+from cloakframe.llm import bpe, chat, exactdup, langid, mixing, neardup, packing, pages, phrases, quality, shard, topk, whitening
 from cloakframe.llm.frames import importable
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +83,30 @@ def op10_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf, "documents"), least=30, scale=2_000_000, inside=(80, 100), most=2000)
+
+
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = _table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    model = whitening.fit(vectors, k=32, scale=64.0, shift=1_000_000)
+    error = whitening.identity_error(vectors, model)
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.array(*map(F.lit, model.explained)) if model.explained else F.array().cast("array<double>")
+    return rows.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("at")).alias("explained"), F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
+def op13_packing(spark: SparkSession, sf: str, path: str | None = None) -> DataFrame:
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.packed_pieces(_table(spark, sf, "documents"), packing.load(spark, path), most=2048, end=0, ids=False)
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -115,11 +139,31 @@ SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
 FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op11_phrases": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang,
+                  unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+      FROM w, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+x AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS i FROM c),
+y AS (SELECT x.*, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * x.a // (l.f + r.f) AS BIGINT) AS score
+      FROM x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:i], ' ')
+             JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[i + 1:], ' ')),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+s AS (SELECT lang, a, k, w, unnest(range(2, k)) AS j FROM c WHERE k > 2),
+t AS (SELECT lang, a, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(w[i:i + j - 1], ' '))) AS phrase FROM s),
+m AS (SELECT lang, phrase, max(a) AS longer FROM t GROUP BY ALL)
+SELECT z.lang, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, z.phrase) AS rank, z.phrase, a, l, r, n, score
+FROM z JOIN n ON n.lang = z.lang LEFT JOIN m ON m.lang = z.lang AND m.phrase = z.phrase
+WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a QUALIFY rank <= 2000""",
 }
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_shards, op2_topk, op3_langid, op4_mix, op5_neardup, op6_exactdup, op7_quality, op8_bpe, op9_chat, op10_main_text, pipeline)}
+    return {q.__name__: q for q in (op1_shards, op2_topk, op3_langid, op4_mix, op5_neardup, op6_exactdup, op7_quality, op8_bpe, op9_chat, op10_main_text, op11_phrases, op12_whitening, op13_packing, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
