@@ -168,6 +168,38 @@ def word_hashes(raw: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np
     return np.concatenate(hashes), s, np.concatenate(ends), np.searchsorted(s, at)
 
 
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def exact_ids(raw: np.ndarray, first: np.ndarray, end: np.ndarray, hashes: np.ndarray, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Equal ids for equal words (of equal groups), and where each id's word occurs first; words of equal hashes are compared byte by byte."""
+    n = end - first
+    _, where, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, np.dtype("<u8"), padded, strides=(1,))
+    same = n == n[where][ids]
+    if group is not None:
+        same &= group == group[where][ids]
+    for k in range(0, int(n.max(initial=0)), 8):
+        long = np.flatnonzero(same & (n > k))
+        mask = _MASKS[np.minimum(n[long] - k, 8)]
+        same[long] &= (eight[first[long] + k] & mask) == (eight[first[where][ids[long]] + k] & mask)
+    more: dict[tuple, int] = {}
+    for i in np.flatnonzero(~same).tolist():  # two words of one hash: the others get ids of their own
+        word = (0 if group is None else int(group[i]), raw[first[i] : end[i]].tobytes())
+        if word not in more:
+            more[word] = len(where)
+            where = np.append(where, i)
+        ids[i] = more[word]
+    return ids, where
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` that begin at ``starts``, one after the other."""
+    before = np.cumsum(lengths) - lengths
+    return pool[np.arange(int(lengths.sum())) + np.repeat(starts - before, lengths)]
+
+
 def shingle_hashes(words: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the runs of ``k`` words of each text (fewer words: the whole sequence as one), and where each text's begin."""
     n = np.diff(of)

@@ -16,17 +16,17 @@ any length are encoded whole.
 from __future__ import annotations
 
 import os
-import struct
 import zlib
 from bisect import bisect_left, insort
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
-from cloakframe.llm.frames import importable, running_total, saved, slices
+from cloakframe.llm.frames import exact_ids, gathered, importable, running_total, saved, slices, utf8, word_hashes
 
 #: Words remembered in each of two generations, the bytes of a word that is remembered, and the ranges that a length is numbered by.
 KNOWN, LONGEST, RANGES = 1 << 19, 64, 4096
@@ -51,23 +51,39 @@ class Words:
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def ids_of(self, texts: list[bytes]) -> list[bytes]:
-        """Of each text the ids, as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
-        known = dict.fromkeys(w for words in split for w in words)
-        missing = []
-        for w in known:
-            found = self.new.get(w) or self.old.get(w)
-            if found is None:
-                missing.append(w)
-            else:
-                known[w] = found
-        for w, e in zip(missing, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in missing], add_special_tokens=False), strict=True):
-            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        if len(self.new) + len(known) > KNOWN:
+    def encode(self, words: list[bytes], step: int = 512) -> list[bytes]:
+        """The ids of each word, as little-endian unsigned 32-bit integers; many are encoded as one text and told apart by offsets."""
+        texts, out = [w.decode("utf-8", "replace") for w in words], []
+        for i in range(0, len(texts), 8 * step):
+            some = [texts[j : j + step] for j in range(i, min(i + 8 * step, len(texts)), step)]
+            for line, e in zip(some, self.tokenizer.encode_batch([" ".join(t) for t in some], add_special_tokens=False), strict=True):
+                at = np.cumsum([0, *(len(t) + 1 for t in line)])
+                cut = (4 * np.searchsorted(np.array([a for a, _ in e.offsets]), at)).tolist()
+                raw = np.array(e.ids, "<u4").tobytes()
+                out += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        return out
+
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin (one more for the end)."""
+        raw, at = utf8(texts)
+        h, first, end, of = word_hashes(raw, at, lower=False)
+        ids, where = exact_ids(raw, first, end, h)
+        blob = raw.tobytes()
+        words = [blob[a:b] for a, b in zip(first[where].tolist(), end[where].tolist(), strict=True)]
+        if len(self.new) + len(words) > KNOWN:
             self.old, self.new = self.new, {}
-        self.new.update((w, ids) for w, ids in known.items() if len(w) <= LONGEST)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        missing = [w for w in words if w not in self.new]
+        self.new.update([(w, self.old[w]) for w in missing if w in self.old])
+        missing = [w for w in missing if w not in self.new]
+        self.new.update(zip(missing, self.encode(missing), strict=True))
+        found = [self.new[w] for w in words]
+        for w in missing:
+            if len(w) > LONGEST:
+                del self.new[w]
+        sizes = np.array([len(x) for x in found], np.int64) // 4
+        pool = np.frombuffer(b"".join(found), "<u4")
+        each = sizes[ids]
+        return gathered(pool, (np.cumsum(sizes) - sizes)[ids], each), np.concatenate([[0], np.cumsum(each)])[of]
 
 
 _words: dict[int, Words] = {}
@@ -94,10 +110,11 @@ def pieces(docs: DataFrame, vocabulary, most: int = 2048, end: int = 0, ids: boo
     def work(batches):
         words = _loaded(vocabulary)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 of, piece, start, length, crc, parts = [], [], [], [], [], []
-                for row, whole in enumerate(words.ids_of([t or b"" for t in part.column("text").to_pylist()])):
-                    whole += stop
+                all_ids, at = words.ids_of(part.column("text"))
+                for row, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)):
+                    whole = all_ids[a:b].tobytes() + stop
                     for p in range(0, len(whole), 4 * most):
                         cut = whole[p : p + 4 * most]
                         of.append(row)

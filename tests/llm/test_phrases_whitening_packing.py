@@ -1,5 +1,6 @@
 """Phrase automata, whitening and packing, against plain versions of their own."""
 
+import functools
 import itertools
 import random
 import re
@@ -159,11 +160,16 @@ def vocabulary(spark):
     return packing.load(spark, public_tokenizers.path("word_bpe_49k.json"))
 
 
-def encoded(text):
+@functools.cache
+def library():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def encoded(text):
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def held_to_contract(docs, rows, most):
