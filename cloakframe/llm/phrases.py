@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.frames import importable, mixed, saved, slices, utf8, word_hashes
+from cloakframe.llm.frames import exact_ids, importable, mixed, saved, slices, utf8, word_hashes
 
 #: Words of the longest phrase, bits of a bitmap's size, prefix ranges of a language, salted groups of a range, rows that a task counts before it sends them on.
 WORDS, BITS, RANGES, SALTS, PENDING = 4, 26, 64, 8, 1 << 21
@@ -44,7 +44,6 @@ _LOWER[65:91] += 32
 _LOWER[[*b".,;:!?\x0b\x0c\x0d"]] = 10  # pieces end here
 _LOWER[9] = 32
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_MASKS = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
 Phrase = tuple[bytes, ...]
 
 
@@ -173,26 +172,10 @@ class _Slice:
 
     def word_ids(self, used: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
         """Exact ids of the words at ``used`` in their languages ``lang``: those of equal hashes are compared byte by byte."""
-        s, n = self.first[used], self.end[used] - self.first[used]
-        _, where, ids = np.unique(self.hash[used], return_index=True, return_inverse=True)
-        padded = np.concatenate([self.raw, np.zeros(8, np.uint8)])
-        eight = np.ndarray(len(self.raw) + 1, np.dtype("<u8"), padded, strides=(1,))
-        same = (n == n[where][ids]) & (lang == lang[where][ids])
-        for k in range(0, int(n.max(initial=0)), 8):
-            long = np.flatnonzero(n > k)
-            mask = _MASKS[np.minimum(n[long] - k, 8)]
-            same[long] &= (eight[s[long] + k] & mask) == (eight[s[where][ids[long]] + k] & mask)
+        first, end = self.first[used], self.end[used]
+        ids, where = exact_ids(self.raw, first, end, self.hash[used], lang)
         raw = self.raw.tobytes()
-        words = [raw[a : a + m] for a, m in zip(s[where].tolist(), n[where].tolist(), strict=True)]
-        if not same.all():  # two words of one hash: the others get ids of their own
-            known: dict[tuple, int] = {}
-            for i in np.flatnonzero(~same).tolist():
-                word = int(lang[i]), raw[s[i] : s[i] + n[i]]
-                if word not in known:
-                    known[word] = len(words)
-                    words.append(word[1])
-                ids[i] = known[word]
-        return ids, words
+        return ids, [raw[a:b] for a, b in zip(first[where].tolist(), end[where].tolist(), strict=True)]
 
 
 def held(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -213,13 +196,24 @@ def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _bitmap(rows: DataFrame, k: int, maps: list, least: int) -> np.ndarray:
-    """The bitmap of the hashes of phrases of ``k`` words that occur ``least`` times or more; at most 2^BITS bits reach the driver."""
+    """The bitmap of the hashes of phrases of ``k`` words that occur ``least`` times or more; at most 2^BITS bits reach the driver.
+
+    Counts travel as arrays by range of the hash: 32 bits of it a phrase, and a count where that
+    is not one. There are as many ranges as the session has shuffle partitions, or a few more.
+    """
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(maps)
+    bits = min(BITS - 3, max(6, int(spark.conf.get("spark.sql.shuffle.partitions")).bit_length()))
+
+    def send(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        h = h >> np.uint64(32 - bits)
+        at = np.searchsorted(h >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
+        low, once = h.astype(np.uint32), n == 1
+        parts = [(r, low[a:b][once[a:b]].tobytes(), low[a:b][~once[a:b]].tobytes(), n[a:b][~once[a:b]].tobytes()) for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in parts], pa.binary() if i else pa.int32()) for i in range(4)], ["range", "once", "more", "n"])
 
     def work(batches):
         h, n = np.empty(0, np.uint64), np.empty(0, np.int64)
-        send = lambda: pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
         for batch in batches:
             for part in slices(batch, "text", 8 << 20):
                 *_, (_, new) = _Slice(part).levels(shared.value, k)
@@ -228,17 +222,25 @@ def _bitmap(rows: DataFrame, k: int, maps: list, least: int) -> np.ndarray:
                 if len(h) > PENDING:
                     h, n = _summed(h, n)
                     if 2 * len(h) > PENDING:
-                        yield send()
+                        yield send(h, n)
                         h, n = h[:0], n[:0]
-        h, n = _summed(h, n)
-        yield send()
-
-    often = rows.mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    bit = F.shiftrightunsigned("h", 64 - BITS)
-    page = often.select(F.shiftright(bit, 15).alias("page"), bit.bitwiseAND((1 << 15) - 1).alias("bit")).repartition("page")
+        yield send(*_summed(h, n))
+
+    def often(table: pa.Table) -> pa.Table:
+        once = np.frombuffer(b"".join(table.column("once").to_pylist()), np.uint32)
+        more = np.frombuffer(b"".join(table.column("more").to_pylist()), np.uint32)
+        n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.int64)
+        h, n = _summed(np.concatenate([once, more]), np.concatenate([np.ones(len(once), np.int64), n]))
+        found = np.zeros(1 << BITS - bits, np.uint8)
+        found[h[n >= least] >> np.uint32(32 - (BITS - bits))] = 1
+        page = zlib.compress(np.packbits(found, bitorder="little").tobytes(), 1)
+        return table.select(["range"]).slice(0, 1).append_column("page", pa.array([page], pa.binary()))
+
+    counted = rows.mapInArrow(work, "range int, once binary, more binary, n binary")
     out = np.zeros(1 << BITS - 3, np.uint8)
-    for r in page.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
-        out[r.page << 12 : (r.page + 1) << 12] = np.frombuffer(bytes(r.bits), np.uint8)
+    size = len(out) >> bits
+    for r in counted.groupBy("range").applyInArrow(often, "range int, page binary").collect():
+        out[r["range"] * size : (r["range"] + 1) * size] = np.frombuffer(zlib.decompress(bytes(r.page)), np.uint8)
     return out
 
 
