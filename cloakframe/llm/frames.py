@@ -180,10 +180,15 @@ def exact_ids(raw: np.ndarray, first: np.ndarray, end: np.ndarray, hashes: np.nd
     same = n == n[where][ids]
     if group is not None:
         same &= group == group[where][ids]
-    for k in range(0, int(n.max(initial=0)), 8):
-        long = np.flatnonzero(same & (n > k))
-        mask = _MASKS[np.minimum(n[long] - k, 8)]
-        same[long] &= (eight[first[long] + k] & mask) == (eight[first[where][ids[long]] + k] & mask)
+    left, k = np.flatnonzero(same & (n > 0)), 0
+    while len(left) and k < 256:
+        mask = _MASKS[np.minimum(n[left] - k, 8)]
+        same[left] = (eight[first[left] + k] & mask) == (eight[first[where][ids[left]] + k] & mask)
+        k += 8
+        left = left[same[left] & (n[left] > k)]
+    for i in left.tolist():  # long ones
+        j = where[ids[i]]
+        same[i] = i == j or np.array_equal(raw[first[i] : end[i]], raw[first[j] : end[j]])
     more: dict[tuple, int] = {}
     for i in np.flatnonzero(~same).tolist():  # two words of one hash: the others get ids of their own
         word = (0 if group is None else int(group[i]), raw[first[i] : end[i]].tobytes())
@@ -194,6 +199,23 @@ def exact_ids(raw: np.ndarray, first: np.ndarray, end: np.ndarray, hashes: np.nd
     return ids, where
 
 
+def run_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of runs of ``raw`` that follow one another, in blocks of about a megabyte."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + _BLOCK, "right")))
+        part = raw[starts[a] : ends[b - 1]]
+        sums = np.empty(len(part) + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_CODES[part] * _power(_BASE, len(part))[: len(part)], out=sums[1:])
+        s, e = starts[a:b] - starts[a], ends[a:b] - starts[a]
+        h = (sums[e] - sums[s]) * _power(_BASE_INVERSE, len(part) + 1)[s]
+        out[a:b] = mixed(h + (e - s).astype(np.uint64))
+        a = b
+    return out
+
+
 def gathered(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs of ``pool`` that begin at ``starts``, one after the other."""
     before = np.cumsum(lengths) - lengths
