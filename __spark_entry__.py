@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracles as o  # noqa: E402
+import table_queries  # noqa: E402
 from cloakframe.functions.detect import has_pii, has_type  # noqa: E402
 from cloakframe.functions.mask import mask  # noqa: E402
 from cloakframe.functions.sqlnames import register_sql_functions  # noqa: E402
@@ -710,16 +711,16 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in _QUERIES} | (llm.queries() if llm else {})
+    return {q.__name__: q for q in _QUERIES} | table_queries.queries() | (llm.queries() if llm else {})
 
 
 def core_names() -> list[str]:
     """The queries of this library's own operators, without the optional part."""
-    return [q.__name__ for q in _QUERIES]
+    return [*(q.__name__ for q in _QUERIES), *table_queries.queries()]
 
 
 def oracle_sql() -> dict[str, str]:
-    return _oracles() | (llm.oracle_sql() if llm else {})
+    return _oracles() | table_queries.oracle_sql() | (llm.oracle_sql() if llm else {})
 
 
 # -- SQL twins -----------------------------------------------------------------------------

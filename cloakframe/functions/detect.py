@@ -83,13 +83,9 @@ def pii_types(x: str, rules: Rules = DEFAULT_RULES) -> str:
     return f"array_sort(array_compact({array(hits, 'STRING')}))"
 
 
-def type_codes(x: str, rules: Rules = DEFAULT_RULES, first: int = 0) -> str:
-    """Array of ``first`` + the number of each type that a text holds, without locating the values."""
-    parts = []
-    for needs, group in _by_needs(rules):
-        flags = array([f"IF({x} RLIKE {lit(d.java_regex)}, {first + i}, NULL)" for i, d in group], "INT")
-        parts.append(f"IF({meets(x, needs)}, array_compact({flags}), {array([], 'INT')})")
-    return f"concat({', '.join(parts) or array([], 'INT')})"
+def type_tests(x: str, rules: Rules = DEFAULT_RULES) -> list[tuple[str | None, list[tuple[int, str]]]]:
+    """Tests of the types by number, without locating the values, grouped under the guard that they share."""
+    return [(meets(x, needs), [(i, f"{x} RLIKE {lit(d.java_regex)}") for i, d in group]) for needs, group in _by_needs(rules)]
 
 
 def merge_spans(*parts: str) -> str:

@@ -58,7 +58,8 @@ def redact(x: str, rules: Rules = DEFAULT_RULES, overlap: str = "each", hits: st
 def _spliced(x: str, rules: Rules, overlap: str) -> str:
     """The text with its hits (``__f``, last start first) replaced, in time linear in both.
 
-    Hits that can't touch each other's text are apart.  ``reach`` is how far what stands
+    Where no two hits share a character, gaps and masks alternate. Else hits that can't touch
+    each other's text are apart.  ``reach`` is how far what stands
     before a hit can reach: to the farthest end so far, and further by what masks have
     shortened, since an earlier value that overlaps later ones is cut out at its original
     offsets.  A cluster is a run of hits that start before that; clusters are spliced one
@@ -97,7 +98,14 @@ def _spliced(x: str, rules: Rules, overlap: str) -> str:
     part = f"IF(size(__r.c) = 1, concat(__r.c[0].mk, {_between('__r.c[0].en', '__r.up')}), {several})"
     joined = f"concat({_between('0', '__h[0].st')}, array_join(transform({clusters}, __r -> {part}), ''))"
     windows = f"regexp_extract_all({x}, {lit(f'(?s).{{1,{_WINDOW}}}')}, 0)"
-    many = let(placed, "__p", let(reached, "__h", let(starts, "__b", let(windows, "__w", joined))))
+    # most texts have no two hits that share a character: their masks stand between the gaps
+    rest = "slice(__p, 2, size(__p) - 1)"
+    sharing = f"coalesce(exists(zip_with(__p, {rest}, (__a, __s) -> __s.st < __a.en), __y -> __y), false)"
+    nexts = f"concat(transform({rest}, __s -> __s.st), array(char_length({x})))"
+    gaps = f"zip_with(__p, {nexts}, (__a, __y) -> concat(__a.mk, {_between('__a.en', '__y')}))"
+    apart = f"concat({_between('0', '__p[0].st')}, array_join({gaps}, ''))"
+    clustered = let(reached, "__h", let(starts, "__b", joined))
+    many = let(placed, "__p", let(windows, "__w", f"IF({sharing}, {clustered}, {apart})"))
     return f"IF(size(__f) = 1, {one}, {many})"
 
 

@@ -60,14 +60,14 @@ def running(
     ``kind`` is the type of what ``make`` gives.
     """
     none = array([], kind)
-    # the state before each chunk
+    # the state before each chunk; what the last chunk does to it isn't needed
     before = (
-        f"aggregate(__k, struct({first} AS at, array({first}) AS all), (__t, __s) -> "
+        f"aggregate(slice(__k, 1, size(__k) - 1), struct({first} AS at, array({first}) AS all), (__t, __s) -> "
         f"struct({whole('__t.at', '__s')} AS at, array_append(__t.all, {whole('__t.at', '__s')}) AS all), __t -> __t.all)"
     )
     inside = (
         f"aggregate(__c, struct(__o AS at, {none} AS out), (__t, __s) -> "
         f"struct({after('__t.at', '__s')} AS at, array_append(__t.out, {make('__t.at', '__s')}) AS out), __t -> __t.out)"
     )
-    each = f"flatten(zip_with(__k, slice({before}, 1, size(__k)), (__c, __o) -> {inside}))"
+    each = f"flatten(zip_with(__k, {before}, (__c, __o) -> {inside}))"
     return let(_chunks(items), "__k", each)

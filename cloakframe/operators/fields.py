@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import types as T
 
 from cloakframe.functions import sql
-from cloakframe.functions.detect import SPAN, has_type, merge_spans, spans, type_codes
+from cloakframe.functions.detect import SPAN, has_type, merge_spans, spans, type_tests
 from cloakframe.functions.text import INTEGERS, STRINGS, pii_text
 from cloakframe.rules import Detection, Rules
 
@@ -47,13 +47,13 @@ class Field:
     def holds(self, detection: Detection, scope: Scope) -> str:
         return _holds(self.value, self.dtype, detection, scope, 0)
 
-    def codes(self, rules: Rules, scope: Scope, first: int) -> str:
-        """Array of ``first`` + the number of each detection that hits; detections with one guard share it."""
+    def tests(self, rules: Rules, scope: Scope) -> list[tuple[str | None, list[tuple[int, str]]]]:
+        """Tests of the detections by number, in groups that share a guard (or none). A null value hits nothing."""
         if isinstance(self.dtype, STRINGS):
-            return type_codes(self.value, rules, first)
-        tests = [(first + i, self.holds(d, scope)) for i, d in enumerate(rules.detections)]
-        flags = [f"IF({test}, {code}, NULL)" for code, test in tests if test != "false"]
-        return f"array_compact({sql.array(flags, 'INT')})"
+            return type_tests(self.value, rules)
+        held = [(i, self.holds(d, scope)) for i, d in enumerate(rules.detections)]
+        held = [(i, test) for i, test in held if test != "false"]
+        return [(None, held)] if held else []
 
     def holds_any(self, rules: Rules, scope: Scope) -> str:
         return sql.any_of(self.holds(d, scope) for d in rules.detections)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from cloakframe.functions.sql import lit, name
 from cloakframe.operators.fields import Scope, fields
 from cloakframe.rules import DEFAULT_RULES, Rules
 
+#: Cells (place and type) whose hits are the bits of one number.
+_BITS = 60
+
+
 def profile_table(
     df: DataFrame,
     rules: Rules = DEFAULT_RULES,
@@ -19,24 +25,46 @@ def profile_table(
 ) -> DataFrame:
     """Rows ``(path, column, pii_type, n_rows, rows_scanned)``, one per place and type.
 
-    One scan of any number of columns: map-side partial counts per place and type,
-    a few tiny rows per task to exchange, whatever the size or skew of the table.
-    Columns that are not scanned give one row with a null type.
+    One scan of any number of columns. A row's hits are bits of a few numbers, and rows of
+    equal bits are counted together map-side, so clean rows are one group and nothing is
+    exploded before it is counted. Columns that are not scanned give one row with a null type.
     """
+    counters, cells = count_columns(df, rules, scope, columns)
+    return unfold_counts(counters(df, []), cells)
+
+
+def count_columns(
+    df: DataFrame, rules: Rules = DEFAULT_RULES, scope: Scope = Scope(), columns: list[str] | None = None
+) -> tuple[Callable[[DataFrame, list[str]], DataFrame], list[tuple[str, str, str, str]]]:
+    """A function (rows, keys) to counters, ``n`` by cell and ``rows_scanned``, for each value of the keys; and the cells for ``unfold_counts``."""
     places = fields(df.schema, scope, columns)
     rest = [c for c in columns or df.columns if c not in {p.column for p in places}]
     n_types = len(rules.detections)
-    codes = [p.codes(rules, scope, i * n_types) for i, p in enumerate(places)]
-    # a row gives one number for each place and type that it holds, and -1 for itself
-    hits = df.selectExpr(f"explode(concat(array(-1), {', '.join(codes) or 'array()'})) AS code")
-    counts = hits.groupBy("code").count().agg(F.map_from_entries(F.collect_list(F.struct("code", "count"))).alias("n"))
+    n_words = -(-len(places) * n_types // _BITS)
+    words: list[list[str]] = [[] for _ in range(n_words)]
+    for i, p in enumerate(places):
+        for guard, tests in p.tests(rules, scope):
+            for w, group in groupby(tests, key=lambda t: (i * n_types + t[0]) // _BITS):
+                bits = " | ".join(f"IF({test}, {1 << (i * n_types + j) % _BITS}L, 0L)" for j, test in group)
+                words[w].append(f"IF({guard}, {bits}, 0L)" if guard else f"({bits})")
+    masks = [" | ".join(w) or "0L" for w in words]
+    named = [f"__w{w}" for w in range(n_words)]
+
+    def counters(rows: DataFrame, keys: list[str]) -> DataFrame:
+        seen = rows.selectExpr(*map(name, keys), *[f"{m} AS {w}" for m, w in zip(masks, named, strict=True)])
+        seen = seen.groupBy(*map(name, keys), *named).agg(F.count(F.lit(1)).alias("__n"))
+        held = [f"transform(filter(sequence(0, {_BITS - 1}), __b -> getbit({w}, __b) = 1), __b -> __b + {i * _BITS})" for i, w in enumerate(named)]
+        codes = seen.selectExpr(*map(name, keys), f"explode(concat(array(-1), {', '.join(held) or 'array()'})) AS code", "__n")
+        sums = codes.groupBy(*map(name, keys), "code").agg(F.sum("__n").alias("__n"))
+        n = F.map_from_entries(F.collect_list(F.struct("code", "__n")))
+        return sums.groupBy(*map(name, keys)).agg(n.alias("n")).selectExpr(*map(name, keys), "n", "coalesce(n[-1], 0L) AS rows_scanned")
+
     cells = [
         (p.path, p.column, lit(d.name), f"coalesce(n[{i * n_types + j}], 0L)")
         for i, p in enumerate(places)
         for j, d in enumerate(rules.detections)
     ]
-    cells += [(c, c, "CAST(NULL AS STRING)", "0L") for c in rest]
-    return unfold_counts(counts.selectExpr("n", "coalesce(n[-1], 0L) AS rows_scanned"), cells)
+    return counters, cells + [(c, c, "CAST(NULL AS STRING)", "0L") for c in rest]
 
 
 def unfold_counts(totals: DataFrame, cells: list[tuple[str, str, str, str]]) -> DataFrame:

@@ -190,17 +190,20 @@ def apply_policy(
     overlap: str = "each",
     repeatable: bool = True,
     numbers: bool = False,
+    most: int | None = None,
 ) -> SecureResult:
     """Protect a table under a policy.
 
     ``repeatable=False`` says that reading ``df`` again may give other rows (a
     limit without a total order).  Such a (small) result is staged once, in
     protected form only, and judged on exactly the rows that are returned.
+    Of a staged result of ``most`` + 1 rows the last is left out: that there is one
+    says that rows are missing (``metadata["truncated"]``).
     """
     if policy not in POLICIES:
         raise ValueError(f"unknown policy '{policy}', choose one of {POLICIES}")
     if not repeatable:
-        return _apply_staged(df, policy, rules, backend, salt, scope, mask_classified, enforce_levels, overlap, numbers)
+        return _apply_staged(df, policy, rules, backend, salt, scope, mask_classified, enforce_levels, overlap, numbers, most)
     profile = profile_table(df, rules, scope=scope)
     unmasked = left_by_mask(df.schema, scope, numbers) if policy == "mask" else []
     summary = summarise(profile, df.columns, policy, rules, backend, unmasked)
@@ -233,7 +236,7 @@ def _decide(profile: DataFrame, policy: str, rules: Rules, backend: str | None,
     return {r["column"]: r["action"] for r in rows}
 
 
-def _apply_staged(df, policy, rules, backend, salt, scope, mask_classified, enforce_levels, overlap, numbers) -> SecureResult:
+def _apply_staged(df, policy, rules, backend, salt, scope, mask_classified, enforce_levels, overlap, numbers, most=None) -> SecureResult:
     """Stage every protected form of every value, then pick one form per column.
 
     What is written holds no value that was found or named as personal data,
@@ -244,11 +247,16 @@ def _apply_staged(df, policy, rules, backend, salt, scope, mask_classified, enfo
     secret = named if policy in ("hash", "deny") else set()
     if enforce_levels:  # a name's own level already forbids masking it
         secret |= {c for c in named if POLICY_RANK[rules.weakest_allowed(rules.label(c, backend).sensitivity)] > POLICY_RANK["mask"]}
-    staged = reliable_copy(
-        df.selectExpr(*[_forms(f, rules, scope, key, f.name in secret, overlap, numbers) for f in df.schema.fields])
-    )
+    forms = [_forms(f, rules, scope, key, f.name in secret, overlap, numbers) for f in df.schema.fields]
+    if most is not None:  # at most one row more, in its order
+        df, forms = df.coalesce(1), [*forms, "monotonically_increasing_id() AS __row"]
+    staged = reliable_copy(df.selectExpr(*forms))
+    returned, metadata = staged, {}
+    if most is not None:
+        returned = staged.where(F.col("__row") < most).drop("__row")
+        metadata["truncated"] = not staged.where(F.col("__row") >= most).isEmpty()
     try:
-        profile = _profile_staged(staged, rules)
+        profile = _profile_staged(returned, rules)
         unmasked = left_by_mask(df.schema, scope, numbers) if policy == "mask" else []
         summary = summarise(profile, df.columns, policy, rules, backend, unmasked)
         actions = _decide(profile, policy, rules, backend, enforce_levels)
@@ -262,7 +270,7 @@ def _apply_staged(df, policy, rules, backend, salt, scope, mask_classified, enfo
             form = "stars"
         return f"{name(column)}.{form} AS {name(column)}"
 
-    return SecureResult(staged.selectExpr(*[final(c) for c in df.columns]), summary, df.columns, staged=staged)
+    return SecureResult(returned.selectExpr(*[final(c) for c in df.columns]), summary, df.columns, metadata, staged=staged)
 
 
 def _forms(

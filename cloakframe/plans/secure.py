@@ -114,10 +114,12 @@ def secure_query(
     staged, so that what was judged and summarised is what is returned.
     """
     profile = profile or get_profile(request.backend)
-    df = plan_request(spark, request, settings, profile)
     cut = request.limit is None and settings.max_rows is not None
+    one_more = replace(settings, max_rows=settings.max_rows + 1) if cut else settings
     lazy = request.pii_policy == "mask" and not settings.enforce_levels
     consistent = _limit(request, settings) is not None if settings.consistent is None else settings.consistent
+    staged = not lazy or consistent
+    df = plan_request(spark, request, one_more if cut and staged else settings, profile)
     result = apply_policy(
         df,
         request.pii_policy,
@@ -128,13 +130,13 @@ def secure_query(
         settings.mask_classified,
         settings.enforce_levels,
         settings.overlap,
-        repeatable=lazy and not consistent,
+        repeatable=not staged,
         numbers=settings.numbers,
+        most=settings.max_rows if cut and staged else None,
     )
-    metadata = {"backend": request.backend.lower(), "invocation_id": f"inv_{uuid.uuid4()}"}
-    if cut:
-        whole = plan_request(spark, replace(request, order_by=()), replace(settings, max_rows=settings.max_rows + 1), profile)
-        metadata["truncated"] = whole.count() > settings.max_rows
+    metadata = {**result.metadata, "backend": request.backend.lower(), "invocation_id": f"inv_{uuid.uuid4()}"}
+    if cut and not staged:  # the deployment waives consistency: another look at the table
+        metadata["truncated"] = plan_request(spark, replace(request, order_by=()), one_more, profile).count() > settings.max_rows
     return replace(result, metadata=metadata)
 
 

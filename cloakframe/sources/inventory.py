@@ -72,6 +72,30 @@ def allowed_by_table(listing: DataFrame, prefixes: DataFrame, column: str = "key
     return listing.join(wanted, cut == F.col("__prefix"), "left_semi")
 
 
+def longest_prefix(listing: DataFrame, prefixes: DataFrame, column: str = "key") -> DataFrame:
+    """``listing`` with ``matched_prefix``, the longest allowed prefix of each object (null: none), for long lists of prefixes of any lengths.
+
+    ``prefixes`` has one column of texts. A key is cut at the lengths that prefixes have, at
+    most as many as the longest prefix has characters, and the pieces are looked up by an
+    equi-join. Keys that repeat are looked up once. Null keys and prefixes match nothing; the
+    empty prefix matches every key.
+    """
+    wanted = prefixes.select(F.col(prefixes.columns[0]).cast("string").alias("__prefix")).where("__prefix IS NOT NULL").distinct()
+    lengths = [r[0] for r in wanted.select(F.char_length("__prefix")).distinct().orderBy(F.char_length("__prefix")).collect()]
+    if not lengths:
+        return listing.withColumn("matched_prefix", F.lit(None).cast("string"))
+    keys = listing.select(F.col(column).alias("__key")).where("__key IS NOT NULL").distinct()
+    fitting = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.char_length("__key"))
+    cut = keys.select("__key", F.explode(fitting).alias("__n")).withColumn("__prefix", F.expr("substring(__key, 1, __n)"))
+    best = cut.join(wanted, "__prefix").groupBy("__key").agg(F.max_by("__prefix", "__n").alias("matched_prefix"))
+    return listing.join(best, F.col(column) == F.col("__key"), "left").drop("__key")
+
+
+def allowed_by_prefixes(listing: DataFrame, prefixes: DataFrame, column: str = "key") -> DataFrame:
+    """As ``allowed`` for a long list of prefixes of any lengths; an empty list allows nothing."""
+    return longest_prefix(listing, prefixes, column).where("matched_prefix IS NOT NULL").drop("matched_prefix")
+
+
 def check_bucket(bucket: str, allowed_buckets: list[str] | None) -> str:
     if allowed_buckets and bucket not in allowed_buckets:
         raise PermissionError(f"bucket '{bucket}' is not allowed: {sorted(allowed_buckets)}")

@@ -116,11 +116,12 @@ _KEYWORDS = {
     "bigquery": {**_COMMON, "event": "events", "analytics": "analytics", "log": "logs"},
     "athena": {**_COMMON, "log": "logs", "event": "events", "click": "clickstream"},
 }
+# Tables that may be asked for.
 _TRINO_TABLES = frozenset(
-    "customers users orders products transactions sales metrics events inventory logs".split()
+    ("customers", "users", "orders", "products", "transactions", "sales", "metrics", "events", "inventory", "logs")
 )
 _ATHENA_TABLES = frozenset(
-    "customers users orders products transactions sales logs events clickstream inventory".split()
+    ("customers", "users", "orders", "products", "transactions", "sales", "logs", "events", "clickstream", "inventory")
 )
 
 _PROFILES: dict[str, Profile] = {

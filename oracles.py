@@ -11,8 +11,27 @@ import hashlib
 from cloakframe.rules import EXACT_NAMES, NAME_FRAGMENTS, NAME_PATTERNS, PATTERNS
 
 TYPES = list(PATTERNS)
-SENSITIVITY = dict(zip(TYPES, "high high high critical critical critical medium high".split(), strict=True))
-ACTION = dict(zip(TYPES, "mask mask mask deny hash deny hash mask".split(), strict=True))
+# Sensitivity and default action of the types.
+SENSITIVITY = {
+    "email": "high",
+    "phone": "high",
+    "phone_international": "high",
+    "ssn": "critical",
+    "iban": "critical",
+    "credit_card": "critical",
+    "ip_address": "medium",
+    "date_of_birth": "high",
+}
+ACTION = {
+    "email": "mask",
+    "phone": "mask",
+    "phone_international": "mask",
+    "ssn": "deny",
+    "iban": "hash",
+    "credit_card": "deny",
+    "ip_address": "hash",
+    "date_of_birth": "mask",
+}
 INTS = ("int", "bigint")
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
