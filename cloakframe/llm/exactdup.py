@@ -3,9 +3,9 @@
 A text is cut where its content says so, a chunk is known by a digest, and a text by its
 recipe: the ordered list of its chunks' identifiers. Recipes are about a hundredth of the
 texts, so whole documents are never shuffled, sorted or compared. Digests become verified
-identifiers: of the chunks of repeated recipes (and only of those) the contents are
-compared, one copy per task and digest. A digest with two contents is replaced by SHA-256
-in the recipes that hold it.
+identifiers: the least and greatest SHA-256 of the contents of a digest must be one, over
+the chunks of all repeated recipes. A digest with two contents is replaced by SHA-256 of the
+text in the recipes that hold it.
 
 Groups of copies of any size collapse in partial aggregates before they are shuffled.
 """
@@ -40,15 +40,15 @@ def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = normalised(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
-    rows = rows.select("_id", F.sha2("_text", 256).alias("text_sha256"), F.transform(chunks(F.col("_text"), pattern), lambda c: digest(c)).alias("_recipe"))
+    parts = F.transform(chunks(F.col("_text"), pattern), lambda c: F.struct(digest(c).alias("d"), F.unhex(F.sha2(c, 256)).alias("s")))
+    rows = rows.select("_id", F.sha2("_text", 256).alias("text_sha256"), parts.alias("_parts"))
+    rows = rows.select("_id", "text_sha256", F.col("_parts.d").alias("_recipe"), F.col("_parts.s").alias("_contents"))
     rows = saved(rows.withColumn("_print", F.xxhash64(F.lit("recipe"), "_recipe")))
-    # the contents of all chunks of recipes that occur again, one copy per digest
+    # the contents of all chunks of recipes that occur again
     # (a table of its own, so that a join with it can split the rows of a large group)
     again = saved(rows.groupBy("_print").agg(F.count("*").alias("_n")).filter("_n > 1").select("_print"))
-    ids = rows.join(again, "_print", "left_semi").select("_id").distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).join(ids, "_id", "left_semi")
-    pieces = texts.select(F.explode(chunks(F.col("_text"), pattern)).alias("_chunk"))
-    unsure = pieces.groupBy(digest("_chunk").alias("_digest")).agg(F.min("_chunk").alias("_a"), F.max("_chunk").alias("_b")).filter("_a <> _b")
+    pieces = rows.join(again, "_print", "left_semi").select(F.explode(F.arrays_zip("_recipe", "_contents")).alias("_c"))
+    unsure = pieces.groupBy(F.col("_c._recipe").alias("_digest")).agg(F.min("_c._contents").alias("_a"), F.max("_c._contents").alias("_b")).filter("_a <> _b")
     unsure = unsure.select("_digest")
     held = rows.select("_print", F.explode(F.array_distinct("_recipe")).alias("_digest")).join(unsure, "_digest", "left_semi").select("_print").distinct()
     # one row for each content, however many copies; a text with an unsure chunk is known by the SHA-256 of its content beside its recipe

@@ -69,6 +69,20 @@ def test_digests_that_clash_are_told_apart(spark):
     assert out == {1: (1, 2), 2: (2, 1), 3: (1, 2), 4: (4, 1)}
 
 
+def test_null_ids_are_verified_too(spark):
+    docs = spark.createDataFrame([(None, "aa"), (None, "bb"), (None, "aa"), (7, "cc")], "doc_id long, text string")
+    clash = lambda c: F.length(c).cast("long")
+    out = sorted((r.doc_id or 0, r.keep_id or 0, r.group_size) for r in exactdup.mark_copies(docs, digest=clash).collect())
+    assert out == [(0, 0, 1), (0, 0, 2), (0, 0, 2), (7, 7, 1)]
+
+
+def test_documents_are_not_shuffled(spark, sf001):
+    """No exchange of the marks holds a text: what is read again is what was saved of it."""
+    docs = spark.read.parquet(f"{sf001}/documents.parquet")
+    text = exactdup.mark_copies(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in text
+
+
 def test_dropped_copies(odd):
     out = exactdup.drop_copies(odd)
     assert out.columns == odd.columns
