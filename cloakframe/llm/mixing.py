@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.frames import WORD, packed, saved
+from cloakframe.llm.frames import WORD, packed, running_total, saved
 
 BUCKETS = 1024  # ranges for every doubling of the key
 WEIGHTS = (1, 2, 3)
@@ -37,6 +37,11 @@ def plain_share(text: Column) -> Column:
     return F.greatest(F.lit(0.05), F.coalesce(plain.cast("double") / F.greatest(n_words(text), F.lit(1)), F.lit(0.0)))
 
 
+def text_print(text_col: str) -> Column:
+    """A number that tells the texts of rows with equal ids apart."""
+    return F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def key_range(key: Column) -> Column:
     """The number of the key's range; it rises with the key (null and NaN: the last one)."""
     level = F.greatest(F.lit(-1e6), F.least(F.lit(1e6), F.floor(F.log2(key) * BUCKETS).cast("double")))
@@ -73,7 +78,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     text = F.col(text_col).cast("string")
     key = -F.log(uniform(id_col)) / (plain_share(text) if weight is None else weight)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), key.alias("key"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text).alias("size"), key.alias("key"), text_print(text_col).alias("print"))
     rows = saved(rows.withColumn("bucket", key_range(F.col("key"))))
     ranges = rows.groupBy("source", "bucket").agg(F.sum("size").alias("range_size"))
     sizes = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), most, weights)
@@ -93,14 +98,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ended = rows.filter(split)
     ended = ended.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), room - (F.sum("size").over(inside) - F.col("size")))))
     out = rows.filter(~split).withColumn("part", whole).unionByName(ended)
-    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", "part")
+    return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"), "epochs", "part", "print")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix as rows of ``docs`` with all their columns: a document once for every epoch, and once more if at least half of it fits into the last one."""
+    """The mix as rows of ``docs`` with all their columns: a document once for every epoch, and once more if at least half of it fits into the last one.
+
+    Of rows with equal id, source and text as many come once more as ``mix`` says; which of them is settled by the order of their other columns.
+    """
     taken = mix(docs, id_col, text_col, source_col, **how)
-    copies = F.col("epochs") + F.when((F.col("size") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
-    times = taken.select(F.col(id_col).alias("_id"), F.col("source").alias("_source"), copies.cast("int").alias("_n")).filter("_n > 0").distinct()
-    rows = packed(docs, key=F.col(id_col), source=F.col(source_col).cast("string"))
-    both = rows.join(times, rows["key"].eqNullSafe(times["_id"]) & rows["source"].eqNullSafe(times["_source"]))
-    return both.select("row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("row.*")
+    more = (F.col("size") > 0) & (2 * F.col("part") >= F.col("size"))
+    times = taken.groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_source"), F.col("print").alias("_print")).agg(
+        F.max("epochs").cast("int").alias("_epochs"), F.count("*").alias("_rows"), F.count_if(more).alias("_more")
+    )
+    times = times.filter("_epochs > 0 OR _more > 0")
+    rows = packed(docs, key=F.col(id_col), source=F.col(source_col).cast("string"), print=text_print(text_col))
+    both = rows.join(times, rows["key"].eqNullSafe(times["_id"]) & rows["source"].eqNullSafe(times["_source"]) & (rows["print"] == times["_print"]))
+    # rows of one id, source and text that differ in their copies: the budget ends among them, at most once a source
+    split = (F.col("_more") > 0) & (F.col("_more") < F.col("_rows"))
+    plain = both.filter(~split).select("row", (F.col("_epochs") + F.when(F.col("_more") > 0, 1).otherwise(0)).cast("long").alias("_n"))
+    odd = both.filter(split).groupBy("row", "_epochs", "_more").agg(F.count("*").alias("_same"))
+    odd = odd.withColumn("_range", F.pmod(F.xxhash64(F.to_json("row")), F.lit(BUCKETS)))
+    odd = running_total(odd, ["_epochs", "_more"], "_range", [F.to_json("row")], F.col("_same"), "_upto")
+    last = F.greatest(F.lit(0), F.least(F.col("_same"), F.col("_more") - (F.col("_upto") - F.col("_same"))))
+    odd = odd.select("row", (F.col("_epochs") * F.col("_same") + last).cast("long").alias("_n"))
+    return plain.unionByName(odd).filter("_n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select("row.*")
