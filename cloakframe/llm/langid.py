@@ -25,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cloakframe.llm.frames import importable, utf8
+from cloakframe.llm.frames import importable, saved, utf8
 
-SEGMENT, LANGUAGES = 512, 256
-ROWS, SYMBOLS = 64, 1 << 16
+SEGMENT = 512
+#: Of a language at most so many texts and letters are learned, of all languages together so many letters.
+ROWS, SYMBOLS, ALL_SYMBOLS = 64, 1 << 16, 1 << 24
 #: Entries of the tables of all automata; what is beyond is looked up by key.
 CELLS = 1 << 26
 
@@ -165,15 +166,24 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = ROWS, symbols: int = SYMBOLS) -> Model:
-    """A model of the labelled rows of ``docs`` that hold a letter. At most ``rows`` texts a language reach the driver, ``symbols`` characters of each."""
+    """A model of the labelled rows of ``docs`` that hold a letter.
+
+    At most ``rows`` texts and ``symbols`` letters of a language are learned, fewer letters where more than 256
+    languages share ``ALL_SYMBOLS``. Texts are cut in Spark to eight times their share, so at most
+    2^27 characters reach the driver. Every language is learned, however many there are.
+    """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
-    names = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    known = known.filter(F.col("lang").isin([r["lang"] for r in names])) if names else known
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = known.select("id", "lang").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= rows).select("id", "lang").distinct()
-    sample = known.join(F.broadcast(chosen), ["id", "lang"], "left_semi")  # at most LANGUAGES * rows ids
-    sample = sample.select("lang", F.substring("text", 1, symbols).alias("text")).orderBy("lang", F.xxhash64("text"))
+    chosen = chosen.withColumn("texts", F.count("*").over(Window.partitionBy("lang")))
+    chosen = saved(chosen)
+    languages = chosen.select("lang").distinct().count()
+    symbols = max(1, min(symbols, ALL_SYMBOLS // max(1, languages)))
+    few = F.broadcast(chosen) if languages * rows <= 1 << 16 else chosen  # ids and languages: a few megabytes at most
+    same = known["id"].eqNullSafe(few["id"]) & (known["lang"] == few["lang"])
+    sample = known.join(few, same).select(known["lang"], F.expr(f"substring(text, 1, greatest(1, {8 * symbols} DIV texts))").alias("text"))
+    sample = sample.orderBy("lang", F.xxhash64("text"))
     texts: dict[str, list[str]] = {}
     for r in sample.collect():
         texts.setdefault(r["lang"], []).append(r["text"])

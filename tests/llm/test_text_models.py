@@ -125,3 +125,14 @@ def test_quality_held_out(spark, odd, none, sf01):
     assert quality.score(none, model).count() == 0 and quality.keep_good(none, model).count() == 0
     unrated = quality.fit(odd, spark.createDataFrame([], "doc_id long, grade int"))
     assert {round(r.tails[0], 6) for r in quality.score(odd, unrated).collect()} == {0.5}
+
+
+def test_every_language_is_learned(spark):
+    """300 languages of few letters each, beside one with many texts."""
+    word = lambda i: "".join(chr(97 + (i // 26**k) % 26) for k in range(3))
+    rows = [(i, f"{word(7 * i)} {word(7 * i)}{word(11 * i)} " * 20, f"l{i:03d}") for i in range(300)] + [(1000 + i, "plain words of a large language " * 30, "zz") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(docs)
+    assert len(model.languages) == 301
+    said = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).select("doc_id", "lang_pred").collect()}
+    assert sum(said[i] == lang for i, _, lang in rows) > 0.97 * len(rows)
