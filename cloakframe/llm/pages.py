@@ -18,6 +18,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,15 +30,18 @@ from cloakframe.llm.frames import importable, unused, utf8
 
 SAMPLE = 256
 #: Costs: of calling article text boilerplate, of calling told boilerplate content (more than the classifier's bound, less than
-#: it and edges together), of cutting between neighbours at distance 0; and the classifier's bound.
-CUE, TOLD, SMOOTH, BOUND = 8.0, 5.0, 1.0, 4.0
+#: it and edges together), of cutting between neighbours at distance 0; the classifier's bound; and of a name that only hints.
+CUE, TOLD, SMOOTH, BOUND, HINT = 8.0, 5.0, 1.0, 4.0, 1.0
 #: Blocks so many steps apart in the tree aren't joined.
 FAR = 32
 _TOKEN = re.compile(  # no tag reaches over a "<", so broken markup costs no second scan
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>|<[!?/][^<>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
     re.S | re.I,
 )
+#: Elements whose content is no text of the page, where they have an end (fixed values); one that is closed at once or never has no content.
+_SKIPPED = {"noscript", "template", "textarea", "select", "svg", "iframe", "title"}
+_ENDS = re.compile(rf"</({'|'.join(sorted(_SKIPPED))})\s*>", re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Elements that begin and end blocks (fixed values of HTML).
 _BLOCK = set(
@@ -51,6 +55,10 @@ _WORDS = set(
     "ad ads advert adverts advertisement sponsor sponsored promo promoted banner nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent gdpr notice notices popup modal newsletter subscribe signup login search share sharing social related recommended comment comments disqus respond replies widget toolbar pagination pager complementary contentinfo".split()
 )
 #: Names that tell even of an element with most of the page's text.
+#: Words of names that tell nothing by themselves, as in "cookie-box"; beside any other word ("social-history") a telling one is a hint only.
+_PARTS = set(
+    "box bar area wrap wrapper block section list link links icon icons button buttons btn container content top bottom left right item items form inner outer main site page header head global primary secondary tertiary row col column fixed sticky float floating overlay dialog panel holder unit slot side mobile desktop inline has no with is open closed layout body group small large wide articles posts stories videos products topics tags".split()
+)
 _TALK = {"comment", "comments", "disqus", "respond", "replies"}
 LOOSE, FIRM = 1, 2
 
@@ -62,7 +70,7 @@ class _Node:
     of the page may have too; ``scope`` is the nearest article or main around it.
     """
 
-    __slots__ = ("tag", "parent", "depth", "content", "boiler", "last", "told", "scope", "shut", "size", "open", "holds", "around")
+    __slots__ = ("tag", "parent", "depth", "content", "boiler", "last", "told", "scope", "shut", "size", "open", "holds", "around", "hint")
 
     def __init__(self, tag: str, parent: _Node | None, names: str):
         self.tag, self.parent, self.last = tag, parent, -1
@@ -70,13 +78,18 @@ class _Node:
         self.content = tag in _CONTENT or bool(parent and parent.content)
         self.scope = None if parent is None else parent if parent.tag in _CONTENT else parent.scope
         self.told = FIRM if tag in _BOILERPLATE and tag != "form" or tag == "header" and not self.content else LOOSE if tag == "form" else 0
+        self.hint = bool(parent and parent.hint)
         if self.told < FIRM and names and tag not in ("html", "body", "article", "main"):
             names = names.lower()
-            words = re.split(r"[^a-z]+", names)
             if not _TALK.isdisjoint(names.split()):
                 self.told = FIRM
-            elif not _WORDS.isdisjoint(words) or "header" in words and not self.content:
-                self.told = LOOSE
+            else:
+                for one in names.split():
+                    words = {w for w in re.split(r"[^a-z]+", one) if w}
+                    telling = words & _WORDS or words & {"header"} and not self.content
+                    if telling and words <= _WORDS | _PARTS:
+                        self.told = LOOSE
+                    self.hint |= bool(telling)
         # below an element that surely tells (a main element is never meant to be)
         self.shut = tag != "main" and (self.told == FIRM or bool(parent and parent.shut))
         self.boiler = self.holds = self.around = False
@@ -143,9 +156,16 @@ def blocks(page: str) -> list[Block]:
             parts.clear()
         linked = 0
 
+    ends = {t: [] for t in _SKIPPED}  # where the ends of elements that are skipped stand
+    for m in _ENDS.finditer(page):
+        ends[m[1].lower()].append((m.start(), m.end()))
+    skip = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > pos:
-            piece = page[pos : m.start()]
+        if m.start() < skip:
+            continue
+        start = max(pos, skip)
+        if m.start() > start:
+            piece = page[start : m.start()]
             parts.append(piece)
             if link:
                 linked += len(piece)
@@ -154,6 +174,12 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in ends:
+            if not m[2] and not m[4].rstrip().endswith("/"):
+                after = bisect_left(ends[tag], (pos, 0))
+                if after < len(ends[tag]):
+                    skip = ends[tag][after][1]
+            continue
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
@@ -182,8 +208,8 @@ def blocks(page: str) -> list[Block]:
                     at = _Node(tag, at, names)
                     nodes.append(at)
                     is_open[tag] = is_open.get(tag, 0) + 1
-    if pos < len(page):
-        parts.append(page[pos:])
+    if max(pos, skip) < len(page):
+        parts.append(page[max(pos, skip) :])
     end()
     _settle(nodes, out)
     return out
@@ -315,7 +341,7 @@ def neighbours(found: list[Block]) -> list[tuple[int, int, float]]:
 
 def label(found: list[Block], score: list[float]) -> list[bool]:
     """Which blocks are content, from the classifier's log odds and what their elements tell."""
-    told = [-TOLD if b.node.boiler else CUE if b.node.content else 0.0 for b in found]
+    told = [-TOLD if b.node.boiler else CUE if b.node.content else -HINT * b.node.hint for b in found]
     edges = neighbours(found)
     out = cut([max(-BOUND, min(BOUND, s)) + t for s, t in zip(score, told, strict=True)], edges)
     open_scores = [s for s, t in zip(score, told, strict=True) if not t]

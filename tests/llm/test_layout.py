@@ -85,6 +85,22 @@ def test_mix(spark, odd, none, small):
     assert mixing.mixed_documents(odd).columns == odd.columns
 
 
+def test_repeated_ids_come_as_often_as_the_mix_says(spark):
+    """Rows of one id among which the budget ends: equal ones, ones with another text, ones that differ in other columns."""
+    many = [(1, "w " * 10, "a", i % 3) for i in range(9)] + [(1, "other text here", "a", 0)] + [(None, "w " * 10, None, None)] * 5
+    for rows in ([(1, "x y", "a", 0), (1, "x y", "a", 0), (2, "z " * 3, "b", 0)], many, [*many, *((i, "v " * 7, "b", 0) for i in range(20, 40))]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra long")
+        mix = mixing.mix(docs).collect()
+        want = sum(r.epochs + (r["size"] > 0 and 2 * r.part >= r["size"]) for r in mix)
+        got = mixing.mixed_documents(docs).collect()
+        assert len(got) == want and {tuple(r) for r in got} <= set(rows)
+        each = Counter(tuple(r) for r in got)
+        for r in set(rows):  # never more than the row's share of epochs and one more
+            epochs = {m.epochs for m in mix if m.source == r[2]}.pop()
+            assert epochs * rows.count(r) <= each[r] <= (epochs + 1) * rows.count(r)
+        assert each == Counter(tuple(r) for r in mixing.mixed_documents(docs.repartition(5)).collect())
+
+
 def test_ranges_of_keys_are_small_at_every_weight(spark):
     for weight in (0.05, 0.4, 1.0, 30.0):
         keys = spark.range(20000).select((-F.log(mixing.uniform("id")) / weight).alias("key"))
@@ -258,6 +274,34 @@ def test_what_is_told_beside_the_article_stays_out(spark, sf01):
         assert text.count("long enough") == 3 and "reader" not in text and "Home" not in text
 
 
+@pytest.mark.parametrize("inside", ["<svg class='i'/>", "<svg><title>x</title></svg>", "<iframe/>", "<iframe src='x'></iframe>", "<select>", "<select><option>A</select>", "<template>", "<noscript>", "<textarea>"])
+def test_skipped_elements_take_no_text_with_them(spark, sf01, inside):
+    weights = _weights(spark, sf01)
+    para = "<p>This is a long enough paragraph of the story, with a comma and a full stop.</p>"
+    text = pages._texts(pa.array([f"<body><article>{para}{inside}{para}<div>{inside} {para}</div></article></body>"]), weights)[0]
+    assert text.count("long enough") == 3 and "x" not in text.split() and "A" not in text.split()
+
+
+def test_many_open_elements_take_linear_time():
+    import time
+
+    start = time.time()
+    assert len(pages.blocks("<select><svg><p>a</p>" * 40000)) == 40000
+    assert time.time() - start < 20
+
+
+def test_one_word_of_a_name_drops_nothing(spark, sf01):
+    weights = _weights(spark, sf01)
+    for name in ("social-history", "share-prices", "notice-of-intent", "the-search-for-meaning"):
+        within = f"<body><nav><p>Home</p></nav><article>{STORY}<div class='{name}'>{STORY}</div></article><footer><p>Copyright</p></footer></body>"
+        assert pages._texts(pa.array([within]), weights)[0].count("long enough") == 6
+        alone = f"<body><div class='story'>{STORY}</div><div class='{name}'>{STORY}</div><footer><p>Copyright</p></footer></body>"
+        assert pages._texts(pa.array([alone]), weights)[0].count("long enough") == 6
+    for name in ("social-links", "share", "cookie-notice", "search-box"):
+        told = f"<body><article>{STORY}<div class='{name}'><p>Tell others.</p></div></article></body>"
+        assert "Tell" not in pages._texts(pa.array([told]), weights)[0]
+
+
 _learned = []
 
 
