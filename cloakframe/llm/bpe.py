@@ -28,7 +28,7 @@ from cloakframe.llm.frames import exact_ids, gathered, importable, run_hashes, s
 #: How byte-level vocabularies of this family split a text into words (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of a word that is merged in a row; pieces remembered in each of two generations, and the bytes of a piece that is; cells of a block of rows.
-SHORT, KNOWN, LONGEST, CELLS = 256, 1 << 19, 64, 1 << 20
+SHORT, KNOWN, LONGEST, CELLS = 256, 1 << 18, 64, 1 << 20
 _NONE = 1 << 60
 # Bytes that no white space begins with, in any of the rules' sense: not those of ASCII, and no first byte of a longer one (fixed values).
 _NO_SPACE = np.ones(256, bool)
