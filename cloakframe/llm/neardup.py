@@ -237,7 +237,7 @@ def components(links: DataFrame) -> DataFrame:
     links = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
     while not stars(links):
         both = links.union(links.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m"))
+        low = saved(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")))  # so that the join can split a node with many links
         large = both.filter("v > u").join(low, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).filter("a < b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e"))
