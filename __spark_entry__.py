@@ -553,7 +553,7 @@ _INTENT_ENDS_SPARK = "array(" + _INTENT_ENDS_DUCK[1:-1] + ")"
 
 def _event_requests(spark: SparkSession, sf: str) -> DataFrame:
     """A request per event: intents and fields that pass, and ones that fail each check."""
-    return t(spark, sf, "events").selectExpr(
+    return texts(spark, sf, "events").selectExpr(
         "event_id",
         "ts",
         "user_id",

@@ -9,6 +9,8 @@ from cloakframe.rules import DEFAULT_RULES, Mask, Rules
 
 # Texts are cut into windows of this many characters, in which places are found quickly.
 _WINDOW = 256
+# Up to so many characters times hits, a text is copied for each hit; the work of a text then has a fixed bound.
+_LITTLE = 1 << 16
 _HIT = "STRUCT<st:INT,en:INT,mk:STRING,loss:INT,reach:INT>"
 
 
@@ -58,7 +60,7 @@ def redact(x: str, rules: Rules = DEFAULT_RULES, overlap: str = "each", hits: st
 def _spliced(x: str, rules: Rules, overlap: str) -> str:
     """The text with its hits (``__f``, last start first) replaced, in time linear in both.
 
-    Where no two hits share a character, gaps and masks alternate. Else hits that can't touch
+    A little text is copied for each of a few hits. Else, where no two hits share a character, gaps and masks alternate. Else hits that can't touch
     each other's text are apart.  ``reach`` is how far what stands
     before a hit can reach: to the farthest end so far, and further by what masks have
     shortened, since an earlier value that overlaps later ones is cut out at its original
@@ -106,6 +108,10 @@ def _spliced(x: str, rules: Rules, overlap: str) -> str:
     apart = f"concat({_between('0', '__p[0].st')}, array_join({gaps}, ''))"
     clustered = let(reached, "__h", let(starts, "__b", joined))
     many = let(placed, "__p", let(windows, "__w", f"IF({sharing}, {clustered}, {apart})"))
+    if overlap == "each":  # little text and few hits: one replacement after the other
+        start = "-__s.back"
+        fold = f"aggregate(__f, {x}, (__t, __s) -> concat(substring(__t, 1, {start}), {masked}, substring(__t, {end} + 1)))"
+        many = f"IF(size(__f) * CAST(char_length({x}) AS BIGINT) <= {_LITTLE}, {fold}, {many})"
     return f"IF(size(__f) = 1, {one}, {many})"
 
 

@@ -13,8 +13,8 @@ from cloakframe.functions.sql import lit, name
 from cloakframe.operators.fields import Scope, fields
 from cloakframe.rules import DEFAULT_RULES, Rules
 
-#: Cells (place and type) whose hits are the bits of one number.
-_BITS = 60
+#: Cells (place and type) whose hits are the bits of one number, and how many are counted row by row.
+_BITS, _AT_ONCE = 60, 240
 
 
 def profile_table(
@@ -25,9 +25,9 @@ def profile_table(
 ) -> DataFrame:
     """Rows ``(path, column, pii_type, n_rows, rows_scanned)``, one per place and type.
 
-    One scan of any number of columns. A row's hits are bits of a few numbers, and rows of
-    equal bits are counted together map-side, so clean rows are one group and nothing is
-    exploded before it is counted. Columns that are not scanned give one row with a null type.
+    One scan of any number of columns. A row's hits are bits of a few numbers, so each guard
+    and pattern is tested once, and the bits are counted in partial aggregates: map-side partial
+    counts, one row per task to exchange, whatever the size or skew of the table. Columns that are not scanned give one row with a null type.
     """
     counters, cells = count_columns(df, rules, scope, columns)
     return unfold_counts(counters(df, []), cells)
@@ -36,7 +36,7 @@ def profile_table(
 def count_columns(
     df: DataFrame, rules: Rules = DEFAULT_RULES, scope: Scope = Scope(), columns: list[str] | None = None
 ) -> tuple[Callable[[DataFrame, list[str]], DataFrame], list[tuple[str, str, str, str]]]:
-    """A function (rows, keys) to counters, ``n`` by cell and ``rows_scanned``, for each value of the keys; and the cells for ``unfold_counts``."""
+    """A function (rows, keys) to the counters of cells and ``rows_scanned`` for each value of the keys; and the cells for ``unfold_counts``."""
     places = fields(df.schema, scope, columns)
     rest = [c for c in columns or df.columns if c not in {p.column for p in places}]
     n_types = len(rules.detections)
@@ -49,18 +49,20 @@ def count_columns(
                 words[w].append(f"IF({guard}, {bits}, 0L)" if guard else f"({bits})")
     masks = [" | ".join(w) or "0L" for w in words]
     named = [f"__w{w}" for w in range(n_words)]
+    tested = {i * n_types + j for i, p in enumerate(places) for _, tests in p.tests(rules, scope) for j, _ in tests}
 
     def counters(rows: DataFrame, keys: list[str]) -> DataFrame:
-        seen = rows.selectExpr(*map(name, keys), *[f"{m} AS {w}" for m, w in zip(masks, named, strict=True)])
-        seen = seen.groupBy(*map(name, keys), *named).agg(F.count(F.lit(1)).alias("__n"))
-        held = [f"transform(filter(sequence(0, {_BITS - 1}), __b -> getbit({w}, __b) = 1), __b -> __b + {i * _BITS})" for i, w in enumerate(named)]
-        codes = seen.selectExpr(*map(name, keys), f"explode(concat(array(-1), {', '.join(held) or 'array()'})) AS code", "__n")
-        sums = codes.groupBy(*map(name, keys), "code").agg(F.sum("__n").alias("__n"))
-        n = F.map_from_entries(F.collect_list(F.struct("code", "__n")))
-        return sums.groupBy(*map(name, keys)).agg(n.alias("n")).selectExpr(*map(name, keys), "n", "coalesce(n[-1], 0L) AS rows_scanned")
+        by = [name(k) for k in keys]
+        seen = rows.selectExpr(*by, *[f"{m} AS {w}" for m, w in zip(masks, named, strict=True)])
+        wide = len(tested) > _AT_ONCE
+        if wide:  # rows of equal bits are counted together first
+            seen = seen.groupBy(*by, *named).agg(F.count(F.lit(1)).alias("__n"))
+        bit = lambda c: f"({named[c // _BITS]} & {1 << c % _BITS}L) <> 0"
+        count = (lambda test: F.expr(f"coalesce(sum(IF({test}, __n, 0L)), 0L)")) if wide else (lambda test: F.expr(f"count_if({test})"))
+        return seen.groupBy(*by).agg(count("true").alias("rows_scanned"), *[count(bit(c)).alias(f"__c{c}") for c in sorted(tested)])
 
     cells = [
-        (p.path, p.column, lit(d.name), f"coalesce(n[{i * n_types + j}], 0L)")
+        (p.path, p.column, lit(d.name), f"__c{i * n_types + j}" if i * n_types + j in tested else "0L")
         for i, p in enumerate(places)
         for j, d in enumerate(rules.detections)
     ]

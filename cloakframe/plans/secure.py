@@ -6,14 +6,15 @@ import uuid
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cloakframe.functions import literals
 from cloakframe.functions.tokens import resolve_salt, token_of
 from cloakframe.operators.fields import Scope, fields
 from cloakframe.operators.relational import aggregate, filter_equal, filter_token, order_limit
-from cloakframe.plans.policy import SecureResult, apply_policy
+from cloakframe.operators.protect import redact_table, star_columns
+from cloakframe.plans.policy import SecureResult, apply_policy, left_by_mask, summarise
 from cloakframe.plans.request import LIMIT_RANGE, Request, RequestError, check_identifier
 from cloakframe.rules import DEFAULT_RULES, Rules
 from cloakframe.sources import catalog, inventory
@@ -165,15 +166,55 @@ def query_data(
         return Reply(False, error=literals.scrub(str(error), settings.rules), error_type=type(error).__name__)
 
 
-def observed(df: DataFrame, observation: Any, rules: Rules = DEFAULT_RULES, scope: Scope = Scope()) -> DataFrame:
+def observed(df: DataFrame, observation: Any, rules: Rules = DEFAULT_RULES, scope: Scope = Scope(), most: int | None = None) -> DataFrame:
     """Count rows and finds while the data passes, for results that must be read once.
 
     ``observation`` is a ``pyspark.sql.Observation``; its metrics are ``row_count``
-    and one ``<path>:<type>`` count per scanned place and type.
+    and one ``<path>:<type>`` count per scanned place and type. With ``most``, of a
+    limited result of one row more (in one partition), that row is counted in
+    ``rows_read`` alone and doesn't pass.
     """
+    passes, columns = "true", df.columns
+    if most is not None:
+        df, passes = df.coalesce(1).withColumn("__row", F.monotonically_increasing_id()), f"__row < {most}"
     counts = [
-        F.expr(f"count_if({p.holds(d, scope)})").alias(f"{p.path}:{d.name}")
-        for p in fields(df.schema, scope)
+        F.expr(f"count_if({passes} AND {p.holds(d, scope)})").alias(f"{p.path}:{d.name}")
+        for p in fields(df.select(*columns).schema, scope)
         for d in rules.detections
     ]
-    return df.observe(observation, F.count(F.lit(1)).alias("row_count"), *counts)
+    seen = df.observe(observation, F.count(F.lit(1)).alias("rows_read"), F.expr(f"count_if({passes})").alias("row_count"), *counts)
+    return seen if most is None else seen.where(passes).drop("__row")
+
+
+def deliver(
+    spark: SparkSession, request: Request, path: str, settings: Settings = Settings(), profile: Profile | None = None
+) -> SecureResult:
+    """Write a request's masked result to ``path`` in one pass over the data.
+
+    What the summary says was observed while the rows were written, so nothing is read or run a
+    second time: one row more than ``Settings.max_rows`` is asked for, and its presence is what
+    ``metadata["truncated"]`` says. The result's data is read from what was written.
+    """
+    if request.pii_policy != "mask" or settings.enforce_levels:
+        raise RequestError("only masking needs no look at the result beforehand")
+    profile = profile or get_profile(request.backend)
+    most = settings.max_rows if request.limit is None else None
+    df = plan_request(spark, request, settings if most is None else replace(settings, max_rows=most + 1), profile)
+    watch = Observation()
+    seen = observed(df, watch, settings.rules, settings.scope, most)
+    starred = settings.rules.named_pii(df.columns, request.backend.lower()) if settings.mask_classified else []
+    out = redact_table(seen, [c for c in df.columns if c not in starred], settings.rules, settings.overlap, settings.numbers)
+    out = star_columns(out, starred) if starred else out
+    out.write.mode("overwrite").parquet(path)
+    metrics = watch.get
+    n = metrics["row_count"]
+    places = fields(df.schema, settings.scope)
+    rows = [(p.path, p.column, d.name, metrics[f"{p.path}:{d.name}"], n) for p in places for d in settings.rules.detections]
+    rows += [(c, c, None, 0, n) for c in df.columns if c not in {p.column for p in places}]
+    counted = spark.createDataFrame(rows, "path string, column string, pii_type string, n_rows long, rows_scanned long")
+    unmasked = left_by_mask(df.schema, settings.scope, settings.numbers)
+    summary = summarise(counted, df.columns, "mask", settings.rules, request.backend.lower(), unmasked)
+    metadata = {"backend": request.backend.lower(), "invocation_id": f"inv_{uuid.uuid4()}"}
+    if most is not None:
+        metadata["truncated"] = metrics["rows_read"] > most
+    return SecureResult(spark.read.schema(out.schema).parquet(path), summary, df.columns, metadata)

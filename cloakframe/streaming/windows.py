@@ -42,7 +42,38 @@ def counts_stream(
     )
 
 
+_COUNTS = "window_start timestamp, window_end timestamp, event_type string, n_events long"
+
+
+def _numbers(spark: SparkSession, path: str, name: str) -> list[int]:
+    """Numbers of the complete folders ``name=n`` of a path."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{name}=") and done(n))
+
+
 def latest_counts(spark: SparkSession, path: str) -> DataFrame:
-    """Each window's latest count from ``counts_stream``."""
-    rows = spark.read.parquet(path)
+    """Each window's latest count from ``counts_stream``: the newest compacted folder and the batches behind it."""
+    bases = _numbers(spark, path, "base")
+    base = bases[-1] if bases else -1
+    parts = [f"{path}/base={base}"] if bases else []
+    parts += [f"{path}/batch={n}" for n in _numbers(spark, path, "batch") if n > base]
+    if not parts:
+        return spark.createDataFrame([], _COUNTS)
+    number = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:base|batch)=(\d+)/[^/]*$", 1).cast("long")
+    rows = spark.read.schema(_COUNTS).parquet(*parts).withColumn("batch", number)
     return rows.groupBy("window_start", "window_end", "event_type").agg(F.max_by("n_events", "batch").alias("n_events"))
+
+
+def compact_counts(spark: SparkSession, path: str) -> int:
+    """Write the state so far to one folder, so that reading it needs no batch up to that one; the number of that batch.
+
+    Batches are left where they are, for readers at work and for a replay; a replayed one that is older than the
+    folder is not read. Run it when no batch is being written.
+    """
+    batches = _numbers(spark, path, "batch")
+    if batches:
+        latest_counts(spark, path).write.mode("overwrite").parquet(f"{path}/base={batches[-1]}")
+    return batches[-1] if batches else -1

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 import oracles as o
 from cloakframe.operators import heavy, incremental, rule_table, sketches, trail
 from cloakframe.operators.audit import backend_report
+from cloakframe.operators.profile import profile_table, supported_types
 from cloakframe.operators.protect import hash_table
 from cloakframe.plans.policy import apply_policy, ensure_checkpoint_dir
 from cloakframe.plans.request import Request
-from cloakframe.plans.secure import Settings, secure_query
+from cloakframe.plans.secure import Settings, deliver, secure_query
 from cloakframe.rules import Rules
 from cloakframe.sources import inventory, token_index
 from cloakframe.sources.audit_log import AUDIT_SCHEMA
@@ -243,6 +244,19 @@ def prefix_match(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.longest_prefix(inventory.allowed_by_prefixes(pages, prefixes), prefixes)
 
 
+def prefix_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """The sites of the pages as common prefixes one level below the scheme, as folders of an object store are listed."""
+    listing = t(spark, sf, "pages").select(F.col("url").alias("key"))
+    return inventory.list_prefixes(listing, "https://")
+
+
+def types_in_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The supported types, with the number of documents that hold each."""
+    held = profile_table(t(spark, sf, "documents"), columns=["text"]).select(F.col("pii_type").alias("kind"), "n_rows")
+    types = supported_types(spark).select("pii_type", "sensitivity", "default_action")
+    return types.join(held, F.col("pii_type") == F.col("kind")).select("pii_type", "sensitivity", "default_action", "n_rows")
+
+
 def partition_listing(spark: SparkSession, sf: str) -> DataFrame:
     """Orders written by status and priority: the partitions found in the listing, with their rows."""
     out = scratch(spark)
@@ -269,6 +283,20 @@ def result_envelope(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+def delivered_envelope(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole tables, and the first 150 rows of one, masked and written in one pass: what was observed on the way, and the rows that were written."""
+    parts = []
+    for name, key, most in (("documents", "doc_id", None), ("pages", "page_id", 150), ("conversations", "conv_id", None)):
+        profile = get_profile("databricks").with_tables(lambda _spark, _entity, df=t(spark, sf, name): df)
+        request = Request("databricks", "all the rows", "customers", order_by=(key,) if most else (), pii_policy="mask")
+        result = deliver(spark, request, f"{scratch(spark)}/{name}", Settings(salt=SALT, max_rows=most), profile)
+        s = result.summary.select("row_count", F.array_join("pii_types", ",").alias("pii_types"), F.lit(result.metadata.get("truncated", False)).alias("truncated"))
+        rows = result.df.agg(F.count(F.lit(1)).alias("written"), F.max(key).cast("long").alias("high"))
+        columns = ("row_count", "pii_types", "truncated", "written", "high")
+        parts.append(s.unionByName(rows, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in columns]).withColumn("tbl", F.lit(name)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def policy_empty(spark: SparkSession, sf: str) -> DataFrame:
     """No rows pass every policy, and say that nothing was found."""
     out = None
@@ -309,7 +337,7 @@ def mask_generic(spark: SparkSession, sf: str) -> DataFrame:
 
 _QUERIES: list[Query] = [
     label_by_rules, profile_incremental, linkage_heavy, token_index_lookup, token_index_link, stream_audit_sink, gap_sessions, stream_sessions, stream_learning,
-    result_envelope, audit_sketches, audit_p95, audit_trail, prefix_match, partition_listing, policy_empty, custom_rules, mask_generic,
+    result_envelope, delivered_envelope, audit_sketches, audit_p95, audit_trail, prefix_match, prefix_listing, types_in_documents, partition_listing, policy_empty, custom_rules, mask_generic,
 ]
 
 
@@ -368,6 +396,10 @@ SELECT concat('inv_', event_id) AS invocation_id, CAST(CASE WHEN f <= 4 THEN 4 W
  f NOT IN (0, 2, 3, 4, 5, 6, 7) AS complete FROM f""",
         "prefix_match": f"""WITH p AS ({_PREFIXES.format(pages="pages")}), m AS (SELECT page_id, url, prefix FROM pages JOIN p ON starts_with(url, prefix))
 SELECT page_id, url AS key, arg_max(prefix, length(prefix)) AS matched_prefix FROM m GROUP BY page_id, url""",
+        "prefix_listing": "SELECT DISTINCT concat('https://', split_part(substring(url, 9), '/', 1), '/') AS prefix FROM pages WHERE starts_with(url, 'https://') AND contains(substring(url, 9), '/')",
+        "types_in_documents": " UNION ALL ".join(
+            f"SELECT '{k}' AS pii_type, '{o.SENSITIVITY[k]}' AS sensitivity, '{o.ACTION[k]}' AS default_action, count(*) FILTER (WHERE {o.hit('text', k)}) AS n_rows FROM documents" for k in o.TYPES
+        ),
         "partition_listing": "SELECT o_orderstatus AS status, o_orderpriority AS priority, concat('o_orderstatus=', o_orderstatus) AS folder, count(*) AS n_rows FROM orders GROUP BY ALL",
         "result_envelope": " UNION ALL ".join(
             f"SELECT '{n}' AS tbl, max(rows_scanned) AS row_count, coalesce(string_agg(DISTINCT pii_type, ',' ORDER BY pii_type) FILTER (WHERE n_rows > 0), '') AS pii_types, "
@@ -375,6 +407,12 @@ SELECT page_id, url AS key, arg_max(prefix, length(prefix)) AS matched_prefix FR
             f"FROM ({o.profile_sql([n]).replace(f'FROM {n}', f'FROM {first(n, k)}')})"
             for n, k in (("documents", "doc_id"), ("pages", "page_id"), ("customer", "c_custkey"), ("nation", "n_nationkey"))
         ),
+        "delivered_envelope": " UNION ALL ".join(
+            f"SELECT '{n}' AS tbl, max(rows_scanned) AS row_count, max(rows_scanned) AS written, coalesce(string_agg(DISTINCT pii_type, ',' ORDER BY pii_type) FILTER (WHERE n_rows > 0), '') AS pii_types, "
+            f"(SELECT count(*) > 150 FROM {n}) AND {bool(most)} AS truncated, (SELECT CAST(max({k}) AS BIGINT) FROM {first(n, k) if most else n}) AS high "
+            f"FROM ({o.profile_sql([n]).replace(f'FROM {n}', f'FROM {first(n, k) if most else n}')})"
+            for n, k, most in (("documents", "doc_id", None), ("pages", "page_id", 150), ("conversations", "conv_id", None))
+        ),
         "policy_empty": "SELECT tbl, policy_applied, (SELECT count(*) FROM customer WHERE c_custkey < 0) AS row_count, false AS pii_detected, '' AS columns_processed "
         "FROM (VALUES ('customer'), ('documents'), ('pages')) AS a(tbl), (VALUES ('mask'), ('hash'), ('deny'), ('auto')) AS b(policy_applied)",
         "custom_rules": "SELECT c_custkey, concat('Customer#', repeat('x', length(c_name) - 9)) AS c_name, c_mktsegment, 'c_name,c_nationkey,c_acctbal,c_mktsegment' AS labelled FROM customer",

@@ -14,9 +14,12 @@ from cloakframe.functions.tokens import NULL_TOKEN, token_of
 from cloakframe.operators import heavy, incremental, rule_table, sketches, trail
 from cloakframe.operators.linkage import link
 from cloakframe.operators.profile import profile_table
+from cloakframe.plans.request import Request
+from cloakframe.plans.secure import Settings, deliver, secure_query
 from cloakframe.rules import DEFAULT_RULES, Rules
 from cloakframe.sources import inventory, token_index
-from cloakframe.streaming import audit_sink, sessions
+from cloakframe.sources.profiles import get_profile
+from cloakframe.streaming import audit_sink, learning, sessions, windows
 
 SALT = "a-salt-for-tests"
 
@@ -224,6 +227,51 @@ def test_a_late_event_joins_two_sessions(spark, tmp_path):
     assert [(r.k, r.started_at, r.ended_at, r.n_events) for r in got.collect()] == [("a", at(0), at(30), 3)]
 
 
+def test_compacted_counts_are_the_same(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    schema, out = "ts timestamp, event_type string", str(tmp_path / "out")
+    assert not (tmp_path / "out").exists()
+
+    def run(*minutes):
+        spark.createDataFrame([(at(m), "x") for m in minutes], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        windows.counts_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), out, str(tmp_path / "state"), lateness="1 day").awaitTermination()
+        return {(r.window_start, r.n_events) for r in windows.latest_counts(spark, out).collect()}
+
+    assert run(0, 10, 70) == {(at(0), 2), (at(60), 1)}
+    assert run(20) == {(at(0), 3), (at(60), 1)}
+    newest = windows.compact_counts(spark, out)
+    files = windows.latest_counts(spark, out).inputFiles()
+    assert files and all(f"base={newest}" in f for f in files)
+    assert run(71, 200) == {(at(0), 3), (at(60), 2), (at(180), 1)}
+    assert windows.compact_counts(spark, out) > newest
+    assert run(5) == {(at(0), 4), (at(60), 2), (at(180), 1)}
+
+
+def test_a_policy_learns_and_replays_alike(spark, tmp_path):
+    data, versions, state = (str(tmp_path / n) for n in ("data", "versions", "state"))
+    schema = "id long, note string, mail string"
+    batches = [[(1, "clean", None)], [(2, "call 555-123-4567", "x")], [(3, "clean again", "a@b.co")], []]
+
+    def run(rows):
+        if rows is not None:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        learning.learning_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), data, versions, state, SALT).awaitTermination()
+        return sorted(map(tuple, learning.read_learned(spark, data, ["id", "note", "mail"]).collect()))
+
+    for rows in batches:
+        got = run(rows)
+    tok = lambda x: token_of(x, SALT)
+    want = [("1", "clean", None, 0), ("2", tok("call 555-123-4567"), "x", 1), ("3", tok("clean again"), tok("a@b.co"), 2)]
+    assert got == want
+    assert learning.version_before(spark, versions, 2) == [("note", ["phone"], 1)] and learning.version_before(spark, versions, 0) == []
+    last = max((tmp_path / "state" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()
+    crc = last.with_name(f".{last.name}.crc")
+    if crc.exists():
+        crc.unlink()
+    assert run(None) == want
+
+
 # -- sketches, trails, prefixes -------------------------------------------------------------------------
 def test_sketches_merge_without_the_events(spark):
     rows = [(datetime(2024, 1, 1, h), "x", float(v), v % 90) for h in range(6) for v in range(h, 600, 3)] + [(datetime(2024, 1, 1), "y", None, None), (None, "x", 5.0, 1)]
@@ -277,6 +325,27 @@ def test_longest_prefixes(spark):
     assert "NestedLoop" not in plan(kept)
 
 
+def test_delivery_is_one_pass(spark, tmp_path):
+    """The summary equals that of the staged way, and says what was written; the table is read once."""
+    rows = [(i, f"mail a{i}@b.co" if i % 2 else "clean", f"city {i}") for i in range(30)]
+    reads = spark.sparkContext.accumulator(0)
+    spark.udf.register("counted", lambda x: reads.add(1) or x)  # a test's own look at how often rows are read
+    df = spark.createDataFrame(rows, "id long, note string, city string").selectExpr("id", "counted(note) AS note", "city")
+    profile = get_profile("databricks").with_tables(lambda _spark, _entity: df)
+    ask = lambda **more: Request("databricks", "all the rows", "customers", pii_policy="mask", **more)
+    for most, limit, n, truncated in ((None, None, 30, None), (10, None, 10, True), (40, None, 30, False), (30, None, 30, False), (10, 5, 5, None)):
+        order = ("id",) if most or limit else ()  # (a sort of all rows samples them first)
+        reads.value = 0
+        got = deliver(spark, ask(limit=limit, order_by=order), str(tmp_path / f"out-{most}-{limit}"), Settings(salt=SALT, max_rows=most), profile)
+        summary = got.summary.first()
+        assert reads.value <= 30 and got.metadata.get("truncated") is truncated
+        want = secure_query(spark, ask(limit=limit, order_by=order), Settings(salt=SALT, max_rows=most), profile)
+        assert summary == want.summary.first() and summary.row_count == n
+        assert sorted(map(tuple, got.df.collect())) == sorted(map(tuple, want.df.collect()))
+    with pytest.raises(ValueError, match="masking"):
+        deliver(spark, Request("databricks", "all the rows", "customers", pii_policy="hash"), str(tmp_path / "no"), Settings(salt=SALT), profile)
+
+
 def test_policy_files_reach_the_rule_table(spark):
     rules = Rules.from_dict({"column_classifications": {"exact": ["Card"], "contains": ["Tail"]}, "backend_overrides": {"trino": {"additional_pii_columns": ["Extra"]}}})
     rows = {(r.kind, r.text, r.backend) for r in rule_table.rule_rows(spark, rules).collect()}
