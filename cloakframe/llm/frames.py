@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+#: The folder of this process's intermediate tables.
+_RUN = f"llm-{uuid.uuid4().hex}"
 #: A regular expression for a word, and one for the white space between words.
 WORD, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+"
 
@@ -38,11 +40,17 @@ def saved(df: DataFrame) -> DataFrame:
 
     Parquet keeps columns apart, so a later job reads only those that it needs.
     """
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df.sparkSession)}/{_RUN}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_saved(spark: SparkSession) -> None:
+    """Delete what ``saved`` has written in this process; call it when the results that came of it are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{_RUN}")
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def packed(df: DataFrame, **more: Column) -> DataFrame:
     """``row``, all columns of ``df`` as one, and further columns, whose names then can't clash with them."""
     return df.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in more.items()])

@@ -254,3 +254,13 @@ def test_a_hot_length_is_numbered_in_many_ranges(spark, vocabulary):
     rows = packing.packed_pieces(docs, vocabulary, 10, ids=False)
     assert rows.agg(F.countDistinct("sequence_id")).first()[0] == 10000
     assert len(set(itertools.chain.from_iterable(rows.select("sequence_id", "offset").distinct().groupBy("sequence_id").count().select("count").collect()))) == 1
+
+
+def test_saved_tables_can_be_dropped(spark, tmp_path, monkeypatch):
+    from cloakframe.llm import frames
+
+    monkeypatch.setattr(frames, "shared_folder", lambda _: str(tmp_path))
+    df = frames.saved(spark.range(5).toDF("id"))
+    assert df.count() == 5 and len(list(tmp_path.rglob("*.parquet"))) > 0
+    frames.drop_saved(spark)
+    assert list(tmp_path.rglob("*.parquet")) == []
