@@ -101,7 +101,10 @@ def label_rows(rows: DataFrame, labels: DataFrame, column: str = "column_name")
 
 
 def positions(rules: DataFrame, kind: str, *order: str) -> DataFrame:
-    """Rules of one kind from rows with ``text``, in ranges of the order: ``position`` follows it without sorting all rows in one task."""
+    """Rules of one kind from rows with ``text``, in ranges of the order: ``position`` follows it without sorting all rows in one task.
+
+    Write the result before it is used twice: the ranges come from a sample, so the numbers, though not their order, may differ the next time.
+    """
     ranged = rules.select("text", *order).repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
     within = ranged.withColumn("position", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     return within.select(F.lit(kind).alias("kind"), (F.col("__part").cast("long") * (1 << 33) + F.col("position")).alias("position"), "text", F.lit(None).cast("string").alias("backend"))

@@ -244,6 +244,15 @@ def prefix_match(spark: SparkSession, sf: str) -> DataFrame:
     return inventory.longest_prefix(inventory.allowed_by_prefixes(pages, prefixes), prefixes)
 
 
+def object_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as one object for each language: the objects found, their kinds, and the rows that each holds."""
+    out = scratch(spark)
+    t(spark, sf, "documents").repartition(1).write.partitionBy("lang").json(f"{out}/store")
+    found = inventory.list_objects(spark, f"{out}/store", prefix="lang=", allowed_prefixes=["lang=", "x/"])
+    rows = spark.read.json(f"{out}/store").groupBy(F.concat(F.lit("lang="), "lang").alias("folder")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return found.select(F.substring_index("key", "/", 1).alias("folder"), "content_type", (F.col("size_bytes") > 0).alias("filled")).join(rows, "folder")
+
+
 def prefix_listing(spark: SparkSession, sf: str) -> DataFrame:
     """The sites of the pages as common prefixes one level below the scheme, as folders of an object store are listed."""
     listing = t(spark, sf, "pages").select(F.col("url").alias("key"))
@@ -337,7 +346,7 @@ def mask_generic(spark: SparkSession, sf: str) -> DataFrame:
 
 _QUERIES: list[Query] = [
     label_by_rules, profile_incremental, linkage_heavy, token_index_lookup, token_index_link, stream_audit_sink, gap_sessions, stream_sessions, stream_learning,
-    result_envelope, delivered_envelope, audit_sketches, audit_p95, audit_trail, prefix_match, prefix_listing, types_in_documents, partition_listing, policy_empty, custom_rules, mask_generic,
+    result_envelope, delivered_envelope, audit_sketches, audit_p95, audit_trail, prefix_match, object_listing, prefix_listing, types_in_documents, partition_listing, policy_empty, custom_rules, mask_generic,
 ]
 
 
@@ -396,6 +405,7 @@ SELECT concat('inv_', event_id) AS invocation_id, CAST(CASE WHEN f <= 4 THEN 4 W
  f NOT IN (0, 2, 3, 4, 5, 6, 7) AS complete FROM f""",
         "prefix_match": f"""WITH p AS ({_PREFIXES.format(pages="pages")}), m AS (SELECT page_id, url, prefix FROM pages JOIN p ON starts_with(url, prefix))
 SELECT page_id, url AS key, arg_max(prefix, length(prefix)) AS matched_prefix FROM m GROUP BY page_id, url""",
+        "object_listing": "SELECT concat('lang=', lang) AS folder, 'application/json' AS content_type, true AS filled, count(*) AS n_rows FROM documents GROUP BY lang",
         "prefix_listing": "SELECT DISTINCT concat('https://', split_part(substring(url, 9), '/', 1), '/') AS prefix FROM pages WHERE starts_with(url, 'https://') AND contains(substring(url, 9), '/')",
         "types_in_documents": " UNION ALL ".join(
             f"SELECT '{k}' AS pii_type, '{o.SENSITIVITY[k]}' AS sensitivity, '{o.ACTION[k]}' AS default_action, count(*) FILTER (WHERE {o.hit('text', k)}) AS n_rows FROM documents" for k in o.TYPES
