@@ -5,8 +5,8 @@ any, its length, its number of lines, and whether it asks; the model has the pro
 given the role, of the first role, and of a role after a role. Viterbi recovers the likeliest
 roles of a conversation, then every row is rendered in canonical form.
 
-All model counts are Spark aggregates over all labelled rows; only tables of fixed size reach the
-driver. A conversation is cut into blocks of ``BLOCK`` positions, and blocks are dealt out by
+All model counts are Spark aggregates over all labelled rows; what reaches the driver is counts by
+role and feature value and by pairs of roles, of ``MOST_ROLES`` roles at most (more are an error). A conversation is cut into blocks of ``BLOCK`` positions, and blocks are dealt out by
 conversation and number, so a conversation of any length is spread. For conversations of several
 blocks a first pass gives for each block the best score from every role before it to every role at
 its end (a max-plus product), and a scan over these small tables fixes the roles at the blocks'
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from cloakframe.llm.frames import importable, saved
 
 BLOCK = 1024
+#: More roles than this are refused (a table of all their pairs has 128 MB); cells of tables of pairs of roles that are worked on at once.
+MOST_ROLES, CELLS = 4096, 1 << 22
 #: Words that mark a speaker at the start of a line (fixed values of common transcripts).
 MARKERS = {
     1: "user|human|customer|question|q|me|client|prompt|instruction",
@@ -82,14 +84,15 @@ def fit(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role
     text = F.col(text_col).cast("string")
     rows = rows.select(F.col(conv_col).alias("conv"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), text.alias("text"))
     labelled = rows.filter("role IS NOT NULL")
-    per = labelled.select("role", observed(F.col("text")).alias("seen")).groupBy("role", "seen").count()
-    roles = sorted(r["role"] for r in per.select("role").distinct().collect())
+    per = labelled.select("role", F.posexplode(observed(F.col("text"))).alias("feature", "value")).groupBy("role", "feature", "value").agg(F.count("*").alias("n"))
+    roles = sorted(r["role"] for r in per.select("role").distinct().limit(MOST_ROLES + 1).collect())
+    if len(roles) > MOST_ROLES:
+        raise ValueError(f"more than {MOST_ROLES} roles: a table of all pairs of roles would be too large")
     at = {r: k for k, r in enumerate(roles)}
     k = max(len(roles), 1)
     shown = [np.ones((k, n)) for n in SIZES]
-    for r in per.collect():  # at most roles x the feature values' combinations
-        for table, v in zip(shown, r["seen"], strict=True):
-            table[at[r["role"]], v] += r["count"]
+    for r in per.collect():  # at most roles x the features' values
+        shown[r.feature][at[r["role"]], r.value] += r.n
     # neighbours within a block of turns, and the last row of a block before the first one of the next block that has rows
     order = [F.col("turn").asc_nulls_first(), F.col("text").asc_nulls_first(), F.col("role").asc_nulls_first()]
     rows = rows.filter("conv IS NOT NULL").withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
@@ -126,8 +129,15 @@ def _grid(seen: np.ndarray, spans: list[tuple[int, int]]) -> tuple[list[int], li
     return order, active
 
 
+def _groups(model: Model, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Runs of (consecutive) spans, by number, that hold a table of all pairs of roles each within ``CELLS``."""
+    most = max(1, CELLS // len(model.roles) ** 2)
+    for i in range(0, len(spans), most):
+        yield i, min(i + most, len(spans))
+
+
 def products(model: Model, seen: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
-    """For each span the best log probability from each role before it to each role at its end."""
+    """For each span the best log probability from each role before it to each role at its end; works through slices of roles."""
     emit, k = model.of(seen), len(model.roles)
     order, active = _grid(seen, spans)
     starts = np.array([spans[o][0] for o in order])
@@ -135,7 +145,9 @@ def products(model: Model, seen: np.ndarray, spans: list[tuple[int, int]]) -> np
     out[:, np.arange(k), np.arange(k)] = 0
     for j, n in enumerate(active):
         step = model.after[None, :, :] + emit[starts[:n] + j][:, None, :]
-        out[:n] = (out[:n][:, :, :, None] + step[:, None, :, :]).max(2)
+        wide = max(1, CELLS // (n * k * k))
+        for i in range(0, k, wide):
+            out[:n, i : i + wide] = (out[:n, i : i + wide, :, None] + step[:, None, :, :]).max(2)
     back = np.empty_like(out)
     back[order] = out
     return back
@@ -143,6 +155,13 @@ def products(model: Model, seen: np.ndarray, spans: list[tuple[int, int]]) -> np
 
 def viterbi(model: Model, seen: np.ndarray, spans: list[tuple[int, int]], before: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The likeliest role of each row; ``before`` and ``last`` fix the role before a span and at its end (-1: not fixed, the conversation's start or end)."""
+    groups = list(_groups(model, spans))
+    if len(groups) > 1:
+        parts = [np.zeros(spans[0][0], np.int64)]
+        for i, j in groups:
+            a, b = spans[i][0], spans[j - 1][1]
+            parts.append(viterbi(model, seen[a:b], [(x - a, y - a) for x, y in spans[i:j]], before[i:j], last[i:j]))
+        return np.concatenate(parts)
     emit, k = model.of(seen), len(model.roles)
     order, active = _grid(seen, spans)
     starts = np.array([spans[o][0] for o in order], np.int64)
@@ -217,12 +236,14 @@ def roles(rows: DataFrame, model: Model, conv_col: str = "conv_id", turn_col: st
         for table in _whole_blocks(batches):
             conv, number = table.column("conv"), table.column("block").to_numpy()
             spans = _spans(conv.to_pylist(), number)
-            m = products(model, _seen(table), spans)
             seen = _seen(table)
-            first = [model.of(seen[a : a + 1])[0] for a, _ in spans]
-            begun = [viterbi_start(model, seen[a:b], f) for (a, b), f in zip(spans, first, strict=True)]
-            yield pa.record_batch([conv.take([a for a, _ in spans]).combine_chunks(), pa.array([number[a] for a, _ in spans], pa.int64()),
-                                   pa.array([x.tobytes() for x in m], pa.binary()), pa.array([x.tobytes() for x in begun], pa.binary())], ["conv", "block", "product", "start"])
+            for i, j in _groups(model, spans):
+                some = spans[i:j]
+                a, b = some[0][0], some[-1][1]
+                m = products(model, seen[a:b], [(x - a, y - a) for x, y in some])
+                begun = [viterbi_start(model, seen[x:y], model.of(seen[x : x + 1])[0]) for x, y in some]
+                yield pa.record_batch([conv.take([x for x, _ in some]).combine_chunks(), pa.array([number[x] for x, _ in some], pa.int64()),
+                                       pa.array([x.tobytes() for x in m], pa.binary()), pa.array([x.tobytes() for x in begun], pa.binary())], ["conv", "block", "product", "start"])
 
     def scan(blocks: pd.DataFrame) -> pd.DataFrame:
         """The best roles at the ends of a conversation's blocks: a small table for every ``block`` rows."""

@@ -204,6 +204,29 @@ def test_neighbours_across_gaps_and_all_roles(spark, monkeypatch):
     assert np.exp(model.first) == pytest.approx(first / first.sum()) and np.exp(model.after) == pytest.approx(after / after.sum(1, keepdims=True))
 
 
+def test_many_roles_stay_within_memory(spark, monkeypatch):
+    """Tables of pairs of roles are worked through in slices: as exact, and bounded."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    k = 300
+    log = lambda x: np.log(x / x.sum(-1, keepdims=True))
+    model = chat.Model([f"r{i}" for i in range(k)], log(rng.random(k)), log(rng.random((k, k))), [log(rng.random((k, n))) for n in chat.SIZES])
+    seen = np.column_stack([rng.integers(0, n, 12) for n in chat.SIZES])
+    spans = [(0, 5), (5, 6), (6, 12)]
+    ends = np.full(3, -1)
+    whole, paths = chat.products(model, seen, spans), chat.viterbi(model, seen, spans, ends, ends)
+    monkeypatch.setattr(chat, "CELLS", 1 << 17)
+    tracemalloc.start()
+    assert np.array_equal(chat.products(model, seen, spans), whole) and np.array_equal(chat.viterbi(model, seen, spans, ends, ends), paths)
+    assert tracemalloc.get_traced_memory()[1] < 16 << 20  # k ^ 3 cells are 216 MB
+    tracemalloc.stop()
+    rows = spark.range(40).selectExpr("id AS conv_id", "1L AS turn", "concat('r', id) AS role", "'x' AS text")
+    monkeypatch.setattr(chat, "MOST_ROLES", 39)
+    with pytest.raises(ValueError, match="more than 39 roles"):
+        chat.fit(rows)
+
+
 # -- pages --------------------------------------------------------------------------------
 def test_cut_is_cheapest():
     import itertools

@@ -110,6 +110,43 @@ def test_thresholds_are_ordered_and_the_gradient_is_right():
     assert (np.rint(tails.sum(1)) == grades).mean() > 0.95
 
 
+def test_the_fit_is_the_maximum():
+    """The penalised likelihood, computed anew, has no slope at the learned weights in any direction (finite differences)."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    grades = np.array([rng.randint(0, 2) for _ in range(90)])
+    texts = pa.array([" ".join(rng.choice(["bad", "mid", "good", ["bad", "mid", "good"][g]]) for _ in range(6)) for g in grades])
+    m = quality.learn(texts, grades, 2, rounds=6000)
+
+    def objective(forms, words, thresholds):
+        t = np.column_stack([np.ones(90), quality.Model(forms, words, thresholds).tails(texts), np.zeros(90)])
+        p = t[np.arange(90), grades] - t[np.arange(90), grades + 1]
+        return np.log(p).mean() - quality.RIDGE / 2 * ((forms**2).sum() + (words**2).sum())
+
+    def slopes(forms, words, thresholds, h=1e-4):
+        x = [forms.astype(float), words.astype(float), thresholds.astype(float)]
+        out = []
+        for part in range(3):
+            used = np.flatnonzero(x[part]) if part < 2 else np.arange(2)
+            for i in used:
+                up, down = [v.copy() for v in x], [v.copy() for v in x]
+                up[part][i] += h
+                down[part][i] -= h
+                out.append((objective(*up) - objective(*down)) / (2 * h))
+        return np.array(out)
+
+    learned = slopes(m.forms, m.words, m.thresholds)
+    away = slopes(m.forms * 0.5, m.words * 0.5, m.thresholds + 0.3)
+    assert len(learned) > 5 and np.abs(learned).max() < 2e-3 and np.abs(away).max() > 20 * np.abs(learned).max()
+    best = objective(m.forms, m.words, m.thresholds)
+    for _ in range(200):  # and nothing near it is better
+        move = np.random.default_rng(rng.randint(0, 1 << 30))
+        forms = m.forms + (m.forms != 0) * move.normal(size=len(m.forms)) * 0.05
+        words = m.words + (m.words != 0) * move.normal(size=len(m.words)) * 0.05
+        assert objective(forms, words, np.sort(m.thresholds + move.normal(size=2) * 0.05)) < best + 1e-5
+
+
 def test_quality_held_out(spark, odd, none, sf01):
     docs, labels = (spark.read.parquet(f"{sf01}/{n}.parquet") for n in ("documents", "labels"))
     rated = quality.grades(labels).join(labels.select("doc_id", "quality"), "doc_id")
