@@ -5,13 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloakframe.functions.sql import lit, name
 from cloakframe.functions.text import STRINGS, pii_text
 from cloakframe.functions.tokens import token
+from cloakframe.plans.policy import reliable_copy
 from cloakframe.plans.request import Aggregate, RequestError, SortKey, check_literal, parse_aggregate, parse_sort
 from cloakframe.sources.profiles import Profile
 
@@ -103,6 +104,30 @@ def _aggregate(df: DataFrame, a: Aggregate, sort_arrays: bool) -> Column:
     return plain[a.function](c)
 
 
+def array_rows(df: DataFrame, column: str, group_by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """The arrays of ``ARRAY_AGG`` in long form: group columns, ``position`` (from 1, nulls last), ``column``; no group lies in one row or one task.
+
+    Equal values of a group are counted map-side. Ranges of the order of groups and values are
+    kept in the shared folder, and within a group positions follow from the sums of earlier ranges.
+    """
+    if "position" in (column, *group_by):
+        raise RequestError("a column is named 'position'")
+    groups = [col(g) for g in group_by]
+    counted = df.groupBy(*groups, col(column)).agg(F.count(F.lit(1)).alias("__n"))
+    order = [*[g.asc_nulls_first() for g in groups], col(column).asc_nulls_last()]
+    ranged = reliable_copy(counted.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    inside = before(Window.partitionBy("__part", *groups).orderBy(col(column).asc_nulls_last()))
+    sums = ranged.groupBy("__part", *groups).agg(F.sum("__n").alias("__s"))
+    earlier = F.sum("__s").over(before(Window.partitionBy(*groups).orderBy("__part")))  # a row for each range of a group
+    sums = sums.select(F.col("__part").alias("__p"), *[col(g).alias(f"__g{i}") for i, g in enumerate(group_by)], F.coalesce(earlier, F.lit(0)).alias("__earlier"))
+    same = reduce(Column.__and__, [F.col(f"__g{i}").eqNullSafe(g) for i, g in enumerate(groups)], F.col("__part") == F.col("__p"))
+    placed = ranged.withColumn("__in", F.coalesce(F.sum("__n").over(inside), F.lit(0))).join(sums, same)
+    blocks = placed.withColumn("__b", F.explode(F.expr("sequence(0L, (__n - 1) DIV 4096)")))
+    each = blocks.withColumn("__r", F.explode(F.expr("sequence(1L, least(4096L, __n - __b * 4096))")))
+    return each.select(*groups, (F.col("__earlier") + F.col("__in") + F.col("__b") * 4096 + F.col("__r")).cast("long").alias("position"), col(column))
+
+
 def order_limit(
     df: DataFrame, order_by: list[str] | tuple[str, ...] | list[SortKey], limit: int | None, profile: Profile
 ) -> DataFrame:

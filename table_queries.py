@@ -14,6 +14,7 @@ from cloakframe.operators import heavy, incremental, rule_table, sketches, trail
 from cloakframe.operators.audit import backend_report
 from cloakframe.operators.profile import profile_table, supported_types
 from cloakframe.operators.protect import hash_table
+from cloakframe.operators.relational import array_rows
 from cloakframe.plans.policy import apply_policy, ensure_checkpoint_dir
 from cloakframe.plans.request import Request
 from cloakframe.plans.secure import Settings, deliver, secure_query
@@ -114,6 +115,12 @@ def token_index_link(spark: SparkSession, sf: str) -> DataFrame:
     return token_index.link_indexes(spark, a, b)
 
 
+def agg_array_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The quantities of each return flag in order, as rows: three groups hold the whole table."""
+    lines = t(spark, sf, "lineitem").select("l_returnflag", F.expr("nullif(l_quantity, 7)").alias("quantity"))
+    return array_rows(lines, "quantity", ["l_returnflag"])
+
+
 # -- the audit log ---------------------------------------------------------------------------------
 def _lines(events: DataFrame) -> DataFrame:
     """Events as JSON lines: every third comes twice, some are broken, not known or without a time."""
@@ -345,7 +352,7 @@ def mask_generic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _QUERIES: list[Query] = [
-    label_by_rules, profile_incremental, linkage_heavy, token_index_lookup, token_index_link, stream_audit_sink, gap_sessions, stream_sessions, stream_learning,
+    label_by_rules, profile_incremental, linkage_heavy, token_index_lookup, token_index_link, agg_array_rows, stream_audit_sink, gap_sessions, stream_sessions, stream_learning,
     result_envelope, delivered_envelope, audit_sketches, audit_p95, audit_trail, prefix_match, object_listing, prefix_listing, types_in_documents, partition_listing, policy_empty, custom_rules, mask_generic,
 ]
 
@@ -383,6 +390,7 @@ SELECT column_name, backend, n_rows, match_reason IS NOT NULL AS is_pii, match_r
 FROM (SELECT CASE WHEN o_orderkey % 3 = 0 THEN -1 ELSE o_custkey END AS k, * FROM orders) JOIN (SELECT CASE WHEN c_custkey % 30 = 0 THEN -1 ELSE c_custkey END AS k, * FROM customer) USING (k) GROUP BY ALL""",
         "token_index_lookup": f"SELECT {tok('contact')} AS token, c_custkey, c_mktsegment FROM (SELECT c_custkey, c_mktsegment, concat('user', c_custkey, '@example.com') AS contact FROM customer) WHERE contact = 'user42@example.com'",
         "token_index_link": f"SELECT {tok('CAST(o_custkey AS VARCHAR)')} AS token, o_orderkey, o_orderstatus, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",
+        "agg_array_rows": "SELECT l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY quantity NULLS LAST) AS position, quantity FROM (SELECT l_returnflag, nullif(l_quantity, 7) AS quantity FROM lineitem)",
         "stream_audit_sink": f"""SELECT concat('inv_', event_id) AS invocation_id, 'backend_call' AS event_type, event_type AS operation, value AS duration_ms, event_type <> 'error' AS success, CAST(1 AS BIGINT) AS n_lines
  FROM events WHERE {good}
 UNION ALL SELECT line, NULL, NULL, NULL, NULL, CAST(sum(n) AS BIGINT) FROM (SELECT CASE WHEN event_id % 47 = 11 THEN substring({event_json}, 1, 25) ELSE {event_json} END AS line, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS n

@@ -14,6 +14,7 @@ from cloakframe.functions.tokens import NULL_TOKEN, token_of
 from cloakframe.operators import heavy, incremental, rule_table, sketches, trail
 from cloakframe.operators.linkage import link
 from cloakframe.operators.profile import profile_table
+from cloakframe.operators.relational import aggregate, array_rows
 from cloakframe.plans.request import Request
 from cloakframe.plans.secure import Settings, deliver, secure_query
 from cloakframe.rules import DEFAULT_RULES, Rules
@@ -146,6 +147,19 @@ def test_a_hot_token_lies_in_every_cell(spark, sides):
     assert heavy._repeated(many, "n").count() == 10001
 
 
+def test_arrays_as_rows(spark):
+    rows = [("a", v % 7 if v % 5 else None) for v in range(200)] + [(None, 3), (None, 1), ("b", None), ("hot", 1)] + [("hot", 1)] * 9000
+    df = spark.createDataFrame(rows, "g string, v int").repartition(5)
+    got = {}
+    for r in array_rows(df, "v", ["g"]).collect():
+        assert got.setdefault(r.g, {}).setdefault(r.position, r.v) == r.v
+    arrays = {r.g: r.v for r in aggregate(df, ["ARRAY_AGG(v) AS v"], ["g"]).collect()}
+    assert {g: [x[i + 1] for i in range(len(x))] for g, x in got.items()} == arrays
+    whole = array_rows(df, "v").orderBy("position").collect()
+    assert [r.position for r in whole] == list(range(1, len(rows) + 1)) and [r.v for r in whole] == aggregate(df, ["ARRAY_AGG(v) AS v"]).first().v
+    assert array_rows(df.limit(0), "v", ["g"]).count() == 0
+
+
 # -- token index -----------------------------------------------------------------------------------
 def test_token_index(spark, tmp_path):
     people = spark.createDataFrame([(i, f"u{i % 50}@x.org" if i % 10 else None, "hot") for i in range(500)], "id long, mail string, kind string")
