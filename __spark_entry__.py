@@ -31,7 +31,7 @@ from cloakframe.plans.request import DANGEROUS_VALUES, SQL_PATTERNS, Request  #
 from cloakframe.plans.secure import Settings, secure_query  # noqa: E402
 from cloakframe.rules import DEFAULT_RULES  # noqa: E402
 from cloakframe.sources import catalog, inventory  # noqa: E402
-from cloakframe.sources.files import read_table  # noqa: E402
+from cloakframe.sources.files import read_table, stream_table  # noqa: E402
 from cloakframe.sources.profiles import file_tables, get_profile  # noqa: E402
 from cloakframe.streaming.protect import append_stream, protect_stream, quarantine_stream  # noqa: E402
 from cloakframe.streaming.windows import counts_stream, latest_counts  # noqa: E402
@@ -659,8 +659,7 @@ def audit_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 # -- streams and files -------------------------------------------------------------------
 def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    schema = t(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return stream_table(spark, f"{sf}/{name}.parquet")
 
 
 def _scratch(spark: SparkSession) -> str:

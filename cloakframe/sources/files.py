@@ -14,3 +14,12 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", partitions:
     """
     df = spark.read.format(fmt).load(path)
     return df if partitions is None else df.repartition(partitions)
+
+
+def stream_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """A table as a stream of its files, whether ``path`` is one file or a folder of files.
+
+    The path goes in as a pattern that only it matches: a stream takes a plain path for a folder.
+    """
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return spark.readStream.schema(read_table(spark, path, fmt).schema).format(fmt).load(f"{folder}/[{name[0]}]{name[1:]}")

@@ -21,7 +21,7 @@ from cloakframe.plans.secure import Settings, deliver, secure_query
 from cloakframe.rules import Rules
 from cloakframe.sources import inventory, token_index
 from cloakframe.sources.audit_log import AUDIT_SCHEMA
-from cloakframe.sources.files import read_table
+from cloakframe.sources.files import read_table, stream_table
 from cloakframe.sources.profiles import get_profile
 from cloakframe.streaming import audit_sink, learning, sessions
 
@@ -44,7 +44,7 @@ def stamp(c: str) -> F.Column:
 
 
 def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.readStream.schema(t(spark, sf, name).schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return stream_table(spark, f"{sf}/{name}.parquet")
 
 
 # -- names and rules ------------------------------------------------------------------------

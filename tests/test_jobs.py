@@ -6,6 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registry
 from cloakframe.functions.tokens import token_of
 from cloakframe.operators import audit, screen
 from cloakframe.operators.protect import redact_table
@@ -226,6 +227,13 @@ def test_quarantine_is_idempotent(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(held).collect()) == [1, 4]
 
 
+def test_streamed_quarantine_of_a_table_in_many_files(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "https://a.org/1", "call 555-123-4567"), (2, "https://a.org/2", "ok"), (3, None, None)], "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = registry.stream_quarantine(spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(1, True), (2, False), (3, False)]
+
+
 def test_late_events_are_dropped(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
