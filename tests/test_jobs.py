@@ -234,6 +234,14 @@ def test_streamed_quarantine_of_a_table_in_many_files(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(1, True), (2, False), (3, False)]
 
 
+def test_streamed_documents_of_a_table_in_many_files(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "ok" if i else "write to me@example.org", "en", "web", 2) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in registry.stream_redact_documents(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [0, 1, 2, 3] and got[1].text == "ok" and "me@example.org" not in got[0].text
+    assert {r.source for r in got.values()} == {token_of("web", registry.SALT)}
+
+
 def test_late_events_are_dropped(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
