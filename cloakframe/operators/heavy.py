@@ -7,6 +7,8 @@
    of a grid. A left row lies in one line of it and all columns, a right row in one column and all
    lines, so each pair meets in exactly one cell and the token's work spreads over all of them.
    Lines and columns come from a hash of the row, so a task that is run again deals alike.
+4. Who needs only numbers and sums of the pairs gets them without the pairs: each side is summed by
+   token and group first, and the sums meet in the same way.
 """
 
 from __future__ import annotations
@@ -51,8 +53,15 @@ def _holds_map(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.MapType) or (isinstance(dtype, T.ArrayType) and _holds_map(dtype.elementType))
 
 
-def link_heavy(left: DataFrame, right: DataFrame, on: str, right_on: str | None = None, share: float = 0.001, cells: int = 16) -> DataFrame:
-    """The same rows as an inner ``link``, with tokens that hold ``share`` of either side dealt over ``cells`` x ``cells`` tasks."""
+def link_heavy(
+    left: DataFrame, right: DataFrame, on: str, right_on: str | None = None, share: float = 0.001, cells: int = 16,
+    by: list[str] | None = None, sums: dict[str, str] | None = None,
+) -> DataFrame:
+    """The same rows as an inner ``link``, with tokens that hold ``share`` of either side dealt over ``cells`` x ``cells`` tasks.
+
+    With ``by``, instead of the rows their number ``n`` and the ``sums`` (name: a column of whole numbers of either side)
+    by columns of either side. No pair of rows is then made.
+    """
     other = right_on or on
     real = lambda df, key: df.where(F.col(key).isNotNull() & (F.col(key) != NULL_TOKEN))
     keyed = real(right, other).withColumnRenamed(other, "__token")
@@ -61,6 +70,11 @@ def link_heavy(left: DataFrame, right: DataFrame, on: str, right_on: str | None
         raise ValueError(f"columns on both sides: {sorted(clash)}")
     left = real(left, on)
     heavy = sorted({*frequent_tokens(left, on, share), *frequent_tokens(keyed, "__token", share)})
+    return _met(left, keyed, on, heavy, cells) if by is None else _totals(left, keyed, on, heavy, cells, by, sums or {})
+
+
+def _met(left: DataFrame, keyed: DataFrame, on: str, heavy: list[str], cells: int) -> DataFrame:
+    """The rows of both sides that meet: plainly, and for heavy tokens in the cells of a grid."""
     same = F.col(on) == F.col("__token")
     columns: list[Column] = [F.col(f"`{c}`") for c in (*left.columns, *(c for c in keyed.columns if c != "__token"))]
     if not heavy:
@@ -71,3 +85,19 @@ def link_heavy(left: DataFrame, right: DataFrame, on: str, right_on: str | None
     met = a.join(b.withColumnRenamed("__line", "__b_line").withColumnRenamed("__column", "__b_column"), (F.col(on) == F.col("__other")) & (F.col("__line") == F.col("__b_line")) & (F.col("__column") == F.col("__b_column")))
     met = met.select(*columns, "__line_n", "__column_n")
     return rest.select(*columns).unionByName(_repeated(_repeated(met, "__line_n"), "__column_n"))
+
+
+def _totals(left: DataFrame, keyed: DataFrame, on: str, heavy: list[str], cells: int, by: list[str], sums: dict[str, str]) -> DataFrame:
+    """Number and sums of the rows that meet. Each side is first summed by token and its own columns of ``by``: a row of one side counts as often as rows of the other meet it."""
+    whole = {f.name for df in (left, keyed) for f in df.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    wrong = (set(by) - {*left.columns, *keyed.columns}) | (set(sums.values()) - whole)
+    if wrong:
+        raise ValueError(f"not columns, or not of whole numbers: {sorted(wrong)}")
+    sides = []
+    for df, token, count in ((left, on, "__left_rows"), (keyed, "__token", "__right_rows")):
+        parts = [F.sum(f"`{c}`").alias(f"__sum_{i}") for i, c in enumerate(sums.values()) if c in df.columns]
+        sides.append(df.groupBy(token, *[f"`{c}`" for c in by if c in df.columns and c != token]).agg(F.count(F.lit(1)).alias(count), *parts))
+    met = _met(sides[0], sides[1], on, heavy, cells)
+    n = F.coalesce(F.sum(F.col("__left_rows") * F.col("__right_rows")), F.lit(0).cast("long")).alias("n")
+    times = lambda c: F.col("__right_rows" if c in left.columns else "__left_rows")
+    return met.groupBy(*[f"`{c}`" for c in by]).agg(n, *[F.sum(F.col(f"__sum_{i}") * times(c)).alias(name) for i, (name, c) in enumerate(sums.items())])

@@ -93,8 +93,10 @@ def linkage_heavy(spark: SparkSession, sf: str) -> DataFrame:
     """Orders and customers by token, where one token holds a third of the orders and a thirtieth of the customers."""
     orders = t(spark, sf, "orders").selectExpr("IF(o_orderkey % 3 = 0, -1, o_custkey) AS buyer", "o_orderstatus", "o_orderkey")
     customers = t(spark, sf, "customer").selectExpr("IF(c_custkey % 30 = 0, -1, c_custkey) AS c_custkey", "c_mktsegment", "c_nationkey")
-    met = heavy.link_heavy(hash_table(orders, SALT, ["buyer"]), hash_table(customers, SALT, ["c_custkey"]), "buyer", "c_custkey")
-    return met.groupBy("o_orderstatus", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("orders"), F.sum("c_nationkey").alias("nations"))
+    return heavy.link_heavy(
+        hash_table(orders, SALT, ["buyer"]), hash_table(customers, SALT, ["c_custkey"]), "buyer", "c_custkey",
+        by=["o_orderstatus", "c_mktsegment"], sums={"orders": "o_orderkey", "nations": "c_nationkey"},
+    )
 
 
 def _contacts(spark: SparkSession, sf: str) -> DataFrame:

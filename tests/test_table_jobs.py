@@ -137,6 +137,23 @@ def test_heavy_link_equals_the_plain_one(spark, sides):
         heavy.link_heavy(left, right.withColumnRenamed("b", "a"), "token", "other")
 
 
+def test_heavy_totals_equal_those_of_the_pairs(spark, sides):
+    left, right = sides[0].withColumns({"c": F.expr("IF(a = 3, NULL, a)")}), sides[1].withColumns({"d": F.expr("IF(b % 4 = 0, NULL, b % 4)")})
+    sums = {"x": "a", "y": "b"}
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    pairs = link(left, right, "token", "other")
+    for by in (["c", "d"], ["token"], ["d"], []):
+        want = rows(pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("x"), F.sum("b").alias("y")))
+        for share in (0.01, 1.1):
+            assert rows(heavy.link_heavy(left, right, "token", "other", share, 4, by, sums)) == want
+    assert heavy.link_heavy(left.limit(0), right, "token", "other", by=["d"]).count() == 0
+    with pytest.raises(ValueError, match="whole numbers"):
+        heavy.link_heavy(left, right, "token", "other", by=["c"], sums={"x": "token"})
+    n = 10**6  # 10^12 pairs of one token
+    hot = lambda token, k: spark.range(n).selectExpr(f"'hot' AS {token}", f"id AS {k}")
+    assert heavy.link_heavy(hot("token", "a"), hot("other", "b"), "token", "other", by=[], sums={"x": "a"}).first() == (n * n, n * (n * (n - 1) // 2))
+
+
 def test_a_hot_token_lies_in_every_cell(spark, sides):
     left, right = sides
     assert heavy.frequent_tokens(left, "token", 0.1) == ["hot"]
