@@ -4,7 +4,8 @@
 rows, so the plan is the same for ten and for a million. Every rule lies in an inverted index
 under one key: a whole name, or one q-gram of a fragment, the one that the fewest fragments hold.
 Names look up all their keys by one equi-join; the candidates are verified, and the first rule by
-precedence (exact, contains, pattern, backend; then position) wins.
+precedence (exact, contains, pattern, backend; then position) wins. Before that join, keys that no
+rule has are dropped where they arise, by a table of at most ``SLOTS`` hash values of the rules' keys.
 
 Results. Labels are one row for each distinct name (and backend), so a name that a third of all rows hold is
 looked up once. Null and empty names match no key but their own. Rules that repeat count with their
@@ -24,6 +25,9 @@ from cloakframe.rules import Rules
 
 RULE_SCHEMA = "kind string, position long, text string, backend string"
 GRAM = 4
+#: Hash values that tell which keys rules have, and how often fragments hold a q-gram; what shares one only costs time.
+SLOTS = 1 << 18
+_AT = 1 << 20
 # Precedence of the kinds of rules (fixed values).
 _RANK = {"exact": 0, "contains": 1, "pattern": 2, "backend": 3}
 
@@ -43,11 +47,16 @@ def _grams(x: str, least: int, most: int) -> Column:
     return F.expr(f"array_distinct(flatten({every}))")
 
 
+def _slot(key: str | Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SLOTS)).alias("__slot")
+
+
 def rule_index(rules: DataFrame, gram: int = GRAM) -> DataFrame:
     """``key``, ``rank``, ``position``, ``text``, ``backend``: every rule under one key.
 
     A fragment's key is its rarest q-gram among all fragments, so that common ones don't
-    gather many rules. The counts come from one aggregate, not from rows held together.
+    gather many rules. The counts are one aggregate by hash value, so small that every task
+    has it: a fragment's q-grams are made, compared and dropped where it lies.
     """
     low = rules.select("kind", F.lower("text").alias("text"), "position", F.col("backend"))
     whole = low.where("kind IN ('exact', 'backend') AND text IS NOT NULL")
@@ -58,10 +67,13 @@ def rule_index(rules: DataFrame, gram: int = GRAM) -> DataFrame:
     fragments = low.where("kind = 'contains' AND text IS NOT NULL").groupBy("text").agg(F.min("position").alias("position"))
     fragments = fragments.where(F.expr("IF(text = '', raise_error('an empty fragment would label every name'), true)"))
     size = f"least({gram}, char_length(text))"
-    grams = fragments.select("text", "position", F.explode(_grams("text", size, size)).alias("gram"))
-    count = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    best = grams.join(count, "gram").groupBy("text", "position").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    parts = best.select(F.concat(F.lit("c:"), "gram").alias("key"), F.lit(_RANK["contains"]).alias("rank"), "position", "text", F.lit(None).cast("string").alias("backend"))
+    grams = fragments.select("text", "position", F.posexplode(F.expr(f"transform(sequence(1, char_length(text) - {size} + 1), __i -> substring(text, __i, {size}))")).alias("at", "gram"))
+    grams = grams.select("text", "position", "at", _slot("gram"))
+    count = grams.groupBy("__slot").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.min(F.col("n") * _AT + F.col("at") % _AT).alias("best")  # one number: how often, and where in the text
+    best = grams.join(F.broadcast(count), "__slot").groupBy("text", "position").agg(rarest)
+    gram = F.expr(f"substring(text, CAST(best % {_AT} AS INT) + 1, {size})")
+    parts = best.select(F.concat(F.lit("c:"), gram).alias("key"), F.lit(_RANK["contains"]).alias("rank"), "position", "text", F.lit(None).cast("string").alias("backend"))
     return whole.unionByName(parts)
 
 
@@ -78,8 +90,10 @@ def label_by_rules(names: DataFrame, index: DataFrame, column: str = "column_nam
         F.when(F.col("__backend").isNotNull(), F.array(F.concat(F.lit("b:"), "__backend", F.lit(":"), "__low"))).otherwise(F.array().cast("array<string>")),
         F.transform(_grams("__low", "1", str(gram)), lambda g: F.concat(F.lit("c:"), g)),
     )
-    asked = low.where("__low IS NOT NULL").select("__name", "__backend", "__low", F.explode(keys).alias("key"))
-    met = asked.join(index, "key").where(f"rank <> {_RANK['contains']} OR contains(__low, text)")
+    asked = low.where("__low IS NOT NULL").select("__name", "__backend", F.explode(keys).alias("key"))
+    held = index.select(_slot("key")).distinct()
+    asked = asked.withColumn("__slot", _slot("key")).join(F.broadcast(held), "__slot", "left_semi").drop("__slot")
+    met = asked.join(index, "key").where(f"rank <> {_RANK['contains']} OR contains(lower(__name), text)")
     reason = F.expr("CASE rank WHEN 0 THEN 'exact_match' WHEN 1 THEN concat('contains_pattern:', text) ELSE concat('backend_override:', backend) END")
     first = met.groupBy(F.col("__name").alias("__n"), F.col("__backend").alias("__b")).agg(F.min_by(F.struct("rank", reason.alias("reason")), F.struct("rank", "position", "text")).alias("__best"))
     same = F.col("__name").eqNullSafe(F.col("__n")) & F.col("__backend").eqNullSafe(F.col("__b"))

@@ -73,6 +73,26 @@ def test_plan_does_not_grow_with_rules(spark, sf001):
         rule_table.rule_index(spark.createDataFrame([("contains", 0, "", None)], rule_table.RULE_SCHEMA)).collect()
 
 
+def test_only_keys_that_rules_have_are_shuffled(spark, monkeypatch):
+    rules = spark.range(40).selectExpr("'contains' AS kind", "id AS position", "concat('ab_', id * 37 % 400) AS text", "CAST(NULL AS STRING) AS backend")
+    names = spark.range(400).selectExpr("concat('x_Ab_', id) AS column_name")
+    labels = lambda: {r.column_name: r.match_reason for r in rule_table.label_by_rules(names, rule_table.rule_index(rules)).collect()}
+    want = labels()
+    assert {n for n, x in want.items() if x} == {f"x_Ab_{n}" for n in range(400) if any(str(n).startswith(str(i * 37 % 400)) for i in range(40))}
+    monkeypatch.setattr(rule_table, "SLOTS", 1)  # every key shares its hash value with all others
+    assert labels() == want
+    monkeypatch.undo()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = rule_table.rule_index(rules)
+        text = rule_table.label_by_rules(names, index)._jdf.queryExecution().executedPlan().toString()
+        assert "LeftSemi" in text and "hashpartitioning(key" in text and "hashpartitioning(gram" not in text
+        assert "SortMergeJoin" not in index._jdf.queryExecution().executedPlan().toString()
+        assert labels() == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_positions_follow_the_order_and_labels_join_rows(spark):
     texts = spark.range(100).selectExpr("concat('t', id) AS text", "id")
     rows = rule_table.positions(texts, "contains", "id").orderBy("position").collect()
