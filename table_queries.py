@@ -254,12 +254,13 @@ def prefix_match(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def object_listing(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents written as one object for each language: the objects found, their kinds, and the rows that each holds."""
+    """Documents written as objects in a folder for each language: the objects found, their kinds, and the rows that each folder holds."""
     out = scratch(spark)
-    t(spark, sf, "documents").repartition(1).write.partitionBy("lang").json(f"{out}/store")
+    t(spark, sf, "documents").write.partitionBy("lang").json(f"{out}/store")  # each task writes what it reads
     found = inventory.list_objects(spark, f"{out}/store", prefix="lang=", allowed_prefixes=["lang=", "x/"])
+    found = found.groupBy(F.substring_index("key", "/", 1).alias("folder"), "content_type").agg(F.bool_and(F.col("size_bytes") > 0).alias("filled"))
     rows = spark.read.json(f"{out}/store").groupBy(F.concat(F.lit("lang="), "lang").alias("folder")).agg(F.count(F.lit(1)).alias("n_rows"))
-    return found.select(F.substring_index("key", "/", 1).alias("folder"), "content_type", (F.col("size_bytes") > 0).alias("filled")).join(rows, "folder")
+    return found.join(rows, "folder")
 
 
 def prefix_listing(spark: SparkSession, sf: str) -> DataFrame:

@@ -405,3 +405,17 @@ def test_policy_files_reach_the_rule_table(spark):
 
 def test_queries_are_registered_with_twins():
     assert set(q.queries()) <= set(registry.queries()) and set(q.queries()) == set(q.oracle_sql())
+
+
+def test_objects_are_written_where_their_rows_are_read(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "text", "en" if i % 3 else "de", "web", 4) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(q, "scratch", lambda _spark: str(tmp_path / "out"))
+    read = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task each
+    try:
+        got = q.object_listing(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", read)
+    assert sorted(map(tuple, got)) == [("lang=de", "application/json", True, 20), ("lang=en", "application/json", True, 40)]
+    assert len(list((tmp_path / "out" / "store" / "lang=en").glob("*.json"))) == 3
