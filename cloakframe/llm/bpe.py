@@ -257,15 +257,20 @@ def load(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
 
-def encode(docs: DataFrame, vocabulary, text_col: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary, text_col: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
     """``docs`` with a column ``out``: the ids of the whole text as little-endian unsigned 32-bit integers. A null text counts as empty.
 
-    ``out`` replaces a column of that name; all other columns stay as they are.
+    ``decoded`` names a further column, the text that the ids stand for: as ``decode``, but slice by slice in the same
+    pass, so that a task needs one Python worker with the vocabulary and not two.
+    Both replace columns of those names; all other columns stay as they are.
     """
-    from pyspark.sql.types import BinaryType, StructType
+    from pyspark.sql.types import BinaryType, StringType, StructType
 
-    rows = docs.drop(out).withColumn(text_col, F.col(text_col).cast("string"))
+    more = [] if decoded is None else [decoded]
+    rows = docs.drop(out, *more).withColumn(text_col, F.col(text_col).cast("string"))
     schema = StructType([*rows.schema.fields]).add(out, BinaryType())
+    for name in more:
+        schema = schema.add(name, StringType())
 
     def work(batches):
         t = _tokenizer(vocabulary)
@@ -273,7 +278,8 @@ def encode(docs: DataFrame, vocabulary, text_col: str = "text", out: str = "ids"
             for part in slices(batch, text_col):
                 ids, at = t.encode_all(part.column(text_col))
                 raw = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer((4 * at).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([*part.columns, raw], [*part.schema.names, out])
+                texts = [t.decode_all(ids.astype(np.int64), at) for _ in more]
+                yield pa.RecordBatch.from_arrays([*part.columns, raw, *texts], [*part.schema.names, out, *more])
 
     return rows.mapInArrow(work, schema)
 

@@ -46,7 +46,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None =
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     vocabulary = bpe.load(spark, path)
-    rows = bpe.decode(bpe.encode(docs, vocabulary), vocabulary)
+    rows = bpe.encode(docs, vocabulary, decoded="decoded")
     n = F.expr("CAST(octet_length(ids) DIV 4 AS BIGINT)")
     same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
     return rows.select("doc_id", "source", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), same.alias("round_trip"), "ids")

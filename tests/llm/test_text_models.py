@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Library
 
+import corpus_pipeline
 from cloakframe.llm import bpe, langid, quality, registry
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -173,3 +174,14 @@ def test_every_language_is_learned(spark):
     assert len(model.languages) == 301
     said = {r.doc_id: r.lang_pred for r in langid.predict(docs, model).select("doc_id", "lang_pred").collect()}
     assert sum(said[i] == lang for i, _, lang in rows) > 0.97 * len(rows)
+
+
+def test_pipeline_decodes_in_the_pass_that_encodes(spark):
+    docs = spark.createDataFrame([(1, "plain words  here\n", "a"), (2, None, "a"), (3, "", "b"), (4, "naïve \u4f60\u597d <|endoftext|>" * 9, "b")], "doc_id long, text string, source string")
+    vocabulary = bpe.load(spark, PATH)
+    twice = {r.doc_id: (bytes(r.ids), r.decoded) for r in bpe.decode(bpe.encode(docs, vocabulary), vocabulary).collect()}
+    once = {r.doc_id: (bytes(r.ids), r.decoded) for r in bpe.encode(docs, vocabulary, decoded="decoded").collect()}
+    assert once == twice
+    out = corpus_pipeline.tokens(spark, docs, "", PATH)
+    assert all(r.round_trip and bytes(r.ids) == once[r.doc_id][0] for r in out.collect())
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one Python worker a task
