@@ -19,7 +19,13 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", partitions:
 def stream_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A table as a stream of its files, whether ``path`` is one file or a folder of files.
 
-    The path goes in as a pattern that only it matches: a stream takes a plain path for a folder.
+    A folder may hold folders of a column's values. The path of a file goes in as a pattern that only it matches: a
+    stream takes a plain path for a folder, and a pattern's folders for no columns.
     """
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return spark.readStream.schema(read_table(spark, path, fmt).schema).format(fmt).load(f"{folder}/[{name[0]}]{name[1:]}")
+    schema = read_table(spark, path, fmt).schema
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not (fs.exists(at) and fs.getFileStatus(at).isDirectory()):
+        folder, _, name = path.rstrip("/").rpartition("/")
+        path = f"{folder}/[{name[0]}]{name[1:]}"
+    return spark.readStream.schema(schema).format(fmt).load(path)

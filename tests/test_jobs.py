@@ -242,6 +242,15 @@ def test_streamed_documents_of_a_table_in_many_files(spark, tmp_path):
     assert {r.source for r in got.values()} == {token_of("web", registry.SALT)}
 
 
+def test_streamed_documents_of_a_table_in_folders_by_a_columns_values(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "ok" if i else "write to me@example.org", f"l{i % 2}", f"s{i}", 2) for i in range(4)], "doc_id long, text string, lang string, source string, n_chars long")
+    for column in ("lang", "source"):
+        docs.repartition(2).write.partitionBy(column).parquet(str(tmp_path / column / "documents.parquet"))
+        got = {r.doc_id: r for r in registry.stream_redact_documents(spark, str(tmp_path / column)).collect()}
+        assert sorted(got) == [0, 1, 2, 3] and got[1].text == "ok" and "me@example.org" not in got[0].text
+        assert all(r.source == token_of(f"s{i}", registry.SALT) for i, r in got.items())
+
+
 def test_late_events_are_dropped(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
