@@ -15,9 +15,12 @@ any length are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructType
 
-from cloakframe.llm.frames import exact_ids, gathered, importable, running_total, saved, slices, utf8, word_hashes
+from cloakframe.llm.frames import exact_ids, gathered, importable, run_hashes, running_total, saved, slices, utf8
 
 #: Words remembered in each of two generations, the bytes of a word that is remembered, and the ranges that a length is numbered by.
 KNOWN, LONGEST, RANGES = 1 << 19, 64, 4096
@@ -38,8 +41,26 @@ def load(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Path(path).read_text(encoding="utf-8"))
 
 
+# Kinds of bytes: 0 ASCII white space, 1 letters, 2 digits, 3 the apostrophe and 4 other printable ASCII; 5 all else, beside which no word is cut.
+_KIND = np.full(256, 5, np.uint8)
+_KIND[[0x20, *range(0x09, 0x0E)]] = 0
+_KIND[0x21:0x7F], _KIND[0x30:0x3A], _KIND[0x27] = 4, 2, 3
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+#: The rules under which words are cut further: no part of a word then reaches over a cut, and capitals count as small letters.
+_RULES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+# By the kinds before and behind it, where a word is cut; a contraction begins with the apostrophe.
+_CUTS = np.zeros((6, 6), bool)
+_CUTS[1, 2:5] = _CUTS[2, 1:5] = _CUTS[3:5, 2] = _CUTS[4, 1] = True
+_SPACES = np.zeros((6, 6), bool)
+_SPACES[0, 1:] = _SPACES[1:, 0] = True
+
+
 class Words:
-    """The ids of words that end at ASCII white space, which the vocabulary drops: each is encoded once while it is remembered."""
+    """The ids of words that end at ASCII white space, which the vocabulary drops: each is encoded once while it is remembered.
+
+    Where the vocabulary's rules are ``_RULES``, words are cut where letters, digits and marks meet in ASCII and their
+    capitals folded, so that a word before a comma, or at the beginning of a sentence, is the word that was encoded before.
+    """
 
     def __init__(self, json_text: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
@@ -50,24 +71,72 @@ class Words:
         self.tokenizer.no_padding()
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        rules = json.loads(json_text)
+        self.added = [t["content"].encode() for t in rules["added_tokens"]]
+        steps = [(n["type"], n.get("content")) for n in (rules["normalizer"] or {}).get("normalizers", [])]
+        split, *then = (rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        as_is = not any(t[k] for t in rules["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) and not any(a.isalpha() for a in self.added)
+        bytewise = [(p["type"], p.get("add_prefix_space"), p.get("use_regex")) for p in then] == [("ByteLevel", False, False)]
+        self.cuts = as_is and bytewise and steps == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and split.get("pattern") == {"Regex": _RULES}
 
     def encode(self, words: list[bytes], step: int = 512) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit integers; many are encoded as one text and told apart by offsets."""
-        texts, out = [w.decode("utf-8", "replace") for w in words], []
-        for i in range(0, len(texts), 8 * step):
-            some = [texts[j : j + step] for j in range(i, min(i + 8 * step, len(texts)), step)]
+        """The ids of each word, as little-endian unsigned 32-bit integers.
+
+        Small letters of ASCII only, which the rules leave as they are, go to the vocabulary's model; of the others many
+        are encoded as one text and told apart by offsets.
+        """
+        plain = [self.cuts and w.isalpha() and w.islower() for w in words]
+        some = self._encode([w for w, p in zip(words, plain, strict=True) if not p], step)
+        small = self._letters([w for w, p in zip(words, plain, strict=True) if p], 8 * step)
+        return [next(small) if p else next(some) for p in plain]
+
+    def _letters(self, words: list[bytes], step: int) -> Iterator[bytes]:
+        tokenize = self.tokenizer.model.tokenize
+        for i in range(0, len(words), step):
+            tokens = [tokenize(w.decode()) for w in words[i : i + step]]
+            raw, a = np.array([t.id for ts in tokens for t in ts], "<u4").tobytes(), 0
+            for ts in tokens:
+                yield raw[a : a + 4 * len(ts)]
+                a += 4 * len(ts)
+
+    def _encode(self, words: list[bytes], step: int) -> Iterator[bytes]:
+        for i in range(0, len(words), 8 * step):
+            some = [[w.decode("utf-8", "replace") for w in words[j : j + step]] for j in range(i, min(i + 8 * step, len(words)), step)]
             for line, e in zip(some, self.tokenizer.encode_batch([" ".join(t) for t in some], add_special_tokens=False), strict=True):
-                at = np.cumsum([0, *(len(t) + 1 for t in line)])
-                cut = (4 * np.searchsorted(np.array([a for a, _ in e.offsets]), at)).tolist()
+                at = np.zeros(len(line) + 1, np.int64)
+                np.cumsum(np.fromiter(map(len, line), np.int64, len(line)) + 1, out=at[1:])
+                cut = (4 * np.searchsorted(np.fromiter(map(itemgetter(0), e.offsets), np.int64, len(e)), at)).tolist()
                 raw = np.array(e.ids, "<u4").tobytes()
-                out += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
-        return out
+                yield from (raw[a:b] for a, b in zip(cut, cut[1:], strict=False))
+
+    def pieces(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes of all texts, folded if the rules allow it, and where pieces of words begin and end."""
+        kind = np.frombuffer(raw.tobytes().translate(_KIND.tobytes()), np.uint8)
+        pairs = (_SPACES | _CUTS if self.cuts else _SPACES).tobytes().ljust(256, b"\0")
+        edge = np.ones(len(raw) + 1, bool)  # before a byte: a piece or white space begins there
+        edge[1:-1] = np.frombuffer((6 * kind[:-1] + kind[1:]).tobytes().translate(pairs), bool)
+        if self.cuts and len(raw):
+            alone = np.append(raw[1:] < 0x80, True)  # no mark may follow that would make one letter of both
+            folded = np.where((raw >= 0x41) & (raw <= 0x5A) & alone, raw | 0x20, raw)
+            blob = folded.tobytes()
+            for added in self.added:  # stands for itself as it is written
+                i = blob.find(added)
+                while i >= 0:
+                    j = i + len(added)
+                    folded[i:j] = raw[i:j]
+                    edge[i + 1 : j] = False
+                    i = blob.find(added, i + 1)
+            raw = folded
+        edge[at] = True
+        edges = np.flatnonzero(edge)
+        keep = kind[edges[:-1]] > 0
+        return raw, edges[:-1][keep], edges[1:][keep]
 
     def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's begin (one more for the end)."""
         raw, at = utf8(texts)
-        h, first, end, of = word_hashes(raw, at, lower=False)
-        ids, where = exact_ids(raw, first, end, h)
+        raw, first, end = self.pieces(raw, at)
+        ids, where = exact_ids(raw, first, end, run_hashes(raw, first, end))
         blob = raw.tobytes()
         words = [blob[a:b] for a, b in zip(first[where].tolist(), end[where].tolist(), strict=True)]
         if len(self.new) + len(words) > KNOWN:
@@ -76,14 +145,14 @@ class Words:
         self.new.update([(w, self.old[w]) for w in missing if w in self.old])
         missing = [w for w in missing if w not in self.new]
         self.new.update(zip(missing, self.encode(missing), strict=True))
-        found = [self.new[w] for w in words]
+        found = list(map(self.new.__getitem__, words))
         for w in missing:
             if len(w) > LONGEST:
                 del self.new[w]
-        sizes = np.array([len(x) for x in found], np.int64) // 4
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool = np.frombuffer(b"".join(found), "<u4")
         each = sizes[ids]
-        return gathered(pool, (np.cumsum(sizes) - sizes)[ids], each), np.concatenate([[0], np.cumsum(each)])[of]
+        return gathered(pool, (np.cumsum(sizes) - sizes)[ids], each), np.concatenate([[0], np.cumsum(each)])[np.searchsorted(first, at)]
 
 
 _words: dict[int, Words] = {}

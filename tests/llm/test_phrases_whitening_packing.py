@@ -2,6 +2,7 @@
 
 import functools
 import itertools
+import json
 import random
 import re
 import struct
@@ -9,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +194,35 @@ def held_to_contract(docs, rows, most):
     return len(per)
 
 
+def test_words_are_told_by_their_letters(vocabulary):
+    from tokenizers import Tokenizer
+
+    words = packing.Words(vocabulary.value)
+    texts = pa.array(["the house", "The house, HOUSE: (house) house7 7the... it's", None, ""])
+    ids, at = words.ids_of(texts)
+    library = Tokenizer.from_str(vocabulary.value)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert sorted(w for w in words.new if w.isalpha()) == [b"house", b"it", b"the"]  # each encoded once
+    other = json.loads(vocabulary.value)
+    other["normalizer"]["normalizers"].pop()  # capitals count
+    words, library = packing.Words(json.dumps(other)), Tokenizer.from_str(json.dumps(other))
+    assert words.ids_of(texts)[0].tolist() == [x for t in texts.to_pylist() for x in library.encode(t or "", add_special_tokens=False).ids]
+
+
+def test_cut_words_keep_the_librarys_ids(vocabulary):
+    from tokenizers import Tokenizer
+
+    library, words, rng = Tokenizer.from_str(vocabulary.value), packing.Words(vocabulary.value), random.Random(5)
+    parts = list("abAHTWYJIsStTmMdD019 '\u2019.,!-_~<>|$\t\n\x00\x1c\x1f\x7f\x0b\r\xa0\x85")
+    parts += ["'s", "'re", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|endoftext", "|>", "\u00e9", "\u00c9", "\u0301", "\u0331", "\u030a", "\u0307", "\u0338"]
+    parts += ["\u030c", "\u0308", "\u00df", "\u1e9e", "\u0130", "\u03a3", "\u2009", "\u200d", "\u4e2d", "\u0661", "\u00b2", "\u212a", "\u1100", "\u1161", "\U0001f600", "\ufb01", "\u20e3"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(3000)] + ["<|", "ENDOFTEXT", "|>", "<|end", "oftext|>", None]
+    for some in (texts, texts[-6:], [None], ["a"], []):
+        ids, at = words.ids_of(pa.array(some, pa.string()))
+        for text, a, b in zip(some, at, at[1:], strict=False):
+            assert ids[a:b].tolist() == library.encode(text or "", add_special_tokens=False).ids, text
+
+
 def test_packing(spark, odd, none, small, vocabulary, monkeypatch):
     words = [" Émile's  naïve\tcafé", "<|endoftext|> a<|startoftext|>b", "é ́x", "a b\x1cc\x85d", "ΟΔΟΣ ΣΑΣ", "12345 \x00 \U0001f600", "y" * 5000]
     more = spark.createDataFrame(enumerate(words * 3), "doc_id long, text string")
